@@ -30,6 +30,15 @@ def nonempty(values: Column) -> Column:
     return F.filter(values, lambda v: v.isNotNull() & (v != ""))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once per row.
+
+    Column expressions are inlined wherever they are used; binding one to a
+    lambda variable keeps a costly text expression from running many times.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def lookup(mapping: dict[str, str], key: Column) -> Column:
     """Fixed dictionary lookup as a literal map (null when absent)."""
     pairs = [F.lit(x) for item in mapping.items() for x in item]
@@ -90,7 +99,7 @@ def morph_token(value) -> Column:
         chain = F.when(hit, stem) if chain is None else chain.when(hit, stem)
     # the first rule that fits decides; a stem that is too short gives nothing
     return F.when(
-        eligible & (F.length(chain) >= fixed.MIN_STEM), F.concat(F.lit("~"), chain)
+        eligible, let(chain, lambda c: F.when(F.length(c) >= fixed.MIN_STEM, F.concat(F.lit("~"), c)))
     )
 
 
@@ -177,9 +186,7 @@ def tokenize(value, morphology: bool = False, cap: int | None = None) -> Column:
         return F.flatten(
             F.transform(
                 kept,
-                lambda f: F.when(
-                    (F.length(f) >= 3) & morph_token(f).isNotNull(), F.array(f, morph_token(f))
-                ).otherwise(F.array(f)),
+                lambda f: F.when(F.length(f) >= 5, F.array_compact(F.array(f, morph_token(f)))).otherwise(F.array(f)),
             )
         )
 
@@ -616,6 +623,10 @@ def story_date_key(story_time, frame=None) -> Column:
     source = F.translate(fold_key(story_time), "—–", "--")
     name = fold_key(frame) if frame is not None else F.lit("")
     frame_name = F.when(name == "", F.lit(fixed.MAIN_FRAME)).otherwise(name)
+    return let(source, lambda s: F.when(s.rlike("[0-9x]"), _date_rules(s, frame_name)))
+
+
+def _date_rules(source: Column, frame_name: Column) -> Column:
     month_words = "|".join(fixed.MONTHS)
     month_number = {m: str(i + 1) for i, m in enumerate(fixed.MONTHS)}
     minutes = story_minutes(source)

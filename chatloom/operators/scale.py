@@ -59,22 +59,39 @@ def with_position(df: DataFrame, seq: Sequence, out: str = "rn", descending: boo
     )
 
 
-def with_running_sum(
-    df: DataFrame, seq: Sequence, value: Column, out: str = "running", descending: bool = False
+def with_running(
+    df: DataFrame, seq: Sequence, value: Column, out: str, fn=F.sum, strict: bool = False,
+    descending: bool = False,
 ) -> DataFrame:
-    """Sum of ``value`` from the start of the key up to and including the row."""
+    """Running ``fn`` (sum or max) of ``value`` in the key, null when nothing came before.
+
+    ``strict`` leaves out the row itself and rows with an equal order value; it
+    needs a single numeric order column.
+    """
     df = df.withColumn(_B, seq.bucket).withColumn("__v", value)
-    sums = df.groupBy(*seq.keys, _B).agg(F.sum("__v").alias("__n"))
-    offsets = sums.select(
-        *seq.keys, _B,
-        F.coalesce(F.sum("__n").over(seq.buckets_before(descending)), F.lit(0)).alias(_OFF),
+    partial = df.groupBy(*seq.keys, _B).agg(fn("__v").alias("__n"))
+    offsets = partial.select(
+        *seq.keys, _B, fn("__n").over(seq.buckets_before(descending)).alias(_OFF)
     )
-    inner = seq.window(descending).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        df.join(offsets, [*seq.keys, _B])
-        .withColumn(out, F.sum("__v").over(inner) + F.col(_OFF))
-        .drop(_B, _OFF, "__v")
+    window = seq.window(descending)
+    inner = (
+        window.rangeBetween(Window.unboundedPreceding, -1)
+        if strict
+        else window.rowsBetween(Window.unboundedPreceding, 0)
     )
+    own = fn("__v").over(inner)
+    total = F.greatest(own, F.col(_OFF))
+    if fn is F.sum:
+        zero = F.lit(0)
+        total = F.coalesce(own, zero) + F.coalesce(F.col(_OFF), zero)
+    return df.join(offsets, [*seq.keys, _B]).withColumn(out, total).drop(_B, _OFF, "__v")
+
+
+def with_running_sum(
+    df: DataFrame, seq: Sequence, value: Column, out: str = "running", descending: bool = False
+) -> DataFrame:
+    """Sum of ``value`` from the start of the key up to and including the row."""
+    return with_running(df, seq, value, out, F.sum, descending=descending)
 
 
 def with_previous(

@@ -1,4 +1,4 @@
 """All named queries."""
 
-from . import ledger  # noqa: F401
+from . import ledger, memory, recall  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -395,7 +395,7 @@ fragment("mtok", f"SELECT *, {TOK} AS tokens FROM cur", ("cur",))
 
 
 @query("token_chunks", sql("""
-WITH RECURSIVE o AS (SELECT chat_key, (idx // 64) * 64 AS range_from, idx, tokens,
+WITH o AS (SELECT chat_key, (idx // 64) * 64 AS range_from, idx, tokens,
                   row_number() OVER (PARTITION BY chat_key, idx // 64 ORDER BY idx) AS rn FROM mtok),
 w AS (SELECT chat_key, range_from, idx, rn, 0 AS chunk_no, tokens AS run, 1 AS n FROM o WHERE rn = 1
       UNION ALL
@@ -407,7 +407,7 @@ w AS (SELECT chat_key, range_from, idx, rn, 0 AS chunk_no, tokens AS run, 1 AS n
 SELECT chat_key, range_from, CAST(chunk_no AS BIGINT) AS chunk_no, min(idx) AS chunk_from, max(idx) AS chunk_to,
        CAST(max(run) AS BIGINT) AS tokens, count(*) AS n
 FROM w GROUP BY chat_key, range_from, chunk_no
-""", "mtok").replace("WITH ev AS", "WITH RECURSIVE ev AS", 1).replace(",\nRECURSIVE o AS", ",\no AS", 1).replace(",\n RECURSIVE o AS", ",\no AS", 1))
+""", "mtok").replace("WITH ev AS", "WITH RECURSIVE ev AS", 1))
 def _(spark, sf):
     m = G.message_tokens(current(spark, sf)).withColumn("range_from", F.floor(F.col("idx") / 64) * 64)
     return G.token_chunks(m, 30, 6)
