@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
-from .scale import write_through
+from .scale import spread, write_through
 
 RANGE_BUCKET = 256
 
@@ -42,7 +42,7 @@ def range_overlap_join(
 
 def token_overlap_pairs(
     records: DataFrame, min_shared: int, min_containment: float, keys: list[str], id_col: str = "id",
-    tokens: str = "tokens",
+    tokens: str = "tokens", same: tuple[str, ...] = (),
 ) -> DataFrame:
     """Pairs of records with enough shared tokens (C15), exactly.
 
@@ -50,11 +50,16 @@ def token_overlap_pairs(
     candidates: of a set of n tokens that must share t, one shared token is
     always among its n - t + 1 rarest, so frequent tokens never meet in the
     join. Equal token sets are folded to one representative first; their copies
-    come back as (representative, copy) rows, not as all pairs.
+    come back as (representative, copy) rows, not as all pairs. Columns in
+    ``same`` must be equal too before two rows count as copies.
     """
-    base = records.select(*keys, F.col(id_col).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("tok"))
+    extra = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in same]
+    base = spread(records).select(
+        *keys, F.col(id_col).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("tok"),
+        F.md5(F.concat_ws("\u001e", *extra)).alias("extra"),
+    )
     base = base.withColumn("n", F.size("tok")).filter(F.col("n") >= min_shared)
-    base = base.withColumn("sig", F.md5(F.array_join("tok", "\u001f")))
+    base = base.withColumn("sig", F.md5(F.concat_ws("\u001f", F.col("tok"), F.col("extra")))).drop("extra")
     reps = base.groupBy(*keys, "sig").agg(F.min_by(F.struct("id", "tok", "n"), "id").alias("r")).select(
         *keys, "sig", F.col("r.id").alias("id"), F.col("r.tok").alias("tok"), F.col("r.n").alias("n")
     )
@@ -119,19 +124,20 @@ def name_variants(entities: DataFrame, parts: bool = True) -> DataFrame:
 
 
 def ngrams(value, most: int = 4) -> Column:
-    """Array of struct(pos, gram): all runs of 1..most words."""
-    words = F.split(F.trim(X.padded_words(value)), " ")
+    """Array of struct(pos, gram, n): all runs of 1..most words."""
+    def runs(words: Column) -> Column:
+        def of_size(n: int) -> Column:
+            return F.when(
+                F.size(words) >= n,
+                F.transform(
+                    F.sequence(F.lit(1), F.size(words) - (n - 1)),
+                    lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(words, i, n), " ").alias("gram"), F.lit(n).alias("n")),
+                ),
+            ).otherwise(F.array().cast("array<struct<pos:int,gram:string,n:int>>"))
 
-    def of_size(n: int) -> Column:
-        return F.when(
-            F.size(words) >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.size(words) - (n - 1)),
-                lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(words, i, n), " ").alias("gram"), F.lit(n).alias("n")),
-            ),
-        ).otherwise(F.array().cast("array<struct<pos:int,gram:string,n:int>>"))
+        return F.concat(*[of_size(n) for n in range(1, most + 1)])
 
-    return F.concat(*[of_size(n) for n in range(1, most + 1)])
+    return X.let(F.split(F.trim(X.padded_words(value)), " "), runs)
 
 
 def mention_join(texts: DataFrame, entities: DataFrame, text_id: str = "text_id", parts: bool = True) -> DataFrame:
@@ -141,7 +147,7 @@ def mention_join(texts: DataFrame, entities: DataFrame, text_id: str = "text_id"
     variants, so cost follows the text length, not texts x entities.
     ``possessive`` tells that every mention carries a possessive ending.
     """
-    grams = texts.select("chat_key", text_id, F.explode(ngrams("text")).alias("g")).select(
+    grams = spread(texts).select("chat_key", text_id, F.explode(ngrams("text")).alias("g")).select(
         "chat_key", text_id, F.col("g.pos").alias("pos"), F.col("g.n").alias("n"),
         F.regexp_replace("g.gram", "'s?$", "").alias("variant"),
         F.col("g.gram").rlike("'s?$").alias("possessive"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed, text as X
 from .overlap import hierarchy_links, range_overlap_join
-from .scale import Sequence, top_k, with_position, write_through
+from .scale import Sequence, spread, top_k, with_position, write_through
 
 FIELDS = tuple(fixed.BM25_FIELDS)
 _TF = [f"tf_{f}" for f in FIELDS]
@@ -51,7 +51,7 @@ def build_index(records: DataFrame, only: DataFrame | None = None, positions: bo
     keeps the postings of some tokens, enough for a fixed batch of queries;
     lengths and counts still cover whole texts.
     """
-    tokens = records.select(
+    tokens = spread(records).select(
         "chat_key", "doc", *[X.tokenize(X.normalize_text(f), morphology=True).alias(f) for f in FIELDS]
     )
     tokens = write_through(tokens, "tokens")
@@ -569,6 +569,7 @@ def support_connections(
     counted afterwards, per candidate.
     """
     st = write_through(support_terms(index), "support-terms")
+    seeds = write_through(seeds, "seeds")
     concepts = st.filter(F.col("kind") == "concept")
     seed_docs = seeds.select("query_id", "chat_key", F.col("doc").alias("seed")).distinct()
     pair = ["query_id", "chat_key", "seed", "doc"]
@@ -616,7 +617,8 @@ def support_connections(
         F.col("concept_idf") + 0.75 * F.col("context_idf") + 1.5 * i
         + F.when(F.col("source_linked"), 12).otherwise(0) + F.when(F.col("hierarchy_linked"), 10).otherwise(0)
     )
-    return j.filter(ok).withColumn("bridged", bridged).withColumn("link_score", score)
+    linked = j.filter(ok).withColumn("bridged", bridged).withColumn("link_score", score)
+    return write_through(linked, "support-links")
 
 
 def evidence_confidence(queries: DataFrame, index: Index, docs: DataFrame) -> DataFrame:
@@ -646,7 +648,8 @@ def evidence_confidence(queries: DataFrame, index: Index, docs: DataFrame) -> Da
     quality = F.when(F.col("total").isNull() | (F.col("total") <= 0), 0.0).otherwise(F.least(
         F.lit(1.0), F.col("mass") / F.col("total") * 0.65 + (1 - F.exp(-F.col("mass") / 4)) * 0.25
         + F.when(F.col("n_id") > 0, F.col("named") / F.col("n_id")).otherwise(0.0) * 0.1))
-    return g.withColumn("q", quality).groupBy("query_id", "chat_key", "doc").agg(F.max("q").alias("confidence"))
+    best = g.withColumn("q", quality).groupBy("query_id", "chat_key", "doc").agg(F.max("q").alias("confidence"))
+    return write_through(best, "confidence")
 
 
 def support_select(links: DataFrame, depth: float = 1.0, most: int = 12) -> DataFrame:

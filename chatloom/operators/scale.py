@@ -168,6 +168,16 @@ def latest_by(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return picked.select(*keys, *[F.col("__row")[c].alias(c) for c in rest])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input at least one partition per core before text work.
+
+    Large inputs already have more partitions than cores and pass unchanged, so
+    no big table is shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # ---- shared folder ------------------------------------------------------------
 _own_folder: list[str] = []
 
