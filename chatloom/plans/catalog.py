@@ -1,4 +1,4 @@
 """All named queries."""
 
-from . import identity, ledger, memory, recall  # noqa: F401
+from . import audit, identity, ledger, live, memory, recall  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -242,17 +242,17 @@ def _(spark, sf):
 
 
 @query("entity_duplicates", sql(r"""
-WITH e AS (SELECT chat_key, id, lower(name) AS name, lower(description) AS description FROM ent),
+WITH e AS (SELECT chat_key, id, lower(name) AS name, regexp_replace(lower(description), '#[0-9]+', '#') AS description FROM ent),
 nw AS (SELECT DISTINCT id, w FROM (SELECT id, unnest(regexp_extract_all(name, '[\p{L}\p{N}]+')) AS w FROM e) WHERE length(w) >= 3),
 dw AS (SELECT DISTINCT id, w FROM (SELECT id, unnest(regexp_extract_all(description, '[\p{L}\p{N}]+')) AS w FROM e) WHERE length(w) >= 3),
+rp AS (SELECT chat_key, id, min(id) OVER (PARTITION BY chat_key, name, description) AS rep FROM e),
 p AS (SELECT a.chat_key, a.id AS l, b.id AS r, regexp_replace(a.name, '[^\p{L}\p{N}]', '', 'g') = regexp_replace(b.name, '[^\p{L}\p{N}]', '', 'g') AS same,
    (SELECT count(*) FROM nw x JOIN nw y ON x.w = y.w WHERE x.id = a.id AND y.id = b.id) AS hs, (SELECT count(*) FROM dw x JOIN dw y ON x.w = y.w WHERE x.id = a.id AND y.id = b.id) AS ds,
    least((SELECT count(*) FROM nw WHERE nw.id = a.id), (SELECT count(*) FROM nw WHERE nw.id = b.id)) AS nh, least((SELECT count(*) FROM dw WHERE dw.id = a.id), (SELECT count(*) FROM dw WHERE dw.id = b.id)) AS nd
    FROM e a JOIN e b ON a.chat_key = b.chat_key AND a.id < b.id)
 SELECT l AS left_id, r AS right_id FROM p JOIN e a ON a.id = l JOIN e b ON b.id = r
 WHERE ((same AND ds >= 2) OR (hs >= 2 AND hs / nh >= 0.66 AND ds >= 3 AND ds / nd >= 0.4))
-  AND NOT (a.name = b.name AND a.description = b.description AND EXISTS (
-    SELECT 1 FROM e c WHERE c.chat_key = a.chat_key AND c.name = a.name AND c.description = a.description AND c.id < a.id))
+  AND ((l, r) IN (SELECT (x.id, y.id) FROM rp x JOIN rp y USING (chat_key) WHERE x.id = x.rep AND y.id = y.rep) OR (l, r) IN (SELECT (rep, id) FROM rp))
 """, "ent"))
 def _(spark, sf):
     return E.semantic_pairs(B.entities(spark, sf), "entities").select("left_id", "right_id")
@@ -429,7 +429,7 @@ def _(spark, sf):
         "chat_key", F.when(k == 4, "").otherwise("so far").alias("text"),
         F.when(k == 1, 100000).when(k == 2, 15).when(k == 3, 7).otherwise(-1).cast("long").alias("to"),
         k.isin(3, 4).alias("rebuild_incomplete"), (k == 4).alias("rebuild_restart"), F.when(k.isin(3, 4), 30).cast("long").alias("rebuild_target_to"))
-    return S.story_plan(B.messages(spark, sf), st)
+    return S.story_plan(st, B.messages(spark, sf))
 
 
 @query("story_units", sql("""

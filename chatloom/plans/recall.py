@@ -245,16 +245,21 @@ def _(spark, sf):
 
 
 def _relevant(spark, sf):
-    """Documents that hold a benchmark passage verbatim, found by its first words."""
-    lead = lambda c: F.array_join(F.slice(F.split(X.normalize_text(c), " "), 1, 6), " ")
-    b = table(spark, sf, "benchmark").select("item_id", X.normalize_text("text").alias("passage"), lead("text").alias("lead"))
-    d = table(spark, sf, "documents").select("doc_id", X.normalize_text("text").alias("body"))
-    words = F.split("body", " ")
-    runs = d.select("doc_id", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - 5, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 6), " ")))).alias("lead"))
-    hit = runs.join(b.select("item_id", "lead"), "lead").select("item_id", "doc_id").distinct()
-    j = hit.join(d, "doc_id").join(b.select("item_id", "passage"), "item_id").filter(F.col("body").contains(F.col("passage")))
-    return j.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("doc"))
+    """Documents that hold a benchmark passage verbatim.
+
+    Candidates are the documents with the passage's rarest word; the whole text
+    decides.
+    """
+    q, idx = B.bench_queries(spark, sf), _index(spark, sf)
+    last = Window.partitionBy("query_id")
+    t = Q.direct_terms(q).filter(~F.col("term").startswith("~")).withColumn("n", F.max("ord").over(last)).filter("ord < n - 1")
+    known = t.withColumn("tok", F.col("term")).join(idx.terms.select("chat_key", "tok", "df"), ["chat_key", "tok"])
+    rare = known.groupBy("query_id", "chat_key").agg(F.min_by("tok", F.struct("df", "tok")).alias("tok"))
+    cand = rare.join(idx.postings.select("chat_key", "tok", "doc"), ["chat_key", "tok"]).select("query_id", "doc")
+    body = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.concat(F.lit(" "), X.normalize_text("text")).alias("body"))
+    text = q.select("query_id", F.concat(F.lit(" "), X.normalize_text("direct_text")).alias("passage"))
+    j = cand.join(body, "doc").join(text, "query_id").filter(F.col("body").contains(F.col("passage")))
+    return j.select("query_id", "doc")
 
 
 @query("evaluate_retrieval", sql(f"""
