@@ -60,10 +60,9 @@ def token_overlap_pairs(
     )
     base = base.withColumn("n", F.size("tok")).filter(F.col("n") >= min_shared)
     base = base.withColumn("sig", F.md5(F.concat_ws("\u001f", F.col("tok"), F.col("extra")))).drop("extra")
-    reps = base.groupBy(*keys, "sig").agg(F.min_by(F.struct("id", "tok", "n"), "id").alias("r")).select(
-        *keys, "sig", F.col("r.id").alias("id"), F.col("r.tok").alias("tok"), F.col("r.n").alias("n")
-    )
-    reps = write_through(reps, "token-sets")
+    base = write_through(base, "token-sets")
+    first = base.groupBy(*keys, "sig").agg(F.min("id").alias("id"))
+    reps = base.join(first, [*keys, "sig", "id"], "left_semi").select(*keys, "sig", "id", "tok", "n")
     copies = (
         base.select(*keys, "sig", "id", "n")
         .join(reps.select(*keys, "sig", F.col("id").alias("rep")), [*keys, "sig"])
@@ -72,29 +71,37 @@ def token_overlap_pairs(
                 F.col("n").alias("shared"), F.lit(1.0).alias("containment"))
     )
     exploded = reps.select(*keys, "id", "n", F.explode("tok").alias("t"))
+    # words that occur once can never be shared: they count in n but travel no further;
+    # the others are replaced by a number, so sets compare as arrays of longs
     frequency = exploded.groupBy(*keys, "t").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1)
+    frequency = write_through(frequency.withColumn("tid", F.monotonically_increasing_id()), "dictionary")
     ordered = (
-        exploded.join(frequency, [*keys, "t"], "left")
+        exploded.join(frequency, [*keys, "t"])
         .groupBy(*keys, "id", "n")
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "t"))).alias("o"))
+        .agg(F.array_sort(F.collect_list(F.struct("df", "tid"))).alias("o"))
+        .select(*keys, "id", "n", F.transform("o", lambda x: x["tid"]).alias("ids"))
+        .withColumn("unique_words", F.col("n") - F.size("ids"))
     )
     ordered = write_through(ordered, "rare-first")
-    rows = ordered.select(*keys, "id", "n", F.posexplode("o").alias("pos", "x")).filter(F.col("x.df") > 1)
+    rows = ordered.select(*keys, "id", "n", "unique_words", F.posexplode("ids").alias("p", "tid"))
+    rows = rows.withColumn("pos", F.col("p") + F.col("unique_words"))  # unique words come first
     need = F.greatest(F.lit(min_shared), F.ceil(F.col("n") * F.lit(min_containment)).cast("int"))
-    small = rows.filter(F.col("pos") <= F.col("n") - need).select(
-        *keys, F.col("x.t").alias("t"), F.col("id").alias("a"), F.col("n").alias("an")
+    small = rows.withColumn("need", need).filter(F.col("pos") <= F.col("n") - F.col("need")).select(
+        *keys, "tid", F.col("id").alias("a"), F.col("n").alias("an"), "need"
     )
     large = rows.filter(F.col("pos") <= F.col("n") - min_shared).select(
-        *keys, F.col("x.t").alias("t"), F.col("id").alias("b"), F.col("n").alias("bn")
+        *keys, "tid", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bpos")
     )
     ordered_pair = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))
-    candidates = small.join(large, [*keys, "t"]).filter(ordered_pair).select(*keys, "a", "b").distinct()
-    side = reps.select(*keys, "id", "tok")
+    # the pair's own bound: enough words must be left on the larger side as well
+    reach = F.col("bpos") <= F.col("bn") - F.col("need")
+    candidates = small.join(large, [*keys, "tid"]).filter(ordered_pair & reach).select(*keys, "a", "b").distinct()
+    side = ordered.select(*keys, "id", "n", "ids")
     verified = (
-        candidates.join(side.withColumnRenamed("id", "a").withColumnRenamed("tok", "at"), [*keys, "a"])
-        .join(side.withColumnRenamed("id", "b").withColumnRenamed("tok", "bt"), [*keys, "b"])
-        .withColumn("shared", F.size(F.array_intersect("at", "bt")))
-        .withColumn("containment", F.col("shared") / F.least(F.size("at"), F.size("bt")))
+        candidates.join(side.select(*keys, F.col("id").alias("a"), F.col("n").alias("an"), F.col("ids").alias("ai")), [*keys, "a"])
+        .join(side.select(*keys, F.col("id").alias("b"), F.col("n").alias("bn"), F.col("ids").alias("bi")), [*keys, "b"])
+        .withColumn("shared", F.size(F.array_intersect("ai", "bi")))
+        .withColumn("containment", F.col("shared") / F.least("an", "bn"))
         .filter((F.col("shared") >= min_shared) & (F.col("containment") >= min_containment))
         .select(*keys, F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"),
                 "shared", "containment")
