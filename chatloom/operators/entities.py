@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import fixed, text as X
 from .overlap import mention_join, token_overlap_pairs
 from .records import type_family
-from .scale import write_through
+from .scale import top_k, write_through
 
 POSSESSIVE = r"(?i)['’]s(?![\p{L}\p{N}_])"
 
@@ -180,13 +180,19 @@ def apply_identity_resolutions(entities: DataFrame, renames: DataFrame) -> DataF
         "target", X.fold_key(F.coalesce("canonical", "name")))
     own = F.col("canonical").isNull()
     alias = F.concat("aliases", F.when(own, F.array().cast("array<string>")).otherwise(F.array("name")))
-    g = moved.groupBy("chat_key", "target").agg(
+    keys = ["chat_key", "target"]
+    g = moved.groupBy(*keys).agg(
         F.min_by("id", F.struct(~own, F.col("id"))).alias("id"),
         F.min_by(F.coalesce("canonical", "name"), F.struct(~own, F.col("id"))).alias("name"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(alias)))).alias("aliases"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"),
         F.max("importance").alias("importance"), F.count(F.lit(1)).alias("merged"))
-    return g.withColumn("aliases", F.filter("aliases", lambda a: X.fold_key(a) != F.col("target"))).drop("target")
+    # distinct names and the newest sources are worked out on rows, before any list is built
+    names = moved.select(*keys, F.explode(alias).alias("a")).distinct().groupBy(*keys).agg(F.sort_array(F.collect_list("a")).alias("aliases"))
+    spans = moved.select(*keys, F.explode("sources").alias("s")).distinct()
+    newest = top_k(spans, keys, [F.col("s").desc()], 20).groupBy(*keys).agg(F.sort_array(F.collect_list("s")).alias("sources"))
+    none_a, none_s = F.array().cast("array<string>"), F.array().cast(entities.schema["sources"].dataType)
+    out = g.join(names, keys, "left").join(newest, keys, "left")
+    return out.withColumn("aliases", F.filter(F.coalesce("aliases", none_a), lambda a: X.fold_key(a) != F.col("target"))).withColumn(
+        "sources", F.coalesce("sources", none_s)).drop("target")
 
 
 def drop_cross_owner_aliases(entities: DataFrame) -> DataFrame:

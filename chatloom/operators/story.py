@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import fixed
-from .scale import Sequence, message_order, with_previous
+from .scale import Sequence, message_order, top_k, with_previous, with_running_sum, write_through
 
 
 def covered_counts(updates: DataFrame, messages: DataFrame) -> DataFrame:
     """Covered messages up to each story update: adds ``covered``."""
     marks = messages.select("chat_key", "idx", F.lit(1).alias("m"), F.lit(None).cast("long").alias("update_to"))
     ups = updates.select("chat_key", F.col("to").alias("idx"), F.lit(0).alias("m"), F.col("to").alias("update_to"))
-    from .scale import with_running_sum
-
     # an update counts the messages at or before its position
     rows = marks.unionByName(ups).withColumn("o", 1 - F.col("m"))
     seq = Sequence(("chat_key",), ("idx", "o"), F.floor(F.col("idx") / 65_536))
@@ -21,33 +19,61 @@ def covered_counts(updates: DataFrame, messages: DataFrame) -> DataFrame:
     return run.filter("update_to IS NOT NULL").select("chat_key", F.col("update_to").alias("to"), "covered")
 
 
+_BLOCK_INTERVALS = 256
+
+
 def story_checkpoints(
     updates: DataFrame, messages: DataFrame, interval: int = fixed.CHECKPOINT_INTERVAL, keep: int = fixed.CHECKPOINT_KEEP
 ) -> DataFrame:
     """Checkpoints after a run of story updates.
 
     An update becomes a checkpoint when ``interval`` messages were covered since
-    the last one; the first and the newest ``keep - 1`` stay. Only positions are
-    folded; at most one update per covered batch, so a fold per chat is short.
+    the last one; the first and the newest ``keep - 1`` stay. The rule is
+    sequential, so a chat is cut into blocks of covered messages. How far the
+    last checkpoint lies before a block has only ``interval + 1`` cases; each
+    block is folded for all of them in parallel, the blocks are then linked, and
+    each block is folded once more from its true start.
     ``updates(chat_key, to)``.
     """
-    counted = covered_counts(updates, messages)
-    # within an interval-sized block at most a few updates matter: the first
-    # update at or past the next threshold. Keep the first update per covered
-    # count, which bounds the fold by messages, not by updates.
-    ups = counted.groupBy("chat_key", "covered").agg(F.min("to").alias("to"))
-    folded = ups.groupBy("chat_key").agg(F.array_sort(F.collect_list(F.struct("covered", "to"))).alias("u"))
-    start = F.struct(F.lit(0).cast("long").alias("base"), F.array().cast("array<bigint>").alias("cp"))
-    out = F.aggregate(
-        "u", start,
-        lambda acc, x: F.when(
-            x["covered"] - acc["base"] >= interval,
-            F.struct(x["covered"].cast("long").alias("base"), F.concat(acc["cp"], F.array(x["to"].cast("long"))).alias("cp")),
-        ).otherwise(acc),
-    )["cp"]
-    size = F.size("cp")
-    bounded = F.when(size <= keep, F.col("cp")).otherwise(F.concat(F.slice("cp", 1, 1), F.slice("cp", size - (keep - 2), keep - 1)))
-    return folded.select("chat_key", out.alias("cp")).select("chat_key", F.posexplode(bounded).alias("checkpoint_no", "to"))
+    width = interval * _BLOCK_INTERVALS
+    counted = covered_counts(updates, messages).groupBy("chat_key", "covered").agg(F.min("to").alias("to"))
+    block = F.floor(F.col("covered") / width)
+    blocks = counted.groupBy("chat_key", block.alias("b")).agg(F.array_sort(F.collect_list(F.struct("covered", "to"))).alias("u"))
+    blocks = write_through(blocks, "checkpoint-blocks")
+
+    def fold(base, with_list: bool):
+        empty = F.array().cast("array<bigint>")
+        start = F.struct(base.cast("long").alias("base"), F.lit(False).alias("any"), empty.alias("cp"))
+
+        def step(acc, x):
+            hit = F.struct(
+                x["covered"].cast("long").alias("base"), F.lit(True).alias("any"),
+                (F.concat(acc["cp"], F.array(x["to"].cast("long"))) if with_list else empty).alias("cp"),
+            )
+            return F.when(x["covered"] - acc["base"] >= interval, hit).otherwise(acc)
+
+        return F.aggregate("u", start, step)
+
+    cases = F.transform(F.sequence(F.lit(0), F.lit(interval)), lambda r: fold(F.col("b") * width - r, False))
+    exits = blocks.select("chat_key", "b", F.transform(cases, lambda c: F.when(c["any"], c["base"])).alias("exits"))
+    chats = exits.groupBy("chat_key").agg(F.array_sort(F.collect_list(F.struct("b", "exits"))).alias("bs"))
+    first = F.struct(F.lit(0).cast("long").alias("base"), F.array().cast("array<struct<b:bigint,base:bigint>>").alias("starts"))
+
+    def link(acc, x):
+        behind = F.least(F.lit(interval).cast("long"), x["b"] * width - acc["base"]).cast("int")
+        return F.struct(
+            F.coalesce(F.get(x["exits"], behind), acc["base"]).alias("base"),
+            F.concat(acc["starts"], F.array(F.struct(x["b"].alias("b"), acc["base"].alias("base")))).alias("starts"),
+        )
+
+    starts = chats.select("chat_key", F.explode(F.aggregate("bs", first, link)["starts"]).alias("s")).select("chat_key", "s.b", "s.base")
+    made = blocks.join(starts, ["chat_key", "b"]).select("chat_key", F.explode(fold(F.col("base"), True)["cp"]).alias("to"))
+    made = write_through(made, "checkpoints")
+    kept = made.groupBy("chat_key").agg(F.min("to").alias("to"))
+    if keep > 1:
+        kept = kept.unionByName(top_k(made, ["chat_key"], [F.col("to").desc()], keep - 1).select("chat_key", "to"))
+    numbered = Window.partitionBy("chat_key").orderBy("to")  # at most `keep` rows
+    return kept.distinct().select("chat_key", (F.row_number().over(numbered) - 1).alias("checkpoint_no"), "to")
 
 
 def story_rewind(stories: DataFrame, fingerprints: DataFrame, checkpoints: DataFrame, messages: DataFrame) -> DataFrame:

@@ -44,9 +44,11 @@ def compare(spark, con, name, fn, sql, sf_dir):
     df = fn(spark, sf_dir)
     got = df.collect()
     took = time.time() - start
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    loops = [n for n in ("CartesianProduct", "BroadcastNestedLoopJoin") if n in plan]
     kinds = {f.name: KINDS.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema}
     if sql is None:
-        return "ROWS", took, f"{len(got)} rows {kinds}"
+        return "ROWS", took, f"{len(got)} rows {kinds} {loops or ''}"
     start = time.time()
     rel = con.execute(sql)
     want_cols = [d[0] for d in rel.description]
@@ -68,7 +70,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
         problems.append(f"values differ: only spark {sorted(a - b, key=repr)[:3]} only sql {sorted(b - a, key=repr)[:3]}")
     if not gr:
         problems.append("no rows")
-    return ("OK" if not problems else "BAD"), took, f"{len(gr)} rows, sql {duck_took:.1f}s " + " | ".join(problems)
+    return ("OK" if not problems else "BAD"), took, f"{len(gr)} rows, sql {duck_took:.1f}s " + " | ".join(problems) + (f" {loops}" if loops else "")
 
 
 def main():
