@@ -289,11 +289,16 @@ FROM part
 """)
 
 
+def _one_corpus(column: str):
+    """One corpus key for all rows, kept a real column so joins on it stay equi joins."""
+    return F.when(F.col(column).isNotNull(), "all").otherwise("none")
+
+
 def corpus(spark, sf_dir) -> DataFrame:
     """Documents as searchable records with four text fields."""
     d = table(spark, sf_dir, "documents")
     return d.select(
-        F.lit("all").alias("chat_key"),
+        _one_corpus("doc_id").alias("chat_key"),
         F.col("doc_id").alias("doc"),
         F.col("source").alias("identity"),
         F.col("lang").alias("anchor"),
@@ -313,6 +318,6 @@ FROM documents
 def bench_queries(spark, sf_dir) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     return b.select(
-        F.lit("all").alias("chat_key"), F.col("item_id").alias("query_id"),
+        _one_corpus("item_id").alias("chat_key"), F.col("item_id").alias("query_id"),
         F.col("text").alias("direct_text"),
     )
