@@ -225,54 +225,63 @@ def _positions(field: str, condition: Column) -> Column:
 
 
 def direct_eligibility(queries: DataFrame, index: Index, state_docs: DataFrame | None = None) -> DataFrame:
-    """Which matched records qualify on the query text itself (F3, A.5)."""
+    """Which matched records qualify on the query text itself (F3, A.5).
+
+    Most pairs are decided by plain flags and counts. Word positions are only
+    gathered for the pairs these leave open and that have two words to compare.
+    """
     terms = direct_terms(queries).withColumn("tok", F.col("term"))
     known = index.terms.select("chat_key", "tok", "df", "in_identity")
     judged = terms.join(known, ["chat_key", "tok"], "left").withColumn(
         "concept", ~F.coalesce("in_identity", F.lit(False))
     ).withColumn("surface", ~F.col("term").startswith("~"))
+    judged = write_through(judged, "query-terms")
     query_level = judged.groupBy("query_id").agg(
         F.count(F.when(F.col("concept") & F.col("surface"), 1)).alias("n_surface")
     )
-    hits = index.postings.join(judged, ["chat_key", "tok"]).join(index.stats.select("chat_key", "n_docs"), "chat_key")
+    weighed = judged.join(index.stats.select("chat_key", "n_docs"), "chat_key")
+    hits = index.postings.join(weighed, ["chat_key", "tok"])
+    ids = ["query_id", "chat_key", "doc"]
     head, body = F.col("tf_heading") > 0, F.col("tf_body") > 0
     concept, surface = F.col("concept"), F.col("surface")
     content = concept & (head | body)
-    g = hits.groupBy("query_id", "chat_key", "doc").agg(
-        F.bool_or(concept & head).alias("heading_hit"),
-        F.bool_or(content).alias("content_hit"),
-        F.bool_or(F.col("tf_identity") > 0).alias("identity_hit"),
-        F.bool_or(F.col("tf_anchor") > 0).alias("anchor_hit"),
-        F.bool_or(concept & body & ~surface).alias("stem_body"),
-        F.bool_or(content & (F.col("df") <= 3)).alias("rare3"),
-        F.bool_or(content & (F.col("df") <= 3) & (X.idf("n_docs", "df") >= 1.25)).alias("rare3_idf"),
-        F.bool_or(content & (F.col("df") <= 1) & (X.idf("n_docs", "df") >= 1.25)).alias("rare1_idf"),
-        F.count(F.when(content & surface, 1)).alias("content_surface"),
-        F.min(F.when(content, F.struct("df", "term"))).alias("rarest"),
-        F.count(F.when(content, 1)).alias("content_terms"),
-        _positions("heading", surface).alias("h_all"),
-        _positions("heading", surface & concept).alias("h_concept"),
-        _positions("body", surface & concept).alias("b_concept"),
+    rare = content & (X.idf("n_docs", "df") >= 1.25)
+    count = lambda c: F.count(F.when(c, 1))
+    g = hits.groupBy(*ids).agg(
+        F.bool_or(concept & head).alias("heading_hit"), F.bool_or(content).alias("content_hit"),
+        F.bool_or(F.col("tf_identity") > 0).alias("identity_hit"), F.bool_or(F.col("tf_anchor") > 0).alias("anchor_hit"),
+        F.bool_or(concept & body & ~surface).alias("stem_body"), F.bool_or(content & (F.col("df") <= 3)).alias("rare3"),
+        F.bool_or(rare & (F.col("df") <= 3)).alias("rare3_idf"), F.bool_or(rare & (F.col("df") <= 1)).alias("rare1_idf"),
+        count(content).alias("content_terms"), count(surface & head).alias("n_head"), count(surface & concept & body).alias("n_body"),
+        F.min(F.when(content, F.col("ord"))).alias("content_ord"), F.max(F.when(content, F.col("df"))).alias("content_df"),
     ).join(query_level, "query_id")
-    body_pair = ordered_pair_within(F.col("b_concept"))
-    anchored = F.col("heading_hit") | F.col("stem_body") | F.col("rare3") | body_pair
     n = F.col("n_surface")
     state = F.lit(False)
     if state_docs is not None:
         g = g.join(state_docs.select("chat_key", "doc", F.lit(True).alias("is_state")), ["chat_key", "doc"], "left")
         state = F.coalesce("is_state", F.lit(False)) & F.col("identity_hit") & F.col("content_hit")
-    eligible = (
+    sure = (
         state
-        | ((F.col("identity_hit") | F.col("anchor_hit")) & anchored)
+        | ((F.col("identity_hit") | F.col("anchor_hit")) & (F.col("heading_hit") | F.col("stem_body") | F.col("rare3")))
         | ((n <= 1) & F.col("heading_hit"))
-        | ordered_pair_within(F.col("h_all"))
         | ((n <= 2) & F.col("content_hit"))
         | F.when(n <= 1, F.col("rare3_idf")).otherwise(F.col("rare1_idf"))
-        | ordered_pair_within(F.col("h_concept"))
-        | body_pair
     )
-    weak = F.when((F.col("content_terms") == 1) & (F.col("rarest.df") > 3), F.col("rarest.term"))
-    return g.select("query_id", "chat_key", "doc", eligible.alias("direct_eligible"), "identity_hit", weak.alias("weak_term"))
+    g = write_through(g.withColumn("sure", F.coalesce(sure, F.lit(False))), "flags")
+    # two words in order, near each other, in the heading or in the body
+    unsure = g.filter(~F.col("sure") & ((F.col("n_head") >= 2) | (F.col("n_body") >= 2))).select(*ids)
+    placed = hits.filter(surface & (head | (concept & body))).select(*ids, "ord", "concept", "heading_pos", "body_pos")
+    pairs = placed.join(unsure, ids, "left_semi").groupBy(*ids).agg(
+        _positions("heading", F.lit(True)).alias("h"), _positions("body", F.col("concept")).alias("b")
+    ).select(*ids, (ordered_pair_within(F.col("h")) | ordered_pair_within(F.col("b"))).alias("near"))
+    out = g.join(pairs.filter("near"), ids, "left")
+    one = (F.col("content_terms") == 1) & (F.col("content_df") > 3)
+    word = judged.select("query_id", F.col("ord").alias("content_ord"), F.col("term").alias("weak"))
+    return (
+        out.withColumn("direct_eligible", F.col("sure") | F.coalesce("near", F.lit(False)))
+        .join(word, ["query_id", "content_ord"], "left")
+        .select(*ids, "direct_eligible", "identity_hit", F.when(one, F.col("weak")).alias("weak_term"))
+    )
 
 
 def phrase_eligibility(queries: DataFrame, index: Index) -> DataFrame:
