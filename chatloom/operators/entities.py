@@ -135,6 +135,51 @@ def validate_identity_resolutions(claims: DataFrame, entities: DataFrame, messag
     return claims.join(ok, ["chat_key", "canonical", "evidence"], "left_semi")
 
 
+OWNER_ROLE = (
+    r"(?i)^(.{1,80}?)['’]s\s+(?:(?:former|previous|dead|missing|unknown)\s+)?"
+    r"(master|mentor|teacher|captain|commander|leader|apprentice|student|parent|mother|father|brother|sister|spouse|guardian|servant)$"
+)
+ROLE_WORD = r"\b(?:master|mentor|teacher|captain|commander|leader|apprentice|student|parent|mother|father|brother|sister|spouse|guardian|servant)\b"
+
+
+def owner_role_references(references: DataFrame, relationships: DataFrame) -> DataFrame:
+    """"OWNER's ROLE" as the one person related to the owner in that role.
+
+    ``references(chat_key, reference)`` -> (chat_key, reference, canonical).
+    """
+    ref = X.normalize_text("reference")
+    r = references.select(
+        "chat_key", ref.alias("reference"), X.fold_key(F.regexp_extract(ref, OWNER_ROLE, 1)).alias("owner"),
+        F.lower(F.regexp_extract(ref, OWNER_ROLE, 2)).alias("role")).filter("role <> ''").distinct()
+    both = relationships.select("chat_key", X.fold_key("endpoint_a").alias("owner"), F.col("endpoint_b").alias("other"), X.fold_key("kind").alias("kind")).unionByName(
+        relationships.select("chat_key", X.fold_key("endpoint_b").alias("owner"), F.col("endpoint_a").alias("other"), X.fold_key("kind").alias("kind")))
+    roles = both.select("chat_key", "owner", "other", F.explode(F.regexp_extract_all("kind", F.lit(f"({ROLE_WORD})"), 1)).alias("role"))
+    one = roles.groupBy("chat_key", "owner", "role").agg(F.min("other").alias("canonical"), F.max("other").alias("hi")).filter("canonical = hi").drop("hi")
+    return r.join(one, ["chat_key", "owner", "role"]).select("chat_key", "reference", "canonical")
+
+
+def description_resolutions(entities: DataFrame) -> DataFrame:
+    """A descriptive name that opens exactly one other description resolves to it.
+
+    "harbor master" resolves to the one entity whose description begins with
+    "The harbor master, ...". Names meet description leads on the word of the
+    name that carries the role.
+    """
+    words = lambda c: X.name_tokens(c)
+    ref = entities.select("chat_key", F.col("id").alias("ref_id"), "name", words("name").alias("rt")).filter(
+        (F.size("rt") >= 2) & X.fold_key("name").rlike(ROLE_WORD))
+    lead = entities.select("chat_key", F.col("id").alias("entity"), F.col("name").alias("canonical"),
+                           words(F.split("description", r"[,:;.!?]")[0]).alias("lt"))
+    rw = ref.withColumn("w", F.filter("rt", lambda t: t.rlike(f"^{ROLE_WORD}$"))[0])
+    lw = lead.select("*", F.explode(F.array_distinct("lt")).alias("w"))
+    at = F.array_position("lt", F.col("rt")[0])
+    j = rw.join(lw, ["chat_key", "w"]).filter(
+        (F.col("ref_id") != F.col("entity")) & (F.size(F.array_except("rt", "lt")) == 0) & (at >= 1) & (at <= 2))
+    one = j.groupBy("chat_key", F.col("name").alias("reference")).agg(
+        F.min("entity").alias("a"), F.max("entity").alias("b"), F.min_by("canonical", "entity").alias("canonical"))
+    return one.filter("a = b").select("chat_key", "reference", "canonical")
+
+
 def close_renames(renames: DataFrame, max_rounds: int = 30) -> DataFrame:
     """Follow rename chains to their end by doubling; cycles are dropped.
 

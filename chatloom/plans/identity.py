@@ -179,6 +179,35 @@ def _(spark, sf):
     return E.apply_identity_resolutions(ent, E.close_renames(ren)).select("chat_key", "name", "merged", "importance", "id")
 
 
+@query("owner_role_references", """
+WITH rel AS (SELECT CAST(p_partkey % 50 AS VARCHAR) AS chat_key, p_name AS a, 'person ' || (p_size % 7) AS b, CASE p_partkey % 3 WHEN 0 THEN 'master' WHEN 1 THEN 'student' ELSE 'guardian' END AS kind FROM part),
+one AS (SELECT chat_key, a, kind, min(b) AS canonical FROM rel GROUP BY ALL HAVING count(DISTINCT b) = 1)
+SELECT chat_key, a || chr(39) || 's ' || kind AS reference, canonical FROM one
+""")
+def _(spark, sf):
+    p = table(spark, sf, "part")
+    k = F.col("p_partkey") % 3
+    kind = F.when(k == 0, "master").when(k == 1, "student").otherwise("guardian")
+    rel = p.select((F.col("p_partkey") % 50).cast("string").alias("chat_key"), F.col("p_name").alias("endpoint_a"),
+                   F.concat(F.lit("person "), (F.col("p_size") % 7).cast("string")).alias("endpoint_b"), kind.alias("kind"))
+    refs = rel.select("chat_key", F.concat("endpoint_a", F.lit("'s "), "kind").alias("reference"))
+    return E.owner_role_references(refs, rel)
+
+
+@query("description_resolutions", """
+SELECT CAST(p_partkey % 50 AS VARCHAR) AS chat_key, 'harbor master ' || p_partkey AS reference, 'Mara' || p_partkey AS canonical FROM part WHERE p_partkey % 3 = 0
+""")
+def _(spark, sf):
+    p = table(spark, sf, "part")
+    key = F.col("p_partkey").cast("string")
+    chat = (F.col("p_partkey") % 50).cast("string").alias("chat_key")
+    name = F.concat(F.lit("harbor master "), key)
+    plain = p.select(chat, F.concat(F.lit("d"), key).alias("id"), name.alias("name"), F.lit("").alias("description"))
+    lead = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("The "), name, F.lit(", tall and calm."))).otherwise(F.concat(F.lit("Tall, knows the "), name, F.lit(".")))
+    known = p.select(chat, F.concat(F.lit("m"), key).alias("id"), F.concat(F.lit("Mara"), key).alias("name"), lead.alias("description"))
+    return E.description_resolutions(plain.unionByName(known))
+
+
 # ---- D3 -------------------------------------------------------------------------------
 RSTOP = ", ".join(f"'{w}'" for w in fixed.RECORD_STOP_WORDS)
 EQUIV = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.RECORD_EQUIVALENTS.items())

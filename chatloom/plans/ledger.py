@@ -50,6 +50,28 @@ def _(spark, sf):
     return eligible_messages(m).select("chat_key", "idx", "is_user")
 
 
+@query("read_chat_exports", """
+SELECT CAST(conv_id AS VARCHAR) AS chat_key, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, role AS name,
+       md5(text) AS text_md5, role = 'user' AS is_user, role = 'system' AS is_system FROM conversations
+""")
+def _(spark, sf):
+    import os
+    import uuid
+
+    from ..operators.scale import shared_folder
+    from ..sources.messages import read_chat_exports
+
+    c = table(spark, sf, "conversations")
+    line = F.to_json(F.struct(F.col("role").alias("name"), F.col("text").alias("mes"), (F.col("role") == "user").alias("is_user"), (F.col("role") == "system").alias("is_system")))
+    head = c.select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long").alias("turn"), F.lit('{"user_name":"User","chat_metadata":{}}').alias("value"))
+    lines = c.select("conv_id", "turn", line.alias("value")).unionByName(head)
+    path = os.path.join(shared_folder(spark), f"exports-{uuid.uuid4().hex}")
+    # one file per chat, lines in order
+    lines.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "value").write.partitionBy("conv_id").text(path)
+    m = read_chat_exports(spark, path, r"conv_id=([^/]+)/")
+    return m.select("chat_key", "idx", "name", F.md5("text").alias("text_md5"), "is_user", "is_system")
+
+
 # ---- C1, D10, I7 --------------------------------------------------------------
 @query("coverage_counts", sql("""
 SELECT chat_key, count(*) AS total, max(idx) AS latest_index,
@@ -163,7 +185,7 @@ def _memories(spark, sf):
 
 
 def _memory_sources(spark, sf):
-    m = B.messages(spark, sf).filter(F.col("idx") < 10)
+    m = B.messages(spark, sf)
     k = F.col("chat_key").cast("long") % 7
     copies = (
         F.when(k == 3, F.array(F.lit("x:chat:"), F.lit("y:chat:")))
@@ -172,7 +194,7 @@ def _memory_sources(spark, sf):
         .otherwise(F.array(F.lit("x:chat:")))
     )
     rows = m.withColumn("kind", k).withColumn("prefix", F.explode(copies)).filter(
-        (F.col("prefix") != "y:chat:") | (F.col("idx") < 8)
+        (F.col("prefix") != "y:chat:") | (F.col("idx") % 10 != 9)
     )
     return rows.select(
         F.concat(F.lit("w"), "chat_key").alias("memory_id"),
@@ -192,9 +214,9 @@ fragment("memsrc", """
 SELECT 'w' || chat_key AS memory_id, prefix || chat_key AS source_chat,
        CASE WHEN kind = 2 AND idx = 9 THEN idx + 100000 ELSE idx END AS idx,
        CASE WHEN kind = 1 AND idx = 3 THEN 'altered' ELSE fingerprint END AS fingerprint
-FROM (SELECT *, CAST(chat_key AS BIGINT) % 7 AS kind FROM msg WHERE idx < 10)
+FROM (SELECT *, CAST(chat_key AS BIGINT) % 7 AS kind FROM msg)
 JOIN (VALUES ('x:chat:'), ('y:chat:'), ('x:chat:other')) v(prefix)
-  ON (prefix = 'x:chat:' AND kind < 5) OR (prefix = 'y:chat:' AND kind = 3 AND idx < 8)
+  ON (prefix = 'x:chat:' AND kind < 5) OR (prefix = 'y:chat:' AND kind = 3 AND idx % 10 <> 9)
      OR (prefix = 'x:chat:other' AND kind = 4)
 """, ("msg",))
 fragment("inspected", """
@@ -251,7 +273,7 @@ def _(spark, sf):
 SELECT i.memory_id, count(DISTINCT f.id) AS records, count(*) AS source_refs
 FROM inspected i JOIN (SELECT memory_id FROM verdicts WHERE verdict = 'aligned-source-aliases') v USING (memory_id)
 JOIN fact f ON 'w' || f.chat_key = i.memory_id
-WHERE i.source_chat LIKE 'x:%' OR f.event_id % 3 = 0 AND false
+WHERE i.source_chat LIKE 'x:%'
 GROUP BY i.memory_id
 """, "inspected", "verdicts", "fact"))
 def _(spark, sf):

@@ -405,10 +405,10 @@ def _(spark, sf):
 # ---- C12, C13, C15, C17, C18 ------------------------------------------------------------
 @query("range_overlap_join", sql("""
 SELECT a.id AS fact_id, b.id AS l1_id FROM fact a JOIN l1 b ON a.chat_key = b.chat_key
- AND a.seq - 3 <= b.range_to + 1 AND b.range_from <= a.seq + 4 + 1 WHERE a.event_id % 4 = 0
+ AND a.seq - 3 <= b.range_to + 1 AND b.range_from <= a.seq + 4 + 1
 """, "fact", "l1"))
 def _(spark, sf):
-    f = B.facts(spark, sf).filter(F.col("event_id") % 4 == 0).select(
+    f = B.facts(spark, sf).select(
         "chat_key", "id", (F.col("seq") - 3).alias("range_from"), (F.col("seq") + 4).alias("range_to"))
     l1 = B.l1(spark, sf).select("chat_key", "id", "range_from", "range_to")
     return O.range_overlap_join(f, l1, touch=1).select(F.col("id").alias("fact_id"), F.col("r_id").alias("l1_id"))
@@ -447,14 +447,14 @@ def _(spark, sf):
 
 
 @query("hierarchy_links", sql("""
-WITH f AS (SELECT chat_key, id, 'L1-' || chat_key || '-' || range_from AS ref FROM fact WHERE event_id % 10 = 0),
-s AS (SELECT chat_key, id, 'L1-' || chat_key || '-' || range_from AS ref FROM state WHERE event_id % 10 = 3 UNION ALL SELECT chat_key, id, id FROM l1)
+WITH f AS (SELECT chat_key, id, 'L1-' || chat_key || '-' || range_from AS ref FROM fact),
+s AS (SELECT chat_key, id, 'L1-' || chat_key || '-' || range_from AS ref FROM state UNION ALL SELECT chat_key, id, id FROM l1)
 SELECT f.id AS left_id, s.id AS right_id FROM f JOIN s USING (chat_key, ref)
 """, "fact", "state", "l1"))
 def _(spark, sf):
     ref = F.array(F.concat_ws("-", F.lit("L1"), "chat_key", F.col("range_from").cast("string")))
-    f = B.facts(spark, sf).filter(F.col("event_id") % 10 == 0).select("chat_key", "id", ref.alias("refs"))
-    s = B.states(spark, sf).filter(F.col("event_id") % 10 == 3).select("chat_key", "id", ref.alias("refs"))
+    f = B.facts(spark, sf).select("chat_key", "id", ref.alias("refs"))
+    s = B.states(spark, sf).select("chat_key", "id", ref.alias("refs"))
     l = B.l1(spark, sf).select("chat_key", "id", F.array().cast("array<string>").alias("refs"))
     return O.hierarchy_links(f, s.unionByName(l)).select("left_id", "right_id")
 
@@ -542,6 +542,18 @@ def _(spark, sf):
     return L.order_events(ev).select(F.col("id").alias("o_orderkey"), "position")
 
 
+@query("related_event_order")
+def _(spark, sf):
+    # undated events placed by their relation to the level-1 row they come from
+    l = B.l1(spark, sf)
+    anchors = l.select("chat_key", "id", F.col("frame").alias("frame_key"), "range_to", "relation")
+    f = B.facts(spark, sf).join(l.select("chat_key", "range_from", F.col("id").alias("reference_id"), "k"), ["chat_key", "range_from"], "left")
+    relation = F.when(F.col("event_id") % 5 == 0, "before").when(F.col("event_id") % 5 == 1, "same-period").when(F.col("event_id") % 5 == 2, "after").otherwise("unknown")
+    ev = f.select("chat_key", "id", F.col("seq").alias("range_from"), F.col("seq").alias("range_to"), F.lit("").alias("created_at"), "reference_id", relation.alias("relation"),
+                  F.lit(None).cast("struct<family:string,value:bigint>").alias("date"))
+    return L.order_events(ev, anchors).select("chat_key", "id", "source_slot", "position")
+
+
 # ---- D7, G5, D14-D17, C35, C36, F7 -----------------------------------------------------------
 fragment("l2", """
 SELECT chat_key, g // 3 AS group_no, 'P' || chat_key || '-' || (g // 3) AS pid, count(*) AS children, min(range_from) AS range_from,
@@ -673,7 +685,7 @@ def _(spark, sf):
 
 @query("nearest_l1_for_event", sql("""
 WITH lx AS (SELECT chat_key, id, 'p' || (k % 5) AS p, 'place ' || (k % 7) AS loc, 't' || (k % 3) AS tw FROM l1),
-e AS (SELECT chat_key, 'x' || event_id AS id, 'p' || (k % 6) AS p, 'place ' || (k % 11) AS loc, 't' || (k % 2) AS tw FROM ev WHERE event_id % 8 = 0),
+e AS (SELECT chat_key, 'x' || event_id AS id, 'p' || (k % 6) AS p, 'place ' || (k % 11) AS loc, 't' || (k % 2) AS tw FROM ev),
 s AS (SELECT e.id AS event_id, lx.id AS l1_id, 12 * CAST(e.p = lx.p AS INT) + 10 * CAST(e.loc = lx.loc AS INT) + 4 * CAST(e.tw = lx.tw AS INT) AS score
       FROM e JOIN lx USING (chat_key)),
 b AS (SELECT event_id, arg_max(l1_id, (score, l1_id)) AS l1_id, max(score) AS score FROM s WHERE score >= 12 GROUP BY event_id)
@@ -684,7 +696,7 @@ def _(spark, sf):
     tag = lambda p, m: F.concat(F.lit(p), (k % m).cast("string"))
     none = F.array().cast("array<string>").alias("words")
     l = B.l1(spark, sf).select("chat_key", "id", F.array(tag("p", 5)).alias("participants"), tag("place ", 7).alias("location"), F.array(tag("t", 3)).alias("time_words"), none)
-    e = B.event_messages(spark, sf).filter(F.col("event_id") % 8 == 0).select(
+    e = B.event_messages(spark, sf).select(
         "chat_key", F.concat(F.lit("x"), F.col("event_id").cast("string")).alias("id"), F.array(tag("p", 6)).alias("participants"),
         tag("place ", 11).alias("location"), F.array(tag("t", 2)).alias("time_words"), none)
     return M.nearest_l1_for_event(e, l).select("event_id", "l1_id", "score")

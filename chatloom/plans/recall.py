@@ -195,11 +195,11 @@ def _(spark, sf):
 
 @query("diminishing_evidence", sql("""
 SELECT query_id, tok, doc, round(1 / sqrt(1 + 0.75 * (row_number() OVER (PARTITION BY query_id, tok ORDER BY round(score, 9) DESC, doc) - 1)), 6) AS multiplier
-FROM qterms JOIN scored USING (tok) WHERE df > 3 AND df <= 40
+FROM qterms JOIN scored USING (tok) WHERE df > 3
 """, "qterms", "scored"))
 def _(spark, sf):
     idx = _index(spark, sf)
-    h = Q.scored_postings(Q.direct_terms(_queries(spark, sf)).withColumn("tok", F.col("term")), idx).filter("df > 3 AND df <= 40")
+    h = Q.scored_postings(Q.direct_terms(_queries(spark, sf)).withColumn("tok", F.col("term")), idx).filter("df > 3")
     h = h.withColumn("local_score", F.lit(0.0))
     r = Q.source_rank(h, ("query_id", "tok"), "score", "n")
     return r.select("query_id", "tok", "doc", F.round(Q.evidence_multiplier("n"), 6).alias("multiplier"))
@@ -441,6 +441,19 @@ def _(spark, sf):
     return p.select("chat_key", "direct_idx", "speaker", F.md5("direct_text").alias("direct_md5"), F.md5("context_text").alias("context_md5"))
 
 
+@query("identity_focus", sql("""
+WITH l AS (SELECT * FROM smsg QUALIFY row_number() OVER (PARTITION BY chat_key ORDER BY idx DESC) <= 6),
+d AS (SELECT chat_key, coalesce(max(idx) FILTER (WHERE is_user), max(idx)) AS idx FROM l GROUP BY chat_key)
+SELECT chat_key, name FROM l JOIN d USING (chat_key, idx)
+UNION SELECT chat_key, 'User' FROM l JOIN d USING (chat_key, idx) WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}''])user($|[^\\p{L}\\p{N}''])')
+""", "smsg"))
+def _(spark, sf):
+    p = Q.query_profile(read_messages(B.short_messages_raw(spark, sf)))
+    chats = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("chat_key")).distinct()
+    names = chats.select("chat_key", F.explode(F.array(F.lit("User"), F.lit("assistant"))).alias("name")).withColumn("aliases", F.array().cast("array<string>"))
+    return Q.identity_focus(p, names)
+
+
 @query("recency", """
 SELECT event_id, round(greatest(0, 2 - log10(greatest(0, epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 86400000000.0 + 1)), 6) AS recency FROM events
 """)
@@ -466,12 +479,12 @@ def _(spark, sf):
 # ---- F5, A7, G1, G2 -----------------------------------------------------------------------
 @query("vector_topk", """
 WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS sim
-           FROM embeddings q, embeddings v WHERE q.label = 0)
+           FROM embeddings q, embeddings v)
 SELECT query_id, vec_id, round(sim, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s WHERE sim >= 0.2 QUALIFY rank <= 20
 """)
 def _(spark, sf):
     e = table(spark, sf, "embeddings")
-    q = e.filter("label = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
     return V.vector_topk(q, e, 20).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 

@@ -272,3 +272,25 @@ def test_stream_groups_equal_batch_groups(spark, tmp_path):
     batch = G.l1_groups(G.stable_messages(eligible_messages(df), 2), 4).select("chat_key", "group_no", "range_from", "range_to")
     want = sorted(map(tuple, batch.collect()))
     assert got == want and want
+
+
+def test_missing_memories_and_inherited_stories(spark):
+    from chatloom.sources.memory import inherited_story, rebind_missing
+
+    mem = spark.createDataFrame([("m1", "Ann · one"), ("m2", "Ben · two"), ("m3", "Ben · two")], "memory_id string, name string")
+    bound = spark.createDataFrame([("c1", "gone", "Ann · one"), ("c2", "gone", "Ben · two"), ("c3", "m1", "Ann · one"), ("c4", "gone", "No · one")], "chat_key string, memory_id string, expected_name string")
+    got = {r.chat_key: (r.memory_id, r.ambiguous) for r in rebind_missing(mem, bound).collect()}
+    assert got == {"c1": ("m1", False), "c2": (None, True), "c4": (None, False)}
+    st = spark.createDataFrame([("m1", "old", 5, "a"), ("m1", "new", 9, "b"), ("m1", " ", 12, "c")], "memory_id string, text string, to long, updated_at string")
+    ho = spark.createDataFrame([("m1", "next")], "memory_id string, new_chat string")
+    assert [tuple(r) for r in inherited_story(st, ho).collect()] == [("next", "new", 9)]
+
+
+def test_config_checks_its_limits():
+    from dataclasses import replace
+
+    from chatloom.config import Config
+
+    assert replace(Config(), l1_group_size=12).l1_group_size == 12
+    with pytest.raises(ValueError):
+        Config(l1_group_size=51)
