@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, text as X
-from .scale import message_order, top_k, with_position, with_running_sum
+from .scale import message_order, top_k, with_position, with_running_sum, with_running_sums
 
 
 def group_size(value: int | None) -> int:
@@ -135,8 +135,7 @@ def raw_tail(
     not slip in behind it.
     """
     seq = message_order()
-    run = with_running_sum(messages, seq, F.col("tokens"), "running", descending=True)
-    run = with_position(run, seq, "back", descending=True)
+    run = with_running_sums(messages, seq, {"running": F.col("tokens"), "back": F.lit(1)}, descending=True)
     over = (F.col("back") > minimum) & (F.col("running") > budget)
     if maximum is not None:
         over = over | (F.col("back") > maximum)

@@ -8,7 +8,7 @@ from ..functions import text as X
 from .hierarchy import cascade
 from .overlap import range_overlap_join
 from .records import is_address, type_family
-from .scale import Sequence, latest_by, top_k, with_running, with_running_sum
+from .scale import Sequence, latest_by, top_k, with_previous, with_running, with_running_sum, write_through
 
 
 # ---- identity ---------------------------------------------------------------------
@@ -128,10 +128,9 @@ def append_events(events: DataFrame) -> DataFrame:
     seq = Sequence(
         ("chat_key", "signature"), ("range_from", "range_to", "seq"), F.floor(F.col("range_from") / 65_536)
     )
-    reach = with_running(first, seq, F.col("range_to"), "reach", F.max)
-    from .scale import with_previous
-
-    before = with_previous(reach, seq, {"before": F.col("reach")})
+    first = write_through(first, "signatures")
+    reach = write_through(with_running(first, seq, F.col("range_to"), "reach", F.max), "reach")
+    before = write_through(with_previous(reach, seq, {"before": F.col("reach")}), "before")
     island = with_running_sum(
         before, seq, F.when(F.col("before").isNull() | (F.col("range_from") > F.col("before")), 1).otherwise(0), "island"
     )

@@ -87,11 +87,29 @@ def with_running(
     return df.join(offsets, [*seq.keys, _B]).withColumn(out, total).drop(_B, _OFF, "__v")
 
 
+def with_running_sums(
+    df: DataFrame, seq: Sequence, values: dict[str, Column], descending: bool = False
+) -> DataFrame:
+    """Several running sums over one order, in one pass over the input."""
+    df = df.withColumn(_B, seq.bucket)
+    for out, value in values.items():
+        df = df.withColumn(out, value)
+    partial = df.groupBy(*seq.keys, _B).agg(*[F.sum(out).alias(out) for out in values])
+    before = seq.buckets_before(descending)
+    offsets = partial.select(
+        *seq.keys, _B, *[F.coalesce(F.sum(out).over(before), F.lit(0)).alias(f"__off_{out}") for out in values]
+    )
+    inner = seq.window(descending).rowsBetween(Window.unboundedPreceding, 0)
+    joined = df.join(offsets, [*seq.keys, _B])
+    rest = [c for c in df.columns if c not in values and c != _B]
+    return joined.select(*rest, *[(F.sum(out).over(inner) + F.col(f"__off_{out}")).alias(out) for out in values])
+
+
 def with_running_sum(
     df: DataFrame, seq: Sequence, value: Column, out: str = "running", descending: bool = False
 ) -> DataFrame:
     """Sum of ``value`` from the start of the key up to and including the row."""
-    return with_running(df, seq, value, out, F.sum, descending=descending)
+    return with_running_sums(df, seq, {out: value}, descending)
 
 
 def with_previous(

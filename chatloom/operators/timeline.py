@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import fixed, text as X
 from .scale import (
-    Sequence, top_k, with_position, with_previous, with_running, with_running_sum, write_through,
+    Sequence, top_k, with_position, with_previous, with_running, with_running_sums, write_through,
 )
 
 
@@ -109,10 +109,9 @@ def frame_runs(anchors: DataFrame) -> DataFrame:
     def breaks(kinds):
         return F.when(F.coalesce(F.col("relation").isin(*kinds), F.lit(False)), 0).otherwise(1)
 
-    df = anchors
-    for out, kinds in (("fwd", _FORWARD), ("bwd", _BACKWARD), ("step", _BOTH)):
-        df = with_running_sum(df, seq, breaks(kinds), out)
-    return df
+    return with_running_sums(
+        anchors, seq, {"fwd": breaks(_FORWARD), "bwd": breaks(_BACKWARD), "step": breaks(_BOTH)}
+    )
 
 
 def order_undated(rest: DataFrame, anchors: DataFrame, max_rounds: int = 50) -> DataFrame:

@@ -459,7 +459,7 @@ SELECT event_id, round(greatest(0, 2 - log10(greatest(0, epoch_us(TIMESTAMP '202
 """)
 def _(spark, sf):
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    as_of = F.timestamp_micros(F.lit(1706745600000000))
+    as_of = F.lit("2024-02-01 00:00:00").cast("timestamp")
     return e.select("event_id", F.round(X.recency("ts", as_of), 6).alias("recency"))
 
 

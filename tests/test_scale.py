@@ -16,24 +16,23 @@ def sample(spark, n=400, seed=7):
 def test_positions_sums_and_neighbours(spark):
     df = sample(spark).cache()
     up, down = Window.partitionBy("chat_key").orderBy("idx"), Window.partitionBy("chat_key").orderBy(F.desc("idx"))
-    for rows in (1, 7, 64, 100_000):
+    before = up.rowsBetween(Window.unboundedPreceding, -1)
+    want = df.select(
+        "chat_key", "idx", F.row_number().over(up).alias("a"), F.row_number().over(down).alias("b"),
+        F.sum("v").over(up).alias("c"), F.sum("v").over(down).alias("d"), F.max("v").over(up).alias("m"), F.max("v").over(before).alias("ms"),
+        F.lag("v").over(up).alias("e"), F.lead("v").over(up).alias("f"), F.last("x", True).over(before).alias("g")).cache()
+    for rows in (1, 7, 100_000):
         seq = S.message_order(rows=rows)
-        got = S.with_position(df, seq, "a")
-        got = S.with_position(got, seq, "b", descending=True)
-        got = S.with_running_sum(got, seq, F.col("v"), "c")
-        got = S.with_running_sum(got, seq, F.col("v"), "d", descending=True)
-        got = S.with_running(got, seq, F.col("v"), "m", F.max)
-        got = S.with_running(got, seq, F.col("v"), "ms", F.max, strict=True)
-        got = S.with_previous(got, seq, {"e": F.col("v")})
-        got = S.with_previous(got, seq, {"f": F.col("v")}, descending=True)
-        got = S.with_last_before(got, seq, "g", F.col("x"))
-        before = up.rowsBetween(Window.unboundedPreceding, -1)
-        want = df.select(
-            "chat_key", "idx", F.row_number().over(up).alias("a"), F.row_number().over(down).alias("b"),
-            F.sum("v").over(up).alias("c"), F.sum("v").over(down).alias("d"), F.max("v").over(up).alias("m"), F.max("v").over(before).alias("ms"),
-            F.lag("v").over(up).alias("e"), F.lead("v").over(up).alias("f"), F.last("x", True).over(before).alias("g"))
-        cols = want.columns
-        assert sorted(map(str, got.select(*cols).collect())) == sorted(map(str, want.collect())), rows
+        steps = {
+            "a": S.with_position(df, seq, "a"), "b": S.with_position(df, seq, "b", descending=True),
+            "c": S.with_running_sums(df, seq, {"c": F.col("v"), "one": F.lit(1)}), "d": S.with_running_sum(df, seq, F.col("v"), "d", descending=True),
+            "m": S.with_running(df, seq, F.col("v"), "m", F.max), "ms": S.with_running(df, seq, F.col("v"), "ms", F.max, strict=True),
+            "e": S.with_previous(df, seq, {"e": F.col("v")}), "f": S.with_previous(df, seq, {"f": F.col("v")}, descending=True),
+            "g": S.with_last_before(df, seq, "g", F.col("x")),
+        }
+        for name, got in steps.items():
+            cols = ["chat_key", "idx", name]
+            assert sorted(map(str, got.select(*cols).collect())) == sorted(map(str, want.select(*cols).collect())), (rows, name)
 
 
 def test_latest_and_distinct(spark):
