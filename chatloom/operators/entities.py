@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import fixed, text as X
 from .overlap import mention_join, token_overlap_pairs
 from .records import type_family
-from .scale import top_k, write_through
+from .scale import spread, top_k, write_through
 
 POSSESSIVE = r"(?i)['’]s(?![\p{L}\p{N}_])"
 
@@ -274,11 +274,16 @@ def semantic_features(records: DataFrame, kind: str) -> DataFrame:
     both = F.concat_ws(" ", head, detail)
     people = F.col("participants")
     names, ids = _names_key(), X.identifiers(both)
-    base = records.select(
-        "chat_key", "id", names.alias("people"), ids.alias("ids"),
-        X.record_terms(both, people).alias("content"), X.record_terms(head, people).alias("head"),
-        X.record_terms(detail, people if kind == "threads" else None).alias("detail"),
-        X.record_terms(both).alias("all_terms"),
+    # each text is tokenised once; exclusions and unions work on the word sets
+    sets = spread(records).select(
+        "*", names.alias("people"), ids.alias("ids"), X.record_terms(head).alias("__h"), X.record_terms(detail).alias("__d"),
+        F.flatten(F.transform(people, lambda n: F.transform(X.name_tokens(n), X.record_stem))).alias("__people"),
+    )
+    free = lambda c: F.array_except(c, "__people")
+    every = F.array_union("__h", "__d")
+    base = sets.select(
+        "chat_key", "id", "people", "ids", free(every).alias("content"), free(F.col("__h")).alias("head"),
+        (free(F.col("__d")) if kind == "threads" else F.col("__d")).alias("detail"), every.alias("all_terms"),
         *([X.record_terms("location").alias("place"), "range_from", "range_to"] if kind == "events" else []),
     )
     first_two = F.array_join(F.slice(F.array_sort("all_terms"), 1, 2), "|")

@@ -294,3 +294,39 @@ def test_config_checks_its_limits():
     assert replace(Config(), l1_group_size=12).l1_group_size == 12
     with pytest.raises(ValueError):
         Config(l1_group_size=51)
+
+
+def test_near_duplicate_events_and_backgrounds(spark):
+    text = "lantern harbor bridge market tower garden"
+    ev = [
+        ("c", "a", "Lantern harbor", "bridge market tower garden", ["Ann", "Ben"], "north pier", 0, 7),
+        ("c", "b", "Lantern at harbor", "bridge market tower garden walk", ["Ben", "Ann"], "pier", 8, 15),
+        ("c", "d", "Lantern harbor", "bridge market tower garden", ["Ann", "Ben"], "north pier", 40, 47),  # far away
+        ("c", "e", "Lantern harbor 77", "bridge market tower garden", ["Ann", "Ben"], "north pier", 0, 7),  # other identifier
+        ("c", "f", "Lantern harbor", "bridge market tower garden", ["Ann"], "north pier", 0, 7),  # other people
+        ("c", "g", "Lantern harbor", "bridge market tower garden", ["Ann", "Ben"], "desert camp", 8, 15),  # other place
+        ("k", "h", "Lantern harbor", "bridge market tower garden", ["Ann", "Ben"], "north pier", 0, 7),  # other chat
+    ]
+    df = spark.createDataFrame(ev, "chat_key string, id string, title string, summary string, participants array<string>, location string, range_from long, range_to long")
+    assert {(r.left_id, r.right_id) for r in E.semantic_pairs(df, "events").collect()} == {("a", "b")}
+    bg = [("c", 1, "Harbor market tower", "x", []), ("c", 2, "Harbor market tower rumor", "y", []), ("c", 3, "Garden party", text, []), ("c", 4, "Harbor 5 market tower", "z", [])]
+    bdf = spark.createDataFrame(bg, "chat_key string, id long, topic string, summary string, participants array<string>")
+    got = {(r.left_id, r.right_id) for r in E.semantic_pairs(bdf, "backgrounds").collect()}
+    # records meet only inside one bucket: here the two first sorted words, or the identifiers
+    assert got <= {(1, 2)}
+    same = [("c", i, "Harbor market tower", s, ["Ann"]) for i, s in enumerate(("one", "two", "three"))]
+    sdf = spark.createDataFrame(same, "chat_key string, id long, topic string, summary string, participants array<string>")
+    assert {(r.left_id, r.right_id) for r in E.semantic_pairs(sdf, "backgrounds").collect()} == {(0, 1), (0, 2), (1, 2)}
+    people = [("c", "t1", "Find silver tower key", "a", "open", ["Ann"]), ("c", "t2", "Find the silver tower keys", "b", "open", ["Ann"]), ("c", "t3", "Find silver tower key", "a", "open", ["Ben"])]
+    tdf = spark.createDataFrame(people, "chat_key string, id string, title string, detail string, status string, participants array<string>")
+    assert {(r.id, r.canonical_id) for r in E.dedupe_semantic(tdf, "threads").collect()} == {("t1", "t1"), ("t2", "t1"), ("t3", "t3")}
+
+
+def test_hierarchy_fields_drop_repeats(spark):
+    from chatloom.operators.hierarchy import compact_fields
+
+    row = [("The gate fell.", ["The gate fell!", "Ann left.", "ann left", "I saw it. Ben stayed."], "Calm returned.", "ANN LEFT.", ["Calm returned", "Who paid?"])]
+    df = spark.createDataFrame(row, "summary string, turning_points array<string>, emotional_arc string, closing_state string, open_threads array<string>")
+    r = compact_fields(df, 2).first()
+    assert r.summary == "The gate fell." and r.turning_points == ["Ann left.", "Ben stayed."]
+    assert r.emotional_arc == "Calm returned." and r.closing_state == "" and r.open_threads == ["Who paid?"]
