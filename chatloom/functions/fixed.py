@@ -43,6 +43,7 @@ STORY_POLICY_VERSION = 2
 DEFAULT_USER_NAME, DEFAULT_OTHER_NAME = "User", "Character"
 
 # ---- fixed values: record dedupe -------------------------------------------
+PLURAL_EXCEPTIONS = r"(?:ss|sith)$"
 RECORD_STOP_WORDS = tuple(
     "about after again also and are because been being but current currently does from had has "
     "have into not now still that the their them then there they this through was were what when "

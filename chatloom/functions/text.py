@@ -291,7 +291,7 @@ def record_stem(token) -> Column:
         .when(token.endswith("ing") & (size > 6), undouble(cut(3)))
         .when(token.endswith("ed") & (size > 5), undouble(cut(2)))
         .when(token.endswith("es") & (size > 5), cut(2))
-        .when(token.endswith("s") & ~token.rlike("(?:ss|sith)$"), cut(1))
+        .when(token.endswith("s") & ~token.rlike(fixed.PLURAL_EXCEPTIONS), cut(1))
         .otherwise(token)
     )
     return F.coalesce(lookup(fixed.RECORD_EQUIVALENTS, token), stem)

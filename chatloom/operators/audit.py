@@ -230,8 +230,11 @@ def resolve_threads(threads: DataFrame, evidence: DataFrame, messages: DataFrame
     only_first, only_second = two & covers(F.col("parts")[0]) & ~covers(F.col("parts")[1]), two & ~covers(F.col("parts")[0]) & covers(F.col("parts")[1])
     reopened = (F.col("status") == "resolved") & F.col("detail").rlike(PENDING)
     base = [c2 for c2 in threads.columns if c2 not in ("id", "title", "status")]
-    row = lambda i, title, status, what: F.struct(i.alias("id"), title.alias("title"), F.lit(status).alias("status"), F.lit(what).alias("resolution")) if isinstance(status, str) else \
-        F.struct(i.alias("id"), title.alias("title"), status.alias("status"), F.lit(what).alias("resolution"))
+
+    def row(i: Column, title: Column, status: Column | str, what: str) -> Column:
+        status = F.lit(status) if isinstance(status, str) else status
+        return F.struct(i.alias("id"), title.alias("title"), status.alias("status"), F.lit(what).alias("resolution"))
+
     successor = F.concat(F.col("id"), F.lit("#next"))
     out = (
         F.when(only_first, F.array(row(F.col("id"), F.col("parts")[0], "resolved", "part"), row(successor, F.col("parts")[1], "open", "successor")))

@@ -99,12 +99,10 @@ def _(spark, sf):
     title = F.when(k % 5 == 1, _cat("Recover cup", e, " and Deliver map", e)).otherwise(_cat("Recover relic", e, " chest", e))
     t = s.select("chat_key", "id", title.alias("title"), F.when(k % 5 == 2, "the matter is still pending").otherwise("a quest").alias("detail"),
                  F.when(k % 5 == 2, "resolved").otherwise("open").alias("status"), F.array("a").alias("participants"), "range_from", "range_to")
-    line = (F.when(k % 5 == 0, _cat(F.col("a"), " recovered relic", e, " from chest", e, ".")).when(k % 5 == 1, _cat(F.col("a"), " recovered cup", e, " deliver", e, " done."))
+    line = (F.when(k % 5 == 0, _cat(F.col("a"), " recovered relic", e, " from chest", e, ".")).when(k % 5 == 1, _cat(F.col("a"), " recovered cup", e, " recover."))
             .when(k % 5 == 3, _cat(F.col("a"), " will recover relic", e, " from chest", e, ".")).otherwise(_cat(F.col("a"), " rested at inn", e, ".")))
-    # the split case shares one word of its title, so its clause also names the cup's box
-    t = t.withColumn("title", F.when(F.col("title").startswith("Recover cup"), F.regexp_replace("title", r"^Recover (cup\d+) and Deliver (map\d+)$", "Recover $1 and Deliver $2")).otherwise(F.col("title")))
-    ev = s.select("chat_key", "range_from", "range_to", F.regexp_replace(line, r" deliver\d+ done", " recover").alias("text"))
-    m = s.select("chat_key", "idx", F.col("b").alias("name"), F.regexp_replace(line, r" deliver\d+ done", " recover").alias("text"))
+    ev = s.select("chat_key", "range_from", "range_to", line.alias("text"))
+    m = s.select("chat_key", "idx", F.col("b").alias("name"), line.alias("text"))
     return A.resolve_threads(t, ev, m).select("id", "status", "resolution")
 
 

@@ -205,7 +205,7 @@ def _(spark, sf):
     return r.select("query_id", "tok", "doc", F.round(Q.evidence_multiplier("n"), 6).alias("multiplier"))
 
 
-# ---- F3, F6, F9, F10, F15: whole pipeline -----------------------------------------------
+# ---- F3, F6, F9, F10, F15: end to end ----------------------------------------------------
 def _records(spark, sf):
     doc = F.col("doc")
     section = F.array(*[F.lit(s) for s in ("facts", "entities", "events", "threads", "states")])
