@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.scale import shared_folder
 from ..sources.tables import table
-from . import declist, decontam, packing, recompress, secrets, simhash
+from . import declist, decontam, kernel_lang, mincut, packing, recompress, secrets, simhash, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +33,13 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query
+def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/llm-token-files-{uuid.uuid4().hex}"
+    tokenfile.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfile.file_digests(spark, path)
+
+
 @query
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.without_repeats(table(spark, sf_dir, "documents"), texts=False)
@@ -56,6 +65,23 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(k))::BIGINT AS n_removed
 """
 
 
+#: categories of the chain, in its order, by conditions on ``labels``
+TOXICITY = {"toxic": "toxic = 1", "toxic_degraded": "toxic = 1 AND quality = 0"}
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), TOXICITY), columns=["doc_id"])
+    return found.select("row.doc_id", (F.col("out.p_toxic") >= toxicity.THRESHOLD).alias("toxic"), "out.*")
+
+
+@query
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mincut.extract(table(spark, sf_dir, "pages"), columns=["page_id", "url"])
+    return found.select("row.page_id", "row.url", "out.text", "out.n_chars")
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import stage
@@ -104,6 +130,13 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = kernel_lang.predict(docs, kernel_lang.fit(docs), columns=["doc_id"])
+    return found.select("row.*", "out.*").select("doc_id", kernel_lang.held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_digests(table(spark, sf_dir, "documents"), columns=["doc_id"])

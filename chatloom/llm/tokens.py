@@ -10,11 +10,10 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 #: pieces remembered in each of two generations
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 #: longer pieces are encoded each time
 LONGEST = 64
 
@@ -53,7 +52,7 @@ def new_tokenizer(path: str):
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers."""
+    """Ids of texts as unsigned 32-bit integers (little-endian, as Spark's hosts are)."""
 
     def __init__(self, path: str):
         self.tokenizer = new_tokenizer(path)
@@ -65,7 +64,7 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         coded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(pieces, coded, strict=True)}
+        return {p: array("I", e.ids).tobytes() for p, e in zip(pieces, coded, strict=True)}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.split(t) if t else [] for t in texts]
