@@ -130,7 +130,7 @@ def made_texts(n=400, seed=0):
 
 
 def test_chain_on_held_out_texts():
-    texts, labels = made_texts()
+    texts, labels = made_texts(2000)
     facts = np.array([toxicity.text_facts(b) for b in texts])
     chain = toxicity.train_chain([toxicity.word_codes(b) for b in texts], facts, labels, np.arange(len(texts)) % toxicity.FOLDS)
     assert chain[0].weights.size == len(chain[0].words) + 4 and chain[1].weights.size == len(chain[1].words) + 5
