@@ -26,7 +26,7 @@ from .common import bounded_sample, carried, raw_texts, slices
 #: labelled rows that a chain is fitted on at most
 FIT_ROWS = 12_000
 #: words of a category's model
-WORDS = 1500
+WORDS = 600
 FOLDS = 4
 #: a text is of a category from this probability on: clean texts of the sample stay far below
 THRESHOLD = 0.25
