@@ -77,10 +77,14 @@ def carried(
     says which of them to carry (all by default).
     """
     kept = df.columns if columns is None else columns
-    source = df.select(F.struct(*[df[c] for c in kept]).alias("row"), df[text].alias("__text"))
+    row = F.struct(*[df[c] for c in kept]).alias("row")
+    own = text in kept  # then the text is sent once, inside the row
+    source = df.select(row) if own else df.select(row, df[text].alias("__text"))
     schema = T.StructType([T.StructField("row", source.schema["row"].dataType), T.StructField("out", added)])
 
     def run(batches):
+        if own:
+            batches = (pa.RecordBatch.from_arrays([b.column(0), pc.struct_field(b.column(0), text)], ["row", "__text"]) for b in batches)
         for batch in slices(batches, "__text", limit):
             got = fn(batch)
             n = batch.num_rows
@@ -90,6 +94,7 @@ def carried(
             )
             assert len(out) == n
             yield pa.RecordBatch.from_arrays([batch.column(0), out], ["row", "out"])
+        pa.default_memory_pool().release_unused()  # workers live on after the task
 
     return source.mapInArrow(run, schema)
 

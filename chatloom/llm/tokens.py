@@ -13,7 +13,7 @@ import re
 from array import array
 
 #: pieces remembered in each of two generations
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: longer pieces are encoded each time
 LONGEST = 64
 
