@@ -60,6 +60,7 @@ def token_pieces(
                 [pa.array(keys, batch.column(0).type), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
                 ["key", "piece", "start", "length", "ids"],
             )
+        enc.forget()
 
     schema = T.StructType([
         T.StructField("key", source.schema["__key"].dataType), T.StructField("piece", T.IntegerType()),

@@ -98,6 +98,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, key: str = "do
                 stream.add(k, np.frombuffer(coded + tail, "<u4"))
                 if len(stream.done) >= LANES:
                     yield stream.records(kind)
+        enc.forget()
         stream.close(stream.doc)
         if stream.done:
             yield stream.records(kind)

@@ -14,6 +14,8 @@ from array import array
 
 #: pieces remembered in each of two generations
 REMEMBERED = 250_000
+#: pieces that are encoded in one call
+TOGETHER = 1024
 #: longer pieces are encoded each time
 LONGEST = 64
 
@@ -63,8 +65,17 @@ class Encoder:
         self.old: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        coded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return {p: array("I", e.ids).tobytes() for p, e in zip(pieces, coded, strict=True)}
+        """Ids of pieces; the library's result objects are large, so few are held at a time."""
+        out: dict[str, bytes] = {}
+        for a in range(0, len(pieces), TOGETHER):
+            some = pieces[a : a + TOGETHER]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                out[p] = array("I", e.ids).tobytes()
+        return out
+
+    def forget(self) -> None:
+        """Free the remembered pieces: workers live on after a task."""
+        self.young, self.old = {}, {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.split(t) if t else [] for t in texts]
