@@ -32,12 +32,14 @@ RANKED = 65_536
 
 # ---- pieces -------------------------------------------------------------------
 def token_pieces(
-    docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END
+    docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END,
+    release: bool = False,
 ) -> DataFrame:
     """``key, piece, start, length, ids`` (little-endian unsigned 32-bit) of every document.
 
     Documents of up to ``capacity`` ids are one piece; longer ones are cut every
-    ``capacity`` ids.
+    ``capacity`` ids. ``release`` frees a worker's remembered pieces after each task:
+    less memory for what runs next, more tokenizing.
     """
     source = docs.select(docs[key].alias("__key"), docs[text].alias("__text"))
     tail = np.array([end], "<u4").tobytes()
@@ -60,7 +62,8 @@ def token_pieces(
                 [pa.array(keys, batch.column(0).type), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
                 ["key", "piece", "start", "length", "ids"],
             )
-        enc.forget()
+        if release:
+            enc.forget()
 
     schema = T.StructType([
         T.StructField("key", source.schema["__key"].dataType), T.StructField("piece", T.IntegerType()),
@@ -185,9 +188,9 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def placed_digests(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def placed_digests(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", release: bool = False) -> DataFrame:
     """Pieces with their place and the checksum of their ids."""
-    digests = token_pieces(docs, tokenizer, key, text).select("key", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    digests = token_pieces(docs, tokenizer, key, text, release=release).select("key", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return place(stage(digests, "pieces")).withColumnRenamed("key", key)
 
 
