@@ -38,7 +38,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their place in the packed sequences."""
-    return packing.placed_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.placed_digests(docs, public_tokenizers.path("word_bpe_49k.json"), release=True)
 
 
 STAGES = [
