@@ -180,23 +180,27 @@ def description_resolutions(entities: DataFrame) -> DataFrame:
     return one.filter("a = b").select("chat_key", "reference", "canonical")
 
 
-def close_renames(renames: DataFrame, max_rounds: int = 30) -> DataFrame:
-    """Follow rename chains to their end by doubling; cycles are dropped.
+def close_renames(renames: DataFrame) -> DataFrame:
+    """Follow rename chains to their end by doubling.
 
-    ``renames(chat_key, reference, canonical)``; every round halves the chain.
+    ``renames(chat_key, reference, canonical)``; every round doubles the steps
+    taken, so after log2(rows) rounds every chain has ended. A row that is still
+    under way then is in a cycle or leads into one, and is dropped.
     """
     cur = renames.select("chat_key", X.fold_key("reference").alias("k"), F.col("canonical").alias("to"))
     cur = cur.groupBy("chat_key", "k").agg(F.min("to").alias("to"), F.max("to").alias("hi")).filter("to = hi").drop("hi")
-    cur = write_through(cur.filter(F.col("k") != X.fold_key("to")), "renames")
-    for _ in range(max_rounds):
+    start = write_through(cur.filter(F.col("k") != X.fold_key("to")), "renames")
+    cur = start
+    for _ in range(start.count().bit_length() + 1):
         step = cur.select("chat_key", F.col("k").alias("tk"), F.col("to").alias("next"))
         j = cur.withColumn("tk", X.fold_key("to")).join(step, ["chat_key", "tk"], "left")
-        moved = j.select("chat_key", "k", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved"))
-        moved = write_through(moved.filter(F.col("k") != X.fold_key("to")), "renames")
+        moved = write_through(j.select("chat_key", "k", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "renames")
         cur = moved.drop("moved")
         if moved.filter("moved").isEmpty():
             break
-    return cur.select("chat_key", "k", F.col("to").alias("canonical"))
+    under_way = start.select("chat_key", F.col("k").alias("tk"))
+    ended = cur.withColumn("tk", X.fold_key("to")).join(under_way, ["chat_key", "tk"], "left_anti")
+    return ended.select("chat_key", "k", F.col("to").alias("canonical"))
 
 
 def rename_column(df: DataFrame, renames: DataFrame, column: str, keep: Column | None = None) -> DataFrame:

@@ -203,11 +203,15 @@ _own_folder: list[str] = []
 def shared_folder(spark) -> str:
     """Folder every executor sees: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests) a temporary folder of our own is used.
+    Only where that is unset on a local master (tests) a temporary folder of our
+    own is used; a cluster without the setting is an error, since executors do not
+    see each other's disks.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="spark-chatloom-"))
         atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)

@@ -330,3 +330,16 @@ def test_hierarchy_fields_drop_repeats(spark):
     r = compact_fields(df, 2).first()
     assert r.summary == "The gate fell." and r.turning_points == ["Ann left.", "Ben stayed."]
     assert r.emotional_arc == "Calm returned." and r.closing_state == "" and r.open_threads == ["Who paid?"]
+
+
+def test_rename_cycles_are_dropped(spark):
+    from chatloom.operators.entities import close_renames
+
+    def closed(pairs):
+        rows = spark.createDataFrame([("c", a, b) for a, b in pairs], "chat_key string, reference string, canonical string")
+        return {(r.k, r.canonical) for r in close_renames(rows).collect()}
+
+    assert closed([("a", "b"), ("b", "c"), ("c", "a"), ("x", "a"), ("p", "q"), ("q", "r")]) == {("p", "r"), ("q", "r")}
+    assert closed([("a", "b"), ("b", "a"), ("x", "b"), ("y", "z")]) == {("y", "z")}
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(20)]
+    assert closed(chain) == {(f"n{i}", "n20") for i in range(20)}
