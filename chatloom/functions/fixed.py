@@ -109,3 +109,61 @@ RECORD_CATEGORIES = (
     "entities", "facts", "states", "relationships", "events", "threads", "backgrounds",
     "l1", "l2", "l3",
 )
+
+# ---- fixed values: audit and merge patterns -----------------------------------
+KNOWLEDGE_GAP = r"(?i)\b(?:does not know|doesn't know|did not know|didn't know|has not learned|hasn't learned|was not told|wasn't told|has not been told|hasn't been told|is unaware|remains unaware|no knowledge of)\b"
+KNOWLEDGE_RETRACTED = r"(?i)\b(?:no longer|mistaken|wrong|retracted|disproved)\b"
+KNOWLEDGE_ESTABLISHED = r"(?i)\b(?:knows?|aware|has learned|learned|discovers?|discovered|recognizes?|recognized|identifies?|identified|confirms?|confirmed|understands?|understood|remembers?|remembered|recalls?|recalled)\b"
+KNOWLEDGE_UNSURE = r"(?i)\b(?:suspects?|believes?|thinks?|may|might|possibly|perhaps|unverified|without (?:proof|evidence))\b"
+IDENTITY_DESCRIPTION = r"(?i)\b(?:alias|appearance|apprentice|background|commander|council|formerly?|habit|identity|investigator|Jedi|master|member|mentor|Padawan|personality|quirk|rank|role|served|Sith|student|teacher|title|trained)\b"
+STRUCTURED_PROFILE = r"(?i)\b(?:Role/background|Age/demographics|Appearance|Personality/quirks):"
+DESCRIPTION_STOP_WORDS = (
+    "about", "after", "also", "and", "are", "been", "being", "but", "current", "currently", "for", "former",
+    "formerly", "from", "had", "has", "have", "her", "hers", "him", "his", "into", "now", "she", "that",
+    "the", "their", "them", "they", "this", "was", "were", "who", "with", "without", "years",
+)
+IDENTITY_ROLE_TOKENS = (
+    "master", "mentor", "teacher", "captain", "commander", "leader", "handler", "apprentice", "student",
+    "padawan", "pupil", "parent", "mother", "father", "brother", "sister", "sibling", "spouse", "husband",
+    "wife", "attendant", "retainer", "servant", "guardian", "ward",
+)
+ADDRESS_CATEGORY = r"^forms? of address$"
+ADDRESS_PREFIXES = ("calls ", "form of address for ")
+ADDRESS_USE = r"^(?:uses?|used) (?:a )?(?:(?:respectful|formal|informal|honorific|familiar|derisive|disrespectful) )?(?:address|address form|form of address|nickname) (?:toward|towards|for|with) "
+ADDRESS_PLACEHOLDER = r"(?i)(?:\[\s*(?:canonical\s+)?(?:speaker|addressee)(?:\s+unavailable)?\s*\]|canonical\s+addressee|actual[_\s-]+canonical[_\s-]+name)"
+ADDRESS_ABSENCE = r"(?i)^(?:\[\s*)?(?:addressee\s+)?(?:unavailable|not established|none|n/a|no (?:direct )?address(?: is)? established)(?:\s*\])?$"
+ADDRESS_BRACKET = r"[\[\]]"
+ADDRESS_PRONOUN = r"(?i)^(?:i|me|my|mine|myself|you|your|yours|yourself|yourselves|he|him|his|himself|she|her|hers|herself|it|its|itself|we|us|our|ours|ourselves|they|them|their|theirs|themself|themselves)$"
+NOT_ASSERTED = r"(?i)\b(?:asks?|asked|questions?|questioned|wonders?|wondered)\s+(?:whether|if)\b"
+FUTURE_COMMITMENT = r"(?i)\b(?:i|we)(?:\s+[\p{L}\p{N}'’-]+){0,4}?\s*(?:['’]ll|\b(?:will|shall|am going to|are going to)\b)\s+([^.!?\n]{2,220})"
+FUTURE_ANCHOR = r"(?i)\b(?:tomorrow|later|next\s+(?:day|morning|afternoon|evening|night|week|month|year)|eventually|after(?:ward|wards)?|after\s+|before\s+|once\s+|when\s+|upon\s+|in\s+(?:a|an|one|two|three|four|five|six|seven|eight|nine|ten|\d+)\s+(?:minute|hour|day|week|month|year)s?)\b"
+RESTRAINED = r"(?i)\b(?:restrained|bound|cuffed|handcuffed|shackled|chained|tied)\b"
+RESTRAINT_RELEASED = r"(?i)\b(?:removes?|removed|unclips?|unclipped|unlocks?|unlocked|releases?|released|frees?|freed|unfastens?|unfastened|cuts? off|cut off)\b"
+RESTRAINT_ENDED = r"(?i)\bno longer\s+(?:restrained|bound|cuffed|handcuffed|shackled|chained|tied)\b"
+POSSESSION_ATTRIBUTE = r"(?i)\b(?:possession|possesses|inventory|ownership|carrying|carries|holds|equipment)\b"
+IMMUTABLE_IDENTITY = r"(?i)\b(?:species|race|birthplace|birth place|date of birth|parentage|biological parent|true identity|real identity)\b"
+ROLE_IDENTITY = r"(?i)\b(?:rank|role|position|title|office|designation)\b"
+TEMPORAL_TRANSITION = r"(?i)\b(?:former|previous|prior|now|currently|became|becomes|promoted|demoted|appointed|retired|replaced|succeeded)\b"
+THREAD_GAP = r"(?i)\b(?:not yet|never (?:told|learned|knew|disclosed|answered|explained|revealed|identified|confirmed|established)|has not|have not|had not|does not|do not|did not|is not|are not|was not|were not|continues? to|seek(?:s|ing)? to (?:determine|learn|discover|identify|find|decide|understand)|tr(?:y|ies|ied|ying) to (?:determine|learn|discover|identify|find|decide|understand)|unknown|unanswered|unresolved|undecided|pending|unconfirmed|incomplete|incoming|en route|on the way|on standby|ready (?:for|to)|prepared (?:for|to)|not (?:complete|completed|done|confirmed|established|disclosed|answered|accepted|met|delivered)|no (?:(?:clear|definitive|final|verified)\s+)?(?:answer|decision|confirmation|evidence|proof)|no (?:confirmed|verified|established|identified|known)\b[^.!?;]{0,100}\b(?:identified|confirmed|verified|established|found|determined|known)|neither\b[^.!?;]{0,160}\b(?:complete|completed|done|obtained|recovered)|lacks? (?:confirmation|evidence|proof|an answer)|awaits?|must (?:learn|discover|identify|find|decide|preserve|maintain|continue|keep)|still (?:required|needed|missing|pending|unresolved|unconfirmed)|remains? (?:unknown|unanswered|unresolved|undecided|missing|pending|unconfirmed|incomplete|open|hidden|concealed|undisclosed))\b"
+THREAD_COMMITMENT = r"(?i)\b(?:must|will|shall|['’]ll|going to|plans? to|intends? to|promises? to|vows? to|prepar(?:e|es|ed|ing) to|en route|in transit|heading to|on (?:the )?way to|arrival (?:is )?expected|tomorrow|later|next (?:day|morning|afternoon|evening|night|week|month|year))\b"
+THREAD_RESOLUTION = r"(?i)\b(?:answers?|answered|reveals?|revealed|discloses?|disclosed|describes?|described|explains?|explained|details?|detailed|identifies?|identified|learns?|learned|discovers?|discovered|finds?|found|recovers?|recovered|secures?|secured|logs?|logged|establishes?|established|returns?|returned|departs?|departed|leaves?|left|sets? out|set out|arrives?|arrived|reaches?|reached|enters?|entered|ends?|ended|meets?|met|contacts?|contacted|reports?|reported|delivers?|delivered|presents?|presented|completes?|completed|finishes?|finished|decides?|decided|chooses?|chose|accepts?|accepted|rejects?|rejected|defeats?|defeated|destroys?|destroyed|repairs?|repaired|opens?|opened|closes?|closed|fulfills?|fulfilled|obtains?|obtained|acquires?|acquired|now knows?)\b"
+# (goal named in a thread title, action that settles it)
+THREAD_RULES = (
+    (r"(?i)\b(?:conceal(?:s|ed|ing)?|concealment|keep\b[^.!?;]{0,80}\bhidden)\b", r"(?i)\b(?:discovers?|discovered|reveals?|revealed|exposes?|exposed|learns?|learned|no longer concealed|concealment (?:ends?|ended|fails?|failed|is broken|was broken))\b"),
+    (r"(?i)\b(?:answer|description|describe|details?)\b", r"(?i)\b(?:answers?|answered|describes?|described|details?|detailed|explains?|explained|reports?|reported)\b"),
+    (r"(?i)\b(?:determin(?:e|es|ed|ing)|unanswered question)\b", r"(?i)\b(?:determines|determined|confirms|confirmed|answers|answered|establishes|established|proves|proved)\b"),
+    (r"(?i)\b(?:survive|survival|endure)\b", r"(?i)\b(?:survives|survived|endures|endured|(?:it is|it['’]s|session is|session['’]s) over|(?:ends?|ended)\b[^.!?;]{0,60}\b(?:exchange|fight|combat|attack|assessment|session)|(?:exchange|fight|combat|attack|assessment|session) (?:ends?|ended|is over|was over))\b"),
+    (r"(?i)\b(?:assessment|assess|evaluat(?:e|es|ed|ion)|measure|test)\b", r"(?i)\b(?:(?:completes?|completed|concludes?|concluded|finishes?|finished|ends?|ended)\b[^.!?;]{0,100}\b(?:assessment|evaluation|measurement|test)|(?:assesses|assessed|evaluates|evaluated|measures|measured|tests|tested)\b|(?:it is|it['’]s|session is|session['’]s) over\b)"),
+    (r"(?i)\b(?:accept|agree|approval|approve|consent)\b", r"(?i)\b(?:accepts?|accepted|agrees?|agreed|approves?|approved|consents?|consented|rejects?|rejected|refuses?|refused|declines?|declined|decides?|decided)\b"),
+    (r"(?i)\b(?:receive|receipt)\b", r"(?i)\b(?:receives|received|takes? possession|took possession|accepts delivery|accepted delivery|is handed|was handed)\b"),
+    (r"(?i)\b(?:recover|recovery|retrieve|retrieval|obtain|acquire)\b", r"(?i)\b(?:recovers|recovered|retrieves|retrieved|obtains|obtained|acquires|acquired|finds|found|locates|located)\b"),
+    (r"(?i)\b(?:depart|departure|travel|journey|arrive|arrival|reach|enter)\b", r"(?i)\b(?:departs?|departed|leaves?|left|travels?|traveled|journeys?|journeyed|arrives?|arrived|reaches?|reached|enters?|entered|is inside|are inside|was inside|were inside|sets? out|set out)\b"),
+    (r"(?i)\b(?:deliver|present)\b", r"(?i)\b(?:delivers?|delivered|presents?|presented|gives?|gave|hands?|handed)\b"),
+    (r"(?i)\b(?:report|account|explain)\b", r"(?i)\b(?:reported|reports\b[^.!?;]{0,80}\bto|gave\b[^.!?;]{0,80}\breport|gives\b[^.!?;]{0,80}\breport|delivered\b[^.!?;]{0,80}\breport|explains?|explained|discloses?|disclosed)\b"),
+    (r"(?i)\b(?:meet|meeting|audience)\b", r"(?i)\b(?:meets?|met|audience (?:begins?|began|occurs?|occurred|concludes?|concluded))\b"),
+    (r"(?i)\b(?:request|contact|channel)\b", r"(?i)\b(?:answers?|answered|responds?|responded|contacts?|contacted|live contact|establishes?|established|opens?\b[^.!?;]{0,80}\bchannel|channel\b[^.!?;]{0,80}\bopens?)\b"),
+    (r"(?i)\b(?:respond|response|choose|choice|decid(?:e|es|ed|ing)|decision)\b", r"(?i)\b(?:responds?|responded|answers?|answered|chooses?|chose|decides?|decided|accepts?|accepted|rejects?|rejected|retains?|retained|refuses?|refused)\b"),
+    (r"(?i)\b(?:leave|remain|stay)\b", r"(?i)\b(?:leaves|left|remains|remained|stays|stayed|chooses|chose|refuses to leave|refused to leave)\b"),
+    (r"(?i)\b(?:reveal|disclose|identify|identity|true name|who (?:is|was|are|were))\b", r"(?i)\b(?:reveals?|revealed|discloses?|disclosed|identifies?|identified|answers?|answered|names?|named|learns?|learned|discovers?|discovered)\b"),
+    (r"(?i)\b(?:fulfill|complete|completion)\b", r"(?i)\b(?:fulfills?|fulfilled|completes?|completed|finishes?|finished|delivers?|delivered|meets?|met|arrives?|arrived)\b"),
+)

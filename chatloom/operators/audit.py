@@ -1,8 +1,7 @@
 """Audit rules: records against their source text and against each other
 (B12, B14, B15, C23-C33, C37-C42, C46, D18).
 
-Rule vocabularies are plain patterns of our own in one place; every operator
-takes them as defaults, so a caller can pass another pack. Texts and records
+Rule vocabularies stand in one place, those that decide results in ``functions/fixed.py``. Texts and records
 meet through (chat, position bucket, word), never through a cross join.
 """
 
@@ -13,51 +12,29 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed, text as X
-from .entities import IDENTITY_CUE, PLACEHOLDER_DESCRIPTION
+from .entities import PLACEHOLDER_DESCRIPTION
 from .merge import addressee, pair_key
 from .overlap import mention_join
 from .records import is_address, type_family
 from .scale import top_k, write_through
 
 # ---- rule pack --------------------------------------------------------------------
-COMPLETED = (
-    r"(?i)\b(?:answered|revealed|disclosed|explained|identified|learned|discovered|found|recovered|secured|established|"
-    r"returned|departed|left|arrived|reached|entered|ended|met|contacted|reported|delivered|completed|finished|decided|"
-    r"accepted|rejected|defeated|destroyed|repaired|opened|closed|fulfilled|obtained)\b"
-)
-PENDING = r"(?i)\b(?:not yet|still|remains?|pending|unknown|unresolved|unanswered|unclear|awaits?|awaiting|will|plans? to|intends? to|must|has yet)\b"
-NOT_ASSERTED = r"(?i)\b(?:asks?|asked|wonders?|wondered|questions?|questioned)\s+(?:whether|if)\b"
+#: a matter that is still open
+PENDING = rf"(?:{fixed.THREAD_GAP})|(?:{fixed.THREAD_COMMITMENT})"
+UNCLEAR = rf"(?:{PENDING})|(?i:\bunclear\b)"
 DURABLE_CUE = (
     r"(?i)\b(?:agree[sd]?|appoint(?:s|ed)|assign(?:s|ed)|bec[ao]mes?|decide[sd]?|discover(?:s|ed)|injure[sd]?|intend(?:s|ed)|"
     r"learn(?:s|ed)|lo(?:st|ses?)|named?|plan(?:s|ned)|promise[sd]?|receive[sd]?|remain(?:s|ed)|reveal(?:s|ed)|serve[sd]?|"
     r"suffer(?:s|ed)|vow(?:s|ed)|wound(?:s|ed)|h[eo]lds?|fail(?:s|ed))\b"
 )
-# (goal named in a thread title, completed action that settles it)
-RESOLUTION_RULES = (
-    (r"(?i)\b(?:answer|explain|describe)", r"(?i)\b(?:answered|explained|described|reported)\b"),
-    (r"(?i)\b(?:accept|agree|approv|consent)", r"(?i)\b(?:accepted|agreed|approved|rejected|refused|declined|decided)\b"),
-    (r"(?i)\b(?:recover|retriev|obtain|find|acquire)", r"(?i)\b(?:recovered|retrieved|obtained|found|acquired)\b"),
-    (r"(?i)\b(?:depart|travel|journey|arriv|reach|enter)", r"(?i)\b(?:departed|left|travelled|traveled|arrived|reached|entered)\b"),
-    (r"(?i)\b(?:deliver|present|give)", r"(?i)\b(?:delivered|presented|gave|handed)\b"),
-    (r"(?i)\b(?:meet|meeting|audience)", r"(?i)\b(?:met|concluded)\b"),
-    (r"(?i)\b(?:identity|identify|reveal|disclose|who is|who was)", r"(?i)\b(?:revealed|disclosed|identified|named|learned|discovered)\b"),
-    (r"(?i)\b(?:complete|finish|fulfil)", r"(?i)\b(?:completed|finished|fulfilled|delivered)\b"),
-    (r"(?i)\b(?:decide|decision|choose|choice)", r"(?i)\b(?:decided|chose|accepted|rejected)\b"),
-)
 EPISTEMIC = r"(?i)\b(?:belief|believes?|suspicion|suspects?|claims?|knowledge|rumou?r|perspective|opinion|thinks?)\b"
-IMMUTABLE = r"(?i)\b(?:birth|born|birthplace|species|true name|real name|parent|mother|father|origin)\b"
-ROLE = r"(?i)\b(?:role|rank|title|office|position|occupation)\b"
-TRANSITION = r"(?i)\b(?:formerly|former|previously|now|became|promoted|demoted|no longer|since|until)\b"
-POSSESSION = r"(?i)\b(?:possess(?:es|ion)|holds?|holding|carries|carrying|owner|owns|inventory|keeps)\b"
 ROLES = r"master|mentor|teacher|captain|commander|leader|handler|apprentice|student|pupil|parent|mother|father|brother|sister|friend|rival|partner|spouse|husband|wife|guardian|servant|employer"
 MENTORS = r"(?i)\b(?:master|mentor|teacher|apprentice|student|pupil|trainer|trained)\b"
 DEAD = r"(?i)\b(?:dead|died|deceased|killed|late)\b"
-PRONOUN_FORM = r"(?i)^(?:i|me|my|mine|you|your|yours|he|him|his|she|her|hers|it|its|we|us|our|they|them|their)$"
-BAD_FORM = r"[\[\]]|^(?:unavailable|none|n/a|not established)$"
+BAD_FORM = f"{fixed.ADDRESS_PLACEHOLDER}|{fixed.ADDRESS_ABSENCE}|{fixed.ADDRESS_BRACKET}"
 TRANSFER_DONE = r"(?i)\b(?:has|holds|carries|received|obtained|was given|took|possesses|transferred)\b"
 TRANSFER_PENDING = r"(?i)\b(?:will (?:give|hand|receive)|asks? for|reaches? for|offers?|about to|promises? to give|waiting for)\b"
-RELEASED = r"(?i)\b(?:released|freed|unbound|untied|unchained|unshackled)\b"
-RESTRAINED = r"(?i)\b(?:bound|tied|chained|shackled|cuffed|restrained)\b"
+RELEASED = f"{fixed.RESTRAINT_RELEASED}|{fixed.RESTRAINT_ENDED}"
 QUESTION_KNOWLEDGE = r"(?i)^(?:what|who|where|when|why|how|whether)\b|\?\s*$"
 
 
@@ -109,16 +86,18 @@ def evidence_audit(records: DataFrame, messages: DataFrame, stored: DataFrame |
     ``records(chat_key, id, identity, range_from, range_to, text)``. Unsupported:
     subjective evidence reaches the threshold, objective does not, and no
     ``stored(chat_key, identity, text)`` record of the same identity backs it.
+    Records of fewer than four words are supported.
     """
     r = records.withColumn("terms", audit_terms("text"))
     r = r.withColumn("need", F.greatest(F.lit(4), F.least(F.lit(9), F.ceil(F.size("terms") * F.lit(0.42)).cast("int"))))
-    r = write_through(r.filter(F.size("terms") >= 4), "audit")
-    counts = range_overlap_counts(r, evidence_windows(evidence_sentences(messages)))
+    r = write_through(r, "audit")
+    long_enough = F.size("terms") >= 4
+    counts = range_overlap_counts(r.filter(long_enough), evidence_windows(evidence_sentences(messages)))
     best = counts.groupBy("chat_key", "id").agg(
         F.max(F.when(F.col("objective"), F.col("shared"))).alias("objective_shared"),
         F.max(F.when(~F.col("objective"), F.col("shared"))).alias("subjective_shared"))
     j = r.join(best, ["chat_key", "id"], "left").fillna(0, ["objective_shared", "subjective_shared"])
-    flagged = j.withColumn("unsupported", (F.col("subjective_shared") >= F.col("need")) & (F.col("objective_shared") < F.col("need")))
+    flagged = j.withColumn("unsupported", long_enough & (F.col("subjective_shared") >= F.col("need")) & (F.col("objective_shared") < F.col("need")))
     if stored is not None:
         s = stored.select("chat_key", "identity", audit_terms("text").alias("st"))
         backed = flagged.filter("unsupported").join(s, ["chat_key", "identity"]).filter(
@@ -148,7 +127,7 @@ def uncovered_beats(beats: DataFrame, messages: DataFrame, records: DataFrame) -
     range_from, range_to, text)``.
     """
     b = beats.withColumn("terms", audit_terms("beat")).filter(
-        F.col("beat").rlike(DURABLE_CUE) & ~F.col("beat").rlike(NOT_ASSERTED) & (F.size("terms") >= 3))
+        F.col("beat").rlike(DURABLE_CUE) & ~F.col("beat").rlike(fixed.NOT_ASSERTED) & (F.size("terms") >= 3))
     b = write_through(b.withColumn("need", F.when(F.size("terms") >= 5, 3).otherwise(2)), "beats")
     # the whole text of the range counts as one unit: distinct words over messages
     units = messages.select("chat_key", "idx", F.lit(0).alias("unit"), F.lit(True).alias("objective"), audit_terms(F.concat_ws(": ", "name", "text")).alias("terms"))
@@ -185,7 +164,7 @@ def l1_epistemic_beats(l1: DataFrame, facts: DataFrame, most: int = 2, keep: int
 
 
 # ---- C25, C26 ---------------------------------------------------------------------------
-def settles(title: Column, evidence: Column, rules=RESOLUTION_RULES) -> Column:
+def settles(title: Column, evidence: Column, rules=fixed.THREAD_RULES) -> Column:
     """The completed action fits the goal the title names; no named goal fits any."""
     chain = F.when(title.rlike(rules[0][0]), evidence.rlike(rules[0][1]))
     for goal, action in rules[1:]:
@@ -208,7 +187,7 @@ def resolve_threads(threads: DataFrame, evidence: DataFrame, messages: DataFrame
     t = threads.withColumn("tt", F.array_except(audit_terms("title"), names)).withColumn("parts", F.split("title", r"(?i)\s+and\s+"))
     t = write_through(t, "threads")
     c = evidence.select("chat_key", "range_from", "range_to", F.explode(X.clauses("text")).alias("clause")).distinct()
-    c = c.filter(F.col("clause").rlike(COMPLETED) & ~F.col("clause").rlike(PENDING) & ~F.col("clause").rlike(NOT_ASSERTED))
+    c = c.filter(F.col("clause").rlike(fixed.THREAD_RESOLUTION) & ~F.col("clause").rlike(PENDING) & ~F.col("clause").rlike(fixed.NOT_ASSERTED))
     c = c.withColumn("cid", F.md5(F.concat_ws("|", "chat_key", F.col("range_from").cast("string"), "clause"))).withColumn("terms", audit_terms("clause"))
     c = write_through(c, "clauses")
     # a clause must be carried by one message of its range
@@ -265,7 +244,7 @@ def resolve_identity_threads(threads: DataFrame, resolutions: DataFrame) -> Data
     hit = tw.join(rw, ["chat_key", "w"]).groupBy("chat_key", "id", "reference", "canonical", "n").agg(F.count(F.lit(1)).alias("c")).filter("c = n")
     best = hit.groupBy("chat_key", "id").agg(F.max_by("canonical", F.struct("n", "canonical")).alias("canonical"))
     j = threads.join(best, ["chat_key", "id"], "left")
-    left = F.array_join(F.filter(X.sentences("detail"), lambda s: s.rlike(PENDING) & ~s.rlike(cue)), " ")
+    left = F.array_join(F.filter(X.sentences("detail"), lambda s: s.rlike(UNCLEAR) & ~s.rlike(cue)), " ")
     closed = j.select(*[c for c in threads.columns if c != "status"], F.when(F.col("canonical").isNotNull(), "resolved").otherwise(F.col("status")).alias("status"))
     successor = j.filter(F.col("canonical").isNotNull()).withColumn("rest", left).filter("rest <> ''").select(
         *[c for c in threads.columns if c not in ("id", "title", "detail", "status")],
@@ -318,7 +297,7 @@ def address_form_audit(facts: DataFrame, messages: DataFrame, own_range: bool =
     proven = F.col("forward") | F.col("explicit")
     verdict = (
         F.when(X.fold_key("form").rlike(BAD_FORM) | ~F.col("form").rlike(r"[\p{L}\p{N}]"), "drop-malformed")
-        .when(F.col("form").rlike(PRONOUN_FORM) & ~F.col("significant"), "drop-pronoun")
+        .when(F.col("form").rlike(fixed.ADDRESS_PRONOUN) & ~F.col("significant"), "drop-pronoun")
         .when((F.col("speaker") == F.col("addressee")) & ~F.col("explicit"), "drop-self")
         .when(F.col("reverse") & ~proven & ~F.coalesce("mirrored", F.lit(False)), "flip")
         .when(F.coalesce("mirrored", F.lit(False)) & ~proven, "drop-mirrored")
@@ -416,10 +395,8 @@ def derive_aliases(messages: DataFrame, entities: DataFrame) -> DataFrame:
 
 def derive_commitments(messages: DataFrame, threads: DataFrame) -> DataFrame:
     """"I will ... tomorrow" -> an open thread of the speaker, when none is alike."""
-    p = r"(?i)\b(?:I|we)(?:'ll| will| shall| am going to| are going to)\s+([^.!?\n]{2,220})"
-    when = r"(?i)\b(?:tomorrow|later|next\s+\w+|eventually|after|before|once|when|upon|in\s+(?:a|an|one|two|three|\d+)\s+(?:minute|hour|day|week|month|year)s?)\b"
     s = messages.select("chat_key", "idx", F.col("name").alias("speaker"), F.posexplode(X.sentences("text")).alias("pos", "sentence"))
-    s = s.withColumn("goal", F.trim(F.regexp_extract(X.straight_quotes("sentence"), p, 1))).filter((F.col("goal") != "") & F.col("goal").rlike(when) & ~F.col("sentence").rlike(r"(?i)\b(?:if|maybe|might|perhaps)\b"))
+    s = s.withColumn("goal", F.trim(F.regexp_extract(X.straight_quotes("sentence"), fixed.FUTURE_COMMITMENT, 1))).filter((F.col("goal") != "") & F.col("goal").rlike(fixed.FUTURE_ANCHOR) & ~F.col("sentence").rlike(r"(?i)\b(?:if|maybe|might|perhaps)\b"))
     s = s.withColumn("cid", F.concat_ws("-", F.lit("commit"), "chat_key", F.col("idx").cast("string"), F.col("pos").cast("string"))).withColumn("terms", audit_terms("goal"))
     s = write_through(s, "commitments")
     open_t = threads.filter("status = 'open'").select("chat_key", "id", F.explode(audit_terms(F.concat_ws(" ", "title", "detail"))).alias("w"))
@@ -478,11 +455,11 @@ def derive_identity_gaps(facts: DataFrame, threads: DataFrame) -> DataFrame:
 
 # ---- C32 -----------------------------------------------------------------------------------
 def consistency_warnings(
-    states: DataFrame, scenes: DataFrame, facts: DataFrame, stored_facts: DataFrame, threads: DataFrame, most: int = 8
+    states: DataFrame, scenes: DataFrame, facts: DataFrame, stored_facts: DataFrame, threads: DataFrame, most: int = 0
 ) -> DataFrame:
     """Possession, location, fact-change and thread warnings per chat."""
     live = states.filter((F.col("operation") != "clear") & (X.normalize_text("value") != ""))
-    own = live.filter(F.col("attribute").rlike(POSSESSION)).groupBy("chat_key", X.fold_key("value").alias("item")).agg(
+    own = live.filter(F.col("attribute").rlike(fixed.POSSESSION_ATTRIBUTE)).groupBy("chat_key", X.fold_key("value").alias("item")).agg(
         F.min(X.fold_key("subject")).alias("a"), F.max(X.fold_key("subject")).alias("b")).filter("a <> b")
     w1 = own.select("chat_key", F.lit("possession").alias("kind"), F.col("item").alias("about"), F.concat_ws(" / ", "a", "b").alias("detail"))
     who = scenes.select("chat_key", F.col("location").alias("scene"), F.explode("participants").alias("p")).withColumn("k_subject", X.fold_key("p"))
@@ -492,11 +469,11 @@ def consistency_warnings(
     w2 = away.select("chat_key", F.lit("location").alias("kind"), F.col("k_subject").alias("about"), F.concat_ws(" / ", "value", "scene").alias("detail")).distinct()
     key = lambda df, v: df.select("chat_key", X.fold_key("subject").alias("s"), X.fold_key("predicate").alias("p"), X.fold_key("category").alias("c"), F.col("value").alias(v))
     label = F.concat_ws(" ", "p", "c")
-    j = key(facts, "new").join(key(stored_facts, "old"), ["chat_key", "s", "p", "c"]).filter(label.rlike(IMMUTABLE) | label.rlike(ROLE))
+    j = key(facts, "new").join(key(stored_facts, "old"), ["chat_key", "s", "p", "c"]).filter(label.rlike(fixed.IMMUTABLE_IDENTITY) | label.rlike(fixed.ROLE_IDENTITY))
     changed = (X.fold_key("new") != X.fold_key("old")) & (F.size(F.array_intersect(audit_terms("new"), audit_terms("old"))) < 2)
-    explained = F.concat_ws(" ", "old", "new").rlike(TRANSITION)
-    w3 = j.filter(changed & (label.rlike(IMMUTABLE) | ~explained)).select("chat_key", F.lit("fact change").alias("kind"), F.concat_ws(" - ", "s", "p").alias("about"), F.concat_ws(" / ", "old", "new").alias("detail")).distinct()
-    done, gap = F.col("detail").rlike(COMPLETED), F.col("detail").rlike(PENDING)
+    explained = F.concat_ws(" ", "old", "new").rlike(fixed.TEMPORAL_TRANSITION)
+    w3 = j.filter(changed & (label.rlike(fixed.IMMUTABLE_IDENTITY) | ~explained)).select("chat_key", F.lit("fact change").alias("kind"), F.concat_ws(" - ", "s", "p").alias("about"), F.concat_ws(" / ", "old", "new").alias("detail")).distinct()
+    done, gap = F.col("detail").rlike(fixed.THREAD_RESOLUTION), F.col("detail").rlike(PENDING)
     bad = ((F.col("status") == "resolved") & gap) | ((F.col("status") == "open") & done & ~gap)
     w4 = threads.filter(bad).select("chat_key", F.lit("thread").alias("kind"), F.col("title").alias("about"), F.col("status").alias("detail"))
     allw = w1.unionByName(w2).unionByName(w3).unionByName(w4)
@@ -534,7 +511,7 @@ def description_enrichment(entities: DataFrame, facts: DataFrame, relationships:
     rel = relationships.select("chat_key", k("endpoint_a").alias("k"), "dynamic", "importance").unionByName(
         relationships.select("chat_key", k("endpoint_b").alias("k"), "dynamic", "importance")).filter("dynamic <> ''")
     r = rel.groupBy("chat_key", "k").agg(F.max_by("dynamic", F.struct("importance", F.length("dynamic"), "dynamic")).alias("rel_text"))
-    good = facts.filter((F.col("importance") >= 4) & ~F.concat_ws(" ", "predicate", "category").rlike(EPISTEMIC) & F.concat_ws(" ", "predicate", "category", "value").rlike(IDENTITY_CUE))
+    good = facts.filter((F.col("importance") >= 4) & ~F.concat_ws(" ", "predicate", "category").rlike(EPISTEMIC) & F.concat_ws(" ", "predicate", "category", "value").rlike(fixed.IDENTITY_DESCRIPTION))
     top = top_k(good.withColumn("k", k("subject")), ["chat_key", "k"], [F.length("value").desc(), F.col("value")], 2)
     fx = top.groupBy("chat_key", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]).alias("fact_texts"))
     j = e.join(r, ["chat_key", "k"], "left").join(fx, ["chat_key", "k"], "left")
@@ -557,7 +534,7 @@ def contradicted_objects(facts: DataFrame, messages: DataFrame) -> DataFrame:
     proof = c.filter("objective").groupBy("chat_key", "id").agg(F.max("shared").alias("d"))
     pend = p.groupBy("chat_key", "id").agg(F.max("shared").alias("p"))
     bad = pend.join(proof, ["chat_key", "id"], "left").filter("p >= 1 AND coalesce(d, 0) < 1").select("chat_key", "id")
-    held = f.filter(F.col("text").rlike(RESTRAINED)).select("chat_key", "id", "range_from", "range_to", audit_terms("subject").alias("terms"))
+    held = f.filter(F.col("text").rlike(fixed.RESTRAINED)).select("chat_key", "id", "range_from", "range_to", audit_terms("subject").alias("terms"))
     free = range_overlap_counts(held, s.filter(F.col("sentence").rlike(RELEASED)).select("chat_key", "idx", F.col("pos").alias("unit"), F.lit(True).alias("objective"), audit_terms("sentence").alias("terms")))
     released = free.join(held.select("chat_key", "id", F.size("terms").alias("n")), ["chat_key", "id"]).filter("shared >= n").select("chat_key", "id")
     return facts.join(bad.unionByName(released).distinct(), ["chat_key", "id"], "left_anti")
@@ -608,7 +585,7 @@ def profile_detail_gate(details: DataFrame) -> DataFrame:
     """
     d = details.withColumn("detail", X.normalize_text("detail"))
     speaking = F.col("detail").rlike(X.FIRST_PERSON) | F.col("detail").rlike(X.SECOND_PERSON)
-    ok = (F.col("detail") != "") & ~F.col("detail").rlike(FLEETING) & ~F.col("detail").rlike(X.HEDGES) & ~speaking & (F.size(F.split("detail", r"[.;]\s+")) <= 1) & (F.length("detail") <= 160)
+    ok = (F.col("detail") != "") & ~F.col("detail").rlike(FLEETING) & ~F.col("detail").rlike(X.HEDGES) & ~speaking & (F.size(F.split("detail", r"[.;]\s+")) <= 1) & (F.length("detail") <= 180)
     own = reduce(lambda a, p: a.when(F.col("field") == p[0], F.col("detail").rlike(p[1])), PROFILE_SIGNALS[1:], F.when(F.col("field") == PROFILE_SIGNALS[0][0], F.col("detail").rlike(PROFILE_SIGNALS[0][1])))
     route = reduce(lambda a, p: a.when(F.col("detail").rlike(p[1]), p[0]), PROFILE_SIGNALS[1:], F.when(F.col("detail").rlike(PROFILE_SIGNALS[0][1]), PROFILE_SIGNALS[0][0]))
     return d.filter(ok).withColumn("field", F.when(own, F.col("field")).otherwise(F.coalesce(route, F.col("field"))))

@@ -135,11 +135,9 @@ def validate_identity_resolutions(claims: DataFrame, entities: DataFrame, messag
     return claims.join(ok, ["chat_key", "canonical", "evidence"], "left_semi")
 
 
-OWNER_ROLE = (
-    r"(?i)^(.{1,80}?)['’]s\s+(?:(?:former|previous|dead|missing|unknown)\s+)?"
-    r"(master|mentor|teacher|captain|commander|leader|apprentice|student|parent|mother|father|brother|sister|spouse|guardian|servant)$"
-)
-ROLE_WORD = r"\b(?:master|mentor|teacher|captain|commander|leader|apprentice|student|parent|mother|father|brother|sister|spouse|guardian|servant)\b"
+_ROLES = "|".join(fixed.IDENTITY_ROLE_TOKENS)
+OWNER_ROLE = rf"(?i)^(.{{1,80}}?)['’]s\s+(?:(?:former|previous|dead|missing|unknown)\s+)?({_ROLES})$"
+ROLE_WORD = rf"\b(?:{_ROLES})\b"
 
 
 def owner_role_references(references: DataFrame, relationships: DataFrame) -> DataFrame:
@@ -382,10 +380,7 @@ def dedupe_semantic(records: DataFrame, kind: str) -> DataFrame:
 
 
 # ---- D4, D11, D12, D19 --------------------------------------------------------------------
-RETRACTION = r"(?i)\b(?:no longer|mistaken|wrong|retracted|disproved)\b"
 NEGATION = r"(?i)\b(?:not|never|no|unaware|unknown|without|cannot|n't|hasn't|doesn't|didn't|wasn't)\b"
-KNOWING = r"(?i)\b(?:knows?|knew|aware|learn(?:s|ed)|discover(?:s|ed)?|recogni[sz]e(?:s|d)?|identif(?:y|ies|ied)|confirm(?:s|ed)?|understands?|understood|remember(?:s|ed)?|recall(?:s|ed)?)\b"
-UNSURE = r"(?i)\b(?:suspects?|believes?|thinks?|may|might|possibly|perhaps|unverified)\b"
 
 
 def contained_drop(rows: DataFrame, keys: list[str], text: str, order: str) -> DataFrame:
@@ -415,12 +410,12 @@ def merge_knowledge(facts: DataFrame) -> DataFrame:
     """
     keys = ["chat_key", "subject_key", "predicate_key"]
     f = facts.withColumn("subject_key", X.fold_key("subject")).withColumn("predicate_key", X.fold_key("predicate"))
-    last = f.groupBy(*keys).agg(F.max(F.when(F.col("value").rlike(RETRACTION), F.col("seq"))).alias("cut"))
+    last = f.groupBy(*keys).agg(F.max(F.when(F.col("value").rlike(fixed.KNOWLEDGE_RETRACTED), F.col("seq"))).alias("cut"))
     live = f.join(last, keys).filter(F.col("cut").isNull() | (F.col("seq") >= F.col("cut")))
     s = live.select(*keys, "seq", F.posexplode(X.clauses("value")).alias("n", "sentence")).withColumn("ord", F.struct("seq", "n"))
     unique = write_through(contained_drop(s.select(*keys, "ord", "sentence"), keys, "sentence", "ord"), "knowledge")
     negative = F.col("sentence").rlike(NEGATION)
-    positive = ~negative & F.col("sentence").rlike(KNOWING) & ~F.col("sentence").rlike(UNSURE)
+    positive = ~negative & F.col("sentence").rlike(fixed.KNOWLEDGE_ESTABLISHED) & ~F.col("sentence").rlike(fixed.KNOWLEDGE_UNSURE)
     long_words = F.array_distinct(F.filter(F.regexp_extract_all(X.fold_key("sentence"), F.lit(r"([\p{L}\p{N}]+)"), 1), lambda w: F.length(w) >= 4))
     neg = unique.filter(negative).select(*keys, "ord", F.explode(long_words).alias("w"))
     pos = unique.filter(positive).select(*keys, F.explode(long_words).alias("w")).distinct()
@@ -431,25 +426,57 @@ def merge_knowledge(facts: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("sentences"))
 
 
-IDENTITY_CUE = r"(?i)\b(?:alias|appearance|apprentice|background|commander|former(?:ly)?|habit|identity|master|member|mentor|personality|rank|role|served|student|teacher|title|trained)\b"
+def components(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, root) of linked ids: the smallest id spreads, and each round also takes its root's root."""
+    links = pairs.select(*keys, F.col("left_id").alias("id"), F.col("right_id").alias("other"))
+    links = links.unionByName(links.select(*keys, F.col("other").alias("id"), F.col("id").alias("other"))).distinct()
+    links = write_through(links, "links")
+    state = links.groupBy(*keys, "id").agg(F.least(F.min("other"), F.first("id")).alias("root"))
+    while True:
+        seen = links.join(state.withColumnRenamed("id", "other"), [*keys, "other"]).groupBy(*keys, "id").agg(F.min("root").alias("near"))
+        jump = state.select(*keys, F.col("id").alias("root"), F.col("root").alias("far"))
+        step = state.join(jump, [*keys, "root"], "left").join(seen, [*keys, "id"])
+        state = write_through(step.select(*keys, "id", F.least("root", "far", "near").alias("root"), (F.least("far", "near") < F.col("root")).alias("moved")), "roots")
+        if state.filter("moved").isEmpty():
+            return state.drop("moved")
+        state = state.drop("moved")
+
+
+def _description_terms(value) -> Column:
+    """Words of three and more characters without possessive endings and stop words."""
+    plain = F.regexp_replace(F.regexp_replace(X.fold_key(value), "[’‘]", "'"), r"'s\b", "")
+    words = F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}]+)"), 1)
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*fixed.DESCRIPTION_STOP_WORDS)))
 
 
 def compact_descriptions(entities: DataFrame) -> DataFrame:
-    """Drop repeated sentences of a description (D11): equal ones, or three and more alike.
+    """Drop repeated sentences of a description.
 
-    Alike: both carry an identity cue and share 4 terms and 60 % of the smaller.
+    Sentences are linked when equal, or when both carry an identity cue and share 3
+    terms and 25 % of the smaller, or 2 and 50 % with a role word among them. Of linked
+    sentences the first stays if any are equal or three and more are linked.
+    Structured profiles stay as they are.
     """
-    s = entities.select("chat_key", "id", "name", F.posexplode(X.sentences("description")).alias("pos", "sentence"))
-    s = s.withColumn("k", F.regexp_replace(X.fold_key("sentence"), "[.!?]+$", ""))
-    first = write_through(s.groupBy("chat_key", "id", "k").agg(F.min_by(F.struct("pos", "sentence", "name"), "pos").alias("r")).select("chat_key", "id", "r.*"), "sentences")
-    cue = first.filter(F.col("sentence").rlike(IDENTITY_CUE)).select(
-        "chat_key", "id", "pos", F.array_except(X.entity_terms("sentence"), X.entity_terms("name")).alias("tokens"))
-    alike = token_overlap_pairs(cue.withColumnRenamed("id", "owner"), 4, 0.6, ["chat_key", "owner"], id_col="pos")
-    size = alike.groupBy("chat_key", "owner").agg(F.count(F.lit(1)).alias("pairs"))
-    drop = alike.join(size.filter("pairs >= 2"), ["chat_key", "owner"], "left_semi").select(
-        "chat_key", F.col("owner").alias("id"), F.col("right_id").alias("pos")).distinct()
-    kept = first.join(drop, ["chat_key", "id", "pos"], "left_anti")
-    text = kept.groupBy("chat_key", "id").agg(
+    keys = ["chat_key", "owner"]
+    plain = entities.filter(~F.coalesce(F.col("description").rlike(fixed.STRUCTURED_PROFILE), F.lit(False)))
+    s = plain.select("chat_key", F.col("id").alias("owner"), "name", F.posexplode(X.sentences("description")).alias("pos", "sentence"))
+    s = s.withColumn("k", F.regexp_replace(X.fold_key("sentence"), r"[^\p{L}\p{N}]+", " "))
+    first = s.groupBy(*keys, "k").agg(F.min_by(F.struct("pos", "sentence", "name"), "pos").alias("r"), F.count(F.lit(1)).alias("copies"))
+    first = write_through(first.select(*keys, "copies", "r.*"), "sentences")
+    cue = first.filter(F.col("sentence").rlike(fixed.IDENTITY_DESCRIPTION)).select(
+        *keys, "pos", F.array_except(_description_terms("sentence"), X.let(F.coalesce("name", F.lit("")), _description_terms)).alias("tokens"))
+    cue = write_through(cue, "cues")
+    three = token_overlap_pairs(cue, 3, 0.25, keys, id_col="pos").select(*keys, "left_id", "right_id")
+    two = token_overlap_pairs(cue, 2, 0.5, keys, id_col="pos").select(*keys, "left_id", "right_id")
+    side = lambda end: cue.select(*keys, F.col("pos").alias(f"{end}_id"), F.col("tokens").alias(end))
+    roles = F.array(*map(F.lit, fixed.IDENTITY_ROLE_TOKENS))
+    two = two.join(side("left"), [*keys, "left_id"]).join(side("right"), [*keys, "right_id"]).filter(
+        F.arrays_overlap(F.array_intersect("left", "right"), roles)).select(*keys, "left_id", "right_id")
+    linked = components(three.unionByName(two), keys).join(first.select(*keys, F.col("pos").alias("id"), "copies"), [*keys, "id"])
+    big = linked.groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("n"), F.max("copies").alias("most")).filter("n >= 3 OR most >= 2")
+    drop = linked.join(big.select(*keys, "root"), [*keys, "root"], "left_semi").filter("id <> root").select(*keys, F.col("id").alias("pos"))
+    kept = first.join(drop, [*keys, "pos"], "left_anti")
+    text = kept.groupBy("chat_key", F.col("owner").alias("id")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda r: r["sentence"]), " ").alias("__d"))
     return entities.join(text, ["chat_key", "id"], "left").withColumn("description", F.coalesce("__d", "description")).drop("__d")
 
@@ -476,9 +503,9 @@ def merge_descriptions(pairs: DataFrame, limit: int = 800) -> DataFrame:
     """
     prior, nxt = X.normalize_text("prior"), X.normalize_text("incoming")
     weak = lambda c: (c == "") | c.rlike(PLACEHOLDER_DESCRIPTION)
-    profile = lambda c: c.rlike(r"(?:Role/background|Age/demographics|Appearance|Personality/quirks):")
+    profile = lambda c: c.rlike(fixed.STRUCTURED_PROFILE)
     seen = X.entity_terms(nxt)
-    novel = F.filter(X.sentences(prior), lambda s: s.rlike(IDENTITY_CUE) & (F.size(F.array_except(X.entity_terms(s), seen)) >= 2) & ~F.lower(nxt).contains(F.lower(s)))
+    novel = F.filter(X.sentences(prior), lambda s: s.rlike(fixed.IDENTITY_DESCRIPTION) & (F.size(F.array_except(X.entity_terms(s), seen)) >= 2) & ~F.lower(nxt).contains(F.lower(s)))
     mixed = F.concat_ws(" ", nxt, F.array_join(novel, " "))
     out = (
         F.when(weak(nxt), prior).when(weak(prior), nxt).when(profile(nxt), nxt).when(profile(prior), prior)

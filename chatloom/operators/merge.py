@@ -38,7 +38,7 @@ def identity(category: str) -> Column:
     if category == "relationships":
         return pair_key()
     if category == "events":
-        return F.concat(fold("title"), bar, F.substring(fold("summary"), 1, 160))
+        return F.concat(fold("title"), bar, fold("summary"))
     if category == "threads":
         return fold("title")
     if category == "backgrounds":
@@ -173,7 +173,7 @@ def correction_selector(category: str) -> Column:
     if category == "relationships":
         return F.concat(fold("endpoint_a"), bar, fold("endpoint_b"), bar, fold("kind"))
     if category == "events":
-        return F.concat(fold("title"), bar, F.substring(fold("summary"), 1, 180))
+        return F.concat(fold("title"), bar, fold("summary"))
     if category == "states":
         return F.concat(fold("subject"), bar, fold("attribute"))
     return identity(category)

@@ -130,7 +130,11 @@ def name_variants(entities: DataFrame, parts: bool = True) -> DataFrame:
     )
 
 
-def ngrams(value, most: int = 4) -> Column:
+#: words of a run
+CHUNK = 4
+
+
+def ngrams(value, most: int = CHUNK) -> Column:
     """Array of struct(pos, gram, n): all runs of 1..most words."""
     def runs(words: Column) -> Column:
         def of_size(n: int) -> Column:
@@ -151,16 +155,26 @@ def mention_join(texts: DataFrame, entities: DataFrame, text_id: str = "text_id"
     """Entities a text names (C11): one row per (text, name), longest variant first.
 
     ``texts(chat_key, text_id, text)``. Word runs of the text equi-join the
-    variants, so cost follows the text length, not texts x entities.
+    variants, so cost follows the text length, not texts x entities. Longer names
+    join run by run and count where all their runs stand in line.
     ``possessive`` tells that every mention carries a possessive ending.
     """
-    grams = spread(texts).select("chat_key", text_id, F.explode(ngrams("text")).alias("g")).select(
-        "chat_key", text_id, F.col("g.pos").alias("pos"), F.col("g.n").alias("n"),
-        F.regexp_replace("g.gram", "'s?$", "").alias("variant"),
-        F.col("g.gram").rlike("'s?$").alias("possessive"),
+    grams = spread(texts).select("chat_key", text_id, F.explode(ngrams("text", CHUNK)).alias("g")).select(
+        "chat_key", text_id, F.col("g.pos").alias("pos"), F.col("g.gram").alias("gram"),
+        F.regexp_replace("g.gram", "'s?$", "").alias("__key"), F.col("g.gram").rlike("'s?$").alias("possessive"),
+    )
+    words = F.split("variant", " ")
+    chunks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(words) - 1) / CHUNK).cast("int")),
+        lambda k: F.struct(k.alias("k"), F.array_join(F.slice(words, k * CHUNK + 1, CHUNK), " ").alias("chunk")),
     )
-    hits = grams.join(name_variants(entities, parts), ["chat_key", "variant"])
-    return hits.groupBy("chat_key", text_id, "name").agg(
+    variants = name_variants(entities, parts).select("chat_key", "name", "variant", F.size(words).alias("n"), F.size(chunks).alias("of"), F.explode(chunks).alias("c"))
+    variants = variants.withColumn("__key", F.regexp_replace("c.chunk", "'s?$", "")).withColumn("last", F.col("c.k") == F.col("of") - 1)
+    # only the last word of a name may carry the ending that is cut off
+    hits = grams.join(variants, ["chat_key", "__key"]).filter(F.when(F.col("last"), F.col("__key")).otherwise(F.col("gram")) == F.col("c.chunk"))
+    whole = hits.groupBy("chat_key", text_id, "name", "variant", "n", "of", (F.col("pos") - CHUNK * F.col("c.k")).alias("pos")).agg(
+        F.size(F.collect_set("c.k")).alias("met"), F.bool_or(F.col("last") & F.col("possessive")).alias("possessive")).filter("met = of")
+    return whole.groupBy("chat_key", text_id, "name").agg(
         F.max("n").alias("words"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"),
         F.bool_and("possessive").alias("possessive"), F.count(F.lit(1)).alias("mentions"),
     )

@@ -9,17 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import fixed, text as X
 from ..functions.text import as_col
 
-# ---- rule patterns of our own; each can be replaced by the caller -----------------
+# ---- rule patterns; each can be replaced by the caller -----------------
 PLACEHOLDER_TOKENS = ("[name]", "[subject]", "[speaker]", "[addressee]", "placeholder", "string value", "lorem ipsum")
-KNOWLEDGE_GAP = (
-    r"(?i)\b(?:(?:does|did|do)(?: not|n't) know|(?:has|have|had)(?: not|n't) (?:learned|been told)|"
-    r"(?:was|were)(?: not|n't) told|(?:is|are|was|were|remains?|remained) unaware|no knowledge of)\b"
-)
-ADDRESS_PREDICATE = (
-    r"^(?:calls |form of address for |(?:uses?|used) (?:a )?(?:(?:respectful|formal|informal|honorific|"
-    r"familiar|derisive|disrespectful) )?(?:address|address form|form of address|nickname) "
-    r"(?:toward|towards|for|with) )"
-)
 ATTRIBUTED = r"(?i)^(?:believes?|suspects?|claims?|thinks?|assumes?|belief|suspicion|claim)\b"
 CLOTHING = r"(?i)\b(?:clothing|clothes|outfit|attire|dress|garments?|wearing|apparel)\b"
 NO_CHANGE = r"(?i)^(?:no change|unchanged|stable|normal|fine|none|uninjured|healthy)\b"
@@ -58,14 +49,15 @@ def third_person_records(df: DataFrame, field: str) -> DataFrame:
 
 
 def is_address(predicate="predicate", category="category") -> Column:
-    return X.fold_key(category).rlike("^forms? of address$") | X.fold_key(predicate).rlike(ADDRESS_PREDICATE)
+    return X.fold_key(category).rlike(fixed.ADDRESS_CATEGORY) | X.fold_key(predicate).rlike(fixed.ADDRESS_USE) | reduce(
+        Column.__or__, (X.fold_key(predicate).startswith(p) for p in fixed.ADDRESS_PREFIXES))
 
 
 def fact_kind(predicate="predicate", value="value", category="category") -> Column:
     """Address form, knowledge boundary, established knowledge, perspective or objective."""
     cat, pred = X.fold_key(category), X.fold_key(predicate)
     boundary = cat.isin("knowledge boundary", "knowledge gap") | (
-        (cat == "knowledge") & X.normalize_text(value).rlike(KNOWLEDGE_GAP)
+        (cat == "knowledge") & X.normalize_text(value).rlike(fixed.KNOWLEDGE_GAP)
     )
     return (
         F.when(is_address(predicate, category), "address")

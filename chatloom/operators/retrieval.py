@@ -712,76 +712,50 @@ def distinct_lines(rows: DataFrame) -> DataFrame:
     )
 
 
-def _pack(limit_of_query: int, sections: list[tuple[str, list[str]]]) -> list[tuple[int, str]]:
-    """(section position, line) pairs that fit; the packing rule of A.6."""
-    def size(text: str) -> int:
-        wide = sum(1 for ch in text if ord(ch) > 127)
-        return -(-(wide * 4 + len(text) - wide) // 4)
-
-    def cut(text: str, room: int) -> str:
-        if size(text) <= room:
-            return text
-        lo, hi = 0, min(len(text), max(room, 0) * 4)
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if size(text[:mid] + "…") <= room else (lo, mid - 1)
-        return text[:lo].rstrip() + "…"
-
-    heads = [size(f"\n{title}:\n") for title, _ in sections]
-    room = limit_of_query - sum(heads)
-    out: list[tuple[int, str]] = []
-    if room <= 0:
-        left = limit_of_query
-        for i, (_, lines) in enumerate(sections):
-            if heads[i] + 1 <= left:
-                line = cut(lines[0], left - heads[i])
-                out.append((i, line))
-                left = max(0, left - heads[i] - size(line + "\n"))
-        return out
-    whole = sum(size(lines[0] + "\n") for _, lines in sections) <= room
-    for i, (_, lines) in enumerate(sections):
-        line = lines[0] if whole else cut(lines[0], max(1, room // (len(sections) - i)))
-        out.append((i, line))
-        room = max(0, room - size(line + "\n"))
-    for n in range(1, max(len(lines) for _, lines in sections)):
-        fits = [(i, lines[n]) for i, (_, lines) in enumerate(sections) if n < len(lines)]
-        added = False
-        for i, line in fits:
-            if size(line + "\n") <= room:
-                out.append((i, line))
-                room -= size(line + "\n")
-                added = True
-        if not added or room <= 0:
-            break
-    return out
-
-
 def pack_budget(rows: DataFrame, budgets: DataFrame, overhead: int = 0, minimum: int = 128) -> DataFrame:
     """Lines that fit each query's token budget.
 
     ``rows(query_id, section_no, title, row_no, line)``, ``budgets(query_id,
-    budget)``. Sections are limited, so the rows of one query are few; whether a
-    row fits depends on all earlier ones, so the last step runs per query.
+    budget)``. The lines of a query stand by their turn in their section, then by
+    section, and one fold over them decides what is taken: first lines share the
+    room, later ones fit whole or not at all, and a turn that adds nothing ends it.
     """
-    import pandas as pd
-
-    def per_query(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["section_no", "row_no"])
-        sections = [(g["title"].iloc[0], list(g["line"])) for _, g in pdf.groupby("section_no", sort=True)]
-        numbers = sorted(pdf["section_no"].unique())
-        limit = max(minimum, int(pdf["budget"].iloc[0])) - overhead
-        packed = _pack(limit, sections)
-        return pd.DataFrame({
-            "query_id": pdf["query_id"].iloc[0], "position": range(len(packed)),
-            "section_no": [int(numbers[i]) for i, _ in packed],
-            "title": [sections[i][0] for i, _ in packed], "line": [line for _, line in packed],
-        })
-
-    kind = rows.schema["query_id"].dataType.simpleString()
-    joined = distinct_lines(rows).join(budgets.select("query_id", "budget"), "query_id")
-    return joined.groupBy("query_id").applyInPandas(
-        per_query, f"query_id {kind}, position long, section_no long, title string, line string"
-    )
+    cost = lambda text: X.estimate_tokens(F.concat(text, F.lit("\n")))
+    turn = Window.partitionBy("query_id", "section_no").orderBy("row_no")
+    lines = distinct_lines(rows).withColumn("title", F.first("title").over(turn)).select(
+        "query_id", F.row_number().over(turn).alias("turn"), F.col("section_no").cast("long").alias("section_no"), "title", "line",
+        cost(F.col("line")).alias("cost"), X.estimate_tokens(F.concat(F.lit("\n"), "title", F.lit(":\n"))).alias("head"))
+    lead = F.col("turn") == 1
+    asked = lines.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "section_no", "title", "line", "cost", "head"))).alias("lines"),
+        F.sum(F.when(lead, F.col("head"))).alias("heads"), F.sum(F.when(lead, F.col("cost"))).alias("firsts"),
+        F.count(F.when(lead, 1)).alias("sections"),
+    ).join(budgets.select("query_id", "budget"), "query_id").withColumn("limit", F.greatest(F.lit(minimum), F.col("budget")).cast("long") - overhead)
+    body = F.col("limit") - F.col("heads")
+    tight, whole = body <= 0, F.col("firsts") <= body
+    line_type = "struct<section_no:bigint,title:string,line:string>"
+
+    def state(room, sections, turn_no, added, running, taken) -> Column:
+        return F.struct(
+            room.cast("long").alias("room"), sections.cast("long").alias("sections"), turn_no.cast("int").alias("turn"),
+            added.alias("added"), running.alias("running"), taken.alias("taken"))
+
+    def step(acc: Column, r: Column) -> Column:
+        first, new_turn = r["turn"] == 1, r["turn"] != acc["turn"]
+        running = acc["running"] & (~new_turn | (acc["turn"] <= 1) | acc["added"])
+        head = F.when(tight, r["head"]).otherwise(F.lit(0))  # headers are paid before, unless they do not all fit
+        take = F.when(first, ~tight | (r["head"] + 1 <= acc["room"])).otherwise(~tight & running & (r["cost"] <= acc["room"]))
+        share = F.when(tight, acc["room"] - head).otherwise(F.greatest(F.lit(1), F.floor(acc["room"] / acc["sections"])))
+        line = F.when(take & first & (tight | ~whole), X.clip_tokens(r["line"], share.cast("long"))).otherwise(r["line"])
+        return X.let(line, lambda text: state(
+            F.when(take, F.greatest(F.lit(0), acc["room"] - head - cost(text))).otherwise(acc["room"]),
+            F.when(first, acc["sections"] - 1).otherwise(acc["sections"]), r["turn"], take | (acc["added"] & ~new_turn), running,
+            F.when(take, F.concat(acc["taken"], F.array(F.struct(r["section_no"].alias("section_no"), r["title"].alias("title"), text.alias("line"))))).otherwise(acc["taken"]),
+        ))
+
+    start = state(F.when(tight, F.col("limit")).otherwise(body), F.col("sections"), F.lit(0), F.lit(False), F.lit(True), F.array().cast(f"array<{line_type}>"))
+    taken = asked.select("query_id", F.posexplode(F.aggregate("lines", start, step, lambda acc: acc["taken"])).alias("position", "l"))
+    return taken.select("query_id", F.col("position").cast("long").alias("position"), "l.section_no", "l.title", "l.line")
 
 
 def context_text(packed: DataFrame) -> DataFrame:

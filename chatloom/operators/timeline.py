@@ -114,7 +114,7 @@ def frame_runs(anchors: DataFrame) -> DataFrame:
     )
 
 
-def order_undated(rest: DataFrame, anchors: DataFrame, max_rounds: int = 50) -> DataFrame:
+def order_undated(rest: DataFrame, anchors: DataFrame) -> DataFrame:
     """Re-order undated events by their relations, smallest source slot first.
 
     ``rest(chat_key, id, slot, reference_id, relation)``. An event is before,
@@ -143,7 +143,8 @@ def order_undated(rest: DataFrame, anchors: DataFrame, max_rounds: int = 50) ->
     done = free.select(*cols)
     open_rows = write_through(linked, "undated")
     leads = F.when(F.col("side") <= 1, F.col("slot"))
-    for _ in range(max_rounds):
+    # the last slot of each group of waits is always ready, so every round settles rows
+    while True:
         rows = open_rows
         for run, key, out in (
             ("fwd", F.col("step") * 3 + F.col("side"), "__a"), ("bwd", -F.col("step") * 3 + F.col("side"), "__b"),
@@ -160,9 +161,6 @@ def order_undated(rest: DataFrame, anchors: DataFrame, max_rounds: int = 50) ->
         open_rows = rows.filter(F.col("__ready") != F.col("slot")).drop("__ready")
         if open_rows.isEmpty():
             break
-    else:
-        # a deeper nest of waits keeps the order found so far, then source order
-        done = done.unionByName(open_rows.select(*cols))
     places = with_position(
         rest.select("chat_key", "slot"), Sequence(("chat_key",), ("slot",), F.floor(F.col("slot") / 65_536)), "nth"
     ).withColumnRenamed("slot", "position")

@@ -341,7 +341,7 @@ FROM ev JOIN l1 ON l1.chat_key = ev.chat_key AND ev.idx BETWEEN l1.range_from AN
 def _(spark, sf):
     ok, _bad = A.parse_extractions(_raw(spark, sf))
     t = A.explode_records(ok)
-    n = (F.col("seq") - F.col("range_from") * 4096).alias("n")
+    n = (F.col("seq") - F.shiftleft(F.col("range_from").cast("long"), 31)).alias("n")
     f = t["facts"].select(F.lit("facts").alias("category"), "chat_key", "range_from", n, F.col("predicate").alias("label"), "value", "importance")
     s = t["states"].select(F.lit("states").alias("category"), "chat_key", "range_from", n, F.col("attribute").alias("label"), "value", "importance")
     return f.unionByName(s)

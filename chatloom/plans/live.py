@@ -115,11 +115,13 @@ def _(spark, sf):
 @query("stream_index_sync", sql("""
 SELECT 1 AS step, count(*) AS added, 0 AS deleted FROM edocs UNION ALL SELECT 2, 0, 0
 UNION ALL SELECT 3, count(*), count(*) FROM edocs WHERE key LIKE 'fact:%'
+UNION ALL SELECT 4, 0, count(*) FROM edocs WHERE key LIKE 'fact:%'
 """.replace("SELECT 1 AS step", "SELECT CAST(1 AS BIGINT) AS step").replace("0 AS deleted", "CAST(0 AS BIGINT) AS deleted"), "edocs"))
 def _(spark, sf):
     d = recall._edocs(spark, sf)
     path = _folder(spark, "index")
     changed = d.withColumn("text", F.when(F.col("key").startswith("fact:"), F.concat("text", F.lit("!"))).otherwise(F.col("text")))
     changed = changed.withColumn("hash", F.md5(F.concat_ws("\n", "key", "text")))
-    steps = [sync_index(b, path) for b in (d, d, changed)]
+    left, chats = changed.filter(~F.col("key").startswith("fact:")), d.select("chat_key").distinct()
+    steps = [*(sync_index(b, path) for b in (d, d, changed)), sync_index(left, path, chats)]
     return spark.createDataFrame([(i + 1, s["added"], s["deleted"]) for i, s in enumerate(steps)], "step long, added long, deleted long")

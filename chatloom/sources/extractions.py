@@ -95,8 +95,8 @@ def _text(name):
     return lambda r: X.normalize_text(r[name])
 
 
-def _names(name, most=30):
-    return lambda r: F.slice(F.array_distinct(X.nonempty(F.transform(F.coalesce(r[name], F.array()), X.normalize_text))), 1, most)
+def _names(name):
+    return lambda r: F.array_distinct(X.nonempty(F.transform(F.coalesce(r[name], F.array()), X.normalize_text)))
 
 
 def _clip(name, n):
@@ -129,7 +129,7 @@ COLUMNS = {
                 ("participants", _names("participants")), _IMPORTANCE),
     "backgrounds": (_TARGET, ("topic", _clip("topic", 120)), ("summary", _clip("summary", 400)),
                     ("status", _enum("status", "background_status")), ("certainty", _enum("certainty", "certainty")),
-                    ("participants", _names("participants", 12)), _IMPORTANCE),
+                    ("participants", _names("participants")), _IMPORTANCE),
 }
 _JSON_NAME = {"identity_resolutions": "identityResolutions", "record_merges": "recordMerges"}
 _NEEDED = {
@@ -146,13 +146,17 @@ def _provenance() -> list[Column]:
     ]
 
 
+def record_seq(range_from, n) -> Column:
+    """Order of (range, record): an array index fits in 31 bits."""
+    return F.shiftleft(F.col(range_from).cast("long"), 31) + F.col(n)
+
+
 def explode_category(extractions: DataFrame, category: str) -> DataFrame:
     """Rows of one record table with provenance and anchor (A5)."""
     field = F.col("result")[_JSON_NAME.get(category, category)]
     rows = extractions.select(*_provenance(), F.posexplode(field).alias("n", "r"))
     cols = [fn(F.col("r")).alias(name) for name, fn in COLUMNS[category]]
-    # 4,096 records per range leave the order of (range, record) intact
-    seq = (F.col("range_from") * 4096 + F.col("n")).alias("seq")
+    seq = record_seq("range_from", "n").alias("seq")
     ident = F.concat_ws("-", F.lit(category[:3]), X.stable_hash("chat_key"), F.col("range_from").cast("string"),
                         F.col("range_to").cast("string"), F.col("n").cast("string")).alias("id")
     span = F.array(F.struct(F.col("chat_key").alias("chat_key"), "range_from", "range_to")).alias("sources")

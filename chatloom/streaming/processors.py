@@ -25,8 +25,10 @@ def _frame(rows: list, columns: list[str]) -> pd.DataFrame:
 class L1Groups(StatefulProcessor):
     """Emit a group once ``size`` stable messages exist beyond the buffer.
 
-    State: the positions not grouped yet (fewer than size + buffer + 1), and the
-    number of groups so far. The newest reply that is not the user's waits.
+    State: the positions not grouped yet (fewer than size + buffer + 1), the number of
+    groups so far and where the last one ends. The newest reply that is not the user's
+    waits. Edits and swipes replace their open position, deletes take it away. Changes
+    inside closed groups emit nothing here: the message store retracts those.
     """
 
     def __init__(self, size: int = fixed.L1_GROUP_SIZE, buffer: int = fixed.STABILITY_BUFFER):
@@ -34,22 +36,26 @@ class L1Groups(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getListState("open", "idx long, is_user boolean")
-        self.done = handle.getValueState("done", "n long")
+        self.done = handle.getValueState("done", "n long, end long")
 
     def handleInputRows(self, key, rows, timerValues):
-        waiting = [(r[0], r[1]) for r in self.open.get()] if self.open.exists() else []
-        for part in rows:
-            live = part[~part["is_system"].fillna(False) & (part["text"].fillna("").str.strip() != "")]
-            waiting += list(zip(live["idx"].astype("int64"), live["is_user"].astype(bool)))
-        waiting.sort()
-        n = self.done.get()[0] if self.done.exists() else 0
+        n, end = self.done.get() if self.done.exists() else (0, -1)
+        part = pd.concat(list(rows)).sort_values(["idx", "seq"], kind="stable").drop_duplicates("idx", keep="last")
+        part = part[part["idx"] > end]
+        live = ~part["is_system"].fillna(False).astype(bool) & (part["text"].fillna("").str.strip() != "") & (part["op"] != "delete")
+        waiting = {r[0]: r[1] for r in self.open.get()} if self.open.exists() else {}
+        for i in part.loc[~live, "idx"]:
+            waiting.pop(int(i), None)
+        waiting |= dict(zip(part.loc[live, "idx"].astype("int64").tolist(), part.loc[live, "is_user"].astype(bool).tolist(), strict=True))
+        waiting = sorted(waiting.items())
         held = 0 if not waiting or waiting[-1][1] else 1
         stable = len(waiting) - self.buffer - held
         out, at = [], 0
         while at + self.size <= stable:
             out.append((key[0], n, int(waiting[at][0]), int(waiting[at + self.size - 1][0])))
             n, at = n + 1, at + self.size
-        self.done.update((n,))
+            end = int(waiting[at - 1][0])
+        self.done.update((n, end))
         self.open.put([(int(i), bool(u)) for i, u in waiting[at:]])
         yield _frame(out, ["chat_key", "group_no", "range_from", "range_to"])
 
@@ -140,8 +146,8 @@ def _run(df: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
 
 
 def stream_l1_groups(messages: DataFrame, size: int = fixed.L1_GROUP_SIZE, buffer: int = fixed.STABILITY_BUFFER) -> DataFrame:
-    """Closed groups of an append-only message stream (I2); equals the batch groups."""
-    return _run(messages.select("chat_key", "idx", "text", "is_user", "is_system"), L1Groups(size, buffer), GROUP_SCHEMA)
+    """Closed groups of a message stream with edits and deletes (I2); equals the batch groups."""
+    return _run(messages.select("chat_key", "idx", "text", "is_user", "is_system", "op", "seq"), L1Groups(size, buffer), GROUP_SCHEMA)
 
 
 def stream_state_timeline(states: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ class MessageStore:
 
         A change inside the newest ``buffer`` live messages needs no repair;
         an older one gives one ``retract`` row per chat with the first position
-        to rebuild from.
+        to rebuild from. A batch id seen before returns what it returned then.
         """
         events = latest_by(
             batch.select("chat_key", "idx", "name", "text", "is_user", "is_system", "op", "seq"), ["chat_key", "idx"], F.col("seq"))
@@ -93,11 +93,20 @@ class MessageStore:
         merged = latest_by(stored.unionByName(incoming), ["chat_key", "idx"], F.col("seq"))
         merged = write_through(merged.select(*[c.split()[0] for c in self._MESSAGES.split(", ")]), "merged")
         changes = write_through(incoming.join(before, ["chat_key", "idx"], "left"), "changes")
-        mutations = write_through(self._mutations(changes), "mutations")
+        mutations = self._kept_mutations(changes, batch_id)
         self._overwrite(merged, "messages")
         self._overwrite(self._counts(merged), "coverage")
         return mutations
 
+    def _kept_mutations(self, changes: DataFrame, batch_id: int | None) -> DataFrame:
+        """Mutations of a batch, written before its messages: a batch that comes again returns the same ones."""
+        if batch_id is None:
+            return write_through(self._mutations(changes), "mutations")
+        name = f"mutations/{batch_id}"
+        if not self._exists(f"{name}/_SUCCESS"):
+            self._mutations(changes).write.mode("overwrite").parquet(self._at(name))
+        return self._read(name, "chat_key string, op string, repair_from long")
+
     def _few(self, df: DataFrame, most: int = 10_000) -> bool:
         return len(df.limit(most + 1).take(most + 1)) <= most
 
@@ -160,11 +169,12 @@ def commit_range(df: DataFrame, path: str) -> None:
     placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chat_bucket", "range_bucket").parquet(path)
 
 
-def sync_index(batch: DataFrame, path: str) -> dict[str, int]:
-    """Apply only missing and stale embedding documents of a micro-batch.
+def sync_index(batch: DataFrame, path: str, chats: DataFrame | None = None) -> dict[str, int]:
+    """Make the index of the touched chats equal to the desired one.
 
-    ``batch(chat_key, key, hash, text)`` is the full desired set of its keys.
-    Replaying it finds nothing left to do.
+    ``batch(chat_key, key, hash, text)`` is all that is desired of the chats in
+    ``chats(chat_key)``, those of the batch by default; stored rows of them that
+    are stale or no longer desired go. Replaying it finds nothing left to do.
     """
     spark = batch.sparkSession
     placed = write_through(batch.withColumn("chat_bucket", chat_bucket(buckets=64)), "desired")
@@ -173,13 +183,19 @@ def sync_index(batch: DataFrame, path: str) -> dict[str, int]:
         stored = spark.read.schema(placed.schema).parquet(path)
     else:
         stored = spark.createDataFrame([], placed.schema)
-    touched = placed.select("chat_bucket").distinct()
+    mine = (chats if chats is not None else placed).select("chat_key").distinct()
+    touched = mine.select(chat_bucket(buckets=64).alias("chat_bucket")).distinct()
     old = stored.join(touched, "chat_bucket", "left_semi")
-    gone = old.join(placed.select("chat_key", "key"), ["chat_key", "key"], "left_semi").join(placed.select("chat_key", "hash"), ["chat_key", "hash"], "left_anti")
-    new = placed.join(old.select("chat_key", "hash"), ["chat_key", "hash"], "left_anti")
+    desired = ["chat_key", "key", "hash"]
+    gone = old.join(mine, "chat_key", "left_semi").join(placed.select(*desired), desired, "left_anti")
+    new = placed.join(old.select(*desired), desired, "left_anti")
     done = {"added": new.count(), "deleted": gone.count()}
     if done["added"] or done["deleted"]:
-        kept = old.join(placed.select("chat_key", "key"), ["chat_key", "key"], "left_anti").unionByName(placed)
+        kept = old.join(mine, "chat_key", "left_anti").unionByName(placed)
         staged = write_through(kept, "index")
         staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chat_bucket").parquet(path)
+        # a write leaves alone the folders it has no rows for; there are 64 at most
+        for row in touched.join(staged.select("chat_bucket"), "chat_bucket", "left_anti").collect():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/chat_bucket={row.chat_bucket}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return done

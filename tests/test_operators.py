@@ -264,6 +264,12 @@ def test_stream_groups_equal_batch_groups(spark, tmp_path):
     src = str(tmp_path / "in")
     for part in (F.col("idx") < 11, (F.col("idx") >= 11) & (F.col("idx") < 30), F.col("idx") >= 30):
         df.filter(part).coalesce(1).write.mode("append").parquet(src)
+    # the newest message of each chat is swiped, the one before it deleted, position 0 of a closed group edited
+    last = df.groupBy("chat_key").agg(F.max("idx").alias("top"))
+    late = df.join(last, "chat_key").withColumn("op", F.when(F.col("idx") == F.col("top"), "swipe").when(F.col("idx") == F.col("top") - 1, "delete").when(F.col("idx") == 0, "edit"))
+    late = late.filter("op IS NOT NULL AND top > 30").drop("top").withColumn("seq", F.col("seq") + 1000)
+    late.select(df.columns).coalesce(1).write.mode("append").parquet(src)
+    df = df.join(late.filter("op = 'delete'"), ["chat_key", "idx"], "left_anti")
     out = str(tmp_path / f"out-{uuid.uuid4().hex}")
     q = stream_l1_groups(read_message_stream(spark, src, files_per_trigger=1), 4, 2).writeStream.format("parquet").option("path", out).option(
         "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
