@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import slices, stage, texts
-from .tokens import encoder
+from .tokens import REMEMBERED, encoder
 
 CAPACITY = 4096
 END = 1
@@ -33,20 +33,20 @@ RANKED = 65_536
 # ---- pieces -------------------------------------------------------------------
 def token_pieces(
     docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END,
-    release: bool = False,
+    release: bool = False, remembered: int = REMEMBERED,
 ) -> DataFrame:
     """``key, piece, start, length, ids`` (little-endian unsigned 32-bit) of every document.
 
     Documents of up to ``capacity`` ids are one piece; longer ones are cut every
-    ``capacity`` ids. ``release`` frees a worker's remembered pieces after each task:
-    less memory for what runs next, more tokenizing.
+    ``capacity`` ids. ``release`` frees a worker's remembered pieces after each task,
+    and ``remembered`` bounds their number: less memory, more tokenizing.
     """
     source = docs.select(docs[key].alias("__key"), docs[text].alias("__text"))
     tail = np.array([end], "<u4").tobytes()
     width = 4 * capacity
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, remembered)
         for batch in slices(batches, "__text"):
             keys, piece, start, length, ids = [], [], [], [], []
             for k, coded in zip(batch.column(0).to_pylist(), enc.encode(texts(batch, "__text")), strict=True):
@@ -188,9 +188,11 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def placed_digests(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", release: bool = False) -> DataFrame:
+def placed_digests(
+    docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", release: bool = False, remembered: int = REMEMBERED,
+) -> DataFrame:
     """Pieces with their place and the checksum of their ids."""
-    digests = token_pieces(docs, tokenizer, key, text, release=release).select("key", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    digests = token_pieces(docs, tokenizer, key, text, release=release, remembered=remembered).select("key", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return place(stage(digests, "pieces")).withColumnRenamed("key", key)
 
 

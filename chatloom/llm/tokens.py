@@ -57,6 +57,7 @@ class Encoder:
     """Ids of texts as unsigned 32-bit integers (little-endian, as Spark's hosts are)."""
 
     def __init__(self, path: str):
+        self.remembered = REMEMBERED
         self.tokenizer = new_tokenizer(path)
         probe = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a", "a a", "a\na")]
         #: blanks leave no trace: words can stand alone
@@ -93,7 +94,7 @@ class Encoder:
         if extra:
             table = known | self._learn(extra)
         out = [b"".join(map(table.__getitem__, c)) for c in cut]
-        if len(known) > REMEMBERED:
+        if len(known) > self.remembered:
             self.old, self.young = known, {}
         return out
 
@@ -101,9 +102,10 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file."""
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    """The worker's encoder for a tokenizer file, which remembers ``remembered`` pieces a generation."""
     if path not in _encoders:
         _encoders.clear()
         _encoders[path] = Encoder(path)
+    _encoders[path].remembered = remembered
     return _encoders[path]

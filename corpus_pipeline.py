@@ -16,6 +16,10 @@ from chatloom.operators.scale import shared_folder
 from chatloom.sources.tables import table
 
 
+#: token pieces a worker remembers in each of two generations, beside what earlier stages left in it
+REMEMBERED = 80_000
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the learned decision list rejects go."""
     return declist.keep_good(docs, table(spark, sf_dir, "labels"))
@@ -38,7 +42,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their place in the packed sequences."""
-    return packing.placed_digests(docs, public_tokenizers.path("word_bpe_49k.json"), release=True)
+    return packing.placed_digests(docs, public_tokenizers.path("word_bpe_49k.json"), release=True, remembered=REMEMBERED)
 
 
 STAGES = [
