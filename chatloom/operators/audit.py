@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import fixed, text as X
 from .entities import PLACEHOLDER_DESCRIPTION
 from .merge import addressee, pair_key
-from .overlap import mention_join
+from .overlap import mention_join, rare_candidates
 from .records import is_address, type_family
 from .scale import top_k, write_through
 
@@ -99,8 +99,11 @@ def evidence_audit(records: DataFrame, messages: DataFrame, stored: DataFrame |
     j = r.join(best, ["chat_key", "id"], "left").fillna(0, ["objective_shared", "subjective_shared"])
     flagged = j.withColumn("unsupported", long_enough & (F.col("subjective_shared") >= F.col("need")) & (F.col("objective_shared") < F.col("need")))
     if stored is not None:
-        s = stored.select("chat_key", "identity", audit_terms("text").alias("st"))
-        backed = flagged.filter("unsupported").join(s, ["chat_key", "identity"]).filter(
+        flagged = write_through(flagged, "flagged")
+        s = write_through(stored.select("chat_key", "identity", F.md5("text").alias("sid"), audit_terms("text").alias("terms")).distinct(), "backing")
+        asked, of = flagged.filter("unsupported").select("chat_key", "identity", "id", "terms", "need"), ["chat_key", "identity"]
+        pairs = rare_candidates(asked, ["id"], s, ["sid"], F.col("need"), of)
+        backed = pairs.join(asked, [*of, "id"]).join(s.withColumnRenamed("terms", "st"), [*of, "sid"]).filter(
             F.size(F.array_intersect("terms", "st")) >= F.col("need")).select("chat_key", "id").distinct()
         flagged = flagged.join(backed.withColumn("backed", F.lit(True)), ["chat_key", "id"], "left").withColumn(
             "unsupported", F.col("unsupported") & ~F.coalesce("backed", F.lit(False))).drop("backed")
@@ -196,12 +199,12 @@ def resolve_threads(threads: DataFrame, evidence: DataFrame, messages: DataFrame
         c.select("chat_key", F.col("cid").alias("id"), F.greatest(F.lit(2), F.least(F.lit(6), F.ceil(F.size("terms") * F.lit(0.35)).cast("int"))).alias("need")), ["chat_key", "id"]
     ).filter("shared >= need").select("chat_key", F.col("id").alias("cid")).distinct()
     live = c.join(carried, ["chat_key", "cid"], "left_semi")
-    tw = t.filter("status = 'open'").select("chat_key", "id", F.explode("tt").alias("w"))
-    cw = live.select("chat_key", "cid", F.explode("terms").alias("w"))
-    shared = tw.join(cw, ["chat_key", "w"]).groupBy("chat_key", "id", "cid").agg(F.count(F.lit(1)).alias("shared"))
-    j = shared.join(t, ["chat_key", "id"]).join(live.select("chat_key", "cid", "clause"), ["chat_key", "cid"])
+    needed = F.least(F.lit(2), F.size("tt"))
+    pairs = rare_candidates(t.filter("status = 'open'").withColumn("terms", F.col("tt")), ["id"], live, ["cid"], needed, ["chat_key"])
+    j = pairs.join(t, ["chat_key", "id"]).join(live.select("chat_key", "cid", "clause", "terms"), ["chat_key", "cid"])
+    j = j.withColumn("shared", F.size(F.array_intersect("tt", "terms")))
     named = (F.size("participants") == 0) | F.exists("participants", lambda p: X.padded_words(F.col("clause")).contains(X.padded_words(p)))
-    ok = j.filter((F.col("shared") >= F.least(F.lit(2), F.size("tt"))) & named & settles(F.col("title"), F.col("clause")))
+    ok = j.filter((F.col("shared") >= needed) & named & settles(F.col("title"), F.col("clause")))
     best = ok.groupBy("chat_key", "id").agg(F.max_by("clause", F.struct("shared", "cid")).alias("clause"))
     d = t.join(best, ["chat_key", "id"], "left")
     covers = lambda part: F.size(F.array_intersect(F.array_except(audit_terms(part), names), audit_terms("clause"))) > 0
@@ -239,9 +242,10 @@ def resolve_identity_threads(threads: DataFrame, resolutions: DataFrame) -> Data
     cue = r"(?i)\b(?:identity|who (?:is|was|are)|true name|real name|unidentified|unknown)\b"
     t = threads.filter((F.col("status") == "open") & F.col("title").rlike(cue)).withColumn("tt", audit_terms("title"))
     r = resolutions.select("chat_key", "reference", "canonical", audit_terms("reference").alias("rt")).filter(F.size("rt") > 0)
-    tw = t.select("chat_key", "id", F.explode("tt").alias("w"))
-    rw = r.select("chat_key", "reference", "canonical", F.size("rt").alias("n"), F.explode("rt").alias("w"))
-    hit = tw.join(rw, ["chat_key", "w"]).groupBy("chat_key", "id", "reference", "canonical", "n").agg(F.count(F.lit(1)).alias("c")).filter("c = n")
+    # all words of a reference stand in the title, its rarest one too
+    pairs = rare_candidates(r.withColumn("terms", F.col("rt")), ["reference"], t.withColumn("terms", F.col("tt")), ["id"], F.size("rt"), ["chat_key"])
+    hit = pairs.join(r, ["chat_key", "reference"]).join(t.select("chat_key", "id", "tt"), ["chat_key", "id"])
+    hit = hit.filter(F.size(F.array_except("rt", "tt")) == 0).withColumn("n", F.size("rt"))
     best = hit.groupBy("chat_key", "id").agg(F.max_by("canonical", F.struct("n", "canonical")).alias("canonical"))
     j = threads.join(best, ["chat_key", "id"], "left")
     left = F.array_join(F.filter(X.sentences("detail"), lambda s: s.rlike(UNCLEAR) & ~s.rlike(cue)), " ")
@@ -263,15 +267,23 @@ def address_forms(facts: DataFrame) -> DataFrame:
 def address_evidence(forms: DataFrame, messages: DataFrame, own_range: bool) -> DataFrame:
     """Who uses each form: authored vocatives of both sides and explicit statements.
 
-    Forms meet messages on their first word; the whole form is checked after.
+    Forms meet messages on their rarest word, inside the buckets of their range if
+    only that counts; texts follow for the pairs, and the whole form is checked.
     """
-    first = F.element_at(F.split(F.trim(X.padded_words("form")), " "), 1)
-    f = forms.withColumn("w", first)
-    words = F.array_distinct(F.split(F.trim(X.padded_words("text")), " "))
-    m = messages.select("chat_key", "idx", X.fold_key("name").alias("author"), "text", F.explode(words).alias("w"))
-    j = f.join(m, ["chat_key", "w"]).filter(X.padded_words("text").contains(X.padded_words("form")))
+    words = lambda c: F.array_distinct(F.split(F.trim(X.padded_words(c)), " "))
+    f = forms.withColumn("terms", words("form"))
+    m = messages.select("chat_key", "idx", words("text").alias("terms"))
+    key, bucket = ["chat_key"], lambda c: F.floor(F.col(c) / 64)
+    if own_range:
+        key = ["chat_key", "bucket"]
+        f = f.withColumn("bucket", F.explode(F.sequence(bucket("range_from"), bucket("range_to"))))
+        m = m.withColumn("bucket", bucket("idx"))
+    pairs = rare_candidates(f, ["id", "form"], m, ["idx"], F.size("terms"), key)
+    j = pairs.join(forms, ["chat_key", "id", "form"])
     if own_range:
         j = j.filter((F.col("idx") >= F.col("range_from")) & (F.col("idx") <= F.col("range_to")))
+    texts = messages.select("chat_key", "idx", X.fold_key("name").alias("author"), "text")
+    j = j.join(texts, ["chat_key", "idx"]).filter(X.padded_words("text").contains(X.padded_words("form")))
     speech = X.sentences("text")
     vocative = F.exists(speech, lambda s: X.is_vocative(s, F.col("form")))
     says = F.exists(speech, lambda s: X.padded_words(s).contains(X.padded_words(F.col("speaker"))) & X.padded_words(s).contains(X.padded_words(F.col("form")))
@@ -343,10 +355,12 @@ def knowledge_boundaries(facts: DataFrame, messages: DataFrame, resolutions: Dat
     words = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(X.fold_key(c), F.lit(r"([\p{L}\p{N}]+)"), 1), lambda w: F.length(w) >= 4))
     # a sentence that names holder and topic and a way of learning grants it
     g = evidence_sentences(messages).filter(F.col("sentence").rlike(r"(?i)\b(?:learn(?:s|ed)|knows?|knew|told|reveal(?:s|ed)|recogni[sz]e[sd]?|realis|realiz)") & ~F.col("sentence").rlike(negative))
-    gw = g.select("chat_key", F.lower(X.padded_words("sentence")).alias("s"), F.explode(F.array_distinct(F.split(F.trim(X.padded_words("sentence")), " "))).alias("w"))
+    split = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
+    g = g.select("chat_key", "idx", "pos", F.lower(X.padded_words("sentence")).alias("s")).withColumn("terms", split("s"))
     blocked = k.join(b.select("chat_key", "holder", "topic", F.col("seq").alias("b_seq")), ["chat_key", "holder", "topic"]).select("chat_key", "id", "holder", "topic").distinct()
-    asked = blocked.withColumn("w", F.split("topic", " ")[0])
-    granted = asked.join(gw, ["chat_key", "w"]).filter(F.col("s").contains(F.concat(F.lit(" "), F.col("holder"), F.lit(" "))) & F.col("s").contains(F.concat(F.lit(" "), F.col("topic"), F.lit(" ")))).select("chat_key", "id").distinct()
+    asked = blocked.withColumn("terms", split(F.concat_ws(" ", "holder", "topic")))
+    pairs = rare_candidates(asked, ["id", "holder", "topic"], g, ["idx", "pos"], F.size("terms"), ["chat_key"])
+    granted = pairs.join(g.drop("terms"), ["chat_key", "idx", "pos"]).filter(F.col("s").contains(F.concat(F.lit(" "), F.col("holder"), F.lit(" "))) & F.col("s").contains(F.concat(F.lit(" "), F.col("topic"), F.lit(" ")))).select("chat_key", "id").distinct()
     withheld = blocked.join(granted, ["chat_key", "id"], "left_anti").select("chat_key", "id", F.lit("withheld").alias("v"))
     # newer accepted knowledge of the same holder and predicate retires a boundary
     kk = k.join(withheld.select("chat_key", "id"), ["chat_key", "id"], "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
 from .scale import spread, write_through
@@ -210,3 +210,18 @@ def hierarchy_links(left: DataFrame, right: DataFrame) -> DataFrame:
         .filter(F.col("left_id") != F.col("right_id"))
         .select("chat_key", "left_id", "right_id").distinct()
     )
+
+
+def rare_candidates(left: DataFrame, left_keys: list[str], right: DataFrame, right_keys: list[str], need: Column, within: list[str]) -> DataFrame:
+    """Distinct (within, left keys, right keys) that may share ``need`` of the left row's words.
+
+    Both sides hold distinct words in ``terms``. Of a left row's n words, one of the
+    n - need + 1 that are rarest on the right must be shared, so only these are
+    joined; the caller counts the shared words of the pairs that are left.
+    """
+    words = left.select(*within, *left_keys, (F.size("terms") - need + 1).alias("__front"), F.explode("terms").alias("__w"))
+    theirs = right.select(*within, *right_keys, F.explode("terms").alias("__w"))
+    often = theirs.groupBy(*within, "__w").agg(F.count(F.lit(1)).alias("__df"))
+    order = Window.partitionBy(*within, *left_keys).orderBy(F.coalesce("__df", F.lit(0)), "__w")
+    front = words.join(often, [*within, "__w"], "left").withColumn("__n", F.row_number().over(order)).filter("__n <= __front")
+    return front.join(theirs, [*within, "__w"]).select(*within, *left_keys, *right_keys).distinct()

@@ -530,10 +530,14 @@ def ledger_titles(
     one = records.withColumn("k", title_key).filter("k <> ''").groupBy("chat_key", "k").agg(
         F.max_by(F.struct("id", "title", "range_from", "range_to"), newest).alias("r")
     ).select("chat_key", "r.*")
-    free = queries.select("query_id", "chat_key").join(one, "chat_key").join(
+    newest_first = [F.col("range_to").desc(), F.col("range_from").desc(), F.col("id")]
+    # a query leaves out its own selected rows at most, so it needs no more titles than these of a chat
+    biggest = selected.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    front = top_k(one, ["chat_key"], newest_first, most + biggest).drop("rank")
+    free = queries.select("query_id", "chat_key").join(front, "chat_key").join(
         selected.select("query_id", "id"), ["query_id", "id"], "left_anti"
     )
-    top = top_k(free, ["query_id"], [F.col("range_to").desc(), F.col("range_from").desc(), F.col("id")], most)
+    top = top_k(free, ["query_id"], newest_first, most)
     return top.groupBy("query_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(keep_order, "id", "title"))), lambda s: s["title"]), "; ").alias("titles"),
         F.count(F.lit(1)).alias("n"),
@@ -768,21 +772,38 @@ def context_text(packed: DataFrame) -> DataFrame:
 
 
 # ---- F11-F15 --------------------------------------------------------------------------------
-def correction_context(instructions: DataFrame, records: DataFrame, most: int = 60, characters: int = 30000) -> DataFrame:
+def correction_context(
+    instructions: DataFrame, records: DataFrame, most: int = 60, characters: int = 30000, words: int | None = None
+) -> DataFrame:
     """Stored records a correction instruction may mean.
 
     ``instructions(instruction_id, chat_key, instruction)``; ``records(chat_key,
     category, id, body, importance, updated_at)``. Ten per matched term plus
-    importance, at most ``most`` rows and ``characters`` of text.
+    importance, at most ``most`` rows and ``characters`` of text; ``words`` keeps
+    the first words of an instruction (all by default).
+
+    A term holds no blank, so where it stands inside a body it stands inside one
+    word. Terms meet the distinct words of a chat by the parts of their lengths,
+    and words lead to their records.
     """
-    words = F.filter(
+    terms = F.filter(
         F.array_distinct(F.regexp_extract_all(X.fold_key("instruction"), F.lit(r"([\p{L}\p{N}][\p{L}\p{N}'-]*)"), 1)),
         lambda w: (F.length(w) >= 2) & ~w.isin(*fixed.STOP_WORDS),
     )
-    q = instructions.select("instruction_id", "chat_key", F.slice(words, 1, 200).alias("terms"))
-    j = records.join(q, "chat_key").withColumn("hay", X.fold_key("body")).withColumn(
-        "matches", F.size(F.filter("terms", lambda t: F.col("hay").contains(t)))).filter("matches > 0")
-    scored = j.withColumn("score", F.col("matches") * 10 + X.clamp_importance("importance"))
+    q = instructions.select("instruction_id", "chat_key", F.explode(terms if words is None else F.slice(terms, 1, words)).alias("part"))
+    q = q.withColumn("size", F.length("part"))
+    hay = records.withColumn("__hay", X.fold_key("body")).withColumn("__body", F.md5("__hay"))
+    row = ["chat_key", "category", "id", "__body"]
+    runs = F.array_distinct(F.regexp_extract_all("__hay", F.lit(r"([\p{L}\p{N}'-]+)"), 1))
+    held = write_through(hay.select(*row, F.explode(runs).alias("word")), "correction-words")
+    sizes = q.groupBy("chat_key").agg(F.collect_set("size").alias("sizes"))
+    long_enough = F.explode(F.filter("sizes", lambda n: n <= F.length("word")))
+    cut = held.select("chat_key", "word").distinct().join(sizes, "chat_key").select("chat_key", "word", long_enough.alias("size"))
+    cut = cut.select("chat_key", "word", "size", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("size") + 1)).alias("at"))
+    cut = cut.select("chat_key", "word", F.substring(F.col("word"), F.col("at"), F.col("size")).alias("part")).distinct()
+    matches = cut.join(q, ["chat_key", "part"]).join(held, ["chat_key", "word"]).groupBy("instruction_id", *row).agg(
+        F.countDistinct("part").cast("int").alias("matches"))
+    scored = hay.drop("__hay").join(matches, row).drop("__body").withColumn("score", F.col("matches") * 10 + X.clamp_importance("importance"))
     ranked = top_k(scored, ["instruction_id"], [F.col("score").desc(), F.col("updated_at").desc(), F.col("id")], most)
     run = F.sum(F.length("body")).over(Window.partitionBy("instruction_id").orderBy("rank"))
     w = Window.partitionBy("instruction_id").orderBy("rank")
@@ -790,7 +811,7 @@ def correction_context(instructions: DataFrame, records: DataFrame, most: int =
     # the first row that passes the budget ends the list
     return (
         ranked.withColumn("__over", over).withColumn("__stop", F.min("__over").over(w))
-        .filter(F.col("__stop").isNull()).drop("__over", "__stop", "hay", "terms")
+        .filter(F.col("__stop").isNull()).drop("__over", "__stop")
     )
 
 
