@@ -483,8 +483,8 @@ def idf(documents, frequency) -> Column:
 _THINK_BLOCK = r"(?is)<(think|thinking|thought|reasoning)(?:\s[^>]*)?>.*?</\1>"
 
 
-def parse_expansion_terms(raw, limit: int = 20) -> Column:
-    """Distinct terms of ``{"terms": [...]}``; complete items survive a cut list."""
+def parse_expansion_terms(raw, limit: int | None = None) -> Column:
+    """Distinct terms of ``{"terms": [...]}``, the first ``limit`` if wanted; complete items survive a cut list."""
     clean = F.trim(F.regexp_replace(F.coalesce(as_col(raw), F.lit("")), _THINK_BLOCK, ""))
     whole = F.regexp_extract(clean, r"(?s)(\{.*\})", 1)
     parsed = F.from_json(F.when(whole != "", whole), "terms array<string>")["terms"]
@@ -493,7 +493,8 @@ def parse_expansion_terms(raw, limit: int = 20) -> Column:
     items = F.regexp_extract_all(tail, F.lit(r'"((?:[^"\\]|\\.)*)"'), 1)
     salvaged = F.transform(items, lambda v: F.regexp_replace(v, r"\\(.)", "$1"))
     values = F.transform(F.coalesce(parsed, salvaged), normalize_text)
-    return F.slice(F.array_distinct(nonempty(values)), 1, limit)
+    terms = F.array_distinct(nonempty(values))
+    return terms if limit is None else F.slice(terms, 1, limit)
 
 
 def compile_story(premise, developments, boundary, open_matters) -> Column:

@@ -494,12 +494,12 @@ def merge_profiles(details: DataFrame) -> DataFrame:
 PLACEHOLDER_DESCRIPTION = r"(?i)^details about .+ remain disputed or attributed"
 
 
-def merge_descriptions(pairs: DataFrame, limit: int = 800) -> DataFrame:
+def merge_descriptions(pairs: DataFrame, limit: int | None = None) -> DataFrame:
     """Prior and incoming entity text combined.
 
     Incoming wins; a prior identity sentence survives when it brings two unseen
     terms; a placeholder or empty text gives way; a structured profile stays.
-    ``pairs(chat_key, id, prior, incoming)``.
+    ``pairs(chat_key, id, prior, incoming)``; ``limit`` cuts the result.
     """
     prior, nxt = X.normalize_text("prior"), X.normalize_text("incoming")
     weak = lambda c: (c == "") | c.rlike(PLACEHOLDER_DESCRIPTION)
@@ -511,4 +511,4 @@ def merge_descriptions(pairs: DataFrame, limit: int = 800) -> DataFrame:
         F.when(weak(nxt), prior).when(weak(prior), nxt).when(profile(nxt), nxt).when(profile(prior), prior)
         .otherwise(F.trim(mixed))
     )
-    return pairs.withColumn("description", X.clip(out, limit))
+    return pairs.withColumn("description", X.normalize_text(out) if limit is None else X.clip(out, limit))

@@ -6,21 +6,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
 
-LIMITS = {2: (8, 12, 50, 30), 3: (12, 16, 100, 40)}  # points, threads, sources, participants
+#: turning points, open threads and sources of a parent row, for callers that want them bounded
+LIMITS = {2: (8, 12, 50), 3: (12, 16, 100)}
 
 
 def exact_text_key(value) -> Column:
     return F.regexp_replace(X.fold_key(value), "[.!?]+$", "")
 
 
-def compact_fields(df: DataFrame, level: int) -> DataFrame:
+def compact_fields(df: DataFrame, limits: tuple[int, int, int] | None = None) -> DataFrame:
     """Drop text repeated across the prose fields of one parent row.
 
     Fields are read in order summary, turning points, emotional arc, closing
     state, open threads; the first occurrence stays. First- and second-person
-    sentences go first.
+    sentences go first. ``limits`` (one of ``LIMITS``) bounds the lists; all items
+    stay by default.
     """
-    points, threads, _, _ = LIMITS[level]
+    first = lambda items, n: items if limits is None else F.slice(items, 1, limits[n])
     clean = lambda c: X.third_person_only(c)
 
     def keys(items: Column) -> Column:
@@ -38,7 +40,7 @@ def compact_fields(df: DataFrame, level: int) -> DataFrame:
 
     df = df.withColumn("summary", F.coalesce(clean("summary"), F.lit("")))
     df = df.withColumn("__seen", keys(F.array("summary")))
-    df = df.withColumn("turning_points", F.slice(fresh(as_list("turning_points"), F.col("__seen")), 1, points))
+    df = df.withColumn("turning_points", first(fresh(as_list("turning_points"), F.col("__seen")), 0))
     df = df.withColumn("__seen", F.concat("__seen", keys(F.col("turning_points"))))
     for field in ("emotional_arc", "closing_state"):
         value = F.coalesce(clean(field), F.lit(""))
@@ -46,37 +48,39 @@ def compact_fields(df: DataFrame, level: int) -> DataFrame:
             field, F.when(F.array_contains(F.col("__seen"), exact_text_key(value)), "").otherwise(value)
         )
         df = df.withColumn("__seen", F.concat("__seen", keys(F.array(field))))
-    df = df.withColumn("open_threads", F.slice(fresh(as_list("open_threads"), F.col("__seen")), 1, threads))
+    df = df.withColumn("open_threads", first(fresh(as_list("open_threads"), F.col("__seen")), 1))
     return df.drop("__seen")
 
 
-def rollup(children: DataFrame, level: int) -> DataFrame:
+def rollup(children: DataFrame, level: int, limits: tuple[int, int, int] | None = None) -> DataFrame:
     """Parent row per complete group (D7); the id is a function of the child ids.
 
     ``children(chat_key, group_no, id, range_from, range_to, anchor_ids, frames,
     sources)``. Groups are bounded by the group size, so collecting child rows is
-    safe. Running it again gives the same ids, so a re-run adds nothing.
+    safe. Running it again gives the same ids, so a re-run adds nothing. ``limits``
+    keeps the last sources only.
     """
-    sources_kept = LIMITS[level][2]
     rows = F.array_sort(
         F.collect_list(F.struct("range_from", "id", "range_to", "anchor_ids", "frames", "sources"))
     )
     g = children.groupBy("chat_key", "group_no").agg(rows.alias("c"))
     flat = lambda f: F.array_distinct(X.nonempty(F.flatten(F.col(f"c.{f}"))))
     sources = F.array_distinct(F.flatten(F.col("c.sources")))
+    if limits is not None:
+        sources = F.slice(sources, F.greatest(F.lit(1), F.size(sources) - (limits[2] - 1)), limits[2])
     return g.select(
         "chat_key", "group_no",
         F.concat(F.lit(f"L{level}-"), F.substring(F.md5(F.array_join("c.id", "|")), 1, 16)).alias("id"),
         F.col("c.id").alias("child_ids"),
         F.array_min("c.range_from").alias("range_from"), F.array_max("c.range_to").alias("range_to"),
         flat("anchor_ids").alias("anchor_ids"), flat("frames").alias("frames"),
-        F.slice(sources, F.greatest(F.lit(1), F.size(sources) - (sources_kept - 1)), sources_kept).alias("sources"),
+        sources.alias("sources"),
     )
 
 
-def with_summaries(parents: DataFrame, summaries: DataFrame, level: int) -> DataFrame:
+def with_summaries(parents: DataFrame, summaries: DataFrame, limits: tuple[int, int, int] | None = None) -> DataFrame:
     """Attach prose (summary, turning_points, ...) by chat and group, then compact it."""
-    return compact_fields(parents.join(summaries, ["chat_key", "group_no"], "left"), level)
+    return compact_fields(parents.join(summaries, ["chat_key", "group_no"], "left"), limits)
 
 
 def _links(parents: DataFrame) -> DataFrame:

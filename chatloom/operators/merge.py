@@ -194,12 +194,13 @@ def suppress_corrected(incoming: DataFrame, operations: DataFrame, category: str
 
 
 # ---- D6 ---------------------------------------------------------------------------
-def apply_record_merges(records: DataFrame, merges: DataFrame) -> DataFrame:
+def apply_record_merges(records: DataFrame, merges: DataFrame, participants: int | None = None) -> DataFrame:
     """Explicit merges (D6): (chat_key, canonical_id, duplicate_ids).
 
     A request with a missing, incompatible (``kind``) or corrected member is
     refused whole. Accepted duplicates go; their sources and participants join
-    the canonical row; ``absorbed`` counts them.
+    the canonical row (``participants`` keeps the first of them); ``absorbed``
+    counts them.
     """
     asked = merges.select("chat_key", "canonical_id", F.explode(F.array_distinct("duplicate_ids")).alias("id"))
     asked = asked.filter(F.col("id") != F.col("canonical_id"))
@@ -223,10 +224,11 @@ def apply_record_merges(records: DataFrame, merges: DataFrame) -> DataFrame:
     )
     kept = records.join(pairs.select("chat_key", "id").distinct(), ["chat_key", "id"], "left_anti")
     none_s, none_p = F.array().cast(records.schema["sources"].dataType), F.array().cast("array<string>")
+    people = F.array_distinct(F.concat("participants", F.coalesce("__p", none_p)))
     return kept.join(gained, ["chat_key", "id"], "left").select(
         *[c for c in records.columns if c not in ("sources", "participants")],
         F.array_distinct(F.concat("sources", F.coalesce("__s", none_s))).alias("sources"),
-        F.slice(F.array_distinct(F.concat("participants", F.coalesce("__p", none_p))), 1, 30).alias("participants"),
+        (people if participants is None else F.slice(people, 1, participants)).alias("participants"),
         F.coalesce("absorbed", F.lit(0)).alias("absorbed"),
     )
 

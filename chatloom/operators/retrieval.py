@@ -665,14 +665,29 @@ def evidence_confidence(queries: DataFrame, index: Index, docs: DataFrame) -> Da
     return write_through(best, "confidence")
 
 
-def support_select(links: DataFrame, depth: float = 1.0, most: int = 12) -> DataFrame:
+def support_depth(budget) -> Column:
+    """How far support goes at a token budget; 10,000 tokens are the base."""
+    return F.least(F.lit(1.5), F.greatest(F.lit(0.75), F.sqrt(X.as_col(budget) / 10_000)))
+
+
+def support_most(budget) -> Column:
+    """Most support rows of a query at a token budget."""
+    return F.greatest(F.lit(12), F.ceil(X.as_col(budget) / 80)).cast("long")
+
+
+def support_select(links: DataFrame, budgets: DataFrame | None = None, budget: int = 10_000, most: int | None = None) -> DataFrame:
     """Support rows per query (F9) from qualified links with their priorities.
 
     ``links(query_id, seed, doc, link_score, priority, seed_confidence,
     own_confidence, indirect, bridged, source_rank)``: ``source_rank`` numbers
     the source-linked rows of a seed in preference order (null when not linked,
-    at most two per source range). Everything is windows per (query, seed).
+    at most two per source range). ``budgets(query_id, budget)`` sets depth and
+    number of rows per query, ``budget`` stands for queries that have none, and
+    ``most`` overrides the number. Everything is windows per (query, seed).
     """
+    links = links.withColumn("__budget", F.lit(budget)) if budgets is None else links.join(
+        budgets.select("query_id", F.col("budget").alias("__budget")), "query_id", "left").fillna(budget, ["__budget"])
+    depth = support_depth("__budget")
     usable = links.filter(~F.col("indirect") | (F.col("own_confidence") >= 0.2) | F.col("bridged"))
     # the margin of the i-th row is at most 1/sqrt(1 + 0.3 i), so past i = 167 it
     # cannot reach 0.14: only the first rows per seed and the source-linked ones matter
@@ -700,7 +715,9 @@ def support_select(links: DataFrame, depth: float = 1.0, most: int = 12) -> Data
     best = Window.partitionBy("query_id", "doc").orderBy(F.col("n_in_seed"), F.col("marginal").desc(), F.col("seed"))
     one = kept.withColumn("__b", F.row_number().over(best)).filter("__b = 1").drop("__b")
     # round robin over seeds: first rows of all seeds, then second rows, ...
-    return top_k(one, ["query_id"], [F.col("n_in_seed"), F.col("seed_confidence").desc(), F.col("marginal").desc(), F.col("doc")], most, "support_rank")
+    turn = Window.partitionBy("query_id").orderBy("n_in_seed", F.col("seed_confidence").desc(), F.col("marginal").desc(), "doc")
+    taken = one.withColumn("support_rank", F.row_number().over(turn))
+    return taken.filter(F.col("support_rank") <= (support_most("__budget") if most is None else most)).drop("__budget")
 
 
 # ---- F10 --------------------------------------------------------------------------------

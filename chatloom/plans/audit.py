@@ -241,16 +241,16 @@ def _(spark, sf):
 
 # ---- C32, C33, C37-C41 -------------------------------------------------------------------------
 @query("consistency_warnings", sql("""
-WITH own AS (SELECT chat_key, 'item ' || (k % 20) AS item, min(lower(a)) AS x, max(lower(a)) AS y FROM script WHERE event_id % 10 = 0 GROUP BY ALL HAVING min(lower(a)) <> max(lower(a))),
-loc AS (SELECT DISTINCT chat_key, lower(a) AS a, 'dock' || (k % 7) AS v FROM script WHERE event_id % 10 = 1 AND a IN ('Alba', 'Boris') AND k % 7 <> 0),
-old AS (SELECT chat_key, lower(a) AS s, 'rank' || (k % 5) AS v FROM script WHERE event_id % 10 = 2), nw AS (SELECT chat_key, lower(a) AS s, 'rank' || (k % 3) AS v FROM script WHERE event_id % 10 = 3)
+WITH own AS (SELECT chat_key, 'item ' || (k % 20) AS item, min(lower(a)) AS x, max(lower(a)) AS y FROM script WHERE event_id % 4 = 0 GROUP BY ALL HAVING min(lower(a)) <> max(lower(a))),
+loc AS (SELECT DISTINCT chat_key, lower(a) AS a, 'dock' || (k % 7) AS v FROM script WHERE event_id % 4 = 1 AND a IN ('Alba', 'Boris') AND k % 7 <> 0),
+old AS (SELECT chat_key, lower(a) AS s, 'rank' || (k % 5) AS v FROM script WHERE event_id % 4 = 2), nw AS (SELECT chat_key, lower(a) AS s, 'rank' || (k % 3) AS v FROM script WHERE event_id % 4 = 3)
 SELECT chat_key, 'possession' AS kind, item AS about, x || ' / ' || y AS detail FROM own
 UNION ALL SELECT chat_key, 'location', a, v || ' / dock0' FROM loc
 UNION ALL SELECT DISTINCT n.chat_key, 'fact change', n.s || ' - rank', o.v || ' / ' || n.v FROM nw n JOIN old o ON o.chat_key = n.chat_key AND o.s = n.s AND o.v <> n.v
 """, "script"))
 def _(spark, sf):
     s = _script(spark, sf)
-    e, k = F.col("event_id") % 10, F.col("k")
+    e, k = F.col("event_id") % 4, F.col("k")
     base = ["chat_key", F.col("a").alias("subject")]
     set_ = F.lit("set").alias("operation")
     st = s.filter(e == 0).select(*base, F.lit("holds").alias("attribute"), _cat("Item ", (k % 20).cast("string")).alias("value"), set_).unionByName(
@@ -292,10 +292,10 @@ def _(spark, sf):
 
 @query("description_enrichment", sql(f"""
 WITH p AS (SELECT chat_key, unnest({_SQL_PEOPLE}) AS name FROM (SELECT DISTINCT chat_key FROM script)),
-r AS (SELECT chat_key, n, arg_max(d, (imp, length(d), d)) AS rt FROM (SELECT chat_key, a AS n, 'friend since ' || event_id AS d, 1 + event_id % 5 AS imp FROM script WHERE event_id % 30 = 0
-        UNION ALL SELECT chat_key, b, 'friend since ' || event_id, 1 + event_id % 5 FROM script WHERE event_id % 30 = 0) GROUP BY ALL),
+r AS (SELECT chat_key, n, arg_max(d, (imp, length(d), d)) AS rt FROM (SELECT chat_key, a AS n, 'friend since ' || event_id AS d, 1 + event_id % 5 AS imp FROM script
+        UNION ALL SELECT chat_key, b, 'friend since ' || event_id, 1 + event_id % 5 FROM script) GROUP BY ALL),
 f AS (SELECT chat_key, a AS n, 'role number ' || event_id AS v, row_number() OVER (PARTITION BY chat_key, a ORDER BY length('role number ' || event_id) DESC, 'role number ' || event_id) AS rn
-      FROM script WHERE 1 + event_id % 5 >= 4 AND k % 2 = 0 AND event_id % 8 = 3),
+      FROM script WHERE 1 + event_id % 5 >= 4 AND k % 2 = 0),
 fx AS (SELECT chat_key, n, string_agg(v, ' ' ORDER BY rn) AS ft FROM f WHERE rn <= 2 GROUP BY ALL)
 SELECT p.chat_key || '-' || p.name AS id, coalesce(concat_ws(' ', rt, ft), '') AS description FROM p LEFT JOIN r ON r.chat_key = p.chat_key AND r.n = p.name LEFT JOIN fx ON fx.chat_key = p.chat_key AND fx.n = p.name
 """, "script"))
@@ -303,8 +303,8 @@ def _(spark, sf):
     s = _script(spark, sf)
     e = _n("event_id")
     imp = (1 + F.col("event_id") % 5).alias("importance")
-    rel = s.filter(F.col("event_id") % 30 == 0).select("chat_key", F.col("a").alias("endpoint_a"), F.col("b").alias("endpoint_b"), _cat("friend since ", e).alias("dynamic"), imp)
-    f = s.filter(F.col("event_id") % 8 == 3).select("chat_key", "id", F.col("a").alias("subject"), F.lit("work").alias("predicate"), _cat("role number ", e).alias("value"),
+    rel = s.select("chat_key", F.col("a").alias("endpoint_a"), F.col("b").alias("endpoint_b"), _cat("friend since ", e).alias("dynamic"), imp)
+    f = s.select("chat_key", "id", F.col("a").alias("subject"), F.lit("work").alias("predicate"), _cat("role number ", e).alias("value"),
                                                     F.when(F.col("k") % 2 == 0, "trait").otherwise("belief").alias("category"), imp)
     return A.description_enrichment(_people(spark, sf), f, rel).select("id", "description")
 

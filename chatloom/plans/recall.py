@@ -237,9 +237,9 @@ def _(spark, sf):
 @query("packed_context")
 def _(spark, sf):
     q, _, sel = _selected(spark, sf)
-    heads = B.corpus(spark, sf).select(F.col("doc").alias("id"), X.clip("heading", 160).alias("h"))
-    rows = sel.join(heads, "id").select(
-        "query_id", "section_no", F.initcap("section").alias("title"), F.col("rank").alias("row_no"), F.concat(F.lit("- "), "h").alias("line"))
+    whole = B.corpus(spark, sf).select(F.col("doc").alias("id"), X.normalize_text(F.concat("heading", "body")).alias("whole"))
+    rows = sel.join(whole, "id").select(
+        "query_id", "section_no", F.initcap("section").alias("title"), F.col("rank").alias("row_no"), F.concat(F.lit("- "), "whole").alias("line"))
     packed = Q.pack_budget(rows, q.select("query_id", F.lit(700).alias("budget")))
     return packed.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(X.estimate_tokens(F.concat("line", F.lit("\n")))).alias("tokens"))
 

@@ -99,10 +99,6 @@ def _names(name):
     return lambda r: F.array_distinct(X.nonempty(F.transform(F.coalesce(r[name], F.array()), X.normalize_text)))
 
 
-def _clip(name, n):
-    return lambda r: X.clip(r[name], n)
-
-
 def _enum(name, kind, default=None):
     return lambda r: X.normalize_enum(r[name], kind, default)
 
@@ -127,10 +123,17 @@ COLUMNS = {
                _IMPORTANCE, ("temporal", lambda r: r["temporal"])),
     "threads": (_TARGET, ("title", _text("title")), ("detail", _text("detail")), ("status", _enum("status", "thread_status")),
                 ("participants", _names("participants")), _IMPORTANCE),
-    "backgrounds": (_TARGET, ("topic", _clip("topic", 120)), ("summary", _clip("summary", 400)),
+    "backgrounds": (_TARGET, ("topic", _text("topic")), ("summary", _text("summary")),
                     ("status", _enum("status", "background_status")), ("certainty", _enum("certainty", "certainty")),
                     ("participants", _names("participants")), _IMPORTANCE),
 }
+#: most characters of a text, for callers that want texts cut
+CLIPS = {
+    "backgrounds": {"topic": 120, "summary": 400},
+    "l1": {"title": 100, "story_time": 120, "location": 160, "opening": 320, "emotional_arc": 320, "closing": 320},
+}
+#: characters of a beat and beats of a row under the same option
+BEAT_CLIP, BEATS_KEPT = 400, 10
 _JSON_NAME = {"identity_resolutions": "identityResolutions", "record_merges": "recordMerges"}
 _NEEDED = {
     "entities": "name <> ''", "facts": "subject <> '' AND predicate <> ''", "states": "subject <> '' AND attribute <> ''",
@@ -151,8 +154,12 @@ def record_seq(range_from, n) -> Column:
     return F.shiftleft(F.col(range_from).cast("long"), 31) + F.col(n)
 
 
-def explode_category(extractions: DataFrame, category: str) -> DataFrame:
-    """Rows of one record table with provenance and anchor (A5)."""
+def _clipped(df: DataFrame, category: str) -> DataFrame:
+    return df.withColumns({c: X.clip(c, n) for c, n in CLIPS.get(category, {}).items()})
+
+
+def explode_category(extractions: DataFrame, category: str, clipped: bool = False) -> DataFrame:
+    """Rows of one record table with provenance and anchor (A5); ``clipped`` cuts texts to ``CLIPS``."""
     field = F.col("result")[_JSON_NAME.get(category, category)]
     rows = extractions.select(*_provenance(), F.posexplode(field).alias("n", "r"))
     cols = [fn(F.col("r")).alias(name) for name, fn in COLUMNS[category]]
@@ -161,23 +168,26 @@ def explode_category(extractions: DataFrame, category: str) -> DataFrame:
                         F.col("range_to").cast("string"), F.col("n").cast("string")).alias("id")
     span = F.array(F.struct(F.col("chat_key").alias("chat_key"), "range_from", "range_to")).alias("sources")
     out = rows.select(*_provenance()[:4], "temporal_anchor_id", ident, seq, span, *cols)
-    return out.filter(_NEEDED[category]) if category in _NEEDED else out
+    out = out.filter(_NEEDED[category]) if category in _NEEDED else out
+    return _clipped(out, category) if clipped else out
 
 
-def explode_l1(extractions: DataFrame) -> DataFrame:
-    """Level-1 rows with their temporal anchor."""
+def explode_l1(extractions: DataFrame, clipped: bool = False) -> DataFrame:
+    """Level-1 rows with their temporal anchor; ``clipped`` cuts texts to ``CLIPS`` and the list of beats."""
     c = F.col("result")["sceneCapsule"]
     temporal = c["temporal"]
     rows = extractions.select(
         "chat_key", "range_from", "range_to",
-        X.clip(c["title"], 100).alias("title"), X.clip(c["storyTime"], 120).alias("story_time"), X.clip(c["location"], 160).alias("location"),
-        _names("participants")(c).alias("participants"), X.clip(c["opening"], 320).alias("opening"),
-        F.slice(X.nonempty(F.transform(c["beats"], lambda b: X.clip(b, 400))), 1, 10).alias("beats"),
-        X.clip(c["emotionalArc"], 320).alias("emotional_arc"), X.clip(c["closing"], 320).alias("closing"),
+        X.normalize_text(c["title"]).alias("title"), X.normalize_text(c["storyTime"]).alias("story_time"), X.normalize_text(c["location"]).alias("location"),
+        _names("participants")(c).alias("participants"), X.normalize_text(c["opening"]).alias("opening"),
+        X.nonempty(F.transform(c["beats"], X.normalize_text)).alias("beats"),
+        X.normalize_text(c["emotionalArc"]).alias("emotional_arc"), X.normalize_text(c["closing"]).alias("closing"),
         X.clamp_importance(c["importance"]).alias("importance"),
         temporal["frame"].alias("frame"), temporal["relation"].alias("relation"), temporal["elapsed"].alias("elapsed"),
         temporal["certainty"].alias("certainty"),
     )
+    if clipped:
+        rows = _clipped(rows, "l1").withColumn("beats", F.slice(F.transform("beats", lambda b: X.clip(b, BEAT_CLIP)), 1, BEATS_KEPT))
     return temporal_anchors(rows)
 
 

@@ -333,7 +333,7 @@ def test_hierarchy_fields_drop_repeats(spark):
 
     row = [("The gate fell.", ["The gate fell!", "Ann left.", "ann left", "I saw it. Ben stayed."], "Calm returned.", "ANN LEFT.", ["Calm returned", "Who paid?"])]
     df = spark.createDataFrame(row, "summary string, turning_points array<string>, emotional_arc string, closing_state string, open_threads array<string>")
-    r = compact_fields(df, 2).first()
+    r = compact_fields(df).first()
     assert r.summary == "The gate fell." and r.turning_points == ["Ann left.", "Ben stayed."]
     assert r.emotional_arc == "Calm returned." and r.closing_state == "" and r.open_threads == ["Who paid?"]
 
