@@ -218,11 +218,16 @@ def rename_participants(df: DataFrame, renames: DataFrame, column: str = "partic
     return df.join(named, ["chat_key", "id"], "left").withColumn(column, F.coalesce("__p", column)).drop("__p")
 
 
-def apply_identity_resolutions(entities: DataFrame, renames: DataFrame) -> DataFrame:
+def apply_identity_resolutions(entities: DataFrame, renames: DataFrame, keep: Column | None = None) -> DataFrame:
     """Merge renamed entities into their canonical row: alias added, sources united.
 
-    ``entities(chat_key, id, name, aliases, sources, importance)``.
+    ``entities(chat_key, id, name, aliases, sources, importance)``. Where ``keep``
+    holds (corrected or historical rows) an entity neither moves nor takes another in.
     """
+    if keep is not None:
+        settled = entities.filter(keep).select("chat_key", X.fold_key("name").alias("k")).distinct()
+        into = renames.withColumn("__k", X.fold_key("canonical")).join(settled.withColumnRenamed("k", "__k"), ["chat_key", "__k"], "left_anti")
+        renames = into.drop("__k").join(settled, ["chat_key", "k"], "left_anti")
     moved = entities.withColumn("k", X.fold_key("name")).join(renames, ["chat_key", "k"], "left").withColumn(
         "target", X.fold_key(F.coalesce("canonical", "name")))
     own = F.col("canonical").isNull()

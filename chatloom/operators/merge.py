@@ -310,6 +310,40 @@ def nearest_l1_for_event(events: DataFrame, l1: DataFrame, threshold: int = 12)
     return events.select("chat_key", F.col("id").alias("event_id")).join(best, ["chat_key", "event_id"], "left")
 
 
+def event_chronology(events: DataFrame, nearest: DataFrame, l1: DataFrame, keep: int = 8) -> DataFrame:
+    """Level-1 rows that added events change or make (C36), with their ``action``.
+
+    ``events(chat_key, id, title, summary, consequences, story_time, location,
+    participants, importance)``, ``nearest(chat_key, event_id, l1_id)`` of
+    ``nearest_l1_for_event``. The nearest row takes the event's line as a beat and
+    its consequence into the closing, unless it tells them already, and keeps the
+    last ``keep`` beats; an event without one makes a row of its own.
+    """
+    blank = lambda c: X.normalize_text(F.coalesce(c, F.lit("")))
+    summary, consequence = blank("summary"), blank("consequences")
+    told = events.withColumn("__line", F.when(summary != "", summary).otherwise(blank("title"))).withColumn("__outcome", consequence)
+    told = told.join(nearest.select("chat_key", F.col("event_id").alias("id"), "l1_id"), ["chat_key", "id"], "left")
+
+    near = told.filter("l1_id IS NOT NULL").select("chat_key", F.col("l1_id").alias("id"), F.col("id").alias("event"), "__line", "__outcome")
+    # no more than the last events of a row can leave a trace
+    last = top_k(near, ["chat_key", "id"], [F.col("event").desc()], keep).groupBy("chat_key", "id").agg(
+        F.array_sort(F.collect_list(F.struct("event", "__line", "__outcome"))).alias("__told"))
+    has = lambda text, part: F.contains(X.fold_key(text), X.fold_key(part))
+    lines = F.filter(F.array_distinct(F.col("__told.__line")), lambda v: (v != "") & ~F.exists("beats", lambda b: has(b, v)))
+    outcomes = F.filter(F.array_distinct(F.col("__told.__outcome")), lambda v: (v != "") & ~has(blank("closing"), v))
+    beats = F.concat("beats", lines)
+    changed = l1.join(last, ["chat_key", "id"]).withColumns({
+        "beats": F.slice(beats, F.greatest(F.lit(1), F.size(beats) - (keep - 1)), keep),
+        "closing": F.trim(F.concat_ws(" ", blank("closing"), F.array_join(outcomes, " "))),
+    })
+    shape = ["chat_key", "id", "title", "story_time", "location", "participants", "opening", "beats", "emotional_arc", "closing", "importance"]
+    made = told.filter("l1_id IS NULL").select(
+        "chat_key", F.concat(F.lit("L1-"), F.substring(F.md5(F.concat_ws("|", "chat_key", F.col("id").cast("string"))), 1, 16)).alias("id"),
+        "title", "story_time", "location", "participants", F.col("__line").alias("opening"),
+        X.nonempty(F.array("__line", "__outcome")).alias("beats"), F.lit("").alias("emotional_arc"), F.col("__outcome").alias("closing"), "importance")
+    return changed.select(F.lit("update").alias("action"), *shape).unionByName(made.select(F.lit("add").alias("action"), *shape))
+
+
 # ---- D15, D16, C35, D17 -------------------------------------------------------------
 def strip_ranges(records: DataFrame, ranges: DataFrame) -> DataFrame:
     """Remove the contribution of some ranges; rows left without a source go.

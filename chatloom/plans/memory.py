@@ -702,6 +702,34 @@ def _(spark, sf):
     return M.nearest_l1_for_event(e, l).select("event_id", "l1_id", "score")
 
 
+@query("event_chronology", sql("""
+WITH lx AS (SELECT chat_key, id, k, 'p' || (k % 5) AS p, 'place ' || (k % 7) AS loc, 't' || (k % 3) AS tw FROM l1),
+e AS (SELECT chat_key, 'x' || event_id AS id, 'p' || (k % 6) AS p, 'place ' || (k % 11) AS loc, 't' || (k % 2) AS tw, event_id, k FROM ev),
+s AS (SELECT e.id AS event_id, lx.id AS l1_id, 12 * CAST(e.p = lx.p AS INT) + 10 * CAST(e.loc = lx.loc AS INT) + 4 * CAST(e.tw = lx.tw AS INT) AS score
+      FROM e JOIN lx USING (chat_key)),
+b AS (SELECT event_id, arg_max(l1_id, (score, l1_id)) AS l1_id FROM s WHERE score >= 12 GROUP BY event_id),
+n AS (SELECT e.*, l1_id, 'turn ' || e.event_id AS line, CASE WHEN e.k % 2 = 0 THEN 'cost ' || e.event_id ELSE '' END AS outcome FROM e LEFT JOIN b ON b.event_id = e.id),
+g AS (SELECT l1_id, list(line ORDER BY id) AS lines, coalesce(string_agg(outcome, ' ' ORDER BY id) FILTER (outcome <> ''), '') AS outcomes
+      FROM (SELECT * FROM n WHERE l1_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chat_key, l1_id ORDER BY id DESC) <= 8) GROUP BY l1_id)
+SELECT 'update' AS action, lx.id, array_to_string(list_slice(list_concat(['first ' || k, 'second ' || k], lines), greatest(1, len(lines) - 5), len(lines) + 2), '|') AS beats,
+  trim('end ' || k || ' ' || outcomes) AS closing FROM lx JOIN g ON g.l1_id = lx.id
+UNION ALL SELECT 'add', 'L1-' || substr(md5(chat_key || '|' || id), 1, 16), line || CASE WHEN outcome <> '' THEN '|' || outcome ELSE '' END, outcome FROM n WHERE l1_id IS NULL
+""", "l1", "ev"))
+def _(spark, sf):
+    k = F.col("k")
+    tag = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    none = F.array().cast("array<string>").alias("words")
+    l = B.l1(spark, sf)
+    typed = lambda *own: (F.array(tag("p", k % own[0])).alias("participants"), tag("place ", k % own[1]).alias("location"), F.array(tag("t", k % own[2])).alias("time_words"), none)
+    rows = l.select("chat_key", "id", F.lit("t").alias("title"), F.lit("").alias("story_time"), F.lit("").alias("location"), F.array(tag("p", k % 5)).alias("participants"),
+                    F.lit("o").alias("opening"), F.array(tag("first ", k), tag("second ", k)).alias("beats"), F.lit("").alias("emotional_arc"), tag("end ", k).alias("closing"), F.lit(5).alias("importance"))
+    e = B.event_messages(spark, sf).withColumn("id", tag("x", F.col("event_id")))
+    full = e.select("chat_key", "id", F.lit("t").alias("title"), tag("turn ", F.col("event_id")).alias("summary"), F.when(k % 2 == 0, tag("cost ", F.col("event_id"))).alias("consequences"),
+                    F.lit("").alias("story_time"), F.lit("").alias("location"), F.array(tag("p", k % 6)).alias("participants"), F.lit(5).alias("importance"))
+    nearest = M.nearest_l1_for_event(e.select("chat_key", "id", *typed(6, 11, 2)), l.select("chat_key", "id", *typed(5, 7, 3)))
+    return M.event_chronology(full, nearest, rows).select("action", "id", F.array_join("beats", "|").alias("beats"), "closing")
+
+
 @query("hierarchy_exclusion", sql("""
 SELECT l1.id FROM l1 WHERE NOT EXISTS (SELECT 1 FROM l2 WHERE l2.chat_key = l1.chat_key AND l2.group_no = l1.g // 3 AND l2.range_from % 48 = 0)
 """, "l1", "l2"))

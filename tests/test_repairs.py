@@ -118,3 +118,14 @@ def test_packing_equals_the_plain_rule(spark):
             if r[0] == q:
                 sections.setdefault(r[1], []).append(r[4])
         assert got.get(q, []) == _packed(limit, sections), (q, limit)
+
+
+def test_renames_leave_kept_entities_alone(spark):
+    from chatloom.operators.entities import apply_identity_resolutions
+
+    rows = [("c", i, n, [], [], 1, k) for i, n, k in (("1", "Rider", False), ("2", "Anna", False), ("3", "Mask", True), ("4", "Ben", False), ("5", "Stranger", False), ("6", "Carl", True))]
+    e = spark.createDataFrame(rows, "chat_key string, id string, name string, aliases array<string>, sources array<string>, importance int, corrected boolean")
+    r = spark.createDataFrame([("c", "rider", "Anna"), ("c", "mask", "Ben"), ("c", "stranger", "Carl")], "chat_key string, k string, canonical string")
+    got = {(x.name, tuple(x.aliases)) for x in apply_identity_resolutions(e, r, F.col("corrected")).collect()}
+    assert got == {("Anna", ("Rider",)), ("Mask", ()), ("Ben", ()), ("Stranger", ()), ("Carl", ())}
+    assert len(apply_identity_resolutions(e, r).collect()) == 3
