@@ -48,8 +48,9 @@ def token_overlap_pairs(
 
     containment = shared / size of the smaller set. Only rare tokens make
     candidates: of a set of n tokens that must share t, one shared token is
-    always among its n - t + 1 rarest, so frequent tokens never meet in the
-    join. Equal token sets are folded to one representative first; their copies
+    always among its n - t + 1 rarest. The smaller set brings only these; the
+    larger one brings all but its last words, so tokens that are common
+    everywhere meet only the small sets that start with them. Equal token sets are folded to one representative first; their copies
     come back as (representative, copy) rows, not as all pairs. Columns in
     ``same`` must be equal too before two rows count as copies.
     """
