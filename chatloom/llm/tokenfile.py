@@ -24,6 +24,8 @@ from .rangecoder import BLOCK, LANES, decode_blocks, encode_blocks
 from .tokens import encoder
 
 END = 2
+#: token pieces a worker remembers in each of two generations, beside the lanes of the coder
+REMEMBERED = 250_000
 
 
 def _records(key_type: T.DataType) -> T.StructType:
@@ -89,7 +91,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, key: str = "do
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, REMEMBERED)
         stream = _Stream(TaskContext.get().partitionId())
         kind = pa.int64()
         for batch in slices(batches, "__text"):
