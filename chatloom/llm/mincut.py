@@ -6,8 +6,13 @@ content; the two negative log-likelihoods are its terminal capacities. Neighbour
 in page order and in the document tree are tied by edges that weaken with their
 distance in the tree. The minimum cut labels all blocks of a page together.
 
+Left out before the cut are tags, comments and what stands in script, style, title
+and iframe. All other text is in a block, also where it is hidden, a fallback or in a
+drawing: these are features of the classifier.
+
 Null or empty html gives an empty text. Repeated rows are pages each. Broken
-markup is read as far as it goes; unclosed elements end with their container.
+markup is read as far as it goes; unclosed elements end with their container. An
+open head ends nothing, as all in it but text of the page is left out anyway.
 """
 
 from __future__ import annotations
@@ -23,11 +28,14 @@ from pyspark.sql import DataFrame, types as T
 from .common import carried, texts
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|math|iframe|textarea|select|object|canvas|head|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.DOTALL | re.IGNORECASE,
+    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
+    re.DOTALL,
 )
-_ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: no markup inside; only textarea has text of the page
+RAW = frozenset("script style title iframe textarea".split())
+#: may stand within a line: text inside makes blocks of its own, the line goes on afterwards
+INSETS = frozenset("svg object canvas noscript template select".split())
 _NAME = re.compile(r"[a-z]+")
 
 BLOCKS = frozenset(
@@ -38,11 +46,17 @@ _VOID = frozenset(("hr",))
 #: an open element of the second kind ends where one of the first begins
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _ENDS_P = frozenset(BLOCKS) - {"button", "label", "option"}
+#: what cannot stand directly in an inset ends it
+_ENDS_INSET = {
+    "svg": BLOCKS | frozenset("b big br center code em embed font i img nobr s small span strike strong sub sup tt u var".split()),
+    "select": BLOCKS - {"option", "hr", "button", "legend", "div"},
+}
 
 #: log-odds of content
 WEIGHTS = {
     "bias": -1.0, "article": 4.0, "paragraph": 1.0, "heading": 0.5, "words": 0.35, "sentence": 0.5, "links": -4.0,
     "nav": -9.0, "footer": -9.0, "aside": -8.0, "header": -7.0, "form": -8.0, "good name": 1.5, "bad name": -9.0,
+    "hidden": -7.0, "object": -2.0, "drawing": -9.0,
 }
 GOOD_NAMES = frozenset("article content entry main post story body text".split())
 BAD_NAMES = frozenset(
@@ -52,6 +66,7 @@ BAD_NAMES = frozenset(
 )
 ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "aside", "search": "form", "form": "form", "main": "article", "article": "article", "dialog": "aside", "alert": "aside"}
 KINDS = {"nav": "nav", "menu": "nav", "footer": "footer", "aside": "aside", "header": "header", "form": "form", "fieldset": "form", "button": "form", "label": "form", "dialog": "aside", "article": "article", "main": "article"}
+KINDS |= {"select": "form", "textarea": "form", "noscript": "hidden", "template": "hidden", "canvas": "hidden", "object": "object", "svg": "drawing"}
 #: smoothness between neighbours in page order and under one parent
 ADJACENT, SIBLING = 0.6, 0.8
 
@@ -64,7 +79,6 @@ class Element:
     kinds: frozenset = frozenset()
     good: bool = False
     bad: bool = False
-    hidden: bool = False
 
 
 @dataclass
@@ -77,7 +91,7 @@ class Block:
 
 def _element(tag: str, attrs: str, parent: Element) -> Element:
     kinds = set(parent.kinds)
-    good, bad, hidden = parent.good, parent.bad, parent.hidden
+    good, bad = parent.good, parent.bad
     kind = KINDS.get(tag)
     if kind == "header" and "article" in kinds:
         kind = None  # heads the article itself
@@ -92,30 +106,58 @@ def _element(tag: str, attrs: str, parent: Element) -> Element:
             bad = bad or (tag not in ("body", "html", "article", "main") and bool(words & BAD_NAMES))
         elif name == "role" and value in ROLES:
             kinds.add(ROLES[value])
+        elif tag in ("body", "html"):
+            continue  # hidden until a script has run
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            hidden = True
-    return Element(tag, parent.depth + 1, parent, frozenset(kinds), good, bad, hidden)
+            kinds.add("hidden")
+    return Element(tag, parent.depth + 1, parent, frozenset(kinds), good, bad)
 
 
 def read_blocks(page: str) -> list[Block]:
-    """Blocks of visible text in page order."""
-    root = Element("", 0, None)
-    at = root
-    out: list[Block] = []
+    """Blocks of text in page order."""
+    at = Element("", 0, None)
+    out: list[Block | None] = []
     pieces: list[str] = []
     linked, in_link = 0, False
+    slot: int | None = None  # place of a line that an inset interrupted
+    held: list[tuple] = []  # open insets and the lines around them
+    last_end: dict[str, int] = {}
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, slot
         raw = "".join(pieces)
         pieces.clear()
         text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
-        if text and not at.hidden:
-            out.append(Block(at, text, min(linked, len(text))))
-        linked = 0
+        if text:
+            block = Block(at, text, min(linked, len(text)))
+            if slot is None:
+                out.append(block)
+            else:
+                out[slot] = block
+        linked, slot = 0, None
+
+    def enter(node: Element) -> None:
+        nonlocal at, pieces, linked, slot
+        if slot is None and any(map(str.strip, pieces)):
+            slot = len(out)
+            out.append(None)
+        held.append((node, at, pieces, linked, in_link, slot))
+        at, pieces, linked, slot = node, [], 0, None
+
+    def leave(depth: int) -> None:
+        """Insets from this depth on end."""
+        nonlocal at, pieces, linked, in_link, slot
+        while held and held[-1][0].depth >= depth:
+            flush()
+            _, at, pieces, linked, in_link, slot = held.pop()
+
+    def ends_after(tag: str, place: int) -> bool:
+        if tag not in last_end:
+            last_end[tag] = max((m.start() for m in re.finditer(rf"</{tag}(?=[\s/>])", page, re.IGNORECASE)), default=-1)
+        return last_end[tag] >= place
 
     last = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, last):
         if m.start() > last:
             piece = page[last : m.start()]
             pieces.append(piece)
@@ -126,20 +168,49 @@ def read_blocks(page: str) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
-        if tag == "br":
+        if held and at is held[-1][0] and tag in _ENDS_INSET.get(at.tag, ()):
+            leave(at.depth)
+        if tag in RAW:
+            if m["end"]:
+                continue
+            if ends_after(tag, last):
+                stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(page, last)
+                inner, last = page[last : stop.start()], stop.end()
+            else:  # code goes on to the end of the page, other text to the next tag
+                stop = -1 if tag in ("script", "style") else page.find("<", last)
+                inner, last = page[last:stop] if stop >= 0 else page[last:], stop if stop >= 0 else len(page)
+            if tag == "textarea":
+                enter(_element(tag, m["attrs"], at))
+                pieces.append(inner)
+                leave(at.depth)
+        elif tag == "br":
+            pieces.append(" ")
+        elif tag == "annotation":  # of a formula, whose text stands in its line
             pieces.append(" ")
         elif tag == "a":
             in_link = not m["end"]
+        elif tag in INSETS:
+            if m["end"]:
+                node = next((h[0] for h in reversed(held) if h[0].tag == tag), None)
+                if node is not None:
+                    leave(node.depth)
+            elif not m["attrs"].endswith("/") and ends_after(tag, last):
+                enter(_element(tag, m["attrs"], at))
         elif tag in BLOCKS:
-            flush()
-            in_link = False
             if m["end"]:
                 node = at
                 while node.parent is not None and node.tag != tag:
                     node = node.parent
+                if node.parent is not None:
+                    leave(node.depth)
+                flush()
+                in_link = False
                 if node.parent is not None:
                     at = node.parent
-            elif tag not in _VOID:
+                continue
+            flush()
+            in_link = False
+            if tag not in _VOID:
                 if tag in _ENDS_P and at.tag == "p":
                     at = at.parent
                 if at.tag in _CLOSES.get(tag, ()):
@@ -147,8 +218,9 @@ def read_blocks(page: str) -> list[Block]:
                 at = _element(tag, m["attrs"], at)
     if last < len(page):
         pieces.append(page[last:])
+    leave(0)
     flush()
-    return out
+    return [b for b in out if b is not None]
 
 
 def log_odds(b: Block) -> float:

@@ -46,6 +46,31 @@ def test_odd_pages(page):
     assert isinstance(mincut.main_text(page), str)
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>t</title><body><article><p>Text of it.</p></article></body></html>", "Text of it."),
+        ("<head><title>t</title><meta charset=x><article><p>Text of it.</p></article>", "Text of it."),
+        ("<title>Open title <article><p>Text of it.</p></article>", "Text of it."),
+        ('<article><p>Text one.</p><svg class="i"/><p>Text two.</p></article>', "Text one.\nText two."),
+        ('<article><p>Text one.</p><svg class="i"><p>Text two.</p><p>An icon <svg><text>x</text></svg> here.</p></article>', "Text one.\nText two.\nAn icon here."),
+        ("<article><p>Area is <math><mi>x</mi></math> wide, <math/> it said.</p></article>", "Area is x wide, it said."),
+        ("<article><p>See <object data=a>a picture of it</object> and <noscript><img></noscript> this.</p></article>", "See and this.\na picture of it"),
+        ("<article><p>Text one.</p><canvas><p>Text two.</p></article>", "Text one.\nText two."),
+        ('<article><p>Text one.</p><p data-state="hidden">Text two.</p></article>', "Text one.\nText two."),
+        ("<article><p>Text one.</p><div hidden>Copied!</div><p>Text two.</p></article>", "Text one.\nText two."),
+        (f"<article><p>Text one.</p><div style='display: none'><p>{'Long text ' * 99}.</p></div></article>", f"Text one.\n{'Long text ' * 99}."),
+    ],
+)
+def test_nothing_is_lost_before_the_cut(page, want):
+    assert mincut.main_text(page) == want
+
+
+def test_hidden_text_is_a_feature():
+    blocks = mincut.read_blocks("<p>Shown<div hidden>Out of sight</div><noscript>No script</noscript><svg><text>Label</text></svg><textarea>Typed</textarea>")
+    assert [(b.text, *b.at.kinds) for b in blocks] == [("Shown",), ("Out of sight", "hidden"), ("No script", "hidden"), ("Label", "drawing"), ("Typed", "form")]
+
+
 def test_long_page():
     page = "<body><article>" + "".join(f"<p>Paragraph {i} has words.</p><div class=ad>Buy {i}</div>" for i in range(3000)) + "</article></body>"
     assert mincut.main_text(page).split("\n") == [f"Paragraph {i} has words." for i in range(3000)]
