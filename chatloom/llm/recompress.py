@@ -11,7 +11,7 @@ follows from the window alone: a run at its edge may go on outside, and so may a
 pair whose coin points outside; everything further in is fixed. The widest such
 symbol is the window's anchor (windows without one, inside long runs, are their
 own anchor). Equal windows share their anchor, so occurrences meet by anchor, and
-a hash of the whole window verifies them there.
+a 64-bit hash of the whole window beside the 64 bits of the anchor verifies them there.
 
 A task settles the windows that repeat within its slice and ships only the first
 of each, so a passage that a third of all documents share sends one row per slice.
@@ -40,8 +40,6 @@ WINDOW = 20
 ROUNDS = 3
 #: words of a text that are read at a time
 PART = 1 << 18
-#: bytes of a window's hash that travel beside its anchor
-CHECK = 5
 
 
 def window_hashes(w: np.ndarray, width: int = WINDOW) -> np.ndarray:
@@ -134,7 +132,7 @@ def read_parts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return np.concatenate(names), part, np.array(owner)[part], inside + np.array(offset)[part]
 
 
-_RECORD = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("text", "<u4"), ("pos", "<u4"), ("n", "u1")])
+_RECORD = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("pos", "<u4"), ("n", "u1")])
 SHIPPED = T.StructType([
     T.StructField("bucket", T.LongType()), T.StructField("records", T.BinaryType()), T.StructField("checks", T.BinaryType()),
     T.StructField("doc", T.LongType()), T.StructField("text", T.LongType()), T.StructField("repeats", T.BinaryType()),
@@ -189,13 +187,12 @@ def slice_records(ids: np.ndarray, text_hash: np.ndarray, texts: list[bytes], bu
     rec = np.zeros(len(run), _RECORD)
     rec["anchor"], rec["doc"], rec["text"] = name[run], ids[doc[s][run]], text_hash[doc[s][run]]
     rec["pos"], rec["n"] = pos[s][run], n
-    checks = np.ascontiguousarray(code).view(np.uint8).reshape(-1, 8)[:, :CHECK]
     bucket = (mix(rec["anchor"], 3) % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     edge = np.flatnonzero(np.concatenate(([True], np.diff(bucket[by]) > 0)))
     shipped = []
     window = np.repeat(np.argsort(by), n)  # rank of each window's record
-    dealt = checks[np.argsort(window, kind="stable")]
+    dealt = code[np.argsort(window, kind="stable")]
     upto = np.concatenate(([0], np.cumsum(n[by])))
     for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(by)], strict=True):
         shipped.append((int(bucket[by[a]]), rec[by[a:b]].tobytes(), dealt[upto[a] : upto[b]].tobytes()))
@@ -205,23 +202,23 @@ def slice_records(ids: np.ndarray, text_hash: np.ndarray, texts: list[bytes], bu
 def later_spans(records: bytes, checks: bytes) -> list[tuple[int, int, bytes]]:
     """Windows of a bucket that start later than an equal one: spans by document."""
     rec = np.frombuffer(records, _RECORD)
-    check = np.zeros((len(checks) // CHECK, 8), np.uint8)
-    check[:, :CHECK] = np.frombuffer(checks, np.uint8).reshape(-1, CHECK)
+    code = np.frombuffer(checks, np.uint64)
     n = rec["n"].astype(np.int64)
     of = np.repeat(np.arange(len(rec)), n)
     inside = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    code = mix2(rec["anchor"][of], check.view(np.uint64).ravel(), 9)
-    order = np.argsort(code)
-    same = code[order][1:] == code[order][:-1]
+    anchor = rec["anchor"][of]
+    order = np.lexsort((code, anchor))
+    same = (code[order][1:] == code[order][:-1]) & (anchor[order][1:] == anchor[order][:-1])
     shared = np.zeros(len(order), bool)
     shared[1:] |= same
     shared[:-1] |= same
     k = order[shared]
     r = rec[of[k]]
     pos = r["pos"] + inside[k]
-    by = np.lexsort((pos, r["text"], r["doc"], code[k]))
-    k, r, pos, c = k[by], r[by], pos[by], code[k][by]
-    head = np.concatenate(([True], c[1:] != c[:-1])) if len(c) else np.zeros(0, bool)
+    by = np.lexsort((pos, r["text"], r["doc"], code[k], anchor[k]))
+    k, r, pos = k[by], r[by], pos[by]
+    c, a = code[k], anchor[k]
+    head = np.concatenate(([True], (c[1:] != c[:-1]) | (a[1:] != a[:-1]))) if len(c) else np.zeros(0, bool)
     first = np.flatnonzero(head)[np.cumsum(head) - 1]
     late = (r["doc"] != r["doc"][first]) | (r["text"] != r["text"][first]) | (pos != pos[first])
     r, pos = r[late], pos[late].astype(np.int64)
@@ -241,7 +238,7 @@ def _with_key(docs: DataFrame, key: str, text: str, names: list[str]) -> DataFra
     return docs.select(
         F.struct(*[docs[c] for c in names]).alias("row"), docs[text].alias("__text"),
         F.coalesce(docs[key].cast("long"), F.lit(NULL_ID)).alias("doc"),
-        F.xxhash64(docs[text]).bitwiseAND(F.lit(0xFFFFFFFF)).alias("text"),
+        F.xxhash64(docs[text]).alias("text"),
     )
 
 

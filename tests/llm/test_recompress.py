@@ -68,3 +68,36 @@ def test_nulls_repeats_and_empty(spark, no_docs):
     got = sorted(((r.doc_id or 0, r.n_words, r.n_removed) for r in recompress.without_repeats(docs).collect()))
     assert got == [(0, 30, 0), (3, 30, 30), (3, 30, 30), (4, 0, 0), (5, 31, 30)]
     assert recompress.without_repeats(no_docs).count() == 0
+
+
+def slices_met(slices, **more):
+    """(id, text hash, position) of the windows that repeat, from slices of (id, text hash, text)."""
+    out, held = [], {}
+    for docs in slices:
+        ids, hashes, texts = zip(*docs)
+        shipped, repeats = recompress.slice_records(np.array(ids), np.array(hashes), [t.encode() for t in texts], 8, **more)
+        out += repeats
+        for b, rec, chk in shipped:
+            held.setdefault(b, []).append((rec, chk))
+    for parts in held.values():
+        out += recompress.later_spans(*(b"".join(x) for x in zip(*parts)))
+    return sorted((d, t, p) for d, t, s in out for at, n in np.frombuffer(s, recompress._SPAN).tolist() for p in range(at, at + n))
+
+
+def test_windows_of_one_anchor_differ_by_their_whole_hash(monkeypatch):
+    rng = random.Random(3)
+    line = "one frequent line of few words".split()
+    real = recompress.window_hashes
+    monkeypatch.setattr(recompress, "window_hashes", lambda w: real(w) & np.uint64(0xFFFFFF0000000000))
+    around = [[f"v{rng.randrange(10**9)}" for _ in range(40)] for _ in range(30)]
+    slices = [[(i, i, " ".join([*a[:20], *line, *a[20:]]))] for i, a in enumerate(around)]
+    assert slices_met(slices) == []
+    assert slices_met([*slices, [(30, 30, slices[4][0][2])]]) == [(30, 30, p) for p in range(27)]
+
+
+def test_documents_of_one_id_differ_by_their_whole_hash(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(25)) for x in "ab")
+    high = 1 << 40
+    assert slices_met([[(1, 7, a)], [(1, 7 + high, a)], [(1, 7 + 2 * high, b)]]) == [(1, 7 + high, p) for p in range(6)]
+    keyed = recompress._with_key(spark.createDataFrame([(1, a), (1, b)], "doc_id long, text string"), "doc_id", "text", ["doc_id"])
+    assert all(abs(r.text) >> 32 for r in keyed.collect())
