@@ -17,6 +17,10 @@ A task settles the windows that repeat within its slice and ships only the first
 of each, so a passage that a third of all documents share sends one row per slice.
 Windows of one anchor occurrence travel as one record of a few bytes per window.
 
+A first pass counts the windows that slices would ship by anchor. An anchor with
+more than its share (a short frequent line in varied surroundings) is hot: its
+windows travel one by one and are dealt by their own hash, so equal ones still meet.
+
 Null text has no words. Documents are ordered by id (null first), then by the hash
 of their text; rows equal in both are one document and get the same result each.
 Empty input gives an empty result. Texts of any length are read in parts that
@@ -40,6 +44,12 @@ WINDOW = 20
 ROUNDS = 3
 #: words of a text that are read at a time
 PART = 1 << 18
+#: windows of a bucket, on average
+BUCKET = 1 << 19
+#: an anchor with fewer windows is not hot
+HOT = 1 << 14
+#: windows of an anchor in a slice that are worth counting
+LEAST = 64
 
 
 def window_hashes(w: np.ndarray, width: int = WINDOW) -> np.ndarray:
@@ -153,8 +163,8 @@ def _runs(doc: np.ndarray, pos: np.ndarray, tie: np.ndarray | None = None, most:
     return start
 
 
-def slice_records(ids: np.ndarray, text_hash: np.ndarray, texts: list[bytes], buckets: int):
-    """What a slice ships: records of first windows by bucket, and spans of windows that repeat here."""
+def _windows(ids: np.ndarray, text_hash: np.ndarray, texts: list[bytes]):
+    """Documents of a slice in order, and its windows: (ids, text hashes, document and position of words), starts, codes, equal to an earlier one, anchors and their places."""
     order = np.lexsort((text_hash, ids))
     same = np.zeros(len(order), bool)
     same[1:] = (ids[order][1:] == ids[order][:-1]) & (text_hash[order][1:] == text_hash[order][:-1])
@@ -162,12 +172,35 @@ def slice_records(ids: np.ndarray, text_hash: np.ndarray, texts: list[bytes], bu
     ids, text_hash = ids[order], text_hash[order]
     w, part, doc, pos = read_parts([texts[i] for i in order])
     if not len(w):
-        return [], []
+        return None
     starts = np.flatnonzero(part[WINDOW - 1 :] == part[: len(part) - WINDOW + 1])
     code = window_hashes(w)[starts]
     by_code = np.argsort(code, kind="stable")  # equal windows in document order
     later = np.zeros(len(starts), bool)
     later[by_code[1:]] = code[by_code[1:]] == code[by_code[:-1]]
+    name, where = anchors(w, part, starts)
+    return (ids, text_hash, doc, pos), starts, code, later, np.where(where < 0, code, name), where
+
+
+def slice_counts(ids: np.ndarray, text_hash: np.ndarray, texts: list[bytes], least: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Windows that a slice ships, and the anchors of at least ``least`` of them with their counts."""
+    found = _windows(ids, text_hash, texts)
+    if found is None:
+        return 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    _, _, _, later, name, _ = found
+    name, n = np.unique(name[~later], return_counts=True)
+    return int(n.sum()), name[n >= least], n[n >= least]
+
+
+def slice_records(ids: np.ndarray, text_hash: np.ndarray, texts: list[bytes], buckets: int, hot: np.ndarray | None = None):
+    """What a slice ships: records of first windows by bucket, and spans of windows that repeat here.
+
+    ``hot``: sorted anchors whose windows are dealt one by one.
+    """
+    found = _windows(ids, text_hash, texts)
+    if found is None:
+        return [], []
+    (ids, text_hash, doc, pos), starts, code, later, name, where = found
     repeats = []
     s = starts[later]
     if len(s):
@@ -177,17 +210,22 @@ def slice_records(ids: np.ndarray, text_hash: np.ndarray, texts: list[bytes], bu
         of = doc[s][run]
         cut = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
         repeats = [(int(ids[of[a]]), int(text_hash[of[a]]), spans[a:b].tobytes()) for a, b in zip(cut, np.append(cut[1:], len(of)), strict=True)]
-    name, where = anchors(w, part, starts)
-    name = np.where(where < 0, code, name)
     keep = ~later
     s, name, where, code = starts[keep], name[keep], where[keep], code[keep]
     run = _runs(doc[s], pos[s], where, 255)
-    run = np.unique(np.concatenate((run, np.flatnonzero(where < 0))))  # windows without an anchor stand alone
+    alone = where < 0  # windows without an anchor
+    single = np.zeros(len(s), bool)
+    if hot is not None and len(hot):
+        single = hot[np.minimum(np.searchsorted(hot, name), len(hot) - 1)] == name
+        alone |= single
+    alone[1:] |= alone[:-1]  # nothing is joined to them
+    run = np.unique(np.concatenate((run, np.flatnonzero(alone))))
     n = np.diff(np.append(run, len(s)))
     rec = np.zeros(len(run), _RECORD)
     rec["anchor"], rec["doc"], rec["text"] = name[run], ids[doc[s][run]], text_hash[doc[s][run]]
     rec["pos"], rec["n"] = pos[s][run], n
-    bucket = (mix(rec["anchor"], 3) % np.uint64(buckets)).astype(np.int64)
+    dealt_by = np.where(single[run], mix2(name[run], code[run], 13), name[run])
+    bucket = (mix(dealt_by, 3) % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     edge = np.flatnonzero(np.concatenate(([True], np.diff(bucket[by]) > 0)))
     shipped = []
@@ -242,17 +280,38 @@ def _with_key(docs: DataFrame, key: str, text: str, names: list[str]) -> DataFra
     )
 
 
+def hot_anchors(source: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of buckets for ``__text, doc, text``, and the sorted anchors that are too large for one.
+
+    Windows under ``LEAST`` of an anchor in a slice are not counted, so an anchor can
+    go unnoticed with that many a slice. There are at most four hot ones a bucket.
+    """
+    n, least = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), LEAST
+
+    def count(batches):
+        for batch in slices(batches, "__text"):
+            total, name, many = slice_counts(batch.column(1).to_numpy(), batch.column(2).to_numpy(), raw_texts(batch, "__text"), least)
+            names = pa.array([None, *name.view(np.int64).tolist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([names, pa.array([total, *many.tolist()], pa.int64())], ["anchor", "n"])
+
+    counts = stage(source.mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")), "anchors")
+    total = counts.filter("anchor IS NULL").agg(F.sum("n")).first()[0] or 0
+    buckets = max(4 * n, total // BUCKET)
+    found = counts.filter(F.col("anchor").isNotNull() & (F.col("n") >= max(HOT, total // (4 * buckets)))).select("anchor").toArrow()
+    return buckets, np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc, text`` (id and text hash) with spans of window starts that repeat an earlier window."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * n
     source = _with_key(docs, key, text, [key]).select("__text", "doc", "text")
+    buckets, hot = hot_anchors(source)
 
     def ship(batches):
         for batch in slices(batches, "__text"):
             ids, text_hash = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            shipped, repeats = slice_records(ids, text_hash, raw_texts(batch, "__text"), buckets)
+            shipped, repeats = slice_records(ids, text_hash, raw_texts(batch, "__text"), buckets, hot)
             rows = [(b, r, c, None, None, None) for b, r, c in shipped]
             rows += [(d % buckets, None, None, d, t, s) for d, t, s in repeats]
             if rows:

@@ -101,3 +101,23 @@ def test_documents_of_one_id_differ_by_their_whole_hash(spark):
     assert slices_met([[(1, 7, a)], [(1, 7 + high, a)], [(1, 7 + 2 * high, b)]]) == [(1, 7 + high, p) for p in range(6)]
     keyed = recompress._with_key(spark.createDataFrame([(1, a), (1, b)], "doc_id long, text string"), "doc_id", "text", ["doc_id"])
     assert all(abs(r.text) >> 32 for r in keyed.collect())
+
+
+def test_windows_of_a_hot_anchor_are_dealt_over_buckets(spark, monkeypatch):
+    rng = random.Random(4)
+    line = " ".join(f"line{i}" for i in range(12))
+    docs = [(i, " ".join([*(f"v{rng.randrange(10**9)}" for _ in range(15)), line, *(f"v{rng.randrange(10**9)}" for _ in range(15))])) for i in range(400)]
+    docs += [(400 + i, "x " + docs[i][1]) for i in range(0, 400, 7)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(recompress, "HOT", 1000)
+    buckets, hot = recompress.hot_anchors(recompress._with_key(frame, "doc_id", "text", ["doc_id"]).select("__text", "doc", "text"))
+    assert len(hot)
+    assert result(frame) == plain(docs)
+
+    ids = np.array([i for i, _ in docs])
+    texts = [t.encode() for _, t in docs]
+    most = lambda hot: max(len(chk) // 8 for _, _, chk in recompress.slice_records(ids, ids, texts, 16, hot)[0])
+    total, _, many = recompress.slice_counts(ids, ids, texts, 64)
+    assert most(None) >= many.max() > total / 8 > most(hot)
+    one_by_one = [[(i, i, t)] for i, t in docs]
+    assert slices_met(one_by_one, hot=hot) == slices_met(one_by_one)
