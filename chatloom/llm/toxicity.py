@@ -5,8 +5,10 @@ a text, some of its statistics and the log-odds that the models before it gave.
 While a chain is trained those come from models that did not see the row
 (out-of-fold), so a later model meets the same kind of errors as in use.
 
-Words that tell a category apart are chosen by their information in the sample;
-the sample is at most ``FIT_ROWS`` labelled rows. Null text has no words. Without
+Words are ranked by their information in the sample; how many of them a model reads
+(``WORDS``, eight times that, and so on up to all) is chosen by the loss on rows it did
+not see. Rows are sparse lists of words, so width costs little. The sample is at most
+``FIT_ROWS`` labelled rows. Null text has no words. Without
 labels of both kinds a category has probability 0. Repeated rows are judged each
 on its own; empty input gives an empty result.
 """
@@ -25,7 +27,7 @@ from .common import bounded_sample, carried, raw_texts, slices
 
 #: labelled rows that a chain is fitted on at most
 FIT_ROWS = 12_000
-#: words of a category's model
+#: words of the narrowest model that is tried
 WORDS = 600
 FOLDS = 4
 #: a text is of a category from this probability on: clean texts of the sample stay far below
@@ -46,19 +48,44 @@ def text_facts(b: bytes) -> list[float]:
     return [np.log1p(n) / 5, min(4.0, len(_SYMBOL.findall(b)) / n), b.count(b"!") / n]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
-    """Weights (the last is the bias) of a ridge logistic model by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w = np.zeros(x.shape[1])
-    keep = np.full(x.shape[1], ridge)
+def logistic(row: np.ndarray, col: np.ndarray, width: int, rest: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 20) -> np.ndarray:
+    """Weights (the last is the bias) of a ridge logistic model by Newton steps.
+
+    ``row, col`` are the ones of ``width`` sparse columns, ``rest`` holds the others;
+    each step is solved by conjugate gradients. ``start``: weights of fewer sparse columns.
+    """
+    rest = np.hstack([rest, np.ones((len(y), 1))])
+    keep = np.full(width + rest.shape[1], ridge)
     keep[-1] = 1e-3
+
+    def times(w: np.ndarray) -> np.ndarray:
+        return np.bincount(row, w[col], len(y)) + rest @ w[width:]
+
+    def back(v: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(col, v[row], width), rest.T @ v])
+
+    w = np.zeros(len(keep))
+    if start is not None:
+        n = len(start) - rest.shape[1]
+        w[:n], w[width:] = start[:n], start[n:]
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + keep * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(keep)
-        step = np.linalg.solve(h, grad)
-        w -= step
-        if np.abs(step).max() < 1e-4:
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        left = -(back(p - y) + keep * w)
+        h = p * (1 - p)
+        scale = np.concatenate([np.bincount(col, h[row], width), (rest**2).T @ h]) + keep
+        step, z = np.zeros(len(w)), left / scale
+        way, size, goal = z, left @ z, 1e-4 * (left @ z)
+        for _ in range(40):
+            if size <= max(goal, 1e-12):
+                break
+            turned = back(h * times(way)) + keep * way
+            far = size / (way @ turned)
+            step, left = step + far * way, left - far * turned
+            z = left / scale
+            size, before = left @ z, size
+            way = z + size / before * way
+        w += step
+        if np.abs(step).max() < 1e-2:
             break
     return w
 
@@ -71,38 +98,38 @@ class Link:
     words: np.ndarray
     weights: np.ndarray
 
-    def log_odds(self, present: np.ndarray, facts: np.ndarray, before: np.ndarray) -> np.ndarray:
-        return np.hstack([present, facts, before, np.ones((len(facts), 1))]) @ self.weights
+    def log_odds(self, codes: list[np.ndarray], facts: np.ndarray, before: np.ndarray) -> np.ndarray:
+        row, col = places(codes, self.words)
+        n = len(self.words)
+        return np.bincount(row, self.weights[col], len(codes)) + np.hstack([facts, before, np.ones((len(facts), 1))]) @ self.weights[n:]
 
 
-def chosen_words(codes: list[np.ndarray], y: np.ndarray, most: int = WORDS) -> np.ndarray:
-    """Words whose presence tells most about ``y`` (difference of rates over its spread)."""
-    flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-    word, place = np.unique(flat, return_inverse=True)
-    label = np.repeat(y, [len(c) for c in codes])
-    pos = np.bincount(place, weights=label, minlength=len(word))
-    every = np.bincount(place, minlength=len(word))
-    rate = (pos + 1) / (y.sum() + 2) - (every - pos + 1) / (len(y) - y.sum() + 2)
-    spread = np.sqrt((every + 1) / len(y))
+def ranked_words(place: np.ndarray, label: np.ndarray, n_words: int, n: int, n_pos: float) -> np.ndarray:
+    """Words by how much their presence tells (difference of rates over its spread), best first."""
+    pos = np.bincount(place, weights=label, minlength=n_words)
+    every = np.bincount(place, minlength=n_words)
+    rate = (pos + 1) / (n_pos + 2) - (every - pos + 1) / (n - n_pos + 2)
+    spread = np.sqrt((every + 1) / n)
     worth = np.where(every >= _SEEN, np.abs(rate) / spread, -1)
-    best = np.argsort(-worth, kind="stable")[:most]
-    return np.sort(word[best[worth[best] > 0]])
+    best = np.argsort(-worth, kind="stable")
+    return best[worth[best] > 0]
 
 
-def presence(codes: list[np.ndarray], words: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(codes), len(words)), np.float32)
-    if len(words):
-        size = [len(c) for c in codes]
-        flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(words, flat), len(words) - 1)
-        hit = words[at] == flat
-        out[np.repeat(np.arange(len(codes)), size)[hit], at[hit]] = 1
-    return out
+def places(codes: list[np.ndarray], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and word (of the sorted ``words``) wherever a text has one of them."""
+    flat = np.concatenate(codes) if codes and len(words) else np.zeros(0, np.int64)
+    if not len(flat):
+        return flat.astype(np.int64), flat.astype(np.int64)
+    at = np.minimum(np.searchsorted(words, flat), len(words) - 1)
+    hit = words[at] == flat
+    return np.repeat(np.arange(len(codes)), [len(c) for c in codes])[hit], at[hit]
 
 
 def train_chain(codes: list[np.ndarray], facts: np.ndarray, labels: dict[str, np.ndarray], fold: np.ndarray) -> list[Link]:
     """Models of the categories in the order of ``labels``."""
     chain: list[Link] = []
+    word, place = np.unique(np.concatenate(codes) if codes else np.zeros(0, np.int64), return_inverse=True)
+    row = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
     before = np.zeros((len(codes), 0))
     for name, y in labels.items():
         y = y.astype(float)
@@ -110,17 +137,42 @@ def train_chain(codes: list[np.ndarray], facts: np.ndarray, labels: dict[str, np
             chain.append(Link(name, np.zeros(0, np.int64), np.array([*np.zeros(facts.shape[1] + before.shape[1]), -30.0])))
             before = np.hstack([before, np.full((len(y), 1), -30.0)])
             continue
-        out = np.zeros(len(y))
-        for f in range(FOLDS):
-            seen, left = fold != f, fold == f
-            words = chosen_words([c for c, s in zip(codes, seen, strict=True) if s], y[seen])
-            x = np.hstack([presence(codes, words), facts, before])
-            model = Link(name, words, logistic(x[seen], y[seen]))
-            out[left] = np.hstack([x[left], np.ones((left.sum(), 1))]) @ model.weights
-        words = chosen_words(codes, y)
-        x = np.hstack([presence(codes, words), facts, before])
-        chain.append(Link(name, words, logistic(x, y)))
-        before = np.hstack([before, out[:, None]])
+        def ranks(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            here = seen[row]
+            order = ranked_words(place[here], y[row[here]], len(word), int(seen.sum()), y[seen].sum())
+            at = np.full(len(word), len(word), np.int32)
+            at[order] = np.arange(len(order))
+            return order, at[place]
+
+        rest = np.hstack([facts, before])
+        ranked = [ranks(fold != f) for f in range(FOLDS)]
+        order, rank = ranks(np.ones(len(y), bool))
+        best: tuple[float, int, np.ndarray] | None = None
+        width = WORDS
+        starts: list[np.ndarray | None] = [None] * FOLDS
+        while True:
+            out = np.zeros(len(y))
+            for f, (known, at) in enumerate(ranked):
+                n = min(width, len(known))
+                seen = fold != f
+                number = np.cumsum(seen) - 1
+                some = (at < n) & seen[row]
+                w = starts[f] = logistic(number[row[some]], at[some].astype(np.int64), n, rest[seen], y[seen], starts[f])
+                some = (at < n) & ~seen[row]
+                odds = np.bincount(row[some], w[at[some]], len(y)) + rest @ w[n:-1] + w[-1]
+                out[~seen] = odds[~seen]
+            loss = np.logaddexp(0, np.where(y > 0, -out, out)).mean()
+            if best is None or loss < best[0]:
+                best = (loss, width, out)
+            if width >= len(order):
+                break
+            width *= 8
+        n = min(best[1], len(order))
+        some = rank < n
+        w = logistic(row[some], rank[some].astype(np.int64), n, rest, y)
+        by = np.argsort(word[order[:n]])
+        chain.append(Link(name, word[order[:n]][by], np.concatenate([w[:n][by], w[n:]])))
+        before = np.hstack([before, best[2][:, None]])
     return chain
 
 
@@ -130,7 +182,7 @@ def run_chain(chain: list[Link], texts: list[bytes]) -> np.ndarray:
     facts = np.array([text_facts(b) for b in texts]).reshape(len(texts), -1)
     before = np.zeros((len(texts), 0))
     for link in chain:
-        before = np.hstack([before, link.log_odds(presence(codes, link.words), facts, before)[:, None]])
+        before = np.hstack([before, link.log_odds(codes, facts, before)[:, None]])
     return 1 / (1 + np.exp(-np.clip(before, -30, 30)))
 
 

@@ -165,6 +165,21 @@ def test_chain_on_held_out_texts():
         assert ((p[:, k] >= toxicity.THRESHOLD) == want[name]).mean() > 0.97
 
 
+def test_many_rare_words_are_learned():
+    rng = random.Random(2)
+
+    def text(k):
+        return " ".join([*(f"w{rng.randrange(300)}" for _ in range(8)), f"w{rng.randrange(300)}" if k is None else f"vile{k}"]).encode()
+
+    kinds = [*(i % 1000 for i in range(4000)), *[None] * 8000]
+    y = np.array([k is not None for k in kinds])
+    texts = [text(k) for k in kinds]
+    facts = np.array([toxicity.text_facts(b) for b in texts])
+    chain = toxicity.train_chain([toxicity.word_codes(b) for b in texts], facts, {"bad": y}, np.arange(len(y)) // 1000 % toxicity.FOLDS)
+    found = toxicity.run_chain(chain, [text(k) for k in kinds])[:, 0] >= 0.5
+    assert found[y].mean() > 0.95 and found[~y].mean() < 0.05
+
+
 def test_toxicity_nulls_and_empty(spark, docs_frame, no_docs):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     chain = toxicity.fit(docs_frame, labels, queries.TOXICITY)
