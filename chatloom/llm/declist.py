@@ -216,7 +216,10 @@ def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "
     rows = (
         stats.join(F.broadcast(chosen), F.col(f"row.{key}") == F.col("__key"))
         .filter(~base_failed())
-        .select("__bad", F.pmod(F.xxhash64("__key"), F.lit(3)).alias("__fold"), "out.*")
+        .select("__bad", F.pmod(F.xxhash64("__key"), F.lit(3)).alias("__fold"), "out.*", F.xxhash64("__key", "out").alias("__hash"))
+        .orderBy("__hash", "__bad")
+        .limit(most)  # ids may repeat
+        .drop("__hash")
         .toPandas()
     )
     if not len(rows):

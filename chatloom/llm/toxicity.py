@@ -202,7 +202,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], key: str
             yield pa.RecordBatch.from_arrays([codes, facts, *batch.columns[1:]], ["codes", "facts", "key", *names])
 
     found = rows.mapInArrow(read, "codes array<long>, facts array<double>, key long, " + ", ".join(f"`{n}` boolean" for n in names))
-    got = found.toArrow().sort_by([("key", "ascending")])
+    # one row an id and label: repeated ids bring no more rows than labels were chosen
+    found = found.groupBy("key", *names).agg(F.min_by(F.struct("codes", "facts"), F.xxhash64("codes", "facts")).alias("one"))
+    got = found.select("one.*", "key", *names).toArrow().sort_by([("key", "ascending")])
     if not got.num_rows:
         return [Link(n, np.zeros(0, np.int64), np.array([*np.zeros(3 + k), -30.0])) for k, n in enumerate(categories)]
     # numpy views of the list column: no Python object per word

@@ -8,7 +8,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from chatloom.llm import declist, decontam, secrets
+from chatloom.llm import declist, decontam, secrets, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -166,3 +166,23 @@ def test_mask(spark, docs_frame, hard_docs, no_docs):
     same = {r.doc_id: r.text for r in secrets.mask_secrets(docs_frame).collect()}
     assert same == dict(hard_docs)
     assert secrets.mask_secrets(no_docs).count() == 0
+
+
+def test_repeated_ids_do_not_exceed_the_fitted_rows(spark, monkeypatch):
+    stats = declist.with_stats(spark.createDataFrame([(i % 3, f"word{i} is here") for i in range(200)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(declist, "base_failed", lambda: F.lit(False))
+    monkeypatch.setattr(declist, "learn_list", lambda x, *a: seen.append(len(x)) or [])
+    declist.fit(stats, labels, most=50)
+    declist.fit(stats, labels)
+    assert seen == [50, 200]
+
+
+def test_repeated_ids_are_one_fitted_row_in_toxicity(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 3, f"word{i} is here") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train_chain", lambda codes, facts, flags, fold: seen.append((len(codes), len(facts), len(fold))) or [])
+    toxicity.fit(docs, labels, {"toxic": "toxic = 1"})
+    assert seen == [(3, 3, 3)]
