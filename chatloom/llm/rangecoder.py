@@ -1,11 +1,11 @@
-"""Adaptive context-mixing range coder for blocks of token ids.
+"""Adaptive range coder for blocks of token ids: symbol ranking with escapes, no mixing of distributions.
 
 Every block starts from an empty model and is coded on its own. Orders two and one
 predict the id that last followed the same two ids or the same id, with a
 confidence that rises and falls with its hits; order zero is the distribution of
 the ids of the block so far (renewed at every doubling of their number). The
-weights of the orders are counts kept for each pair of confidences: they mix the
-predictions, and arithmetic coding spends the bits of the mix. An id that no order
+weights of the orders are counts kept for each pair of confidences: they price the
+choice of the order that is right, and arithmetic coding spends those bits. An id that no order
 knows is written plainly.
 
 A block of ids is one lane of numpy arrays. All lanes of a group take the same
