@@ -12,7 +12,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..operators.scale import write_through
 
@@ -127,3 +127,21 @@ def drop_stage(df: DataFrame) -> None:
 def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     """At most ``most`` rows, chosen by the hash of ``key``: the same ones on every run."""
     return df.orderBy(F.xxhash64(key), F.col(key)).limit(most)
+
+
+def common_length(df: DataFrame, vector: str) -> int:
+    """The most common length of an array; of equally common ones the longest; 0 without any."""
+    sizes = df.select(F.size(df[vector]).alias("n")).filter("n > 0").groupBy("n").count()
+    first = sizes.orderBy(F.desc("count"), F.desc("n")).first()
+    return first.n if first else 0
+
+
+def finite(vector: Column, dimension: int) -> Column:
+    """The vector has the length and neither null nor non-finite components."""
+    bad = F.exists(vector, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    return F.coalesce((F.size(vector) == dimension) & ~bad, F.lit(False))
+
+
+def matrix(column: pa.ListArray, width: int) -> np.ndarray:
+    """Rows of a list column without nulls, as doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)

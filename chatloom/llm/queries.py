@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.scale import shared_folder
 from ..sources.tables import table
-from . import declist, decontam, kernel_lang, mincut, packing, recompress, secrets, simhash, tokenfile, toxicity
+from . import declist, decontam, filter_audit, kernel_lang, mincut, packing, pivots, recompress, secrets, simhash, tokenfile, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +141,71 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_digests(table(spark, sf_dir, "documents"), columns=["doc_id"])
     return found.select("row.doc_id", "out.*")
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_embedding_near_dedup"] = """
+WITH RECURSIVE e AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+), ok AS (
+  SELECT * FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(v, lambda c: c <> 0)) > 0
+), l AS (
+  SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.label = b.label AND a.r <> b.r WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach AS (
+  SELECT r AS a, r AS b FROM e UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a
+)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.r)::BIGINT AS n_links, min(o.vec_id) AS component_id, e.vec_id = min(o.vec_id) AS kept
+FROM e JOIN reach ON e.r = reach.a JOIN e o ON o.r = reach.b GROUP BY e.r, e.vec_id
+"""
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_WORDS13 = r"list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+ORACLES["op13_filter_audit"] = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT *, len({_WORDS13}) AS n, len(list_distinct({_WORDS13})) AS k, min(doc_id) OVER (PARTITION BY t) AS lead FROM d
+), f AS (
+  SELECT part, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS bad,
+    {{'A': n < 200, 'B': 100 * k < 50 * n, 'C': 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t),
+      'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(doc_id > lead, false)}} AS s FROM w
+), cell AS (
+  SELECT part, (s.A::INT) || (s.B::INT) || (s.C::INT) || (s.D::INT) || (s.E::INT) AS mask, count(*) AS n,
+    count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM f GROUP BY ALL
+), letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS o FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), told AS (
+  SELECT part, o AS filter_order, step, n, good, bad, mask,
+    substr(mask, ascii(substr(o, step, 1)) - 64, 1) = '1' AS fails,
+    len(list_filter(range(1, step), lambda j: substr(mask, ascii(substr(o, j, 1)) - 64, 1) = '1')) > 0 AS gone,
+    substr(o, step, 1) AS letter
+  FROM cell, orders, range(1, 6) AS r(step)
+), merged AS (
+  SELECT part, filter_order, step, letter,
+    sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails AND len(replace(mask, '0', '')) = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fails AND NOT gone THEN bad ELSE 0 END) AS toxic_lost
+  FROM told GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM merged
+"""
