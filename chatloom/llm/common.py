@@ -6,6 +6,7 @@ long texts never becomes Python objects all at once.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from itertools import pairwise
 
@@ -94,11 +95,20 @@ def carried(
             )
             assert len(out) == n
             yield pa.RecordBatch.from_arrays([batch.column(0), out], ["row", "out"])
-        pa.default_memory_pool().release_unused()  # workers live on after the task
+            give_back()
 
     return source.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on after a task, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another allocator than glibc's
+        pass
+
+
 def arrow(kind: T.DataType) -> pa.DataType:
     simple = {
         "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),

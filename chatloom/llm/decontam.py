@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import carried, raw_texts
+from .common import carried, give_back, raw_texts
 
 #: words of an occurrence
 WINDOW = 10
@@ -224,6 +224,7 @@ def decontaminate(
             spans = batch.column(1).to_pylist()
             new = [cut_words(b, s) if s and b else b for b, s in zip(col, spans, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()).cast(pa.string()), batch.column(2)], ["__cut", "row"])
+        give_back()
 
     schema = T.StructType([T.StructField("__cut", T.StringType()), T.StructField("row", found.schema["row"].dataType)])
     hit = found.filter(F.size("out.spans") > 0).select(F.col(f"row.{text}"), "out.spans", "row").mapInArrow(cut, schema)

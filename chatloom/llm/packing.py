@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import slices, stage, texts
+from .common import SLICE_BYTES, give_back, slices, stage, texts
 from .tokens import REMEMBERED, encoder
 
 CAPACITY = 4096
@@ -38,8 +38,9 @@ def token_pieces(
     """``key, piece, start, length, ids`` (little-endian unsigned 32-bit) of every document.
 
     Documents of up to ``capacity`` ids are one piece; longer ones are cut every
-    ``capacity`` ids. ``release`` frees a worker's remembered pieces after each task,
-    and ``remembered`` bounds their number: less memory, more tokenizing.
+    ``capacity`` ids. ``release`` takes texts in smaller slices and frees a worker's
+    remembered pieces after each task, and ``remembered`` bounds their number: less
+    memory, more tokenizing.
     """
     source = docs.select(docs[key].alias("__key"), docs[text].alias("__text"))
     tail = np.array([end], "<u4").tobytes()
@@ -47,7 +48,7 @@ def token_pieces(
 
     def run(batches):
         enc = encoder(tokenizer, remembered)
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", SLICE_BYTES // 4 if release else SLICE_BYTES):
             keys, piece, start, length, ids = [], [], [], [], []
             for k, coded in zip(batch.column(0).to_pylist(), enc.encode(texts(batch, "__text")), strict=True):
                 coded += tail
@@ -62,8 +63,12 @@ def token_pieces(
                 [pa.array(keys, batch.column(0).type), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
                 ["key", "piece", "start", "length", "ids"],
             )
+            if release:
+                del keys, piece, start, length, ids
+                give_back()
         if release:
             enc.forget()
+        give_back()
 
     schema = T.StructType([
         T.StructField("key", source.schema["__key"].dataType), T.StructField("piece", T.IntegerType()),

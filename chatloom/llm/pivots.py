@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import common_length, drop_stage, finite, matrix, stage
+from .common import common_length, drop_stage, finite, give_back, matrix, stage
 from .simhash import components
 
 COSINE = 0.93
@@ -239,6 +239,7 @@ def search(lists: DataFrame, needed: int, pivots: int, dimension: int, least: fl
                 held.append(batch.slice(s, e - s))
         if held:
             yield solve(pa.Table.from_batches(held))
+        give_back()
 
     return dealt.mapInArrow(run, "a long, b long, n long")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import carried, drop_stage, mix, raw_texts, stage
+from .common import carried, drop_stage, give_back, raw_texts, stage
 
 #: differing bits that still link
 DISTANCE = 3
@@ -222,6 +222,7 @@ def links(fps: DataFrame) -> DataFrame:
                 cell, fp = cell[whole:], fp[whole:]
         if len(cell):
             yield emit(cell, fp)
+        give_back()
 
     return dealt.select("cell", "fp").mapInArrow(run, "a long, b long").distinct()
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from .common import slices, texts
+from .common import give_back, slices, texts
 from .rangecoder import BLOCK, LANES, decode_blocks, encode_blocks
 from .tokens import encoder
 
@@ -104,6 +104,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, key: str = "do
         stream.close(stream.doc)
         if stream.done:
             yield stream.records(kind)
+        give_back()
 
     source.mapInArrow(run, _records(source.schema["__key"].dataType)).write.parquet(path)
 

@@ -3,7 +3,8 @@
 A tokenizer that splits texts before it merges gives the same ids for a piece
 wherever it stands. Texts are cut into such pieces, the distinct pieces are
 encoded by the ``tokenizers`` library, and a worker remembers the ids of a bounded
-number of pieces.
+number of pieces. Texts that hold the string of an added token (which the library cuts
+out before anything else) are encoded whole.
 """
 
 from __future__ import annotations
@@ -48,9 +49,7 @@ def new_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 class Encoder:
@@ -59,6 +58,7 @@ class Encoder:
     def __init__(self, path: str):
         self.remembered = REMEMBERED
         self.tokenizer = new_tokenizer(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         probe = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a", "a a", "a\na")]
         #: blanks leave no trace: words can stand alone
         self.split = bare_words if probe[1] == probe[0] * 2 and probe[2] == probe[1] else spaced_words
@@ -79,7 +79,8 @@ class Encoder:
         self.young, self.old = {}, {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.split(t) if t else [] for t in texts]
+        whole = [bool(t) and any(a in t for a in self.added) for t in texts]
+        cut = [[] if w or not t else self.split(t) for t, w in zip(texts, whole, strict=True)]
         known, old = self.young, self.old
         new, extra = [], []
         for p in set().union(*cut):
@@ -94,6 +95,8 @@ class Encoder:
         if extra:
             table = known | self._learn(extra)
         out = [b"".join(map(table.__getitem__, c)) for c in cut]
+        for i in (i for i, w in enumerate(whole) if w):
+            out[i] = self._learn([texts[i]])[texts[i]]
         if len(known) > self.remembered:
             self.old, self.young = known, {}
         return out

@@ -6,9 +6,10 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from chatloom.llm import packing
-from chatloom.llm.tokens import Encoder, new_tokenizer
+from chatloom.llm.tokens import Encoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -16,8 +17,8 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_equals_library(hard_docs, name):
     path = public_tokenizers.path(name)
-    texts = [t for _, t in hard_docs] + ["a  b", " a", "b ", "x\n\n\ny \n z", "it's we'll ' s", "<|endoftext|> a<|startoftext|>", "q\x1cz \x0b e", "é é", "a b 　c", "n\0m o"]
-    plain = new_tokenizer(path)
+    texts = [t for _, t in hard_docs] + ["a  b", " a", "b ", "x\n\n\ny \n z", "it's we'll ' s", "<|endoftext|> a<|startoftext|>", "<|endoftext|>", "in<|endoftext|>side  <|endoftext|>  x", "<|ENDOFTEXT|>", "q\x1cz \x0b e", "é é", "a b 　c", "n\0m o"]
+    plain = Tokenizer.from_file(path)
     want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
     got = [np.frombuffer(b, "<u4").tolist() for b in Encoder(path).encode(texts)]
     assert got == want
@@ -25,7 +26,7 @@ def test_encoder_equals_library(hard_docs, name):
 
 def test_pieces_and_places(docs_frame, hard_docs):
     rows = packing.placed_digests(docs_frame, PATH).collect()
-    plain = new_tokenizer(PATH)
+    plain = Tokenizer.from_file(PATH)
     want = {}
     for i, t in hard_docs:
         ids = [*plain.encode(t or "", add_special_tokens=False).ids, 1]
@@ -73,6 +74,6 @@ def test_sequences_hold_the_ids(spark):
     rows = packing.pack(docs, PATH).collect()
     assert len(rows) == 1
     ids = np.frombuffer(bytes(rows[0].ids), "<u4").tolist()
-    plain = new_tokenizer(PATH)
+    plain = Tokenizer.from_file(PATH)
     assert sorted(ids) == sorted([*plain.encode("a b c").ids * 2, *plain.encode("d").ids, 1, 1, 1, 1])
     assert len(rows[0].parts) == 4

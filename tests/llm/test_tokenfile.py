@@ -5,9 +5,9 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from chatloom.llm import rangecoder, tokenfile
-from chatloom.llm.tokens import new_tokenizer
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -39,7 +39,7 @@ def test_blocks_are_independent_and_checked():
 def test_files(spark, docs_frame, hard_docs, no_docs, tmp_path, monkeypatch, block):
     monkeypatch.setattr(tokenfile, "BLOCK", block)
     tokenfile.write_token_files(docs_frame, f"{tmp_path}/a", PATH)
-    plain = new_tokenizer(PATH)
+    plain = Tokenizer.from_file(PATH)
     want, at = {}, 0
     for i, t in sorted(hard_docs, key=lambda x: x[0]):
         ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
