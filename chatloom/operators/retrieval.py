@@ -42,46 +42,100 @@ class Index:
     documents: DataFrame  # chat_key, doc, len_*
     stats: DataFrame  # chat_key, n_docs, avg_*
     terms: DataFrame  # chat_key, tok, df, in_identity
+    streams: DataFrame  # chat_key, doc, and the tokens of each field in order
 
 
-def build_index(records: DataFrame, only: DataFrame | None = None, positions: bool = True) -> Index:
-    """Tokenise records once and write documents and postings.
+def _tokens(records: DataFrame) -> DataFrame:
+    fields = [X.tokenize(X.normalize_text(f), morphology=True).alias(f) for f in FIELDS]
+    return write_through(spread(records).select("chat_key", "doc", *fields), "tokens")
 
-    ``records(chat_key, doc, identity, anchor, heading, body)``. ``only(tok)``
-    keeps the postings of some tokens, enough for a fixed batch of queries;
-    lengths and counts still cover whole texts.
-    """
-    tokens = spread(records).select(
-        "chat_key", "doc", *[X.tokenize(X.normalize_text(f), morphology=True).alias(f) for f in FIELDS]
-    )
-    tokens = write_through(tokens, "tokens")
-    documents = tokens.select("chat_key", "doc", *[F.size(f).alias(f"len_{f}") for f in FIELDS])
-    sums = [F.sum(c).alias(c) for c in _LEN]
-    stats = documents.groupBy("chat_key").agg(F.count(F.lit(1)).alias("n_docs"), *sums)
+
+def _statistics(documents: DataFrame) -> DataFrame:
+    stats = documents.groupBy("chat_key").agg(F.count(F.lit(1)).alias("n_docs"), *[F.sum(c).alias(c) for c in _LEN])
     n = F.greatest(F.lit(1), F.col("n_docs"))
-    stats = stats.select(
-        "chat_key", "n_docs",
-        *[F.greatest(F.lit(1.0), F.col(f"len_{f}") / n).alias(f"avg_{f}") for f in FIELDS],
-    )
+    return stats.select("chat_key", "n_docs", *[F.greatest(F.lit(1.0), F.col(f"len_{f}") / n).alias(f"avg_{f}") for f in FIELDS])
+
+
+def _postings(tokens: DataFrame, only: DataFrame | None, positions: bool) -> DataFrame:
+    """One row per record and token.
+
+    Records are dealt out whole, as arrays of tokens, and counted where they are: the
+    far more numerous single tokens are never shuffled.
+    """
     fields = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f).alias("t")) for i, f in enumerate(FIELDS)])
     flat = (
-        tokens.select("chat_key", "doc", *[F.size(f).alias(f"len_{f}") for f in FIELDS], F.explode(fields).alias("x"))
+        tokens.repartition("chat_key", "doc")
+        .select("chat_key", "doc", *[F.size(f).alias(f"len_{f}") for f in FIELDS], F.explode(fields).alias("x"))
         .select("chat_key", "doc", *_LEN, F.col("x.f").alias("f"), F.posexplode("x.t").alias("pos", "tok"))
     )
     if only is not None:
-        flat = flat.join(only.select("tok").distinct(), "tok", "left_semi")
+        flat = flat.join(F.broadcast(only), "tok", "left_semi") if only.count() <= ONLY else flat.join(only, "tok", "left_semi")
     aggs = [F.count(F.when(F.col("f") == i, 1)).alias(f"tf_{f}") for i, f in enumerate(FIELDS)]
     if positions:
         aggs += [
             F.sort_array(F.collect_list(F.when(F.col("f") == FIELDS.index(f), F.col("pos")))).alias(f"{f}_pos")
             for f in ("heading", "body")
         ]
-    postings = write_through(flat.groupBy("chat_key", "doc", "tok", *_LEN).agg(*aggs), "postings")
+    return write_through(flat.groupBy("chat_key", "doc", "tok", *_LEN).agg(*aggs), "postings")
+
+
+#: tokens of a batch of queries that are broadcast at most
+ONLY = 200_000
+
+
+def corpus_statistics(records: DataFrame) -> DataFrame:
+    """``(chat_key, n_docs, avg_*)``: counts and mean lengths alone (D8), no postings are made."""
+    tokens = [F.size(X.tokenize(X.normalize_text(f), morphology=True)).alias(f"len_{f}") for f in FIELDS]
+    return _statistics(spread(records).select("chat_key", "doc", *tokens))
+
+
+def build_index(records: DataFrame, only: DataFrame | None = None, positions: bool = True) -> Index:
+    """Tokenise records once and write documents and postings.
+
+    ``records(chat_key, doc, identity, anchor, heading, body)``. ``only(tok)``
+    keeps the postings of some tokens, enough for a fixed batch of queries;
+    lengths and counts still cover whole texts.
+    """
+    tokens = _tokens(records)
+    documents = tokens.select("chat_key", "doc", *[F.size(f).alias(f"len_{f}") for f in FIELDS])
+    postings = _postings(tokens, only.select("tok").distinct() if only is not None else None, positions)
     terms = postings.groupBy("chat_key", "tok").agg(
         F.count(F.lit(1)).alias("df"),
         F.bool_or((F.col("tf_identity") > 0) | (F.col("tf_anchor") > 0)).alias("in_identity"),
     )
-    return Index(postings, documents, stats, terms)
+    return Index(postings, documents, _statistics(documents), terms, tokens)
+
+
+def passage_index(l1: DataFrame, index: Index) -> Index:
+    """Postings of the passages of level-1 records, weighed like the whole corpus.
+
+    ``l1(chat_key, doc, title, participants, opening, beats, closing, emotional_arc)``.
+    A passage is a line or two lines in a row, so lines overlap between passages and a
+    match has to fall inside one of them. ``doc`` of the postings is a struct of the
+    record's ``doc`` and the number of the passage; frequencies and vocabulary stay
+    those of ``index``.
+    """
+    named = l1.select("chat_key", F.col("doc").alias("id"), F.array_join("participants", " ").alias("anchor"), F.col("title").alias("heading"))
+    windows = passage_windows(l1.withColumn("id", F.col("doc")))
+    rows = windows.join(named, ["chat_key", "id"]).select(
+        "chat_key", F.struct(F.col("id").alias("doc"), "passage_no").alias("doc"), F.lit("").alias("identity"), "anchor", "heading",
+        F.col("passage").alias("body"))
+    tokens = _tokens(rows)
+    documents = tokens.select("chat_key", "doc", *[F.size(f).alias(f"len_{f}") for f in FIELDS])
+    return Index(_postings(tokens, None, True), documents, index.stats, index.terms, tokens)
+
+
+def passage_eligibility(queries: DataFrame, passages: Index) -> DataFrame:
+    """``(query_id, chat_key, doc, direct_eligible, expanded_eligible)`` of level-1 records.
+
+    A record qualifies if one of its passages does on its own (F3).
+    """
+    ids = ["query_id", "chat_key", "doc"]
+    direct = direct_eligibility(queries, passages).select(*ids, "direct_eligible")
+    expanded = phrase_eligibility(queries, passages).select(*ids, "expanded_eligible")
+    both = direct.join(expanded, ids, "full_outer")
+    any_of = lambda c: F.bool_or(F.coalesce(c, F.lit(False))).alias(c)
+    return both.groupBy("query_id", "chat_key", F.col("doc.doc").alias("doc")).agg(any_of("direct_eligible"), any_of("expanded_eligible"))
 
 
 # ---- F1, F2, H22 --------------------------------------------------------------------
@@ -224,68 +278,110 @@ def _positions(field: str, condition: Column) -> Column:
     return F.array_sort(F.flatten(F.collect_list(pairs)))
 
 
-def direct_eligibility(queries: DataFrame, index: Index, state_docs: DataFrame | None = None) -> DataFrame:
-    """Which matched records qualify on the query text itself (F3, A.5).
+def near_pairs(terms: DataFrame, index: Index, window: int = 8) -> DataFrame:
+    """``(query_id, chat_key, doc)`` where two terms of a query stand in order and near each other.
 
-    Most pairs are decided by plain flags and counts. Word positions are only
-    gathered for the pairs these leave open and that have two words to compare.
+    ``terms(query_id, chat_key, ord, term, concept)``: words of a query in its order; in
+    the body only concepts count. Each token of a record meets those up to ``window``
+    behind it, and these pairs of tokens equi-join the ordered pairs of the queries, so
+    no positions are gathered per query and record.
     """
-    terms = direct_terms(queries).withColumn("tok", F.col("term"))
-    known = index.terms.select("chat_key", "tok", "df", "in_identity")
-    judged = terms.join(known, ["chat_key", "tok"], "left").withColumn(
-        "concept", ~F.coalesce("in_identity", F.lit(False))
-    ).withColumn("surface", ~F.col("term").startswith("~"))
-    judged = write_through(judged, "query-terms")
-    query_level = judged.groupBy("query_id").agg(
-        F.count(F.when(F.col("concept") & F.col("surface"), 1)).alias("n_surface")
-    )
-    weighed = judged.join(index.stats.select("chat_key", "n_docs"), "chat_key")
-    hits = index.postings.join(weighed, ["chat_key", "tok"])
+    later = terms.select("query_id", "chat_key", F.col("ord").alias("__ord"), F.col("term").alias("later"), F.col("concept").alias("__concept"))
+    asked = terms.join(later, ["query_id", "chat_key"]).filter(F.col("__ord") > F.col("ord")).select(
+        "query_id", "chat_key", F.col("term").alias("tok"), "later", (F.col("concept") & F.col("__concept")).alias("content"))
+    asked = write_through(asked, "query-pairs")
+    fields = F.array(F.struct(F.lit(True).alias("heading"), F.col("heading").alias("t")), F.struct(F.lit(False).alias("heading"), F.col("body").alias("t")))
+    flat = index.streams.repartition("chat_key", "doc").select("chat_key", "doc", F.explode(fields).alias("x")).select(
+        "chat_key", "doc", "x.heading", F.posexplode("x.t").alias("pos", "tok"))
+    behind = Window.partitionBy("chat_key", "doc", "heading").orderBy("pos")
+    ahead = F.array(*[F.lead("tok", k).over(behind) for k in range(1, window + 1)])
+    pairs = flat.select("chat_key", "doc", "heading", "tok", ahead.alias("ahead")).select(
+        "chat_key", "doc", "heading", "tok", F.explode("ahead").alias("later")).filter("later is not null")
+    met = pairs.join(asked, ["chat_key", "tok", "later"]).filter("heading or content")
+    return met.groupBy("query_id", "chat_key", "doc").agg(F.lit(True).alias("near"))
+
+
+def direct_scan(
+    queries: DataFrame, index: Index, state_docs: DataFrame | None = None, focus: DataFrame | None = None,
+    context: str | None = "context_text",
+) -> DataFrame:
+    """Direct score, context hits and what decides eligibility, in one pass over the postings.
+
+    Words of the query, words of its context and identity terms (``focus(query_id,
+    chat_key, term)``, F14) are rows with tags, one for each token of a query; they join
+    the postings once and one aggregate makes all sums and flags. Most records are
+    decided by those; for two words near each other see ``near_pairs``.
+    """
+    key = ["query_id", "chat_key", "tok"]
+    none = lambda kind: F.lit(None).cast(kind)
+    direct = direct_terms(queries).select(*key[:2], F.col("term").alias("tok"), "ord", F.lit(False).alias("in_context"), F.lit(focus is None).alias("in_focus"))
+    tagged = direct
+    if context is not None and context in queries.columns:
+        said = queries.select("query_id", "chat_key", F.explode(X.term_set(context)).alias("tok"))
+        tagged = tagged.unionByName(said.select(*key, none("int").alias("ord"), F.lit(True).alias("in_context"), F.lit(False).alias("in_focus")))
+    if focus is not None:
+        tagged = tagged.unionByName(focus.select(*key[:2], F.col("term").alias("tok"), none("int").alias("ord"), F.lit(False).alias("in_context"), F.lit(True).alias("in_focus")))
+    tagged = tagged.groupBy(*key).agg(F.min("ord").alias("ord"), F.max("in_context").alias("in_context"), F.max("in_focus").alias("in_focus"))
+    known = tagged.join(index.terms, ["chat_key", "tok"], "left").join(index.stats, "chat_key").withColumn(
+        "concept", ~F.coalesce("in_identity", F.lit(False))).withColumn("surface", ~F.col("tok").startswith("~"))
+    known = write_through(known, "query-terms")
+    asked = known.filter("ord is not null")
+    n_surface = asked.groupBy("query_id").agg(F.count(F.when(F.col("concept") & F.col("surface"), 1)).alias("n_surface"))
+    hits = index.postings.drop("heading_pos", "body_pos").repartition("chat_key", "doc").join(known.filter("df is not null"), ["chat_key", "tok"])
+    hits = hits.withColumn("score", term_score())
     ids = ["query_id", "chat_key", "doc"]
-    head, body = F.col("tf_heading") > 0, F.col("tf_body") > 0
+    mine = F.col("ord").isNotNull()
+    head, body = mine & (F.col("tf_heading") > 0), mine & (F.col("tf_body") > 0)
     concept, surface = F.col("concept"), F.col("surface")
     content = concept & (head | body)
     rare = content & (X.idf("n_docs", "df") >= 1.25)
     count = lambda c: F.count(F.when(c, 1))
     g = hits.groupBy(*ids).agg(
+        F.sum(F.when(mine, F.col("score"))).alias("direct_score"), count(mine).alias("matched_terms"), count(F.col("in_context")).alias("context_hits"),
         F.bool_or(concept & head).alias("heading_hit"), F.bool_or(content).alias("content_hit"),
-        F.bool_or(F.col("tf_identity") > 0).alias("identity_hit"), F.bool_or(F.col("tf_anchor") > 0).alias("anchor_hit"),
+        F.bool_or(mine & (F.col("tf_identity") > 0)).alias("named_hit"), F.bool_or(F.col("in_focus") & (F.col("tf_identity") > 0)).alias("identity_hit"),
+        F.bool_or(mine & (F.col("tf_anchor") > 0)).alias("anchor_hit"),
         F.bool_or(concept & body & ~surface).alias("stem_body"), F.bool_or(content & (F.col("df") <= 3)).alias("rare3"),
         F.bool_or(rare & (F.col("df") <= 3)).alias("rare3_idf"), F.bool_or(rare & (F.col("df") <= 1)).alias("rare1_idf"),
-        count(content).alias("content_terms"), count(surface & head).alias("n_head"), count(surface & concept & body).alias("n_body"),
-        F.min(F.when(content, F.col("ord"))).alias("content_ord"), F.max(F.when(content, F.col("df"))).alias("content_df"),
-    ).join(query_level, "query_id")
-    n = F.col("n_surface")
+        count(content).alias("content_terms"), F.min(F.when(content, F.col("ord"))).alias("content_ord"),
+        F.max(F.when(content, F.col("df"))).alias("content_df"),
+    ).join(n_surface, "query_id", "left")
+    n = F.coalesce("n_surface", F.lit(0))
     state = F.lit(False)
     if state_docs is not None:
         g = g.join(state_docs.select("chat_key", "doc", F.lit(True).alias("is_state")), ["chat_key", "doc"], "left")
-        state = F.coalesce("is_state", F.lit(False)) & F.col("identity_hit") & F.col("content_hit")
+        state = F.coalesce("is_state", F.lit(False)) & F.col("named_hit") & F.col("content_hit")
     sure = (
         state
-        | ((F.col("identity_hit") | F.col("anchor_hit")) & (F.col("heading_hit") | F.col("stem_body") | F.col("rare3")))
+        | ((F.col("named_hit") | F.col("anchor_hit")) & (F.col("heading_hit") | F.col("stem_body") | F.col("rare3")))
         | ((n <= 1) & F.col("heading_hit"))
         | ((n <= 2) & F.col("content_hit"))
         | F.when(n <= 1, F.col("rare3_idf")).otherwise(F.col("rare1_idf"))
     )
-    g = write_through(g.withColumn("sure", F.coalesce(sure, F.lit(False))), "flags")
-    # two words in order, near each other, in the heading or in the body
-    unsure = g.filter(~F.col("sure") & ((F.col("n_head") >= 2) | (F.col("n_body") >= 2))).select(*ids)
-    placed = hits.filter(surface & (head | (concept & body))).select(*ids, "ord", "concept", "heading_pos", "body_pos")
-    pairs = placed.join(unsure, ids, "left_semi").groupBy(*ids).agg(
-        _positions("heading", F.lit(True)).alias("h"), _positions("body", F.col("concept")).alias("b")
-    ).select(*ids, (ordered_pair_within(F.col("h")) | ordered_pair_within(F.col("b"))).alias("near"))
-    out = g.join(pairs.filter("near"), ids, "left")
+    near = near_pairs(asked.filter("surface").select(*key[:2], "ord", F.col("tok").alias("term"), "concept"), index)
+    words = asked.select("query_id", F.col("ord").alias("content_ord"), F.col("tok").alias("weak"))
     one = (F.col("content_terms") == 1) & (F.col("content_df") > 3)
-    word = judged.select("query_id", F.col("ord").alias("content_ord"), F.col("term").alias("weak"))
     return (
-        out.withColumn("direct_eligible", F.col("sure") | F.coalesce("near", F.lit(False)))
-        .join(word, ["query_id", "content_ord"], "left")
-        .select(*ids, "direct_eligible", "identity_hit", F.when(one, F.col("weak")).alias("weak_term"))
+        g.withColumn("sure", F.coalesce(sure, F.lit(False))).join(near, ids, "left").join(words, ["query_id", "content_ord"], "left")
+        .select(
+            *ids, "direct_score", "matched_terms", "context_hits", (F.col("sure") | F.coalesce("near", F.lit(False))).alias("direct_eligible"),
+            "identity_hit", F.when(one, F.col("weak")).alias("weak_term"),
+        )
     )
 
 
-def phrase_eligibility(queries: DataFrame, index: Index) -> DataFrame:
-    """Which matched records qualify through an expansion phrase (F3: coherent, compact)."""
+def direct_eligibility(queries: DataFrame, index: Index, state_docs: DataFrame | None = None) -> DataFrame:
+    """Which matched records qualify on the query text itself (F3, A.5)."""
+    scanned = direct_scan(queries, index, state_docs, context=None)
+    return scanned.select("query_id", "chat_key", "doc", "direct_eligible", "identity_hit", "weak_term")
+
+
+def phrase_scan(queries: DataFrame, index: Index) -> DataFrame:
+    """Expanded score and eligibility through expansion phrases, in one pass (F2, F3: coherent, compact).
+
+    Sums and flags decide most records. Word positions are only gathered for the
+    phrases of a record that have enough words in one field and hang on their order.
+    """
     terms = phrase_terms(queries)
     known = index.terms.select("chat_key", "tok", "df", "in_identity")
     v = variants(terms).join(known, ["chat_key", "tok"], "left")
@@ -295,62 +391,81 @@ def phrase_eligibility(queries: DataFrame, index: Index) -> DataFrame:
         F.coalesce(F.bool_or("in_identity"), F.lit(False)).alias("identity_term"),
         F.coalesce(F.bool_or(F.when(~F.col("stemmed"), F.col("in_identity"))), F.lit(False)).alias("exact_identity"),
         F.coalesce(F.max(F.when(~F.col("stemmed"), F.col("df"))), F.max("df"), F.lit(0)).alias("term_df"),
+        F.coalesce(F.max(F.when(~F.col("stemmed"), F.col("df"))), F.lit(0)).alias("own_df"),
     )
-    per_phrase = judged.groupBy("query_id", "chat_key", "phrase").agg(
+    per_query = judged.groupBy("query_id", "chat_key", "phrase").agg(
         F.count(F.when(F.col("identity_term"), 1)).alias("n_identity"),
         F.count(F.when(F.col("exact_identity"), 1)).alias("n_exact_identity"),
     )
-    hits = index.postings.join(
-        variants(judged.select(*tkeys, "identity_term", "exact_identity", "term_df")), ["chat_key", "tok"]
-    )
+    judged = judged.join(per_query, ["query_id", "chat_key", "phrase"])
+    asked = variants(judged).join(index.terms, ["chat_key", "tok"]).join(index.stats, "chat_key")
+    asked = write_through(asked, "phrase-terms")
+    hits = index.postings.drop("heading_pos", "body_pos").repartition("chat_key", "doc").join(asked, ["chat_key", "tok"]).withColumn("score", term_score())
     flags = lambda f: F.bool_or(F.col(f"tf_{f}") > 0)
-    per_term = hits.groupBy(*tkeys, "identity_term", "exact_identity", "term_df", "doc").agg(
-        flags("identity").alias("in_id"), flags("anchor").alias("in_an"), flags("heading").alias("in_he"),
-        flags("body").alias("in_bo"),
-        F.flatten(F.collect_list("heading_pos")).alias("heading_pos"), F.flatten(F.collect_list("body_pos")).alias("body_pos"),
+    level = ["query_id", "chat_key", "doc", "phrase", "size", "n_identity", "n_exact_identity", "n_docs"]
+    per_term = hits.groupBy(*level, "ord", "identity_term", "exact_identity", "term_df", "own_df").agg(
+        F.sum(F.when(~F.col("stemmed"), F.col("score"))).alias("exact"), F.sum(F.when(F.col("stemmed"), F.col("score"))).alias("stem"),
+        flags("identity").alias("in_id"), flags("anchor").alias("in_an"), flags("heading").alias("in_he"), flags("body").alias("in_bo"),
     )
     anchored = F.col("in_id") | F.col("identity_term")
     free_h, free_b = F.col("in_he") & ~anchored, F.col("in_bo") & ~anchored
     count = lambda c: F.count(F.when(c, 1))
-    g = per_term.groupBy("query_id", "chat_key", "phrase", "size", "doc").agg(
+    weight = X.idf("n_docs", "own_df")
+    g = per_term.groupBy(*level).agg(
+        F.sum(F.coalesce("exact", "stem")).alias("base"), F.count(F.lit(1)).alias("m"), F.sum(weight).alias("idf_sum"),
         count(free_h).alias("fh"), count(free_b).alias("fb"), count(free_h | free_b).alias("fc"),
         count(F.col("in_id") | F.col("in_an")).alias("structured"), count(F.col("in_id")).alias("n_in_id"),
         count(F.col("identity_term") & F.col("in_he")).alias("id_h"), count(F.col("identity_term") & F.col("in_bo")).alias("id_b"),
+        count(F.col("in_he")).alias("n_he"), count(F.col("in_bo")).alias("n_bo"),
         F.bool_or(~F.col("exact_identity") & (F.col("in_he") | F.col("in_bo"))).alias("free_content"),
         F.bool_or(~F.col("identity_term") & (F.col("in_he") | F.col("in_bo"))).alias("single_content"),
         F.bool_or(F.col("identity_term") & (F.col("in_id") | F.col("in_an"))).alias("single_identity"),
         F.max("term_df").alias("term_df"),
-        _positions("heading", F.lit(True)).alias("h"), _positions("body", F.lit(True)).alias("b"),
-    ).join(per_phrase, ["query_id", "chat_key", "phrase"]).join(index.stats.select("chat_key", "n_docs"), "chat_key")
+    )
     size, nid = F.col("size"), F.col("n_identity")
     required = F.greatest(F.lit(2), F.ceil(size * F.lit(0.6)).cast("int"), F.when(nid >= 2, 3).otherwise(0))
     content_needed = F.when((nid >= 2) & (size > 3), 2).otherwise(1)
     pair_kept = lambda c: (nid < 2) | (F.col("structured") >= 2) | (F.col(c) >= 2)
-    covered = lambda c, need: ordered_coverage_within(F.col(c), need, size)
-    coherent = (
-        ((F.col("fh") >= content_needed) & pair_kept("id_h") & covered("h", required))
-        | ((F.col("fb") >= content_needed) & pair_kept("id_b") & covered("b", required))
-        | ((F.col("structured") >= 1) & (F.col("fc") >= 3))
-        | (F.col("fc") >= 4)
-    )
+    double = size == 2
+    both_known = F.col("n_exact_identity") >= 2
+    # what coverage in order would decide, field by field
+    head_long = (F.col("fh") >= content_needed) & pair_kept("id_h") & (F.col("n_he") >= required)
+    body_long = (F.col("fb") >= content_needed) & pair_kept("id_b") & (F.col("n_bo") >= required)
+    head_two = double & (F.col("n_he") >= 2)
+    body_two = double & ~both_known & (F.col("n_bo") >= 2)
     rare_limit = F.greatest(F.lit(4), F.ceil(F.col("n_docs") * F.lit(0.005)))
     single = (size == 1) & F.col("single_content") & (F.col("term_df") > 0) & (F.col("term_df") <= rare_limit)
+    sure = (
+        ((F.col("structured") >= 1) & (F.col("fc") >= 3)) | (F.col("fc") >= 4) | single
+        | (double & ~both_known & (F.col("n_in_id") >= 1) & F.col("free_content"))
+    )
+    coherence = F.when(F.col("m") >= 2, F.col("idf_sum") * F.least(F.lit(0.3), 0.1 * (F.col("m") - 1))).otherwise(0.0)
+    keys = ["query_id", "chat_key", "doc", "phrase"]
+    told = write_through(g.select(
+        *keys, "size", required.alias("required"), (F.col("base") + coherence).alias("score"), F.coalesce(sure, F.lit(False)).alias("sure"),
+        head_long.alias("head_long"), body_long.alias("body_long"), head_two.alias("head_two"), body_two.alias("body_two"),
+        count_one("single_identity").alias("s_id"), count_one("single_content").alias("s_content"),
+    ), "phrase-flags")
+    open_pairs = told.filter("not sure and (head_long or body_long or head_two or body_two)")
+    where = asked.select("query_id", "chat_key", "tok", "phrase", "ord")
+    placed = index.postings.select("chat_key", "doc", "tok", "heading_pos", "body_pos").join(
+        open_pairs.select("chat_key", "doc").distinct(), ["chat_key", "doc"], "left_semi").join(where, ["chat_key", "tok"])
+    walked = placed.join(open_pairs, keys).groupBy(*keys, "size", "required", "head_long", "body_long", "head_two", "body_two").agg(
+        _positions("heading", F.lit(True)).alias("h"), _positions("body", F.lit(True)).alias("b"))
+    covered = lambda c, need: ordered_coverage_within(F.col(c), need, size)
     two = F.lit(2)
-    double = (size == 2) & (
-        covered("h", two)
-        | ((F.col("n_exact_identity") < 2) & (covered("b", two) | ((F.col("n_in_id") >= 1) & F.col("free_content"))))
-    )
-    judged_phrases = g.withColumn("coherent", coherent).withColumn("compact", single | double)
-    return judged_phrases.groupBy("query_id", "chat_key", "doc").agg(
-        F.bool_or("coherent").alias("coherent"),
-        F.bool_or("compact").alias("compact_phrase"),
-        count((size == 1) & F.col("single_identity")).alias("s_id"),
-        count((size == 1) & F.col("single_content")).alias("s_content"),
-        F.max("n_in_id").alias("n_in_id"),
+    holds = (
+        (F.col("head_long") & covered("h", F.col("required"))) | (F.col("body_long") & covered("b", F.col("required")))
+        | (F.col("head_two") & covered("h", two)) | (F.col("body_two") & covered("b", two))
+    )
+    walked = walked.select(*keys, holds.alias("holds")).filter("holds")
+    return told.join(walked, keys, "left").groupBy("query_id", "chat_key", "doc").agg(
+        F.max(F.when(F.col("score") > 0, F.col("score"))).alias("top"), F.sum(F.when(F.col("score") > 0, F.col("score"))).alias("all"),
+        F.bool_or(F.col("sure") | F.coalesce("holds", F.lit(False))).alias("held"), F.sum("s_id").alias("s_id"), F.sum("s_content").alias("s_content"),
     ).select(
-        "query_id", "chat_key", "doc",
+        "query_id", "chat_key", "doc", (F.col("top") + F.lit(0.2) * (F.col("all") - F.col("top"))).alias("expanded_score"),
         (
-            F.col("coherent") | F.col("compact_phrase")
+            F.col("held")
             | ((F.col("s_id") >= 2) & (F.col("s_content") >= 1))
             | ((F.col("s_id") >= 1) & (F.col("s_content") >= 2))
             | (F.col("s_content") >= 3)
@@ -358,6 +473,16 @@ def phrase_eligibility(queries: DataFrame, index: Index) -> DataFrame:
     )
 
 
+def count_one(flag: str) -> Column:
+    """1 where a phrase of one word has the flag."""
+    return F.when((F.col("size") == 1) & F.col(flag), 1).otherwise(0)
+
+
+def phrase_eligibility(queries: DataFrame, index: Index) -> DataFrame:
+    """Which matched records qualify through an expansion phrase."""
+    return phrase_scan(queries, index).select("query_id", "chat_key", "doc", "expanded_eligible")
+
+
 def passage_windows(l1: DataFrame) -> DataFrame:
     """Passages of a level-1 row (E16): each line, each adjacent pair, the overall line.
 
@@ -436,38 +561,41 @@ def fuse(candidates: DataFrame, boost: Column | None = None, keys: tuple[str, ..
 
 
 def candidates(
-    queries: DataFrame, index: Index, records: DataFrame, semantic: DataFrame | None = None, as_of=None
+    queries: DataFrame, index: Index, records: DataFrame, semantic: DataFrame | None = None, as_of=None,
+    focus: DataFrame | None = None, passages: Index | None = None,
 ) -> DataFrame:
     """Everything ``fuse`` needs for every matched or semantically ranked record.
 
     ``queries(query_id, chat_key, direct_text, context_text, expansions)``;
     ``records(chat_key, doc, category[, importance, updated_at])``;
-    ``semantic(query_id, chat_key, doc, semantic_rank)``.
+    ``semantic(query_id, chat_key, doc, semantic_rank)``; ``focus`` are identity terms
+    (F14) and ``passages`` the passage index of the level-1 records, which then qualify
+    by a passage alone.
     """
     ids = ["query_id", "chat_key", "doc"]
     states = records.filter(F.col("category") == "states")
-    direct = bm25f_scores(queries, index).drop("matched_terms")
-    d_ok = direct_eligibility(queries, index, states)
-    expanded = expanded_scores(queries, index)
-    e_ok = phrase_eligibility(queries, index)
-    ctx = queries.select("query_id", "chat_key", F.explode(X.term_set("context_text")).alias("tok"))
-    context = index.postings.select("chat_key", "tok", "doc").join(ctx, ["chat_key", "tok"]).groupBy(*ids).agg(
-        F.count(F.lit(1)).alias("context_hits")
-    )
-    lexical = direct.join(d_ok, ids, "full_outer").join(expanded, ids, "full_outer").join(e_ok, ids, "full_outer")
+    lexical = direct_scan(queries, index, states, focus).join(phrase_scan(queries, index), ids, "full_outer")
     if semantic is not None:
         lexical = lexical.join(semantic, ids, "full_outer")
     else:
         lexical = lexical.withColumn("semantic_rank", F.lit(0))
-    j = lexical.join(context, ids, "left").join(records, ["chat_key", "doc"])
-    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    # words of the context alone make no candidate
+    asked = (F.col("matched_terms") > 0) | F.col("identity_hit") | F.col("expanded_eligible").isNotNull() | (F.col("semantic_rank") > 0)
+    j = lexical.filter(asked).join(records, ["chat_key", "doc"])
     flag = lambda c: F.coalesce(c, F.lit(False))
+    direct_ok, expanded_ok = flag("direct_eligible"), flag("expanded_eligible")
+    if passages is not None:
+        local = passage_eligibility(queries, passages).select(*ids, F.col("direct_eligible").alias("__direct"), F.col("expanded_eligible").alias("__expanded"))
+        j = j.join(local, ids, "left")
+        l1 = F.col("category") == "l1"
+        direct_ok, expanded_ok = F.when(l1, flag("__direct")).otherwise(direct_ok), F.when(l1, flag("__expanded")).otherwise(expanded_ok)
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     central = (F.col("category") == "entities") & flag("identity_hit")
     importance = X.clamp_importance("importance") if "importance" in records.columns else F.lit(fixed.DEFAULT_IMPORTANCE)
     fresh = X.recency("updated_at", as_of) if as_of is not None and "updated_at" in records.columns else F.lit(0.0)
     return j.select(
         *ids, "category", zero("direct_score"), zero("expanded_score"),
-        (flag("direct_eligible") | central).alias("direct_eligible"), flag("expanded_eligible").alias("expanded_eligible"),
+        (direct_ok | central).alias("direct_eligible"), expanded_ok.alias("expanded_eligible"),
         central.alias("identity_central"), "weak_term", F.coalesce("context_hits", F.lit(0)).alias("context_hits"),
         importance.alias("importance"), fresh.alias("recency"), F.coalesce("semantic_rank", F.lit(0)).alias("semantic_rank"),
     )
@@ -746,15 +874,18 @@ def pack_budget(rows: DataFrame, budgets: DataFrame, overhead: int = 0, minimum:
     lines = distinct_lines(rows).withColumn("title", F.first("title").over(turn)).select(
         "query_id", F.row_number().over(turn).alias("turn"), F.col("section_no").cast("long").alias("section_no"), "title", "line",
         cost(F.col("line")).alias("cost"), X.estimate_tokens(F.concat(F.lit("\n"), "title", F.lit(":\n"))).alias("head"))
+    lines = write_through(lines, "context-lines")
     lead = F.col("turn") == 1
+    # texts stay outside the fold, but for first lines: those may be clipped to a share, and there is one a section
+    first_line = F.when(lead, F.col("line")).alias("line")
     asked = lines.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "section_no", "title", "line", "cost", "head"))).alias("lines"),
+        F.array_sort(F.collect_list(F.struct("turn", "section_no", "cost", "head", first_line))).alias("lines"),
         F.sum(F.when(lead, F.col("head"))).alias("heads"), F.sum(F.when(lead, F.col("cost"))).alias("firsts"),
         F.count(F.when(lead, 1)).alias("sections"),
     ).join(budgets.select("query_id", "budget"), "query_id").withColumn("limit", F.greatest(F.lit(minimum), F.col("budget")).cast("long") - overhead)
     body = F.col("limit") - F.col("heads")
     tight, whole = body <= 0, F.col("firsts") <= body
-    line_type = "struct<section_no:bigint,title:string,line:string>"
+    line_type = "struct<turn:int,section_no:bigint,clipped:string>"
 
     def state(room, sections, turn_no, added, running, taken) -> Column:
         return F.struct(
@@ -767,16 +898,19 @@ def pack_budget(rows: DataFrame, budgets: DataFrame, overhead: int = 0, minimum:
         head = F.when(tight, r["head"]).otherwise(F.lit(0))  # headers are paid before, unless they do not all fit
         take = F.when(first, ~tight | (r["head"] + 1 <= acc["room"])).otherwise(~tight & running & (r["cost"] <= acc["room"]))
         share = F.when(tight, acc["room"] - head).otherwise(F.greatest(F.lit(1), F.floor(acc["room"] / acc["sections"])))
-        line = F.when(take & first & (tight | ~whole), X.clip_tokens(r["line"], share.cast("long"))).otherwise(r["line"])
-        return X.let(line, lambda text: state(
-            F.when(take, F.greatest(F.lit(0), acc["room"] - head - cost(text))).otherwise(acc["room"]),
+        clipped = F.when(take & first & (tight | ~whole), X.clip_tokens(r["line"], share.cast("long")))
+        return X.let(clipped, lambda text: state(
+            F.when(take, F.greatest(F.lit(0), acc["room"] - head - F.when(text.isNull(), r["cost"]).otherwise(cost(text)))).otherwise(acc["room"]),
             F.when(first, acc["sections"] - 1).otherwise(acc["sections"]), r["turn"], take | (acc["added"] & ~new_turn), running,
-            F.when(take, F.concat(acc["taken"], F.array(F.struct(r["section_no"].alias("section_no"), r["title"].alias("title"), text.alias("line"))))).otherwise(acc["taken"]),
+            F.when(take, F.concat(acc["taken"], F.array(F.struct(
+                r["turn"].cast("int").alias("turn"), r["section_no"].alias("section_no"), text.alias("clipped"))))).otherwise(acc["taken"]),
         ))
 
     start = state(F.when(tight, F.col("limit")).otherwise(body), F.col("sections"), F.lit(0), F.lit(False), F.lit(True), F.array().cast(f"array<{line_type}>"))
     taken = asked.select("query_id", F.posexplode(F.aggregate("lines", start, step, lambda acc: acc["taken"])).alias("position", "l"))
-    return taken.select("query_id", F.col("position").cast("long").alias("position"), "l.section_no", "l.title", "l.line")
+    taken = taken.select("query_id", F.col("position").cast("long").alias("position"), "l.turn", "l.section_no", "l.clipped")
+    return taken.join(lines.select("query_id", "turn", "section_no", "title", "line"), ["query_id", "turn", "section_no"]).select(
+        "query_id", "position", "section_no", "title", F.coalesce("clipped", "line").alias("line"))
 
 
 def context_text(packed: DataFrame) -> DataFrame:

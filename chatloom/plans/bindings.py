@@ -321,3 +321,62 @@ def bench_queries(spark, sf_dir) -> DataFrame:
         _one_corpus("item_id").alias("chat_key"), F.col("item_id").alias("query_id"),
         F.col("text").alias("direct_text"),
     )
+
+
+#: conversations stand behind the documents in one corpus
+CONVERSATIONS = 1_000_000_000
+LANG_CATEGORY = {"en": "facts", "fr": "events", "de": "threads", "es": "backgrounds"}
+
+
+def recall_l1(spark, sf_dir) -> DataFrame:
+    """Conversations as level-1 records: the first turn opens, the last one closes, those between are beats."""
+    t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: r["text"]).alias("t"),
+        F.array_sort(F.collect_set("role")).alias("participants"))
+    return t.select(
+        _one_corpus("conv_id").alias("chat_key"), (F.col("conv_id") + CONVERSATIONS).alias("doc"), "participants", F.lit("").alias("title"),
+        F.col("t")[0].alias("opening"), F.slice("t", F.lit(2), F.greatest(F.size("t") - 2, F.lit(0))).alias("beats"),
+        F.when(F.size("t") > 1, F.element_at("t", -1)).alias("closing"), F.lit(None).cast("string").alias("emotional_arc"), F.array_join("t", " ").alias("body"))
+
+
+def recall_corpus(spark, sf_dir) -> DataFrame:
+    """Documents and conversations as one searchable set."""
+    l1 = recall_l1(spark, sf_dir).select(
+        "chat_key", "doc", F.lit("").alias("identity"), F.array_join("participants", " ").alias("anchor"), F.lit("").alias("heading"), "body")
+    return corpus(spark, sf_dir).unionByName(l1)
+
+
+def recall_records(spark, sf_dir) -> DataFrame:
+    """Category by the language of a document; conversations are level 1; quality labels set the importance."""
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    d = table(spark, sf_dir, "documents").join(marks, "doc_id", "left")
+    docs = d.select(
+        _one_corpus("doc_id").alias("chat_key"), F.col("doc_id").alias("doc"), F.coalesce(X.lookup(LANG_CATEGORY, F.col("lang")), F.lit("facts")).alias("category"),
+        F.when(F.col("quality") == 1, 5).when(F.col("quality") == 0, 1).otherwise(3).alias("importance"), F.lit(None).cast("long").alias("order_no"))
+    l1 = recall_l1(spark, sf_dir).select("chat_key", "doc", F.lit("l1").alias("category"), F.lit(3).alias("importance"), F.col("doc").alias("order_no"))
+    return docs.unionByName(l1)
+
+
+fragment("rl1", f"""
+SELECT conv_id + {CONVERSATIONS} AS doc, list(text ORDER BY turn) AS t, array_to_string(list_sort(list(DISTINCT role)), ' ') AS anchor FROM conversations GROUP BY conv_id
+""")
+fragment("rfields", """
+SELECT doc, 'identity' AS field, identity AS text FROM corpus UNION ALL SELECT doc, 'anchor', anchor FROM corpus
+UNION ALL SELECT doc, 'heading', heading FROM corpus UNION ALL SELECT doc, 'body', body FROM corpus
+UNION ALL SELECT doc, 'anchor', anchor FROM rl1 UNION ALL SELECT doc, 'body', array_to_string(t, ' ') FROM rl1
+""", ("corpus", "rl1"))
+fragment("rrec", """
+SELECT d.doc_id AS doc, CASE lang WHEN 'en' THEN 'facts' WHEN 'fr' THEN 'events' WHEN 'de' THEN 'threads' WHEN 'es' THEN 'backgrounds' ELSE 'facts' END AS section,
+  CASE q WHEN 1 THEN 5 WHEN 0 THEN 1 ELSE 3 END AS importance FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) USING (doc_id)
+UNION ALL SELECT doc, 'l1', 3 FROM rl1
+""", ("rl1",))
+# a passage is a turn or two turns in a row; its key holds the record and its number
+fragment("pfields", r"""
+SELECT doc * 1000 + i AS doc, 'body' AS field, p AS text FROM (
+  SELECT doc, unnest(w) AS p, generate_subscripts(w, 1) AS i FROM (
+    SELECT doc, flatten(list_transform(l, lambda v, i: CASE WHEN i < len(l) THEN [v, v || ' ' || l[i + 1]] ELSE [v] END)) AS w FROM (
+      SELECT doc, list_filter(list_transform(t, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM rl1)))
+UNION ALL
+SELECT doc * 1000 + i, 'anchor', anchor FROM (
+  SELECT doc, anchor, unnest(range(1, 2 * len(list_filter(t, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')) <> '')))) AS i FROM rl1)
+""", ("rl1",))

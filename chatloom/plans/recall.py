@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import fixed, text as X
-from ..operators import retrieval as Q, vectors as V
+from ..operators import names as N, recall as R, retrieval as Q, vectors as V
 from ..operators.scale import staged, top_k
 from ..sources.messages import read_messages
 from ..sources.tables import table
 from . import bindings as B
 from .memory import norm
-from .registry import fragment, query, sql
+from .registry import FRAGMENTS, fragment, query, sql
 
 STOP = ", ".join(f"'{w}'" for w in fixed.STOP_WORDS)
 
@@ -93,7 +93,7 @@ def _index(spark, sf):
             idx["built"] = idx.get("built") or Q.build_index(B.corpus(spark, sf))
         return getattr(idx["built"], name)
 
-    parts = {n: staged(spark, (f"index-{n}", sf), lambda n=n: part(n)) for n in ("postings", "documents", "stats", "terms")}
+    parts = {n: staged(spark, (f"index-{n}", sf), lambda n=n: part(n)) for n in ("postings", "documents", "stats", "terms", "streams")}
     return Q.Index(**parts)
 
 
@@ -109,7 +109,7 @@ def _(spark, sf):
 
 @query("corpus_stats", sql("SELECT n_docs, " + ", ".join(f"CAST(round(avg_{f}, 6) AS DOUBLE) AS avg_{f}" for f in Q.FIELDS) + " FROM stats", "stats"))
 def _(spark, sf):
-    return _index(spark, sf).stats.select("n_docs", *[F.round(f"avg_{f}", 6).alias(f"avg_{f}") for f in Q.FIELDS])
+    return Q.corpus_statistics(B.corpus(spark, sf)).select("n_docs", *[F.round(f"avg_{f}", 6).alias(f"avg_{f}") for f in Q.FIELDS])
 
 
 @query("document_frequency", sql("SELECT tok, df, in_identity FROM terms", "terms"))
@@ -124,11 +124,7 @@ SELECT query_id, doc, matched_terms, round(direct_score, 6) AS score,
 FROM direct QUALIFY rank <= 10
 """, "direct"))
 def _(spark, sf):
-    # one batch of queries: only its tokens are posted, lengths cover everything
-    q = B.bench_queries(spark, sf)
-    only = Q.direct_terms(q).select(F.col("term").alias("tok"))
-    idx = Q.build_index(B.corpus(spark, sf), only=only, positions=False)
-    return Q.bm25f_top(q, idx, 10).select("query_id", "doc", "matched_terms", "score", "rank")
+    return Q.bm25f_top(B.bench_queries(spark, sf), _index(spark, sf), 10).select("query_id", "doc", "matched_terms", "score", "rank")
 
 
 fragment("phr", """
@@ -163,6 +159,106 @@ def _(spark, sf):
     return top_k(s, ["query_id"], [F.col("score").desc(), F.col("doc")], 10).select("query_id", "doc", "score", "rank")
 
 
+# ---- F3 as SQL: tokens in their order, matches, order and nearness ----------------------
+_PLAIN = "translate({0}, '’‘‐‑‒–—', '''''-----')"
+
+
+def ordered_tokens_sql(source: str, keys: str, text: str, stems: bool = True) -> str:
+    """Search tokens of ``text`` in rows (keys, pos, tok), stems behind their words."""
+    words = f"""
+SELECT {keys}, i, min(j) AS j, f FROM (
+  SELECT {keys}, raw, i, unnest(fs) AS f, generate_subscripts(fs, 1) AS j FROM (
+    SELECT {keys}, raw, i, flatten(list_transform(list_filter(string_split(base, ''''), lambda p: p <> ''),
+         lambda p: CASE WHEN contains(p, '-') THEN list_concat([p], list_filter(string_split(p, '-'), lambda q: q <> '')) ELSE [p] END)) AS fs
+    FROM (SELECT {keys}, raw, i, CASE WHEN regexp_matches(b, '^.+n''t$') THEN
+            CASE b WHEN 'can''t' THEN 'can' WHEN 'won''t' THEN 'will' WHEN 'shan''t' THEN 'shall' WHEN 'ain''t' THEN 'am' ELSE substr(b, 1, length(b) - 3) END ELSE b END AS base
+      FROM (SELECT {keys}, raw, i, regexp_replace(lower(raw), '(''(s|ll|re|ve|d|m))+$', '') AS b
+        FROM (SELECT {keys}, unnest(raws) AS raw, generate_subscripts(raws, 1) AS i
+          FROM (SELECT {keys}, regexp_extract_all({_PLAIN.format(text)}, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}''-]*') AS raws FROM {source}))))))
+WHERE (length(f) >= 3 AND f NOT IN ({STOP})) OR (length(f) = 2 AND (f NOT IN ({STOP}) OR (raw = upper(raw) AND raw <> lower(raw))))
+GROUP BY {keys}, i, f
+"""
+    stemmed = f"UNION ALL SELECT {keys}, i, j, 1, '~' || s FROM (SELECT *, {stem_sql('f')} AS s FROM w) WHERE length(s) >= {fixed.MIN_STEM}" if stems else ""
+    return f"""
+WITH w AS ({words}) SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY i, j, stem) AS pos, tok
+FROM (SELECT {keys}, i, j, 0 AS stem, f AS tok FROM w {stemmed})
+"""
+
+
+fragment("qord", f"SELECT query_id, tok AS term, min(pos) AS ord FROM ({ordered_tokens_sql('bq', 'query_id', 'text')}) GROUP BY query_id, tok", ("bq",))
+fragment("pord", f"""
+SELECT *, count(*) OVER (PARTITION BY query_id, phrase) AS size, row_number() OVER (PARTITION BY query_id, phrase ORDER BY first) AS ord, {stem_sql('term')} AS st
+FROM (SELECT query_id, phrase, tok AS term, min(pos) AS first FROM ({ordered_tokens_sql('phr', 'query_id, phrase', 'text', False)}) GROUP BY query_id, phrase, tok)
+""", ("phr",))
+
+
+def eligibility_fragments(p: str, fields: str, stats: str, terms: str) -> None:
+    """``{p}dok(query_id, doc, ok)`` and ``{p}eok(query_id, doc, ok)`` over the records of ``fields``."""
+    fragment(f"{p}tok", ordered_tokens_sql(fields, "doc, field", "text"), (fields,))
+    fragment(f"{p}dterms", f"""
+SELECT q.*, left(term, 1) <> '~' AS surface, NOT coalesce(t.in_identity, false) AS concept, coalesce(t.df, 0) AS df,
+  {IDF.format('coalesce(t.df, 0)')} AS idf FROM qord q LEFT JOIN {terms} t ON t.tok = q.term CROSS JOIN {stats}
+""", ("qord", terms, stats))
+    fragment(f"{p}dhits", f"SELECT q.query_id, k.doc, k.field, k.pos, q.ord, q.concept FROM {p}dterms q JOIN {p}tok k ON k.tok = q.term WHERE q.surface AND k.field IN ('heading', 'body')", (f"{p}tok", f"{p}dterms"))
+    fragment(f"{p}near", f"""
+SELECT DISTINCT a.query_id, a.doc FROM {p}dhits a JOIN {p}dhits b ON a.query_id = b.query_id AND a.doc = b.doc AND a.field = b.field
+  AND b.ord > a.ord AND b.pos > a.pos AND b.pos <= a.pos + 8 WHERE a.field = 'heading' OR (a.concept AND b.concept)
+""", (f"{p}dhits",))
+    fragment(f"{p}dok", f"""
+WITH m AS (SELECT q.query_id, k.doc, q.term, q.ord, q.surface, q.concept, q.df, q.idf, bool_or(field = 'heading') AS h, bool_or(field = 'body') AS b,
+             bool_or(field = 'identity') AS i, bool_or(field = 'anchor') AS a FROM {p}dterms q JOIN {p}tok k ON k.tok = q.term GROUP BY ALL),
+n AS (SELECT query_id, count(*) FILTER (WHERE surface AND concept) AS ns FROM {p}dterms GROUP BY query_id),
+g AS (SELECT m.query_id, m.doc, any_value(ns) AS ns, bool_or(i) AS i, bool_or(a) AS a, bool_or(concept AND h) AS h, bool_or(concept AND (h OR b)) AS c,
+        bool_or(concept AND b AND NOT surface) AS sb, bool_or(concept AND (h OR b) AND df <= 3) AS r3,
+        bool_or(concept AND (h OR b) AND idf >= 1.25 AND df <= CASE WHEN ns <= 1 THEN 3 ELSE 1 END) AS r
+      FROM m JOIN n USING (query_id) GROUP BY m.query_id, m.doc)
+SELECT g.query_id, g.doc, ((g.i OR g.a) AND (g.h OR sb OR r3)) OR (ns <= 1 AND g.h) OR (ns <= 2 AND g.c) OR g.r OR e.doc IS NOT NULL AS ok
+FROM g LEFT JOIN {p}near e ON e.query_id = g.query_id AND e.doc = g.doc
+""", (f"{p}dterms", f"{p}tok", f"{p}near"))
+    fragment(f"{p}pvar", f"""
+SELECT v.*, coalesce(t.df, 0) AS df, coalesce(t.in_identity, false) AS named FROM (
+  SELECT query_id, phrase, size, ord, term AS tok, false AS stemmed FROM pord
+  UNION ALL SELECT query_id, phrase, size, ord, '~' || st, true FROM pord WHERE length(st) >= {fixed.MIN_STEM}) v LEFT JOIN {terms} t USING (tok)
+""", ("pord", terms))
+    fragment(f"{p}eok", f"""
+WITH j AS (SELECT query_id, phrase, size, ord, bool_or(named) AS idt, bool_or(named AND NOT stemmed) AS exact,
+             CASE WHEN max(df) FILTER (NOT stemmed) > 0 THEN max(df) FILTER (NOT stemmed) ELSE max(df) END AS df FROM {p}pvar GROUP BY ALL),
+pq AS (SELECT query_id, phrase, count(*) FILTER (WHERE idt) AS nid, count(*) FILTER (WHERE exact) AS nex FROM j GROUP BY ALL),
+hits AS (SELECT DISTINCT v.query_id, v.phrase, k.doc, k.field, k.pos, v.ord FROM {p}pvar v JOIN {p}tok k ON k.tok = v.tok),
+m AS (SELECT h.query_id, h.phrase, h.doc, h.ord, bool_or(field = 'identity') AS ii, bool_or(field = 'anchor') AS ia, bool_or(field = 'heading') AS ih, bool_or(field = 'body') AS ib FROM hits h GROUP BY ALL),
+c2 AS (SELECT DISTINCT a.query_id, a.phrase, a.doc, a.field FROM hits a JOIN hits b ON a.query_id = b.query_id AND a.phrase = b.phrase AND a.doc = b.doc AND a.field = b.field
+        AND b.ord > a.ord AND b.pos > a.pos AND b.pos <= a.pos + 10),
+nx AS (SELECT a.query_id, a.phrase, a.doc, a.field, a.pos, min(b.pos) AS p2 FROM hits a JOIN hits b ON a.query_id = b.query_id AND a.phrase = b.phrase AND a.doc = b.doc
+        AND a.field = b.field AND b.ord > 1 AND b.pos > a.pos AND b.pos <= a.pos + 10 WHERE a.ord = 1 GROUP BY ALL),
+c3 AS (SELECT DISTINCT nx.query_id, nx.phrase, nx.doc, nx.field FROM nx JOIN hits s ON s.query_id = nx.query_id AND s.phrase = nx.phrase AND s.doc = nx.doc AND s.field = nx.field AND s.pos = nx.p2 AND s.ord = 2
+        JOIN hits t ON t.query_id = nx.query_id AND t.phrase = nx.phrase AND t.doc = nx.doc AND t.field = nx.field AND t.ord = 3 AND t.pos > nx.p2 AND t.pos <= nx.pos + 10),
+g AS (SELECT m.query_id, m.phrase, m.doc, any_value(j.size) AS size,
+        count(*) FILTER (WHERE ih AND NOT (ii OR idt)) AS fh, count(*) FILTER (WHERE ib AND NOT (ii OR idt)) AS fb, count(*) FILTER (WHERE (ih OR ib) AND NOT (ii OR idt)) AS fc,
+        count(*) FILTER (WHERE ii OR ia) AS st, count(*) FILTER (WHERE ii) AS nii, count(*) FILTER (WHERE idt AND ih) AS idh, count(*) FILTER (WHERE idt AND ib) AS idb,
+        bool_or(NOT exact AND (ih OR ib)) AS free, bool_or(NOT idt AND (ih OR ib)) AS sc, bool_or(idt AND (ii OR ia)) AS si, max(j.df) AS df
+      FROM m JOIN j USING (query_id, phrase, ord) GROUP BY m.query_id, m.phrase, m.doc),
+f AS (SELECT g.*, nid, nex, greatest(2, ceil(size * 0.6), CASE WHEN nid >= 2 THEN 3 ELSE 0 END) AS need, CASE WHEN nid >= 2 AND size > 3 THEN 2 ELSE 1 END AS cn,
+        h2.doc IS NOT NULL AS h2, b2.doc IS NOT NULL AS b2, h3.doc IS NOT NULL AS h3, b3.doc IS NOT NULL AS b3
+      FROM g JOIN pq USING (query_id, phrase)
+      LEFT JOIN c2 h2 ON h2.field = 'heading' AND h2.query_id = g.query_id AND h2.phrase = g.phrase AND h2.doc = g.doc
+      LEFT JOIN c2 b2 ON b2.field = 'body' AND b2.query_id = g.query_id AND b2.phrase = g.phrase AND b2.doc = g.doc
+      LEFT JOIN c3 h3 ON h3.field = 'heading' AND h3.query_id = g.query_id AND h3.phrase = g.phrase AND h3.doc = g.doc
+      LEFT JOIN c3 b3 ON b3.field = 'body' AND b3.query_id = g.query_id AND b3.phrase = g.phrase AND b3.doc = g.doc),
+o AS (SELECT f.*,
+        (fh >= cn AND (nid < 2 OR st >= 2 OR idh >= 2) AND CASE WHEN need = 2 THEN h2 ELSE need = 3 AND h3 END)
+        OR (fb >= cn AND (nid < 2 OR st >= 2 OR idb >= 2) AND CASE WHEN need = 2 THEN b2 ELSE need = 3 AND b3 END)
+        OR (st >= 1 AND fc >= 3) OR fc >= 4
+        OR (size = 1 AND sc AND df > 0 AND df <= greatest(4, ceil(n_docs * 0.005)))
+        OR (size = 2 AND (h2 OR (nex < 2 AND (b2 OR (nii >= 1 AND free))))) AS held FROM f CROSS JOIN {stats})
+SELECT query_id, doc, bool_or(held) OR (s_id >= 2 AND s_c >= 1) OR (s_id >= 1 AND s_c >= 2) OR s_c >= 3 AS ok
+FROM (SELECT *, count(*) FILTER (WHERE size = 1 AND si) OVER w AS s_id, count(*) FILTER (WHERE size = 1 AND sc) OVER w AS s_c FROM o WINDOW w AS (PARTITION BY query_id, doc))
+GROUP BY query_id, doc, s_id, s_c
+""", (f"{p}pvar", f"{p}tok", stats))
+
+
+eligibility_fragments("e", "fields", "stats", "terms")
+
+
 # ---- F4, E17 ------------------------------------------------------------------------
 @query("rrf_fuse", sql("""
 WITH c AS (SELECT coalesce(d.query_id, e.query_id) AS query_id, coalesce(d.doc, e.doc) AS doc, coalesce(direct_score, 0) AS ds, coalesce(expanded_score, 0) AS es,
@@ -213,7 +309,10 @@ def _records(spark, sf):
         "chat_key", "doc", F.element_at(section, (doc % 5 + 1).cast("int")).alias("category"), (1 + doc % 5).alias("importance"))
 
 
-@query("retrieval_eligibility")
+@query("retrieval_eligibility", sql("""
+SELECT coalesce(d.query_id, e.query_id) AS query_id, coalesce(d.doc, e.doc) AS doc, coalesce(d.ok, false) AS direct_eligible, coalesce(e.ok, false) AS expanded_eligible
+FROM edok d FULL JOIN eeok e ON d.query_id = e.query_id AND d.doc = e.doc
+""", "edok", "eeok"))
 def _(spark, sf):
     q, idx = _queries(spark, sf), _index(spark, sf)
     ids = ["query_id", "chat_key", "doc"]
@@ -292,9 +391,6 @@ def _links(spark, sf):
 
 fragment("bctx", "SELECT query_id, array_to_string(string_split(text, ' ')[10:17], ' ') AS text FROM bq", ("bq",))
 fragment("ctxterms", f"SELECT DISTINCT query_id, tok FROM ({tokens_sql('bctx', 'query_id', 'text', False)})", ("bctx",))
-FIELDPOS = """
-SELECT doc, field, tok, row_number() OVER (PARTITION BY doc, field) FROM toks
-"""
 
 
 @query("support_connections")
@@ -319,6 +415,118 @@ def _(spark, sf):
     return Q.support_select(l).select("query_id", "seed", "doc", "support_rank", F.round("marginal", 6).alias("marginal"))
 
 
+# ---- E16, F3, F6: passages and the recall run ---------------------------------------------
+def score_fragments(p: str, docs: str) -> None:
+    """``{p}direct`` and ``{p}expanded`` scores over the tokens ``{p}tok`` of the records ``docs``."""
+    count = lambda what: ", ".join(f"count(*) FILTER (WHERE field = '{f}') AS {what}_{f}" for f in Q.FIELDS)
+    fragment(f"{p}lens", f"SELECT d.doc, {count('len')} FROM {docs} d LEFT JOIN {p}tok USING (doc) GROUP BY d.doc", (f"{p}tok", docs))
+    fragment(f"{p}stats", "SELECT count(*) AS n_docs, " + ", ".join(f"greatest(1.0, sum(len_{f}) / count(*)) AS avg_{f}" for f in Q.FIELDS) + f" FROM {p}lens", (f"{p}lens",))
+    fragment(f"{p}post", f"SELECT doc, tok, {count('tf')} FROM {p}tok GROUP BY doc, tok", (f"{p}tok",))
+    fragment(f"{p}terms", f"SELECT tok, count(*) AS df, bool_or(tf_identity > 0 OR tf_anchor > 0) AS in_identity FROM {p}post GROUP BY tok", (f"{p}post",))
+    fragment(f"{p}scored", f"""
+SELECT doc, tok, (CASE WHEN tok LIKE '~%' THEN {fixed.STEM_WEIGHT} ELSE 1.0 END) * {IDF.format('df')} * (2.2 * w / (1.2 + w)) AS score, df, n_docs
+FROM (SELECT p.doc, p.tok, df, n_docs, CAST({WEIGHTED} AS DOUBLE) AS w FROM {p}post p JOIN {p}lens USING (doc) JOIN {p}terms USING (tok) CROSS JOIN {p}stats)
+""", (f"{p}post", f"{p}lens", f"{p}terms", f"{p}stats"))
+    fragment(f"{p}direct", f"SELECT query_id, doc, sum(score) AS ds FROM qord JOIN {p}scored s ON s.tok = qord.term GROUP BY ALL", ("qord", f"{p}scored"))
+    fragment(f"{p}expanded", FRAGMENTS["expanded"][1].replace("JOIN scored", f"JOIN {p}scored").replace("JOIN terms", f"JOIN {p}terms"), ("pterms", f"{p}scored", f"{p}terms"))
+
+
+score_fragments("r", "rrec")
+eligibility_fragments("r", "rfields", "rstats", "rterms")
+eligibility_fragments("p", "pfields", "rstats", "rterms")
+
+
+def _recall_index(spark, sf):
+    """Index of documents and conversations and the passages of the latter, built once per application."""
+    made = {}
+
+    def part(name, which):
+        if not made:
+            made["index"] = Q.build_index(B.recall_corpus(spark, sf))
+            made["passages"] = Q.passage_index(B.recall_l1(spark, sf), made["index"])
+        return getattr(made[which], name)
+
+    names = ("postings", "documents", "stats", "terms", "streams")
+    whole = Q.Index(**{n: staged(spark, (f"recall-{n}", sf), lambda n=n: part(n, "index")) for n in names})
+    local = {n: staged(spark, (f"passage-{n}", sf), lambda n=n: part(n, "passages")) for n in ("postings", "documents", "streams")}
+    return whole, Q.Index(**local, stats=whole.stats, terms=whole.terms)
+
+
+@query("passage_eligibility", sql("""
+WITH d AS (SELECT query_id, doc // 1000 AS doc, bool_or(ok) AS ok FROM pdok GROUP BY ALL), e AS (SELECT query_id, doc // 1000 AS doc, bool_or(ok) AS ok FROM peok GROUP BY ALL)
+SELECT coalesce(d.query_id, e.query_id) AS query_id, CAST(coalesce(d.doc, e.doc) AS BIGINT) AS doc, coalesce(d.ok, false) AS direct_eligible, coalesce(e.ok, false) AS expanded_eligible
+FROM d FULL JOIN e ON d.query_id = e.query_id AND d.doc = e.doc
+""", "pdok", "peok"))
+def _(spark, sf):
+    found = Q.passage_eligibility(_queries(spark, sf), _recall_index(spark, sf)[1])
+    return found.select("query_id", "doc", "direct_eligible", "expanded_eligible")
+
+
+def _recalled(spark, sf):
+    index, passages = _recall_index(spark, sf)
+    return R.recall_run(_queries(spark, sf), index, B.recall_records(spark, sf), passages)
+
+
+@query("recall_context", sql("""
+WITH newest AS (SELECT doc FROM rl1 ORDER BY doc DESC LIMIT 3),
+pd AS (SELECT query_id, doc // 1000 AS doc, bool_or(ok) AS ok FROM pdok GROUP BY ALL), pe AS (SELECT query_id, doc // 1000 AS doc, bool_or(ok) AS ok FROM peok GROUP BY ALL),
+content AS (SELECT q.query_id, k.doc, count(DISTINCT q.term) AS n, max(q.df) AS df, arg_min(q.term, q.ord) AS term
+            FROM rdterms q JOIN rtok k ON k.tok = q.term WHERE q.concept AND k.field IN ('heading', 'body') GROUP BY ALL),
+ctx AS (SELECT query_id, doc, count(*) AS n FROM ctxterms JOIN rpost USING (tok) GROUP BY ALL),
+both_ AS (SELECT coalesce(d.query_id, e.query_id) AS query_id, coalesce(d.doc, e.doc) AS doc, coalesce(ds, 0) AS ds, coalesce(expanded_score, 0) AS es
+          FROM rdirect d FULL JOIN rexpanded e ON d.query_id = e.query_id AND d.doc = e.doc),
+c AS (SELECT b.*, section, least(1.5, coalesce(ctx.n, 0) * 0.15) AS cx, importance + CASE section WHEN 'threads' THEN 4 ELSE 0 END AS meta,
+        coalesce(CASE WHEN section = 'l1' THEN pd.ok ELSE rd.ok END, false) AS dok, coalesce(CASE WHEN section = 'l1' THEN pe.ok ELSE re.ok END, false) AS eok,
+        CASE WHEN w.n = 1 AND w.df > 3 THEN w.term END AS weak
+      FROM both_ b JOIN rrec USING (doc) LEFT JOIN rdok rd ON rd.query_id = b.query_id AND rd.doc = b.doc LEFT JOIN reok re ON re.query_id = b.query_id AND re.doc = b.doc
+      LEFT JOIN pd ON pd.query_id = b.query_id AND pd.doc = b.doc LEFT JOIN pe ON pe.query_id = b.query_id AND pe.doc = b.doc
+      LEFT JOIN content w ON w.query_id = b.query_id AND w.doc = b.doc LEFT JOIN ctx ON ctx.query_id = b.query_id AND ctx.doc = b.doc
+      WHERE b.doc NOT IN (SELECT doc FROM newest)),
+l AS (SELECT * REPLACE (CASE WHEN dok AND NOT eok THEN weak END AS weak), greatest(ds, es) + cx + meta * 0.01 AS local FROM c),
+dr AS (SELECT query_id, doc, section, weak, row_number() OVER (PARTITION BY query_id, section ORDER BY round(ds, 9) DESC, round(local, 9) DESC, doc) AS r FROM l WHERE dok AND ds > 0),
+er AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id, section ORDER BY round(es, 9) DESC, round(local, 9) DESC, doc) AS r FROM l WHERE eok AND es > 0),
+rp AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id, section, weak ORDER BY r) AS n FROM dr WHERE weak IS NOT NULL),
+f AS (SELECT l.query_id, l.section, l.doc AS id, 1000 * (CASE WHEN dr.r IS NULL THEN 0 ELSE coalesce(1 / sqrt(1 + 0.75 * (rp.n - 1)), 1) / (20 + dr.r) END
+        + CASE WHEN er.r IS NULL THEN 0 ELSE 1 / (20 + er.r) END) + 0.01 * local AS score
+      FROM l LEFT JOIN dr ON dr.query_id = l.query_id AND dr.doc = l.doc LEFT JOIN er ON er.query_id = l.query_id AND er.doc = l.doc
+      LEFT JOIN rp ON rp.query_id = l.query_id AND rp.doc = l.doc WHERE dok OR eok),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id, section ORDER BY round(score, 9) DESC, id) AS rank FROM f)
+SELECT query_id, section, id, rank, round(score, 6) AS score, 'match' AS reason FROM k JOIN (VALUES ('facts', 18), ('events', 12), ('threads', 10), ('backgrounds', 12), ('l1', 2)) v(section, most) USING (section) WHERE rank <= most
+UNION ALL SELECT query_id, 'l1', doc, 0, 0, 'latest' FROM bq CROSS JOIN newest
+""", "rl1", "rrec", "rdirect", "rexpanded", "rdok", "reok", "pdok", "peok", "rdterms", "rtok", "rpost", "ctxterms", "bq"))
+def _(spark, sf):
+    rank, score = F.coalesce("rank", F.lit(0)), F.coalesce(F.round("score", 6), F.lit(0.0))  # rows that are always in have neither
+    return _recalled(spark, sf).select("query_id", "section", "id", rank.alias("rank"), score.alias("score"), "reason")
+
+
+fragment("said", """
+SELECT conv_id, 0 AS turn, 0 AS k, arg_max(text, (role = 'user', turn)) AS text FROM conversations GROUP BY conv_id
+""")
+# each turn names an entity by its first three words and calls it by the fifth and sixth as well
+fragment("called", r"""
+SELECT conv_id, turn, k, CASE k WHEN 0 THEN array_to_string(l[1:3], ' ') ELSE array_to_string(l[5:6], ' ') END AS text
+FROM (SELECT conv_id, turn, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS l FROM conversations), unnest([0, 1]) AS u(k)
+""")
+fragment("saidtok", ordered_tokens_sql("said", "conv_id, turn, k", "text", False), ("said",))
+fragment("calledtok", ordered_tokens_sql("called", "conv_id, turn, k", "text", False), ("called",))
+fragment("meant", """
+SELECT DISTINCT c.conv_id, c.turn FROM (SELECT conv_id, turn, k, ' ' || string_agg(tok, ' ' ORDER BY pos) || ' ' AS seq FROM calledtok GROUP BY ALL) c
+JOIN (SELECT conv_id, ' ' || string_agg(tok, ' ' ORDER BY pos) || ' ' AS txt FROM saidtok GROUP BY ALL) s USING (conv_id) WHERE contains(txt, seq)
+""", ("saidtok", "calledtok"))
+fragment("meantnames", "SELECT conv_id, turn, text FROM called JOIN meant USING (conv_id, turn) WHERE k = 0", ("called", "meant"))
+
+
+@query("resolved_identity_terms", sql(f"SELECT DISTINCT conv_id AS query_id, tok AS term FROM ({tokens_sql('meantnames', 'conv_id, turn', 'text')})", "meantnames"))
+def _(spark, sf):
+    t = table(spark, sf, "conversations").withColumn("chat_key", F.col("conv_id").cast("string"))
+    words = F.split(X.normalize_text("text"), " ")
+    part = lambda a, n: F.array_join(F.slice(words, a, n), " ")
+    entities = t.select("chat_key", part(1, 3).alias("name"), F.array(part(5, 2)).alias("aliases"))
+    latest = F.max_by("text", F.struct(F.col("role") == "user", "turn"))
+    asked = t.groupBy(F.col("conv_id").alias("query_id"), "chat_key").agg(latest.alias("direct_text")).withColumn("speaker", F.lit(None).cast("string"))
+    return N.resolved_identity_terms(asked, entities).select("query_id", "term")
+
+
 # ---- E16, E18, F6, F8, F11-F14, H17, H18 -------------------------------------------------
 @query("passage_windows", sql("""
 WITH b AS (SELECT chat_key, id, ['open ' || k, 'beat ' || (k % 7), 'close ' || event_id] AS l, 'mood ' || (k % 3) AS e FROM l1)
