@@ -19,10 +19,9 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import carried, give_back, raw_texts
+from .common import carried, raw_texts
 
 #: words of an occurrence
 WINDOW = 10
@@ -166,15 +165,17 @@ def item_blocks(items: DataFrame, key: str = "item_id", text: str = "text", most
     return blocks
 
 
-def scanned(docs: DataFrame, items: DataFrame, text: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """``row`` and ``out``: words, hit words, spans of hit words (word numbers, end exclusive), items."""
-    sent = [docs.sparkSession.sparkContext.broadcast(b) for b in item_blocks(items)]
+class Scanner:
+    """Words, hits, spans and items of the texts of a slice, block after block of the items."""
+
+    def __init__(self, docs: DataFrame, items: DataFrame):
+        self.sent = [docs.sparkSession.sparkContext.broadcast(b) for b in item_blocks(items)]
 
-    def scan(batch):
-        words = [normal_words(b) for b in raw_texts(batch, "__text")]
+    def __call__(self, raw: list[bytes]) -> dict:
+        words = [normal_words(b) for b in raw]
         hits = [np.zeros(len(w), bool) for w in words]
         found: list[set[int]] = [set() for _ in words]
-        for k, block in enumerate(sent):
+        for k, block in enumerate(self.sent):
             machine = _automaton(block, k)
             for i, w in enumerate(words):
                 hit, got = machine.scan(w)
@@ -186,7 +187,11 @@ def scanned(docs: DataFrame, items: DataFrame, text: str = "text", columns: list
             "spans": [[{"start": a, "end": b} for a, b in s] for s in spans], "items": [sorted(f) for f in found],
         }
 
-    return carried(docs, text, HITS, scan, columns=columns)
+
+def scanned(docs: DataFrame, items: DataFrame, text: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """``row`` and ``out``: words, hit words, spans of hit words (word numbers, end exclusive), items."""
+    scan = Scanner(docs, items)
+    return carried(docs, text, HITS, lambda batch: scan(raw_texts(batch, "__text")), columns=columns)
 
 
 _built: dict[str, object] = {}
@@ -216,21 +221,18 @@ def decontaminate(
 
     ``count`` names a column of text lengths to bring up to date, if there is one.
     """
-    found = scanned(docs, items, text).filter(F.col("out.n_hit") <= F.lit(max_coverage) * F.col("out.n_words"))
-
-    def cut(batches):
-        for batch in batches:
-            col = batch.column(0).cast(pa.binary()).to_pylist()
-            spans = batch.column(1).to_pylist()
-            new = [cut_words(b, s) if s and b else b for b, s in zip(col, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()).cast(pa.string()), batch.column(2)], ["__cut", "row"])
-        give_back()
-
-    schema = T.StructType([T.StructField("__cut", T.StringType()), T.StructField("row", found.schema["row"].dataType)])
-    hit = found.filter(F.size("out.spans") > 0).select(F.col(f"row.{text}"), "out.spans", "row").mapInArrow(cut, schema)
-    names = docs.columns
-    changed = {text: F.col("__cut")}
-    if count in names:
-        changed[count] = F.length("__cut").cast(docs.schema[count].dataType)
-    mended = hit.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in names])
-    return found.filter(F.size("out.spans") == 0).select("row.*").unionByName(mended)
+    scan = Scanner(docs, items)
+    added = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("cut", T.StringType())])
+
+    def cut(batch):
+        raw = raw_texts(batch, "__text")
+        told = scan(raw)
+        new = [cut_words(b, s).decode() if s else None for b, s in zip(raw, told["spans"], strict=True)]
+        return {"n_words": told["n_words"], "n_hit": told["n_hit"], "cut": new}
+
+    found = carried(docs, text, added, cut).filter(F.col("out.n_hit") <= F.lit(max_coverage) * F.col("out.n_words"))
+    hit = F.col("out.cut").isNotNull()
+    changed = {text: F.coalesce("out.cut", f"row.`{text}`")}
+    if count in docs.columns:
+        changed[count] = F.when(hit, F.length("out.cut").cast(docs.schema[count].dataType)).otherwise(F.col(f"row.`{count}`"))
+    return found.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
