@@ -167,3 +167,94 @@ THREAD_RULES = (
     (r"(?i)\b(?:reveal|disclose|identify|identity|true name|who (?:is|was|are|were))\b", r"(?i)\b(?:reveals?|revealed|discloses?|disclosed|identifies?|identified|answers?|answered|names?|named|learns?|learned|discovers?|discovered)\b"),
     (r"(?i)\b(?:fulfill|complete|completion)\b", r"(?i)\b(?:fulfills?|fulfilled|completes?|completed|finishes?|finished|delivers?|delivered|meets?|met|arrives?|arrived)\b"),
 )
+
+# ---- fixed values: beats that a record should cover ------------------------
+COVERAGE_STOP_WORDS = tuple(
+    "a an and are as at be been being but by for from had has have he her hers him his i in into is it its of on or our "
+    "she that the their them they this to was were will with you your".split()
+)
+COVERAGE_CUES = {
+    "agree": r"(?i)\b(?:agree|agrees|agreed|agreeing)\b",
+    "appoint": r"(?i)\b(?:appoint|appoints|appointed|appointing)\b",
+    "assign": r"(?i)\b(?:assign|assigns|assigned|assigning)\b",
+    "become": r"(?i)\b(?:become|becomes|became|becoming)\b",
+    "call": r"(?i)\b(?:call|calls|called|calling)\b",
+    "decide": r"(?i)\b(?:decide|decides|decided|deciding)\b",
+    "discover": r"(?i)\b(?:discover|discovers|discovered|discovering)\b",
+    "injure": r"(?i)\b(?:injure|injures|injured|injuring)\b",
+    "intend": r"(?i)\b(?:intend|intends|intended|intending)\b",
+    "learn": r"(?i)\b(?:learns|learned|learnt)\b",
+    "lose": r"(?i)\b(?:lose|loses|lost|losing)\b",
+    "name": r"(?i)\b(?:name|names|named|naming)\b",
+    "plan": r"(?i)\b(?:plan|plans|planned|planning)\b",
+    "promise": r"(?i)\b(?:promise|promises|promised|promising)\b",
+    "receive": r"(?i)\b(?:receive|receives|received|receiving)\b",
+    "remain": r"(?i)\b(?:remain|remains|remained|remaining)\b",
+    "reveal": r"(?i)\b(?:reveal|reveals|revealed|revealing)\b",
+    "serve": r"(?i)\b(?:serve|serves|served|serving)\b",
+    "suffer": r"(?i)\b(?:suffer|suffers|suffered|suffering)\b",
+    "vow": r"(?i)\b(?:vow|vows|vowed|vowing)\b",
+    "wound": r"(?i)\b(?:wound|wounds|wounded|wounding)\b",
+    "work": r"(?i)\b(?:work|works|worked|working)\b",
+    "hold": r"(?i)\b(?:hold|holds|held|holding)\b",
+    "answer": r"(?i)\b(?:answer|answers|answered|answering)\b",
+    "block": r"(?i)\b(?:block|blocks|blocked|blocking)\b",
+    "demonstrate": r"(?i)\b(?:demonstrate|demonstrates|demonstrated|demonstrating)\b",
+    "fail": r"(?i)\b(?:fail|fails|failed|failing)\b",
+    "struggle": r"(?i)\b(?:struggle|struggles|struggled|struggling)\b",
+}
+COVERAGE_RELATIONSHIP = r"(?i)\b(?:becomes?|became|remain(?:s|ed)?|are|were)\s+(?:close\s+)?(friends?|allies|enemies|rivals|partners|lovers|spouses?|mentor(?:s)?|students?|masters?|apprentices?)\b"
+COVERAGE_COMMITMENT = r"(?i)\b(?:agrees?|agreed|decides?|decided|intends?|intended|plans?|planned|promises?|promised|vows?|vowed)\b\s+(?:to|that|for)\b"
+COVERAGE_DESIGNATION = r"(?i)\b(?:(?:was|is|were|are|has been|had been)\s+(?:officially\s+)?(?:named|called|appointed)|(?:serves?|served|works?|worked)\s+as|(?:holds?|held)\s+(?:the\s+)?(?:rank|title|office|position))\b"
+COVERAGE_REMAINING_STATE = r"(?i)\b(?:remains?|remained)\b"
+COVERAGE_LIMITATION = r"(?i)\b(?:cannot|can't|unable|vulnerab(?:le|ility)|weak(?:ness)?|susceptible|struggles?|struggled|difficulty|limitation|late (?:response|reaction)|slow (?:response|reaction)|fails?|failed)\b"
+COVERAGE_CAPABILITY = r"(?i)\b(?:can|able|capable|proficient|skilled|trained|demonstrates?|demonstrated|blocks?|blocked|resists?|resisted|performs?|performed|knows? how)\b"
+
+# ---- fixed values: families of entity types ---------------------------------
+ENTITY_TYPE_FAMILIES = {
+    "person": "person", "character": "person", "individual": "person", "npc": "person", "human": "person",
+    "object": "object", "item": "object", "artifact": "object", "weapon": "object", "tool": "object", "vehicle": "object",
+    "place": "place", "location": "place", "site": "place", "region": "place", "world": "place",
+    "group": "group", "organization": "group", "organisation": "group", "faction": "group", "institution": "group", "team": "group",
+}
+ENTITY_TYPE_BLANK = ("entity", "unknown", "other")
+PERSON_TYPE_WORDS = (
+    "person|character|individual|npc|human|adult|child|man|woman|boy|girl|captain|commander|officer|soldier|guard|pilot|agent|investigator|"
+    "detective|leader|ruler|king|queen|prince|princess|emperor|empress|lord|lady|master|mentor|teacher|instructor|student|pupil|apprentice|"
+    "padawan|parent|mother|father|brother|sister|sibling|spouse|husband|wife|attendant|retainer|servant|handler|prisoner|captor|captive|"
+    "doctor|physician|nurse|engineer|scientist|scholar|archivist|mage|wizard|witch|priest|cleric"
+)
+OBJECT_TYPE_WORDS = "object|item|artifact|weapon|tool|vehicle|device|equipment|book|document|letter|key|sword|gun|ship|shuttle|car|aircraft"
+PLACE_TYPE_WORDS = (
+    "place|location|site|region|world|planet|moon|city|town|village|district|room|building|base|station|fort|castle|house|home|road|bridge|"
+    "forest|desert|island"
+)
+GROUP_TYPE_WORDS = "group|organization|organisation|faction|institution|team|family|clan|guild|army|fleet|council|government|company|corporation|order"
+LIFE_TYPE_WORDS = "dead|deceased|living"
+AGE_TYPE_WORDS = "young|elderly"
+
+# ---- fixed values: people named by their owner and role ---------------------
+PERSON_IDENTITY_ROLE = "(?:master|mentor|teacher|captain|commander|leader|handler|apprentice|student|padawan|pupil|parent|mother|father|brother|sister)"
+PERSON_IDENTITY_SPECIALIZATION = r"(?:[\p{L}\p{N}-]+\s+){0,3}"
+DESCRIPTIVE_PERSON_IDENTITY = (
+    rf"(?i)^(.+?)[’']s\s+((?:(?:former|dead|deceased|missing|unknown)\s+)?{PERSON_IDENTITY_SPECIALIZATION}{PERSON_IDENTITY_ROLE})$"
+)
+MIXED_OWNER_PERSON_IDENTITY = (
+    r"(?i)^(.+?)[’']s\s+((?:(?:former|previous|prior|lost|missing|dead|deceased|unknown|unnamed|unidentified)\s+)?"
+    rf"{PERSON_IDENTITY_SPECIALIZATION}{PERSON_IDENTITY_ROLE})\s+of\s+(.+)$"
+)
+
+# ---- fixed values: forms of address without an addressee --------------------
+GENERIC_ADDRESS_CATEGORY = r"^(?:social address|forms? of address)$"
+GENERIC_ADDRESS_USE = r"^(?:uses?|used) (?:the )?(?:address|address form|form of address|nickname)$"
+
+# ---- fixed values: roles that state a relationship ----------------------------
+RELATIONSHIP_ROLE_WORDS = (
+    "apprenticeship|apprentices?|students?|padawans?|pupils?|prot[eé]g[eé]s?|mentors?|mentees?|teachers?|instructors?|parents?|mothers?|fathers?|"
+    "children|sons?|daughters?|siblings?|brothers?|sisters?|spouses?|husbands?|wives|married|friends?|allies|rivals?|enemies|attendants?|"
+    "retainers?|servants?|employers?|employees?|commanders?|subordinates?|teammates?|partners?|captors?|captives?|prisoners?|guardians?|wards?"
+)
+HISTORICAL_MENTOR_RELATIONSHIP = (
+    r"(?i)\b(?:master|mentor|teacher|instructor)\b[^.!?;]{0,80}\b(?:apprentice|padawan|student|pupil|prot[eé]g[eé])\b|"
+    r"\b(?:apprentice|padawan|student|pupil|prot[eé]g[eé])\b[^.!?;]{0,80}\b(?:master|mentor|teacher|instructor)\b"
+)

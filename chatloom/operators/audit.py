@@ -15,21 +15,18 @@ from ..functions import fixed, text as X
 from .entities import PLACEHOLDER_DESCRIPTION
 from .merge import addressee, pair_key
 from .overlap import mention_join, rare_candidates
-from .records import is_address, type_family
+from .records import is_address, merge_address_values, type_family
 from .scale import top_k, write_through
 
 # ---- rule pack --------------------------------------------------------------------
 #: a matter that is still open
 PENDING = rf"(?:{fixed.THREAD_GAP})|(?:{fixed.THREAD_COMMITMENT})"
 UNCLEAR = rf"(?:{PENDING})|(?i:\bunclear\b)"
-DURABLE_CUE = (
-    r"(?i)\b(?:agree[sd]?|appoint(?:s|ed)|assign(?:s|ed)|bec[ao]mes?|decide[sd]?|discover(?:s|ed)|injure[sd]?|intend(?:s|ed)|"
-    r"learn(?:s|ed)|lo(?:st|ses?)|named?|plan(?:s|ned)|promise[sd]?|receive[sd]?|remain(?:s|ed)|reveal(?:s|ed)|serve[sd]?|"
-    r"suffer(?:s|ed)|vow(?:s|ed)|wound(?:s|ed)|h[eo]lds?|fail(?:s|ed))\b"
-)
 EPISTEMIC = r"(?i)\b(?:belief|believes?|suspicion|suspects?|claims?|knowledge|rumou?r|perspective|opinion|thinks?)\b"
-ROLES = r"master|mentor|teacher|captain|commander|leader|handler|apprentice|student|pupil|parent|mother|father|brother|sister|friend|rival|partner|spouse|husband|wife|guardian|servant|employer"
-MENTORS = r"(?i)\b(?:master|mentor|teacher|apprentice|student|pupil|trainer|trained)\b"
+#: every role a text may give a person towards another
+ROLES = "|".join((*fixed.IDENTITY_ROLE_TOKENS, fixed.RELATIONSHIP_ROLE_WORDS))
+#: one word of a pair of teacher and student
+MENTORS = r"(?i)\b(?:master|mentor|teacher|instructor|apprentice|padawan|student|pupil|prot[eé]g[eé])\b"
 DEAD = r"(?i)\b(?:dead|died|deceased|killed|late)\b"
 BAD_FORM = f"{fixed.ADDRESS_PLACEHOLDER}|{fixed.ADDRESS_ABSENCE}|{fixed.ADDRESS_BRACKET}"
 TRANSFER_DONE = r"(?i)\b(?:has|holds|carries|received|obtained|was given|took|possesses|transferred)\b"
@@ -39,11 +36,11 @@ QUESTION_KNOWLEDGE = r"(?i)^(?:what|who|where|when|why|how|whether)\b|\?\s*$"
 
 
 # ---- text units -------------------------------------------------------------------
-def audit_terms(value) -> Column:
+def audit_terms(value, stop: tuple[str, ...] = fixed.STOP_WORDS) -> Column:
     """Words of two and more characters, possessives cut, stop words out."""
     words = F.regexp_extract_all(X.straight_quotes(X.fold_key(value)), F.lit(r"([\p{L}\p{N}][\p{L}\p{N}'-]*)"), 1)
     cut = F.transform(words, lambda w: F.regexp_replace(w, "'s$", ""))
-    return F.array_distinct(F.filter(cut, lambda w: (F.length(w) > 1) & ~w.isin(*fixed.STOP_WORDS)))
+    return F.array_distinct(F.filter(cut, lambda w: (F.length(w) > 1) & ~w.isin(*stop)))
 
 
 def evidence_sentences(messages: DataFrame) -> DataFrame:
@@ -123,24 +120,47 @@ def restore_descriptions(entities: DataFrame, verdicts: DataFrame, previous: Dat
 
 
 # ---- C24, C42 -------------------------------------------------------------------------
+def cue_family(value) -> Column:
+    """First family of cues a text has, null without one: something lasting happened."""
+    chain = None
+    for name, pattern in fixed.COVERAGE_CUES.items():
+        hit = X.as_col(value).rlike(pattern)
+        chain = F.when(hit, name) if chain is None else chain.when(hit, name)
+    return chain
+
+
+def beat_category(beat="beat") -> Column:
+    """Category of the record a beat lacks: relationship, thread, fact, state or event.
+
+    A relationship needs two people in the beat; the caller knows them.
+    """
+    has = lambda pattern: X.as_col(beat).rlike(pattern)
+    return (
+        F.when(has(fixed.COVERAGE_RELATIONSHIP), "relationships").when(has(fixed.COVERAGE_COMMITMENT), "threads")
+        .when(has(fixed.COVERAGE_DESIGNATION), "facts").when(has(fixed.COVERAGE_LIMITATION) | has(fixed.COVERAGE_CAPABILITY), "facts")
+        .when(has(fixed.COVERAGE_REMAINING_STATE), "states").otherwise("events"))
+
+
 def uncovered_beats(beats: DataFrame, messages: DataFrame, records: DataFrame) -> DataFrame:
     """Level-1 beats with a durable cue that the text has and no record covers.
 
     ``beats(chat_key, id, range_from, range_to, beat)``, ``records(chat_key,
-    range_from, range_to, text)``.
+    range_from, range_to, text)``. Adds the ``family`` of the cue and the
+    ``category`` of the record that is missing.
     """
-    b = beats.withColumn("terms", audit_terms("beat")).filter(
-        F.col("beat").rlike(DURABLE_CUE) & ~F.col("beat").rlike(fixed.NOT_ASSERTED) & (F.size("terms") >= 3))
+    words_of = lambda c: audit_terms(c, fixed.COVERAGE_STOP_WORDS)
+    b = beats.withColumn("terms", words_of("beat")).withColumn("family", cue_family("beat")).filter(
+        F.col("family").isNotNull() & ~F.col("beat").rlike(fixed.NOT_ASSERTED) & (F.size("terms") >= 3)).withColumn("category", beat_category())
     b = write_through(b.withColumn("need", F.when(F.size("terms") >= 5, 3).otherwise(2)), "beats")
     # the whole text of the range counts as one unit: distinct words over messages
-    units = messages.select("chat_key", "idx", F.lit(0).alias("unit"), F.lit(True).alias("objective"), audit_terms(F.concat_ws(": ", "name", "text")).alias("terms"))
+    units = messages.select("chat_key", "idx", F.lit(0).alias("unit"), F.lit(True).alias("objective"), words_of(F.concat_ws(": ", "name", "text")).alias("terms"))
     buckets = F.sequence(F.floor(F.col("range_from") / 64), F.floor(F.col("range_to") / 64))
     spread = b.select("chat_key", "id", "range_from", "range_to", "terms", F.explode(buckets).alias("b")).select(
         "chat_key", "id", "range_from", "range_to", "b", F.explode("terms").alias("w"))
     words = units.select("chat_key", "idx", F.floor(F.col("idx") / 64).alias("b"), F.explode("terms").alias("w"))
     seen = spread.join(words, ["chat_key", "b", "w"]).filter((F.col("idx") >= F.col("range_from")) & (F.col("idx") <= F.col("range_to")))
     sourced = seen.groupBy("chat_key", "id").agg(F.countDistinct("w").alias("n")).join(b.select("chat_key", "id", "need"), ["chat_key", "id"]).filter("n >= need")
-    rec = records.select("chat_key", "range_from", "range_to", F.md5("text").alias("rid"), audit_terms("text").alias("rt"))
+    rec = records.select("chat_key", "range_from", "range_to", F.md5("text").alias("rid"), words_of("text").alias("rt"))
     rw = rec.select("chat_key", "range_from", "range_to", "rid", F.explode("rt").alias("w"))
     covered = b.select("chat_key", "range_from", "range_to", "id", "need", F.explode("terms").alias("w")).join(
         rw, ["chat_key", "range_from", "range_to", "w"]).groupBy("chat_key", "id", "need", "rid").agg(F.count(F.lit(1)).alias("n")).filter("n >= need")
@@ -149,8 +169,10 @@ def uncovered_beats(beats: DataFrame, messages: DataFrame, records: DataFrame) -
         .join(covered.select("chat_key", "id").distinct(), ["chat_key", "id"], "left_anti").drop("terms", "need"))
 
 
-def l1_epistemic_beats(l1: DataFrame, facts: DataFrame, most: int = 2, keep: int = 10) -> DataFrame:
-    """Add up to two knowledge facts of a range its level-1 text does not reflect.
+def l1_epistemic_beats(l1: DataFrame, facts: DataFrame, most: int | None = None, keep: int | None = None) -> DataFrame:
+    """Add knowledge facts of a range its level-1 text does not reflect.
+
+    ``most`` adds the most important ones only, ``keep`` bounds the beats with them.
 
     ``l1(chat_key, range_from, range_to, beats, text)``.
     """
@@ -158,11 +180,14 @@ def l1_epistemic_beats(l1: DataFrame, facts: DataFrame, most: int = 2, keep: int
     k = k.withColumn("line", X.normalize_text(F.concat_ws(" ", "subject", "value")))
     j = k.join(l1.select("chat_key", "range_from", "range_to", F.concat_ws(" ", "text", F.array_join("beats", " ")).alias("all")), ["chat_key", "range_from", "range_to"])
     missing = j.filter(~X.fold_key("all").contains(X.fold_key("value")))
-    top = top_k(missing, ["chat_key", "range_from", "range_to"], [F.col("importance").desc(), F.col("id")], most)
+    order = [F.col("importance").desc(), F.col("id")]
+    here = ["chat_key", "range_from", "range_to"]
+    top = missing.withColumn("rank", F.row_number().over(Window.partitionBy(*here).orderBy(*order))) if most is None else top_k(missing, here, order, most)
     extra = top.groupBy("chat_key", "range_from", "range_to").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda r: r["line"]).alias("extra"))
     out = l1.join(extra, ["chat_key", "range_from", "range_to"], "left")
-    room = F.concat(F.slice("beats", 1, F.greatest(F.lit(0), F.lit(keep) - F.size("extra"))), F.col("extra"))
+    own = F.col("beats") if keep is None else F.slice("beats", 1, F.greatest(F.lit(0), F.lit(keep) - F.size("extra")))
+    room = F.concat(own, F.col("extra"))
     return out.withColumn("beats", F.when(F.col("extra").isNull(), F.col("beats")).otherwise(room)).drop("extra")
 
 
@@ -328,6 +353,54 @@ def apply_address_audit(verdicts: DataFrame) -> DataFrame:
         "chat_key", "id", F.col("speaker").alias("subject"), F.concat(F.lit("calls "), "addressee").alias("predicate"), "value", F.lit("form of address").alias("category"))
 
 
+def generic_address(predicate="predicate", category="category") -> Column:
+    """An address fact that names nobody: "uses nickname"."""
+    return X.fold_key(category).rlike(fixed.GENERIC_ADDRESS_CATEGORY) & X.fold_key(predicate).rlike(fixed.GENERIC_ADDRESS_USE)
+
+
+def fold_generic_addresses(facts: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Address facts without an addressee, folded where exactly one address identity fits.
+
+    ``facts(chat_key, id, subject, predicate, value, category, temporal_anchor_id,
+    importance, sources)``, ``stored`` alike. Rows of one speaker meet on each form they
+    hold; the anchor may be blank on either side, which fits any. An identity is speaker,
+    addressee and anchor. With one identity the row goes into its smallest local fact
+    (forms, sources and importance unite there); if only stored facts have it, the row
+    takes their addressee. With none or several it stays as it is.
+    """
+    cols = facts.columns
+    forms = lambda c: F.array_distinct(F.transform(X.nonempty(F.split(merge_address_values(c), r"\s*;\s*")), lambda v: X.fold_key(v)))
+    slim = lambda df, local: df.select(
+        "chat_key", "id", "subject", "predicate", "category", "value", X.fold_key("subject").alias("speaker"),
+        F.coalesce("temporal_anchor_id", F.lit("")).alias("anchor"), F.lit(local).alias("local"))
+    known = slim(facts, True) if stored is None else slim(facts, True).unionByName(slim(stored, False))
+    named = known.filter(is_address() & ~generic_address() & (addressee() != "") & (F.col("speaker") != "")).withColumn("to", addressee())
+    asked = slim(facts, True).filter(generic_address() & (F.col("speaker") != ""))
+    left = asked.select("chat_key", "speaker", F.col("id").alias("gid"), F.col("anchor").alias("ganchor"), F.explode(forms("value")).alias("form"))
+    right = named.select("chat_key", "speaker", "id", "anchor", "to", "local", F.explode(forms("value")).alias("form"))
+    met = left.join(right, ["chat_key", "speaker", "form"]).filter((F.col("ganchor") == "") | (F.col("anchor") == "") | (F.col("ganchor") == F.col("anchor")))
+    identity = F.struct("speaker", "to", "anchor")
+    one = met.groupBy("chat_key", "gid").agg(
+        F.min(identity).alias("lo"), F.max(identity).alias("hi"), F.min(F.when(F.col("local"), F.col("id"))).alias("into"),
+        F.min(F.when(~F.col("local"), F.struct("id", "to"))).alias("there"))
+    one = write_through(one.filter("lo = hi").select("chat_key", F.col("gid").alias("id"), "into", "there"), "generic-addresses")
+    folded = facts.join(one.filter("into is not null").select("chat_key", "id", "into"), ["chat_key", "id"])
+    gains = folded.groupBy("chat_key", F.col("into").alias("id")).agg(
+        F.array_sort(F.collect_set(F.struct("id", "value"))).alias("__more"), F.max("importance").alias("__importance"), F.flatten(F.collect_list("sources")).alias("__sources"))
+    rest = facts.join(one.filter("into is not null").select("chat_key", "id"), ["chat_key", "id"], "left_anti").join(gains, ["chat_key", "id"], "left").join(
+        one.filter("into is null").select("chat_key", "id", "there"), ["chat_key", "id"], "left")
+    more = F.array_join(F.transform("__more", lambda m: m["value"]), "; ")
+    moved = F.col("there").isNotNull()
+    changed = {
+        "value": F.when(F.col("__more").isNull(), F.col("value")).otherwise(merge_address_values("value", more)),
+        "importance": F.greatest("importance", "__importance"),
+        "sources": F.when(F.col("__more").isNull(), F.col("sources")).otherwise(F.array_distinct(F.concat(F.coalesce("sources", F.array().cast(facts.schema["sources"].dataType)), F.col("__sources")))),
+        "predicate": F.when(moved, F.concat(F.lit("calls "), F.col("there.to"))).otherwise(F.col("predicate")),
+        "category": F.when(moved, F.lit("form of address")).otherwise(F.col("category")),
+    }
+    return rest.select(*[changed.get(c, F.col(c)).alias(c) for c in cols], F.col("there.id").alias("target_id"))
+
+
 def audit_stored_addresses(facts: DataFrame, messages: DataFrame, corrected: DataFrame) -> DataFrame:
     """Audit stored address facts against their own range only; corrected ones stay."""
     v = address_form_audit(facts, messages, own_range=True)

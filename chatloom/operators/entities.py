@@ -136,7 +136,6 @@ def validate_identity_resolutions(claims: DataFrame, entities: DataFrame, messag
 
 
 _ROLES = "|".join(fixed.IDENTITY_ROLE_TOKENS)
-OWNER_ROLE = rf"(?i)^(.{{1,80}}?)['’]s\s+(?:(?:former|previous|dead|missing|unknown)\s+)?({_ROLES})$"
 ROLE_WORD = rf"\b(?:{_ROLES})\b"
 
 
@@ -147,8 +146,8 @@ def owner_role_references(references: DataFrame, relationships: DataFrame) -> Da
     """
     ref = X.normalize_text("reference")
     r = references.select(
-        "chat_key", ref.alias("reference"), X.fold_key(F.regexp_extract(ref, OWNER_ROLE, 1)).alias("owner"),
-        F.lower(F.regexp_extract(ref, OWNER_ROLE, 2)).alias("role")).filter("role <> ''").distinct()
+        "chat_key", ref.alias("reference"), X.fold_key(F.regexp_extract(ref, fixed.DESCRIPTIVE_PERSON_IDENTITY, 1)).alias("owner"),
+        F.lower(F.regexp_extract(F.regexp_extract(ref, fixed.DESCRIPTIVE_PERSON_IDENTITY, 2), rf"(?i)({fixed.PERSON_IDENTITY_ROLE})$", 1)).alias("role")).filter("role <> ''").distinct()
     both = relationships.select("chat_key", X.fold_key("endpoint_a").alias("owner"), F.col("endpoint_b").alias("other"), X.fold_key("kind").alias("kind")).unionByName(
         relationships.select("chat_key", X.fold_key("endpoint_b").alias("owner"), F.col("endpoint_a").alias("other"), X.fold_key("kind").alias("kind")))
     roles = both.select("chat_key", "owner", "other", F.explode(F.regexp_extract_all("kind", F.lit(f"({ROLE_WORD})"), 1)).alias("role"))
@@ -156,6 +155,22 @@ def owner_role_references(references: DataFrame, relationships: DataFrame) -> Da
     return r.join(one, ["chat_key", "owner", "role"]).select("chat_key", "reference", "canonical")
 
 
+def single_owner_names(names: DataFrame, entities: DataFrame) -> DataFrame:
+    """Placeholders that name two owners, as the one they mean.
+
+    "A's former apprentice of B" becomes "B's former apprentice", B by its canonical
+    name: ``names(chat_key, name)`` -> (chat_key, name, canonical) of those it rewrites.
+    """
+    said = X.normalize_text("name")
+    rows = names.select("chat_key", said.alias("name"), *[
+        X.normalize_text(F.regexp_extract(said, fixed.MIXED_OWNER_PERSON_IDENTITY, g)).alias(c) for g, c in ((2, "role"), (3, "owner"))
+    ]).filter("role <> '' and owner <> ''").distinct()
+    known = subject_map(rows.select("chat_key", F.col("owner").alias("subject")).distinct(), entities)
+    owner = F.coalesce("canonical", "owner")
+    out = rows.join(known.withColumnRenamed("subject", "owner"), ["chat_key", "owner"], "left")
+    return out.select("chat_key", "name", F.concat(owner, F.lit("’s "), "role").alias("canonical"))
+
+
 def description_resolutions(entities: DataFrame) -> DataFrame:
     """A descriptive name that opens exactly one other description resolves to it.
 

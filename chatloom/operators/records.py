@@ -16,12 +16,6 @@ CLOTHING = r"(?i)\b(?:clothing|clothes|outfit|attire|dress|garments?|wearing|app
 NO_CHANGE = r"(?i)^(?:no change|unchanged|stable|normal|fine|none|uninjured|healthy)\b"
 HEALTH = r"(?i)\b(?:health|injur(?:y|ies)|wounds?|physical condition)\b"
 POSE = r"(?i)\b(?:pose|posture|position|stance|gesture|expression|gaze|sitting|standing|kneeling|lying)\b"
-TYPE_FAMILIES = (
-    ("person", r"\b(?:person|people|character|human|man|woman|boy|girl|child|officer|soldier|npc)\b"),
-    ("place", r"\b(?:place|location|city|town|village|planet|building|room|region|country|area)\b"),
-    ("group", r"\b(?:group|faction|organi[sz]ation|team|squad|crew|order|family|guild|army)\b"),
-    ("object", r"\b(?:object|item|weapon|tool|vehicle|ship|artifact|device|document|thing)\b"),
-)
 
 
 def normalize_enums(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -141,12 +135,19 @@ def raw_tail_flags(records: DataFrame, tails: DataFrame) -> DataFrame:
 
 
 def type_family(value) -> Column:
-    """person, place, group, object, or empty when the type says nothing."""
+    """person, place, group, object, or empty when the type says nothing.
+
+    An exact type decides first; then a person word at the end, or beside a word of life
+    or death; then words of the other families, and last a person word anywhere.
+    """
     kind = X.fold_key(value)
-    chain = F.when(kind.rlike(TYPE_FAMILIES[0][1]), TYPE_FAMILIES[0][0])
-    for name, pattern in TYPE_FAMILIES[1:]:
-        chain = chain.when(kind.rlike(pattern), name)
-    return chain.otherwise("")
+    word = lambda words: kind.rlike(rf"\b(?:{words})\b")
+    person = word(fixed.PERSON_TYPE_WORDS)
+    signal = (
+        F.when(kind.rlike(rf"\b(?:{fixed.PERSON_TYPE_WORDS})\s*$") | (word(fixed.LIFE_TYPE_WORDS) & person), "person")
+        .when(word(fixed.OBJECT_TYPE_WORDS), "object").when(word(fixed.PLACE_TYPE_WORDS), "place").when(word(fixed.GROUP_TYPE_WORDS), "group")
+        .when(person | word(fixed.AGE_TYPE_WORDS), "person").otherwise(""))
+    return F.when(kind.isin("", *fixed.ENTITY_TYPE_BLANK), "").otherwise(F.coalesce(X.lookup(fixed.ENTITY_TYPE_FAMILIES, kind), signal))
 
 
 def types_compatible(left, right) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import re
 
-from ..functions import text as X
+from pyspark.sql import Window, functions as F
+
+from ..functions import fixed, text as X
 from ..operators import audit as A, entities as E
+from ..sources.tables import table
 from . import bindings as B, ledger  # noqa: F401  (shared fragments)
 from .registry import fragment, query, sql
 
@@ -58,17 +61,47 @@ def _(spark, sf):
     return A.evidence_audit(rec, m).select("id", "unsupported")
 
 
-@query("uncovered_beats", sql("""
-SELECT id FROM script WHERE k % 4 = 0 AND event_id % 2 = 0
-""", "script"))
+#: cues of all families, and three words that are none
+CUES = (*[re.search(r"\(\?:(?:\w+\|)*?(\w+)\)", p).group(1) for p in fixed.COVERAGE_CUES.values()], "walked", "asked whether", "perhaps")
+_CUE_SQL = "[" + ", ".join(f"'{c}'" for c in CUES) + "]"
+_STOP24 = ", ".join(f"'{w}'" for w in fixed.COVERAGE_STOP_WORDS)
+
+
+def audit_terms_sql(text: str) -> str:
+    """Distinct words of two and more characters, possessives cut, stop words of beats out."""
+    words = f"regexp_extract_all(translate(lower({text}), '’‘‐‑‒–—', '\'\'\'\'-----'), '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}\'\'-]*')"
+    return f"list_distinct(list_filter(list_transform({words}, lambda w: regexp_replace(w, '\'\'s$', '')), lambda w: length(w) > 1 AND w NOT IN ({_STOP24})))"
+
+
+FAMILY_SQL = "CASE " + " ".join(f"WHEN regexp_matches(beat, '{p[4:]}', 'i') THEN '{n}'" for n, p in fixed.COVERAGE_CUES.items()) + " END"
+fragment("turns", """
+SELECT conv_id, turn, role, text, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations
+""")
+fragment("beat", f"""
+SELECT conv_id, turn, last, array_to_string(w[1:7], ' ') || ' ' || {_CUE_SQL}[length(text) % {len(CUES)} + 1] || ' it' AS beat FROM turns
+""", ("turns",))
+
+
+@query("uncovered_beats", sql(f"""
+WITH t AS (SELECT conv_id, turn, last, {FAMILY_SQL} AS family, {audit_terms_sql('beat')} AS terms FROM beat WHERE NOT regexp_matches(beat, '{fixed.NOT_ASSERTED[4:]}', 'i')),
+b AS (SELECT *, CASE WHEN len(terms) >= 5 THEN 3 ELSE 2 END AS need FROM t WHERE family IS NOT NULL AND len(terms) >= 3),
+said AS (SELECT DISTINCT conv_id, unnest({audit_terms_sql("role || ': ' || text")}) AS w FROM turns WHERE turn % 2 = 1),
+rec AS (SELECT conv_id, turn AS r, unnest({audit_terms_sql("array_to_string(w[4:9], ' ')")}) AS w FROM turns WHERE length(text) % 3 = 0),
+x AS (SELECT conv_id, turn, need, unnest(terms) AS w FROM b),
+sourced AS (SELECT conv_id, turn FROM x JOIN said USING (conv_id, w) GROUP BY conv_id, turn, need HAVING count(*) >= need),
+covered AS (SELECT DISTINCT conv_id, turn FROM (SELECT x.conv_id, x.turn, r FROM x JOIN rec USING (conv_id, w) GROUP BY x.conv_id, x.turn, r, need HAVING count(*) >= need))
+SELECT conv_id, turn, family FROM b SEMI JOIN sourced USING (conv_id, turn) ANTI JOIN covered USING (conv_id, turn)
+""", "turns", "beat"))
 def _(spark, sf):
-    s = _script(spark, sf)
-    e = _n("event_id")
-    beat = _cat(F.col("a"), F.when(F.col("k") % 4 == 0, " discovered ").otherwise(" walked past "), "relic", e, " under tower", e)
-    beats = s.select("chat_key", "id", "range_from", "range_to", beat.alias("beat"))
-    m = s.select("chat_key", "idx", F.col("b").alias("name"), _cat("They saw relic", e, " by tower", e, " with ", F.col("a"), ".").alias("text"))
-    rec = s.filter(F.col("event_id") % 2 == 1).select("chat_key", "range_from", "range_to", _cat(F.col("a"), " relic", e, " tower", e).alias("text"))
-    return A.uncovered_beats(beats, m, rec).select("id")
+    last = Window.partitionBy("conv_id")
+    t = table(spark, sf, "conversations").withColumn("range_to", F.max("turn").over(last).cast("long")).withColumn("w", F.split(X.normalize_text("text"), " "))
+    t = t.withColumn("chat_key", F.col("conv_id").cast("string")).withColumn("range_from", F.lit(0).cast("long"))
+    some = lambda a, n: F.array_join(F.slice("w", a, n), " ")
+    cue = F.element_at(F.array(*[F.lit(c) for c in CUES]), (F.length("text") % len(CUES) + 1).cast("int"))
+    beats = t.select("chat_key", F.concat_ws("-", "conv_id", "turn").alias("id"), "conv_id", "turn", "range_from", "range_to", _cat(some(1, 7), " ", cue, " it").alias("beat"))
+    m = t.filter(F.col("turn") % 2 == 1).select("chat_key", F.col("turn").cast("long").alias("idx"), F.col("role").alias("name"), "text")
+    rec = t.filter(F.length("text") % 3 == 0).select("chat_key", "range_from", "range_to", some(4, 6).alias("text"))
+    return A.uncovered_beats(beats, m, rec).select("conv_id", "turn", "family")
 
 
 @query("l1_epistemic_beats", sql("""
@@ -136,6 +169,36 @@ def _(spark, sf):
     return A.address_form_audit(*_address(spark, sf)).select("id", "verdict")
 
 
+fragment("aforms", """
+SELECT conv_id, turn, role AS speaker, CASE length(text) % 3 WHEN 0 THEN 'uses nickname' ELSE 'calls ' || lower(w[1]) END AS predicate,
+  CASE WHEN length(text) % 3 = 0 THEN 'social address' ELSE 'form of address' END AS category,
+  list_distinct(list_filter([lower(w[2]), lower(w[3]), lower(w[4])], lambda f: f IS NOT NULL)) AS forms, CASE turn % 3 WHEN 0 THEN '' ELSE 'a' || (turn % 2) END AS anchor FROM turns
+""", ("turns",))
+
+
+# each turn is an address fact: its words are forms, its role the speaker, its first word the addressee if it names one
+@query("fold_generic_addresses", sql(r"""
+WITH f AS (SELECT *, category = 'social address' AS generic, substr(regexp_replace(predicate, '\s*[.!?]$', ''), 7) AS to_ FROM aforms),
+m AS (SELECT DISTINCT g.conv_id, g.turn, n.to_, n.anchor, n.conv_id || '-' || n.turn AS id FROM f g JOIN f n ON g.conv_id = n.conv_id AND g.speaker = n.speaker
+  WHERE g.generic AND NOT n.generic AND n.to_ <> '' AND (g.anchor = '' OR n.anchor = '' OR g.anchor = n.anchor) AND len(list_intersect(g.forms, n.forms)) > 0),
+one AS (SELECT conv_id, turn, min(id) AS into_ FROM m GROUP BY ALL HAVING count(DISTINCT (to_, anchor)) = 1),
+gain AS (SELECT into_, count(*) AS n FROM one GROUP BY into_)
+SELECT f.conv_id || '-' || turn AS id, generic, coalesce(n, 0) AS folded FROM f LEFT JOIN gain ON into_ = f.conv_id || '-' || turn WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM one)
+""", "aforms"))
+def _(spark, sf):
+    t = table(spark, sf, "conversations").withColumn("w", F.split(X.normalize_text("text"), " "))
+    third = F.length("text") % 3 == 0
+    source = F.struct(F.col("conv_id").alias("chat"), F.col("turn").cast("long").alias("turn"))
+    f = t.select(
+        F.col("conv_id").cast("string").alias("chat_key"), F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("subject"),
+        F.when(third, "uses nickname").otherwise(_cat("calls ", F.lower(F.col("w")[0]))).alias("predicate"), F.array_join(F.slice("w", 2, 3), "; ").alias("value"),
+        F.when(third, "social address").otherwise("form of address").alias("category"),
+        F.when(F.col("turn") % 3 == 0, "").otherwise(_cat("a", (F.col("turn") % 2).cast("string"))).alias("temporal_anchor_id"),
+        F.lit(3).alias("importance"), F.array(source).alias("sources"))
+    out = A.fold_generic_addresses(f)
+    return out.select("id", (F.col("category") == "social address").alias("generic"), (F.size("sources") - 1).cast("long").alias("folded"))
+
+
 @query("audit_stored_addresses", sql(f"SELECT id, CASE WHEN event_id % 7 = 0 THEN 'keep' ELSE {_ADDRESS_SQL} END AS verdict FROM script", "script"))
 def _(spark, sf):
     f, m = _address(spark, sf)

@@ -181,7 +181,7 @@ def _(spark, sf):
 
 @query("owner_role_references", """
 WITH rel AS (SELECT CAST(p_partkey % 50 AS VARCHAR) AS chat_key, p_name AS a, 'person ' || (p_size % 7) AS b, CASE p_partkey % 3 WHEN 0 THEN 'master' WHEN 1 THEN 'student' ELSE 'guardian' END AS kind FROM part),
-one AS (SELECT chat_key, a, kind, min(b) AS canonical FROM rel GROUP BY ALL HAVING count(DISTINCT b) = 1)
+one AS (SELECT chat_key, a, kind, min(b) AS canonical FROM rel WHERE kind <> 'guardian' GROUP BY ALL HAVING count(DISTINCT b) = 1)
 SELECT chat_key, a || chr(39) || 's ' || kind AS reference, canonical FROM one
 """)
 def _(spark, sf):
@@ -194,6 +194,19 @@ def _(spark, sf):
     return E.owner_role_references(refs, rel)
 
 
+@query("single_owner_names", """
+SELECT CAST(p_partkey % 50 AS VARCHAR) AS chat_key, p_name || chr(39) || 's former ' || split_part(p_type, ' ', 1) || ' apprentice of P' || p_partkey AS name,
+  p_name || ' ' || p_size || '’s former ' || split_part(p_type, ' ', 1) || ' apprentice' AS canonical
+FROM part
+""")
+def _(spark, sf):
+    p = table(spark, sf, "part")
+    chat, key = (F.col("p_partkey") % 50).cast("string").alias("chat_key"), F.col("p_partkey").cast("string")
+    names = p.select(chat, F.concat("p_name", F.lit("'s former "), F.split("p_type", " ")[0], F.lit(" apprentice of P"), key).alias("name"))
+    others = p.select(chat, F.concat("p_name", F.lit("'s guardian of P"), key).alias("name"))  # no role that makes a placeholder
+    return E.single_owner_names(names.unionByName(others), B.entities(spark, sf))
+
+
 @query("description_resolutions", """
 SELECT CAST(p_partkey % 50 AS VARCHAR) AS chat_key, 'harbor master ' || p_partkey AS reference, 'Mara' || p_partkey AS canonical FROM part WHERE p_partkey % 3 = 0
 """)

@@ -36,6 +36,21 @@ def _collect(spark, stream, schema):
     return spark.read.schema(schema).parquet(out)
 
 
+def _collect_parts(spark, df, parts, build, schema):
+    """One batch after another: each part is written and run through the stream before the next one comes."""
+    path, out, check = (_folder(spark, n) for n in ("events", "stream", "check"))
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        for p in range(parts):
+            df.filter(F.col("part") == p).drop("part").write.mode("append").parquet(path)
+            q = build(path).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+            q.awaitTermination()
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+    return spark.read.schema(schema).parquet(out)
+
+
 def _event_files(spark, df, parts, name="events"):
     """Write events as a few files, in order, for the file source."""
     path = _folder(spark, name)
@@ -60,6 +75,24 @@ def _(spark, sf):
     return _collect(spark, P.stream_l1_groups(read_message_stream(spark, path)), P.GROUP_SCHEMA)
 
 
+@query("stream_revised_groups", sql("""
+WITH alive AS (SELECT * FROM msg WHERE NOT (event_id % 37 = 0 AND event_id % 2 = 0)),
+e AS (SELECT chat_key, idx FROM alive QUALIFY NOT (row_number() OVER (PARTITION BY chat_key ORDER BY idx DESC) = 1 AND NOT is_user)),
+s AS (SELECT chat_key, idx, row_number() OVER (PARTITION BY chat_key ORDER BY idx) AS rn FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY chat_key ORDER BY idx DESC) > 2))
+SELECT chat_key, (rn - 1) // 8 AS group_no, min(idx) AS range_from, max(idx) AS range_to FROM s GROUP BY ALL HAVING count(*) = 8
+""", "msg"))
+def _(spark, sf):
+    m = B.messages(spark, sf).withColumn("is_system", F.lit(False)).withColumn("op", F.lit("new"))
+    late, hit = F.col("event_id") % 41 == 0, F.col("event_id") % 37 == 0
+    cols = ["chat_key", "idx", "name", "text", "is_user", "is_system", "op", "seq"]
+    first = m.withColumn("seq", F.col("idx")).withColumn("part", F.when(late, 2).when(F.col("idx") < 30, 0).otherwise(1))
+    change = m.filter(hit).withColumn("op", F.when(F.col("event_id") % 2 == 0, "delete").otherwise("edit")).withColumn(
+        "text", F.concat("text", F.lit(" edited"))).withColumn("seq", F.col("idx") + 1_000_000).withColumn("part", F.lit(3))
+    events = first.select(*cols, "part").unionByName(change.select(*cols, "part"))
+    rows = _collect_parts(spark, events, 4, lambda path: P.stream_revised_groups(read_message_stream(spark, path)), P.REVISION_SCHEMA)
+    return P.standing_groups(rows).drop("version")
+
+
 @query("stream_coverage", sql("""
 SELECT chat_key, count(*) AS total, count(*) FILTER (WHERE status = 'matched') AS matched, count(*) FILTER (WHERE status = 'changed') AS changed,
   count(*) FILTER (WHERE status = 'outdated') AS outdated, count(*) FILTER (WHERE status = 'never') AS never_processed FROM stat GROUP BY chat_key

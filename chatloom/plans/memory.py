@@ -172,18 +172,26 @@ def _(spark, sf):
         "id", "latest_in_tail", "all_in_tail")
 
 
-@query("type_families", r"""
-SELECT p_partkey, CASE WHEN t LIKE 'old %' OR t LIKE 'hot %' THEN 'person' WHEN t LIKE 'red %' THEN 'place'
-  WHEN t LIKE 'small %' THEN 'object' ELSE '' END AS family,
-  (t LIKE 'old %' OR t LIKE 'hot %' OR NOT (t LIKE 'red %' OR t LIKE 'small %')) AS fits_person
-FROM (SELECT p_partkey, p_name AS t FROM part)
+#: types of all kinds: exact, at the end of a phrase, beside a word of life, of several families, and of none
+TYPES = (
+    "individual", "captain", "king", "world", "institution", "vessel", "council", "person", "Human officer", "small town", "a Device", "retired guard captain",
+    "captain of a ship", "dead king of the city", "young traveller", "guild of mages", "order", "mystery", "Unknown", "other", "house guard", "ship doctor",
+    "elderly", "flag ship", "moon base", "weapon", "living weapon", "army physician corps", "people", "thing",
+)
+FAMILIES = (
+    "person", "person", "person", "place", "group", "", "group", "person", "person", "place", "object", "person",
+    "object", "person", "person", "group", "group", "", "", "", "person", "person",
+    "person", "object", "place", "object", "object", "group", "", "",
+)
+_LIST = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+@query("type_families", f"""
+SELECT p_partkey, {_LIST(FAMILIES)}[p_partkey % {len(TYPES)} + 1] AS family, {_LIST(FAMILIES)}[p_partkey % {len(TYPES)} + 1] IN ('', 'person') AS fits_person FROM part
 """)
 def _(spark, sf):
-    p = table(spark, sf, "part")
-    first = F.split("p_name", " ")[0]
-    kind = (F.when(first.isin("old", "hot"), "Human officer").when(first == "red", "small town").when(first == "small", "a Device")
-            .otherwise("mystery"))
-    return p.select("p_partkey", R.type_family(kind).alias("family"), R.types_compatible(kind, F.lit("person")).alias("fits_person"))
+    kind = F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.col("p_partkey") % len(TYPES) + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", R.type_family(kind).alias("family"), R.types_compatible(kind, F.lit("person")).alias("fits_person"))
 
 
 fragment("timed", """

@@ -8,12 +8,13 @@ They need the RocksDB state store:
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import fixed
 
 GROUP_SCHEMA = "chat_key string, group_no long, range_from long, range_to long"
+REVISION_SCHEMA = "chat_key string, n long, op string, group_no long, version long, range_from long, range_to long"
 STATE_SCHEMA = "chat_key string, subject string, attribute string, value string, scope string, op string, n long"
 CHECKPOINT_SCHEMA = "chat_key string, checkpoint_no long, to long, covered long"
 
@@ -63,6 +64,135 @@ class L1Groups(StatefulProcessor):
         pass
 
 
+class RevisedGroups(StatefulProcessor):
+    """Level-1 groups that are withdrawn and sent again when a message inside them changes.
+
+    State: each closed group with its positions and version, the open positions, and
+    counts. An edit inside a closed group retracts it and inserts its next version. A
+    message that goes away, or comes in late, shifts all groups behind it: they are read
+    and written one after the other, with fewer than one group of positions in hand, and
+    only those that come out different are retracted and inserted. Groups that the rest
+    of the chat no longer makes stable go back to the open positions.
+
+    Output rows carry a running number per chat: the last one of a group number tells
+    whether it stands (``insert``) or not, so their sum equals the batch groups.
+    """
+
+    def __init__(self, size: int = fixed.L1_GROUP_SIZE, buffer: int = fixed.STABILITY_BUFFER):
+        self.size, self.buffer = size, buffer
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.closed = handle.getMapState("closed", "group_no long", "idx array<long>, is_user array<boolean>")
+        #: versions stay when a group is withdrawn, so a number never comes twice with one version
+        self.versions = handle.getMapState("versions", "group_no long", "version long")
+        self.open = handle.getListState("open", "idx long, is_user boolean")
+        self.done = handle.getValueState("done", "groups long, rows long")
+
+    def _group(self, k: int) -> list[tuple[int, bool]]:
+        idx, users = self.closed.getValue((k,))
+        return [(int(i), bool(u)) for i, u in zip(idx, users, strict=True)]
+
+    def _holder(self, idx: int, groups: int) -> int:
+        """The last group that starts at or before ``idx``, the first one if none does."""
+        low, high = 0, groups - 1
+        while low < high:
+            mid = (low + high + 1) // 2
+            if self._group(mid)[0][0] <= idx:
+                low = mid
+            else:
+                high = mid - 1
+        return low
+
+    def _tell(self, op: str, k: int, rows: list[tuple[int, bool]]) -> None:
+        version = int(self.versions.getValue((k,))[0]) if self.versions.containsKey((k,)) else -1
+        if op == "insert":
+            version += 1
+            self.versions.updateValue((k,), (version,))
+            self.closed.updateValue((k,), ([i for i, _ in rows], [u for _, u in rows]))
+        self.out.append((op, k, version, rows[0][0], rows[-1][0]))
+
+    def handleInputRows(self, key, rows, timerValues):
+        self.out: list[tuple] = []
+        groups, sent = (int(v) for v in self.done.get()) if self.done.exists() else (0, 0)
+        part = pd.concat(list(rows)).sort_values(["idx", "seq"], kind="stable").drop_duplicates("idx", keep="last")
+        live = ~part["is_system"].fillna(False).astype(bool) & (part["text"].fillna("").str.strip() != "") & (part["op"] != "delete")
+        waiting = {int(r[0]): bool(r[1]) for r in self.open.get()} if self.open.exists() else {}
+        end = self._group(groups - 1)[-1][0] if groups else -1
+        edited: set[int] = set()
+        moved: dict[int, dict[int, bool | None]] = {}  # group -> position -> user's, or None where it goes
+        for i, ok, user in zip(part["idx"].astype("int64").tolist(), live.tolist(), part["is_user"].fillna(False).astype(bool).tolist(), strict=True):
+            if i > end:
+                waiting.pop(i, None)
+                if ok:
+                    waiting[i] = user
+                continue
+            k = self._holder(i, groups)
+            known = i in dict(self._group(k))
+            if known and ok:
+                edited.add(k)
+            if known != ok or (known and dict(self._group(k))[i] != user):
+                moved.setdefault(k, {})[i] = user if ok else None
+        if moved:
+            groups = self._shift(min(moved), groups, moved, edited, waiting)
+        else:
+            for k in sorted(edited):
+                self._tell("retract", k, self._group(k))
+                self._tell("insert", k, self._group(k))
+        groups = self._settle(groups, waiting)
+        self.done.update((groups, sent + len(self.out)))
+        self.open.put(sorted(waiting.items()))
+        yield _frame([(key[0], sent + n, *row) for n, row in enumerate(self.out)], [c.split()[0] for c in REVISION_SCHEMA.split(", ")])
+
+    def _shift(self, first: int, groups: int, moved: dict, edited: set[int], waiting: dict[int, bool]) -> int:
+        """Groups from ``first`` on over again; what is left over opens again. Returns how many stand."""
+        for k in sorted(k for k in edited if k < first):
+            self._tell("retract", k, self._group(k))
+            self._tell("insert", k, self._group(k))
+        hand: list[tuple[int, bool]] = []
+        at = first
+        for k in range(first, groups):
+            old = self._group(k)
+            now = dict(old) | moved.get(k, {})
+            hand += sorted((i, u) for i, u in now.items() if u is not None)
+            self.closed.removeKey((k,))
+            new = []
+            while len(hand) >= self.size and at + len(new) <= k:
+                new.append(hand[: self.size])
+                hand = hand[self.size :]
+            if new and at == k and new[0] == old and k not in edited:
+                self.closed.updateValue((k,), ([i for i, _ in old], [u for _, u in old]))
+            else:
+                self._tell("retract", k, old)
+                for n, group in enumerate(new):
+                    self._tell("insert", at + n, group)
+            at += len(new)
+        waiting |= dict(hand)
+        return at
+
+    def _settle(self, groups: int, waiting: dict[int, bool]) -> int:
+        """Close what is stable, open what no longer is."""
+        while True:
+            rows = sorted(waiting.items())
+            held = 0 if not rows or rows[-1][1] else 1
+            stable = len(rows) - self.buffer - held
+            if stable < 0 and groups:
+                groups -= 1
+                last = self._group(groups)
+                self._tell("retract", groups, last)
+                self.closed.removeKey((groups,))
+                waiting |= dict(last)
+            elif stable >= self.size:
+                self._tell("insert", groups, rows[: self.size])
+                groups += 1
+                for i, _ in rows[: self.size]:
+                    del waiting[i]
+            else:
+                return groups
+
+    def close(self) -> None:
+        pass
+
+
 class StateTimeline(StatefulProcessor):
     """Latest state per subject and attribute; scene rows end when a newer range arrives.
 
@@ -150,6 +280,17 @@ def stream_l1_groups(messages: DataFrame, size: int = fixed.L1_GROUP_SIZE, buffe
     return _run(messages.select("chat_key", "idx", "text", "is_user", "is_system", "op", "seq"), L1Groups(size, buffer), GROUP_SCHEMA)
 
 
+def stream_revised_groups(messages: DataFrame, size: int = fixed.L1_GROUP_SIZE, buffer: int = fixed.STABILITY_BUFFER) -> DataFrame:
+    """Groups of a message stream as inserted and retracted versions (I3): equals the batch groups after any change."""
+    return _run(messages.select("chat_key", "idx", "text", "is_user", "is_system", "op", "seq"), RevisedGroups(size, buffer), REVISION_SCHEMA)
+
+
+def standing_groups(revisions: DataFrame) -> DataFrame:
+    """``(chat_key, group_no, version, range_from, range_to)`` that the revisions leave."""
+    last = revisions.groupBy("chat_key", "group_no").agg(F.max_by(F.struct("op", "version", "range_from", "range_to"), "n").alias("r"))
+    return last.filter("r.op = 'insert'").select("chat_key", "group_no", "r.version", "r.range_from", "r.range_to")
+
+
 def stream_state_timeline(states: DataFrame) -> DataFrame:
     """State changes per chat (I4)."""
     cols = ["chat_key", "subject", "attribute", "value", "scope", "operation", "range_to", "seq"]
