@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import fixed, text as X
-from ..operators import groups as G, hierarchy as H, merge as M, overlap as O, records as R, states as S, timeline as L
+from ..operators import groups as G, hierarchy as H, merge as M, overlap as O, records as R, replay as RP, states as S, timeline as L
 from ..sources.messages import read_messages
 from ..sources.tables import table
 from . import bindings as B
@@ -680,6 +680,65 @@ def _(spark, sf):
     return M.restore_replay_ids(new, M.merge_records(f, keys, ["value"]), keys).drop("last_range_to")
 
 
+@query("replay_memory", sql("""
+WITH last AS (SELECT chat_key, max(range_to) AS rt FROM rng GROUP BY chat_key),
+kept AS (SELECT chat_key, range_from, range_to FROM rng JOIN last USING (chat_key) WHERE range_to < rt),
+nt AS (SELECT chat_key, max(range_to) AS nt FROM kept GROUP BY chat_key),
+f AS (SELECT chat_key, predicate, category, arg_min(id, (range_to, seq)) AS own, arg_max(value, (corrected, range_to, seq)) AS body FROM fact SEMI JOIN kept USING (chat_key, range_from, range_to) GROUP BY ALL),
+fo AS (SELECT chat_key, predicate, category, 'old-' || arg_min(id, (range_to, seq)) AS old FROM fact GROUP BY ALL),
+s AS (SELECT * FROM state SEMI JOIN kept USING (chat_key, range_from, range_to) QUALIFY row_number() OVER (PARTITION BY chat_key, attribute ORDER BY range_to DESC, seq DESC) = 1),
+so AS (SELECT chat_key, attribute, 'old-' || id AS old FROM state WHERE operation = 'set' QUALIFY row_number() OVER (PARTITION BY chat_key, attribute ORDER BY range_to DESC, seq DESC) = 1),
+e AS (SELECT chat_key, predicate, seq % 3 AS k, range_from, max('old-' || id) AS id FROM fact SEMI JOIN kept USING (chat_key, range_from, range_to) GROUP BY ALL)
+SELECT 'facts' AS category, f.chat_key, old AS id, body FROM f JOIN fo USING (chat_key, predicate, category)
+UNION ALL SELECT 'states', s.chat_key, coalesce(old, s.id), value FROM s JOIN nt USING (chat_key) LEFT JOIN so USING (chat_key, attribute)
+  WHERE operation = 'set' AND (scope = 'ongoing' OR range_to = nt)
+UNION ALL SELECT 'events', chat_key, id, predicate || k FROM e
+UNION ALL SELECT 'l1', l1.chat_key, 'old-' || id, CAST(k AS VARCHAR) FROM l1 SEMI JOIN kept USING (chat_key, range_from, range_to)
+""", "fact", "state", "l1", "rng"))
+def _(spark, sf):
+    r = B.ranges(spark, sf)
+    kept = r.join(M.undo_latest(r).select("chat_key", "range_to"), ["chat_key", "range_to"], "left_anti")
+    f, s = B.facts(spark, sf), B.states(spark, sf)
+    e = f.select("chat_key", "id", F.concat("predicate", (F.col("seq") % 3).cast("string")).alias("title"), F.lit("same").alias("summary"), "range_from", "range_to", "seq")
+    l = B.l1(spark, sf).withColumn("seq", F.col("range_from"))
+    keys = ["chat_key", "subject", "predicate", "category"]
+    old = lambda df: df.withColumn("id", F.concat(F.lit("old-"), "id"))
+    newest = Window.partitionBy("chat_key", "attribute").orderBy(F.col("range_to").desc(), F.col("seq").desc())
+    previous = {
+        "facts": old(M.merge_records(f, keys, ["value"])), "events": old(e), "l1": old(l),
+        "states": old(s.filter(F.col("operation") == "set").withColumn("n", F.row_number().over(newest)).filter("n = 1")),
+    }
+    new = RP.replay_memory({"facts": f, "states": s, "events": e, "l1": l}, kept, previous)
+    body = {"facts": "value", "states": "value", "events": "title", "l1": "k"}
+    out = None
+    for category, df in new.items():
+        part = df.select(F.lit(category).alias("category"), "chat_key", "id", F.col(body[category]).cast("string").alias("body"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("remove_chats", sql("""
+WITH gone AS (SELECT DISTINCT chat_key FROM ev WHERE CAST(chat_key AS BIGINT) % 7 = 0),
+f AS (SELECT chat_key, id, chat_key IN (SELECT chat_key FROM gone) AS own, CAST(CAST(chat_key AS BIGINT) + 1 AS VARCHAR) IN (SELECT chat_key FROM gone) AS next, event_id % 3 = 0 AS two FROM fact)
+SELECT 'facts' AS category, chat_key, id, CASE WHEN NOT own AND two AND NOT next THEN 2 ELSE 1 END AS sources FROM f WHERE NOT own OR (two AND NOT next)
+UNION ALL SELECT 'l1', chat_key, id, 0 FROM l1 ANTI JOIN gone USING (chat_key)
+UNION ALL SELECT 'l2', chat_key, 'L2-' || chat_key || '-' || range_from, 0 FROM l2 ANTI JOIN gone USING (chat_key)
+""", "fact", "l1", "l2", "ev"))
+def _(spark, sf):
+    chat = F.col("chat_key").cast("long")
+    span = lambda c: F.struct(c.alias("chat_key"), "range_from", "range_to")
+    own, following = span(F.col("chat_key")), span((chat + 1).cast("string"))
+    f = B.facts(spark, sf).withColumn("sources", F.when(F.col("event_id") % 3 == 0, F.array(own, following)).otherwise(F.array(own)))
+    l2 = _l2(spark, sf).withColumn("id", F.concat_ws("-", F.lit("L2"), "chat_key", F.col("range_from").cast("string")))
+    gone = B.event_messages(spark, sf).filter(chat % 7 == 0).select("chat_key").distinct()
+    left = RP.remove_chats({"facts": f, "l1": B.l1(spark, sf), "l2": l2}, gone)
+    none = F.lit(0).alias("sources")
+    told = left["facts"].select(F.lit("facts").alias("category"), "chat_key", "id", F.size("sources").alias("sources"))
+    for level in ("l1", "l2"):
+        told = told.unionByName(left[level].select(F.lit(level).alias("category"), "chat_key", "id", none))
+    return told
+
+
 @query("reset_audit", sql("""
 SELECT chat_key, 'facts' AS category, count(*) AS residual FROM fact WHERE NOT corrected GROUP BY chat_key
 UNION ALL SELECT chat_key, 'l1', count(*) FROM l1 GROUP BY chat_key

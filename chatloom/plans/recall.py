@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import fixed, text as X
+from ..functions.sql import register
 from ..operators import names as N, recall as R, retrieval as Q, vectors as V
 from ..operators.scale import staged, top_k
 from ..sources.messages import read_messages
@@ -107,6 +108,18 @@ def _(spark, sf):
     return d.select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join(F.array_sort("t"), " ")).alias("tokens_md5"))
 
 
+@query("tokenize_sql", sql(f"""
+SELECT doc_id, count(tok) AS n_tokens, md5(coalesce(string_agg(tok, ' ' ORDER BY tok), '')) AS tokens_md5, length(norm) AS n_chars
+FROM doc LEFT JOIN ({tokens_sql('doc', 'doc_id', 'norm')}) USING (doc_id) GROUP BY doc_id, norm
+""", "doc"))
+def _(spark, sf):
+    register(spark)
+    table(spark, sf, "documents").createOrReplaceTempView("chatloom_documents")
+    return spark.sql("""
+        SELECT doc_id, size(t) AS n_tokens, md5(array_join(array_sort(t), ' ')) AS tokens_md5, length(norm) AS n_chars
+        FROM (SELECT doc_id, normalize_text(text) AS norm, tokenize_stems(normalize_text(text)) AS t FROM chatloom_documents)""")
+
+
 @query("corpus_stats", sql("SELECT n_docs, " + ", ".join(f"CAST(round(avg_{f}, 6) AS DOUBLE) AS avg_{f}" for f in Q.FIELDS) + " FROM stats", "stats"))
 def _(spark, sf):
     return Q.corpus_statistics(B.corpus(spark, sf)).select("n_docs", *[F.round(f"avg_{f}", 6).alias(f"avg_{f}") for f in Q.FIELDS])
