@@ -36,13 +36,22 @@ QUESTION_KNOWLEDGE = r"(?i)^(?:what|who|where|when|why|how|whether)\b|\?\s*$"
 
 
 # ---- text units -------------------------------------------------------------------
-def audit_terms(value, stop: tuple[str, ...] = fixed.STOP_WORDS) -> Column:
-    """Words of two and more characters, possessives cut, stop words out."""
+def _terms(value, stop: tuple[str, ...]) -> Column:
     words = F.regexp_extract_all(X.straight_quotes(X.fold_key(value)), F.lit(r"([\p{L}\p{N}][\p{L}\p{N}'-]*)"), 1)
     cut = F.transform(words, lambda w: F.regexp_replace(w, "'s$", ""))
     return F.array_distinct(F.filter(cut, lambda w: (F.length(w) > 1) & ~w.isin(*stop)))
 
 
+def audit_terms(value) -> Column:
+    """Words of two and more characters, possessives cut, stop words out."""
+    return _terms(value, fixed.STOP_WORDS)
+
+
+def beat_terms(value) -> Column:
+    """The same with the stop words of beats."""
+    return _terms(value, fixed.COVERAGE_STOP_WORDS)
+
+
 def evidence_sentences(messages: DataFrame) -> DataFrame:
     """(chat_key, idx, speaker, pos, sentence, objective): one row per sentence."""
     rows = messages.select("chat_key", "idx", F.col("name").alias("speaker"), F.posexplode(X.sentences("text")).alias("pos", "sentence"))
@@ -148,19 +157,18 @@ def uncovered_beats(beats: DataFrame, messages: DataFrame, records: DataFrame) -
     range_from, range_to, text)``. Adds the ``family`` of the cue and the
     ``category`` of the record that is missing.
     """
-    words_of = lambda c: audit_terms(c, fixed.COVERAGE_STOP_WORDS)
-    b = beats.withColumn("terms", words_of("beat")).withColumn("family", cue_family("beat")).filter(
+    b = beats.withColumn("terms", beat_terms("beat")).withColumn("family", cue_family("beat")).filter(
         F.col("family").isNotNull() & ~F.col("beat").rlike(fixed.NOT_ASSERTED) & (F.size("terms") >= 3)).withColumn("category", beat_category())
     b = write_through(b.withColumn("need", F.when(F.size("terms") >= 5, 3).otherwise(2)), "beats")
     # the whole text of the range counts as one unit: distinct words over messages
-    units = messages.select("chat_key", "idx", F.lit(0).alias("unit"), F.lit(True).alias("objective"), words_of(F.concat_ws(": ", "name", "text")).alias("terms"))
+    units = messages.select("chat_key", "idx", F.lit(0).alias("unit"), F.lit(True).alias("objective"), beat_terms(F.concat_ws(": ", "name", "text")).alias("terms"))
     buckets = F.sequence(F.floor(F.col("range_from") / 64), F.floor(F.col("range_to") / 64))
     spread = b.select("chat_key", "id", "range_from", "range_to", "terms", F.explode(buckets).alias("b")).select(
         "chat_key", "id", "range_from", "range_to", "b", F.explode("terms").alias("w"))
     words = units.select("chat_key", "idx", F.floor(F.col("idx") / 64).alias("b"), F.explode("terms").alias("w"))
     seen = spread.join(words, ["chat_key", "b", "w"]).filter((F.col("idx") >= F.col("range_from")) & (F.col("idx") <= F.col("range_to")))
     sourced = seen.groupBy("chat_key", "id").agg(F.countDistinct("w").alias("n")).join(b.select("chat_key", "id", "need"), ["chat_key", "id"]).filter("n >= need")
-    rec = records.select("chat_key", "range_from", "range_to", F.md5("text").alias("rid"), words_of("text").alias("rt"))
+    rec = records.select("chat_key", "range_from", "range_to", F.md5("text").alias("rid"), beat_terms("text").alias("rt"))
     rw = rec.select("chat_key", "range_from", "range_to", "rid", F.explode("rt").alias("w"))
     covered = b.select("chat_key", "range_from", "range_to", "id", "need", F.explode("terms").alias("w")).join(
         rw, ["chat_key", "range_from", "range_to", "w"]).groupBy("chat_key", "id", "need", "rid").agg(F.count(F.lit(1)).alias("n")).filter("n >= need")

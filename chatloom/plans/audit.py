@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Window, functions as F
 
 from ..functions import fixed, text as X
-from ..operators import audit as A, entities as E
+from ..operators import audit as A, entities as E, reconcile as RC
 from ..sources.tables import table
 from . import bindings as B, ledger  # noqa: F401  (shared fragments)
 from .registry import fragment, query, sql
@@ -484,3 +484,38 @@ def _(spark, sf):
     out = A.reconcile_stored(f, rel, t, _people(spark, sf), s.select("chat_key", "range_from", "range_to", text.alias("text")), m, s.select("chat_key", "idx"))
     n = lambda part: out[part].agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n"))
     return n("facts").unionByName(n("threads"))
+
+
+# ---- D18 whole: an incremental run against the rule over everything ------------------------
+# facts of all ranges but the last are a memory that was reconciled before; the last range is what changed
+@query("reconcile_memory", sql("""
+WITH plain AS (SELECT *, CASE WHEN k % 4 = 1 THEN 'knowledge' ELSE 'trait' END AS cat,
+    CASE WHEN k % 4 = 1 THEN 'knowledge of harbor' ELSE 'habit' || (k % 3) END AS pred FROM script),
+known AS (SELECT chat_key, a, pred, id, range_to, idx, a || ' knows gate ' || (event_id % 5) || '.' AS sentence FROM plain WHERE cat = 'knowledge'),
+first AS (SELECT chat_key, a, pred, sentence, min((range_to, idx)) AS seen FROM known GROUP BY ALL),
+grown AS (SELECT chat_key, a, pred, string_agg(sentence, ' ' ORDER BY seen) AS value FROM first GROUP BY ALL)
+SELECT 'facts' AS part, chat_key, arg_min(id, (range_to, idx)) AS id, arg_max('sails boat ' || event_id, (range_to, idx)) AS value FROM plain WHERE cat = 'trait' GROUP BY chat_key, a, pred
+UNION ALL SELECT 'facts', k.chat_key, arg_min(id, (range_to, idx)), any_value(value) FROM known k JOIN grown g ON k.chat_key = g.chat_key AND k.a = g.a AND k.pred = g.pred GROUP BY k.chat_key, k.a, k.pred
+""", "script"))
+def _(spark, sf):
+    s = _script(spark, sf)
+    k, e = F.col("k"), _n("event_id")
+    known = k % 4 == 1
+    f = s.select(
+        "chat_key", "id", F.col("a").alias("subject"), F.when(known, "knowledge of harbor").otherwise(_cat("habit", (k % 3).cast("string"))).alias("predicate"),
+        F.when(known, _cat(F.col("a"), " knows gate ", (F.col("event_id") % 5).cast("string"), ".")).otherwise(_cat("sails boat ", e)).alias("value"),
+        F.when(known, "knowledge").otherwise("trait").alias("category"), F.lit("persistent").alias("persistence"), F.lit(3).alias("importance"),
+        "range_from", "range_to", F.col("idx").alias("seq"))
+    m = s.select("chat_key", "idx", F.col("b").alias("name"), F.lit("It rains.").alias("text"))
+    empty = lambda schema: spark.createDataFrame([], schema)
+    last = f.groupBy("chat_key").agg(F.max("range_to").alias("range_to"))
+    new = f.join(last, ["chat_key", "range_to"], "left_semi")
+    before = RC.merged_facts(f.join(last, ["chat_key", "range_to"], "left_anti"))
+    memory = {
+        "facts": before.unionByName(new.select(*before.columns)), "entities": _people(spark, sf),
+        "relationships": empty("chat_key string, id string, endpoint_a string, endpoint_b string, kind string, dynamic string, status string, range_to long, seq long"),
+        "threads": empty("chat_key string, id string, title string, detail string, status string, participants array<string>, range_from long, range_to long"),
+    }
+    evidence = empty("chat_key string, range_from long, range_to long, text string")
+    out = RC.reconcile_memory(memory, evidence, m, m.select("chat_key", "idx"), {"facts": new.select("chat_key", "id")}, m.limit(0).select("chat_key", "idx"))
+    return out["facts"].select(F.lit("facts").alias("part"), "chat_key", "id", "value")
