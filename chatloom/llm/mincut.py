@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, types as T
 from .common import carried, texts
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.DOTALL,
 )
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -56,14 +56,20 @@ _ENDS_INSET = {
 WEIGHTS = {
     "bias": -1.0, "article": 4.0, "paragraph": 1.0, "heading": 0.5, "words": 0.35, "sentence": 0.5, "links": -4.0,
     "nav": -9.0, "footer": -9.0, "aside": -8.0, "header": -7.0, "form": -8.0, "good name": 1.5, "bad name": -9.0,
-    "hidden": -7.0, "object": -2.0, "drawing": -9.0,
+    "hidden": -7.0, "object": -2.0, "drawing": -9.0, "legal": -9.0,
 }
 GOOD_NAMES = frozenset("article content entry main post story body text".split())
 BAD_NAMES = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer form"
     " gdpr header login masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo promoted related reply"
-    " respond search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split()
+    " respond search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget"
+    " discussion reactions replies responses thread threads".split()
 )
+#: names that say nothing where most of the page's text stands: a whole page in one form, a story in a box named promo
+DOUBTFUL = frozenset("banner form header masthead modal notice popup promo promoted search share sharing social sponsored tags widget".split())
+#: share of the text (that of plain boilerplate left out) from which a doubtful container is none
+MOST = 0.5
+_LEGAL = re.compile(r"(?:©|\(c\)|\bcopyright\b)\s*(?:©|\(c\))?\s*\d{4}|\ball rights reserved\b", re.IGNORECASE)
 ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "aside", "search": "form", "form": "form", "main": "article", "article": "article", "dialog": "aside", "alert": "aside"}
 KINDS = {"nav": "nav", "menu": "nav", "footer": "footer", "aside": "aside", "header": "header", "form": "form", "fieldset": "form", "button": "form", "label": "form", "dialog": "aside", "article": "article", "main": "article"}
 KINDS |= {"select": "form", "textarea": "form", "noscript": "hidden", "template": "hidden", "canvas": "hidden", "object": "object", "svg": "drawing"}
@@ -76,6 +82,17 @@ class Element:
     tag: str
     depth: int
     parent: Element | None
+    #: its own signs, without those of its ancestors
+    kinds: frozenset = frozenset()
+    good: bool = False
+    bad: bool = False
+    doubtful: bool = False
+
+
+@dataclass(frozen=True)
+class Signs:
+    """What all containers of a block say together."""
+
     kinds: frozenset = frozenset()
     good: bool = False
     bad: bool = False
@@ -90,11 +107,9 @@ class Block:
 
 
 def _element(tag: str, attrs: str, parent: Element) -> Element:
-    kinds = set(parent.kinds)
-    good, bad = parent.good, parent.bad
+    kinds: set[str] = set()
+    good = bad = doubtful = False
     kind = KINDS.get(tag)
-    if kind == "header" and "article" in kinds:
-        kind = None  # heads the article itself
     if kind:
         kinds.add(kind)
     for name, a, b, c in _ATTR.findall(attrs) if attrs else ():
@@ -103,14 +118,58 @@ def _element(tag: str, attrs: str, parent: Element) -> Element:
             words = set(_NAME.findall(value))
             good = good or (tag not in ("body", "html") and bool(words & GOOD_NAMES))
             # a body or article named after its template is no notice
-            bad = bad or (tag not in ("body", "html", "article", "main") and bool(words & BAD_NAMES))
+            if tag not in ("body", "html", "article", "main"):
+                bad = bad or bool(words & (BAD_NAMES - DOUBTFUL))
+                doubtful = doubtful or bool(words & DOUBTFUL)
         elif name == "role" and value in ROLES:
             kinds.add(ROLES[value])
         elif tag in ("body", "html"):
             continue  # hidden until a script has run
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
             kinds.add("hidden")
-    return Element(tag, parent.depth + 1, parent, frozenset(kinds), good, bad)
+    return Element(tag, parent.depth + 1, parent, frozenset(kinds), good, bad, doubtful)
+
+
+def _signs(blocks: list[Block]) -> list[Signs]:
+    """Signs of each block: those of its containers, doubtful ones only where they hold less than most of the text."""
+    plain: dict[int, bool] = {0: False}
+    size: dict[int, int] = {}
+    total = 0
+
+    def boilerplate(e: Element | None) -> bool:
+        if e is None:
+            return False
+        if id(e) not in plain:
+            plain[id(e)] = e.bad or bool(e.kinds & {"nav", "footer", "aside", "drawing"}) or boilerplate(e.parent)
+        return plain[id(e)]
+
+    for b in blocks:
+        if boilerplate(b.at):
+            continue
+        chars = len(b.text) - b.linked
+        total += chars
+        e: Element | None = b.at
+        while e is not None:
+            if e.doubtful or "form" in e.kinds:
+                size[id(e)] = size.get(id(e), 0) + chars
+            e = e.parent
+    known: dict[int, Signs] = {}
+
+    def of(e: Element | None) -> Signs:
+        if e is None:
+            return Signs()
+        if id(e) not in known:
+            above = of(e.parent)
+            most = size.get(id(e), 0) >= MOST * total and total > 0
+            kinds = e.kinds
+            if "header" in kinds and "article" in above.kinds | kinds - {"header"}:
+                kinds = kinds - {"header"}  # heads the article itself
+            if most:
+                kinds = kinds - {"form"}
+            known[id(e)] = Signs(above.kinds | kinds, above.good or e.good, above.bad or e.bad or (e.doubtful and not most))
+        return known[id(e)]
+
+    return [of(b.at) for b in blocks]
 
 
 def read_blocks(page: str) -> list[Block]:
@@ -156,8 +215,8 @@ def read_blocks(page: str) -> list[Block]:
             last_end[tag] = max((m.start() for m in re.finditer(rf"</{tag}(?=[\s/>])", page, re.IGNORECASE)), default=-1)
         return last_end[tag] >= place
 
-    last = 0
-    while m := _TOKEN.search(page, last):
+    last, end = 0, page.rfind(">") + 1  # what opens a tag behind the last ">" is text
+    while m := _TOKEN.search(page, last, end):
         if m.start() > last:
             piece = page[last : m.start()]
             pieces.append(piece)
@@ -166,6 +225,8 @@ def read_blocks(page: str) -> list[Block]:
         last = m.end()
         tag = m["tag"]
         if tag is None:
+            if last == end and page.startswith("<!--", m.start()) and not m[0].endswith("-->"):
+                last = len(page)  # an open comment
             continue
         tag = tag.lower()
         if held and at is held[-1][0] and tag in _ENDS_INSET.get(at.tag, ()):
@@ -223,13 +284,14 @@ def read_blocks(page: str) -> list[Block]:
     return [b for b in out if b is not None]
 
 
-def log_odds(b: Block) -> float:
+def log_odds(b: Block, signs: Signs) -> float:
     """Linear classifier of one block."""
     w = WEIGHTS
-    s = w["bias"] + sum(w[k] for k in b.at.kinds)
-    s += w["good name"] * b.at.good + w["bad name"] * b.at.bad
+    s = w["bias"] + sum(w[k] for k in signs.kinds)
+    s += w["good name"] * signs.good + w["bad name"] * signs.bad
     s += w["paragraph"] * (b.at.tag in ("p", "pre", "blockquote")) + w["heading"] * (b.at.tag[:1] == "h" and b.at.tag[1:].isdigit())
     s += w["words"] * min(8.0, math.log2(1 + b.text.count(" "))) + w["sentence"] * (b.text[-1] in ".!?…\"”»")
+    s += w["legal"] * (len(b.text) < 200 and bool(_LEGAL.search(b.text)))
     return s + w["links"] * b.linked / len(b.text)
 
 
@@ -327,8 +389,8 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     source, sink = [], []
-    for b in blocks:
-        b.score = log_odds(b)
+    for b, signs in zip(blocks, _signs(blocks), strict=True):
+        b.score = log_odds(b, signs)
         # negative log-likelihood of the label that the cut would give it
         source.append(math.log1p(math.exp(min(b.score, 30.0))))
         sink.append(math.log1p(math.exp(min(-b.score, 30.0))))

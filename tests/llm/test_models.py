@@ -196,3 +196,35 @@ def test_toxicity_query(spark):
     clean = [rows[r.doc_id].toxic for r in labels if r.toxic == 0]
     bad = [rows[r.doc_id].toxic for r in labels if r.toxic == 1]
     assert np.mean(clean) < 0.01 and np.mean(bad) > 0.5
+
+
+ARTICLE = "<h1>A storm over the harbor</h1>" + "".join(
+    f"<p>The {w} wind came in from the sea and the boats stayed in the harbor for the whole of the long day, said the {w} pilot.</p>" for w in ("first", "second", "third", "last"))
+
+
+@pytest.mark.parametrize("page", [
+    '<body><form id="aspnetForm" action="/x"><div class="nav"><a href="/">Home</a></div><div>{}</div><div class="footer">Contact us</div></form></body>',
+    '<body><div class="menu"><a href="/">Home</a></div><section class="share-your-story">{}</section></body>',
+    '<body><article><div class="promo-body">{}</div></article><div class="sidebar">More for you today</div></body>',
+    '<body><div class="tags-article post">{}</div><div class="footer">Imprint</div></body>',
+])
+def test_one_doubtful_container_loses_no_article(page):
+    text = mincut.main_text(page.format(ARTICLE))
+    assert text.startswith("A storm over the harbor") and text.count("pilot") == 4
+    assert not any(w in text for w in ("Home", "Contact", "More for you", "Imprint"))
+
+
+def test_plain_comments_and_legal_lines_go():
+    page = f'<body><article>{ARTICLE}</article><ol id="thread"><li>I was there and saw it all.</li><li>So did I, what a day.</li></ol><p>Copyright 2020 The Paper. All rights reserved.</p></body>'
+    text = mincut.main_text(page)
+    assert text.count("pilot") == 4 and "I was there" not in text and "rights" not in text
+
+
+@pytest.mark.parametrize("junk", ["<b ", "<! ", "<b ' ", '<b "x ', "<!-- ", "< ", "</"])
+def test_broken_markup_of_a_megabyte_is_read_in_time(junk):
+    import time
+
+    start = time.time()
+    mincut.main_text(f"<p>{ARTICLE}</p>" + junk * (1_000_000 // len(junk)))
+    mincut.main_text(junk * (300_000 // len(junk)) + ">")
+    assert time.time() - start < 30
