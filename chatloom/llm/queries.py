@@ -65,8 +65,8 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(k))::BIGINT AS n_removed
 """
 
 
-#: categories of the chain, in its order, by conditions on ``labels``
-TOXICITY = {"toxic": "toxic = 1", "toxic_degraded": "toxic = 1 AND quality = 0"}
+#: categories of the chain, in its order, by conditions on ``labels``: the narrow one feeds the one that decides
+TOXICITY = {"toxic_degraded": "toxic = 1 AND quality = 0", "toxic": "toxic = 1"}
 
 
 @query

@@ -86,6 +86,16 @@ def random_looking(s: bytes) -> bool:
     return not any(a.fullmatch(s) for a in ALLOWED) and peak_entropy(s) >= LIMITS[kind_of_string(s)]
 
 
+def code_points(b: bytes, places: list[int]) -> dict[int, int]:
+    """Code points before each byte position (ascending), counted once along the text."""
+    out, at, count = {}, 0, 0
+    for place in places:
+        count += len(b[at:place].decode("utf-8", "replace"))
+        at = place
+        out[place] = count
+    return out
+
+
 def find_secrets(b: bytes) -> list[tuple[str, int, int]]:
     """Spans of one UTF-8 text by start, then kind as listed."""
     spans = []
@@ -97,7 +107,8 @@ def find_secrets(b: bytes) -> list[tuple[str, int, int]]:
     spans += [("hex", *m.span()) for m in HEX.finditer(b)]
     spans += [("entropy", *m.span()) for m in CANDIDATE.finditer(b) if random_looking(m[0])]
     if spans and not b.isascii():
-        spans = [(k, len(b[:s].decode("utf-8", "replace")), len(b[:e].decode("utf-8", "replace"))) for k, s, e in spans]
+        at = code_points(b, sorted({x for _, *ends in spans for x in ends}))
+        spans = [(k, at[s], at[e]) for k, s, e in spans]
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
