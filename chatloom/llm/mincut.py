@@ -291,7 +291,8 @@ def log_odds(b: Block, signs: Signs) -> float:
     s += w["good name"] * signs.good + w["bad name"] * signs.bad
     s += w["paragraph"] * (b.at.tag in ("p", "pre", "blockquote")) + w["heading"] * (b.at.tag[:1] == "h" and b.at.tag[1:].isdigit())
     s += w["words"] * min(8.0, math.log2(1 + b.text.count(" "))) + w["sentence"] * (b.text[-1] in ".!?…\"”»")
-    s += w["legal"] * (len(b.text) < 200 and bool(_LEGAL.search(b.text)))
+    # a legal line that the article itself holds is part of it
+    s += w["legal"] * ("article" not in signs.kinds and len(b.text) < 200 and bool(_LEGAL.search(b.text)))
     return s + w["links"] * b.linked / len(b.text)
 
 

@@ -218,6 +218,8 @@ def test_plain_comments_and_legal_lines_go():
     page = f'<body><article>{ARTICLE}</article><ol id="thread"><li>I was there and saw it all.</li><li>So did I, what a day.</li></ol><p>Copyright 2020 The Paper. All rights reserved.</p></body>'
     text = mincut.main_text(page)
     assert text.count("pilot") == 4 and "I was there" not in text and "rights" not in text
+    inside = f"<body><article>{ARTICLE}<p>All rights reserved.</p></article><footer>Copyright 2020</footer></body>"
+    assert mincut.main_text(inside).endswith("pilot.\nAll rights reserved.")
 
 
 @pytest.mark.parametrize("junk", ["<b ", "<! ", "<b ' ", '<b "x ', "<!-- ", "< ", "</"])
