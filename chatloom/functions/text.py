@@ -13,7 +13,9 @@ from pyspark.sql import Column, functions as F
 from . import fixed
 
 # characters a browser counts as white space, beyond the ASCII ones
-_SPACE = r"[\s   -     　﻿]+"
+_BLANKS = r"\s   -     　﻿"
+# a single plain space is left as it is, so most blanks of a text match nothing; printable ASCII begins no other run
+_SPACE = f"(?: [{_BLANKS}]+|[[^ -~]&&[{_BLANKS}]][{_BLANKS}]*)"
 _WORD = r"[\p{L}\p{N}]+"
 _RAW_TOKEN = r"[\p{L}\p{N}][\p{L}\p{N}'-]*"
 _CJK_RUN = f"[{fixed.CJK_CLASS}]+"
@@ -225,14 +227,18 @@ def clip_tokens(value, limit) -> Column:
     """Longest prefix whose estimate, with the ellipsis, is within ``limit``."""
     value = F.coalesce(as_col(value), F.lit(""))
     limit = limit if isinstance(limit, Column) else F.lit(limit)
-    # a prefix longer than 4 x limit can never fit, so only that much is tried
-    window = F.least(F.length(value), (limit * 4).cast("int"))
-    best = F.array_max(
-        F.filter(
-            F.sequence(F.lit(0), F.greatest(window, F.lit(0))),
-            lambda n: estimate_tokens(F.concat(value.substr(F.lit(1), n), F.lit("…"))) <= limit,
-        )
-    )
+    # a prefix longer than 4 x limit can never fit; the estimate grows with the prefix, so halving finds the longest
+    window = F.greatest(F.lit(0), F.least(F.length(value), (limit * 4).cast("int")))
+
+    def halve(acc: Column, _: Column) -> Column:
+        low, high = acc["low"], acc["high"]
+        mid = F.floor((low + high + 1) / 2).cast("int")
+        fits = estimate_tokens(F.concat(value.substr(F.lit(1), mid), F.lit("…"))) <= limit
+        return F.when(low >= high, acc).when(fits, F.struct(mid.alias("low"), high.alias("high"))).otherwise(
+            F.struct(low.alias("low"), (mid - 1).alias("high")))
+
+    best = F.aggregate(
+        F.sequence(F.lit(1), F.lit(32)), F.struct(F.lit(0).alias("low"), window.alias("high")), halve, lambda acc: acc["low"])
     return (
         F.when(estimate_tokens(value) <= limit, value)
         .when(limit <= 1, F.lit("…"))
