@@ -673,14 +673,18 @@ PROFILE_SIGNALS = (
 FLEETING = r"(?i)\b(?:currently|right now|today|tonight|this morning|is wearing|wears|standing|sitting|walking|for now|momentarily)\b"
 
 
-def profile_detail_gate(details: DataFrame) -> DataFrame:
+def profile_detail_gate(details: DataFrame, longest: int | None = None) -> DataFrame:
     """Durable, atomic, certain third-person details, routed to the field they signal.
 
+    ``longest`` leaves out details of more characters.
+
     ``details(chat_key, id, field, detail, seq)``.
     """
     d = details.withColumn("detail", X.normalize_text("detail"))
     speaking = F.col("detail").rlike(X.FIRST_PERSON) | F.col("detail").rlike(X.SECOND_PERSON)
-    ok = (F.col("detail") != "") & ~F.col("detail").rlike(FLEETING) & ~F.col("detail").rlike(X.HEDGES) & ~speaking & (F.size(F.split("detail", r"[.;]\s+")) <= 1) & (F.length("detail") <= 180)
+    ok = (F.col("detail") != "") & ~F.col("detail").rlike(FLEETING) & ~F.col("detail").rlike(X.HEDGES) & ~speaking & (F.size(F.split("detail", r"[.;]\s+")) <= 1)
+    if longest is not None:
+        ok = ok & (F.length("detail") <= longest)
     own = reduce(lambda a, p: a.when(F.col("field") == p[0], F.col("detail").rlike(p[1])), PROFILE_SIGNALS[1:], F.when(F.col("field") == PROFILE_SIGNALS[0][0], F.col("detail").rlike(PROFILE_SIGNALS[0][1])))
     route = reduce(lambda a, p: a.when(F.col("detail").rlike(p[1]), p[0]), PROFILE_SIGNALS[1:], F.when(F.col("detail").rlike(PROFILE_SIGNALS[0][1]), PROFILE_SIGNALS[0][0]))
     return d.filter(ok).withColumn("field", F.when(own, F.col("field")).otherwise(F.coalesce(route, F.col("field"))))
@@ -730,8 +734,11 @@ def normalize_fact_shapes(facts: DataFrame) -> DataFrame:
     })
 
 
-def normalize_relationship_text(relationships: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Repeated clauses once, endpoints named, a role clause kept through sparse updates."""
+def normalize_relationship_text(relationships: DataFrame, stored: DataFrame | None = None, longest: int | None = None) -> DataFrame:
+    """Repeated clauses once, endpoints named, a role clause kept through sparse updates.
+
+    ``longest`` clips texts that a kept clause makes longer.
+    """
     cl = X.clauses("dynamic")
     folded = F.transform(cl, lambda c: F.regexp_replace(X.fold_key(c), r"[.;!?,]+$", ""))
     once = F.filter(cl, lambda c, i: ~F.array_contains(F.slice(folded, 1, i), F.regexp_replace(X.fold_key(c), r"[.;!?,]+$", "")))
@@ -749,8 +756,9 @@ def normalize_relationship_text(relationships: DataFrame, stored: DataFrame | No
     j = r.withColumn("pk", pair_key()).join(s, ["chat_key", "pk"], "left")
     clause = F.filter(X.clauses("old"), lambda c: c.rlike(role) & X.names_in(c, a) & X.names_in(c, b))[0]
     keep = F.col("old").isNotNull() & (F.col("dynamic") != "") & ~F.col("dynamic").rlike(role) & clause.isNotNull() & ~X.fold_key("dynamic").contains(X.fold_key(clause))
+    joined = F.concat_ws("; ", F.regexp_replace(clause, r"[;,.\s]+$", ""), F.col("dynamic"))
     merged = F.when(F.col("dynamic") == "", F.coalesce("old", F.lit(""))).when(
-        F.coalesce(keep, F.lit(False)), X.clip(F.concat_ws("; ", F.regexp_replace(clause, r"[;,.\s]+$", ""), F.col("dynamic")), 1600)).otherwise(F.col("dynamic"))
+        F.coalesce(keep, F.lit(False)), joined if longest is None else X.clip(joined, longest)).otherwise(F.col("dynamic"))
     return j.withColumn("dynamic", merged).drop("pk", "old")
 
 

@@ -93,14 +93,14 @@ def merge_records(
     return out.select(*cols, *picked)
 
 
-def union_sources(records: DataFrame, keys: list[str], keep: int = 20, order: str = "seq") -> DataFrame:
-    """Distinct source ranges per identity, the last ``keep`` first-seen ones.
+def union_sources(records: DataFrame, keys: list[str], keep: int | None = None, order: str = "seq") -> DataFrame:
+    """Distinct source ranges per identity, all or the last ``keep`` first-seen ones.
 
-    Distinct and top-k run before any list is built, so a hot identity never
-    collects more than ``keep`` entries.
+    Distinct (and top-k, with ``keep``) run before any list is built, so an identity
+    collects one entry for each of its ranges at most.
     """
     distinct = records.groupBy(*keys, "source_chat", "range_from", "range_to").agg(F.min(order).alias("seen"))
-    newest = top_k(
+    newest = distinct if keep is None else top_k(
         distinct, keys,
         [F.col("seen").desc(), F.col("range_to").desc(), F.col("range_from").desc(), F.col("source_chat").desc()],
         keep,
@@ -310,14 +310,14 @@ def nearest_l1_for_event(events: DataFrame, l1: DataFrame, threshold: int = 12)
     return events.select("chat_key", F.col("id").alias("event_id")).join(best, ["chat_key", "event_id"], "left")
 
 
-def event_chronology(events: DataFrame, nearest: DataFrame, l1: DataFrame, keep: int = 8) -> DataFrame:
+def event_chronology(events: DataFrame, nearest: DataFrame, l1: DataFrame, keep: int | None = None) -> DataFrame:
     """Level-1 rows that added events change or make (C36), with their ``action``.
 
     ``events(chat_key, id, title, summary, consequences, story_time, location,
     participants, importance)``, ``nearest(chat_key, event_id, l1_id)`` of
     ``nearest_l1_for_event``. The nearest row takes the event's line as a beat and
-    its consequence into the closing, unless it tells them already, and keeps the
-    last ``keep`` beats; an event without one makes a row of its own.
+    its consequence into the closing, unless it tells them already; ``keep``
+    bounds the beats to the last ones. An event without one makes a row of its own.
     """
     blank = lambda c: X.normalize_text(F.coalesce(c, F.lit("")))
     summary, consequence = blank("summary"), blank("consequences")
@@ -325,15 +325,16 @@ def event_chronology(events: DataFrame, nearest: DataFrame, l1: DataFrame, keep:
     told = told.join(nearest.select("chat_key", F.col("event_id").alias("id"), "l1_id"), ["chat_key", "id"], "left")
 
     near = told.filter("l1_id IS NOT NULL").select("chat_key", F.col("l1_id").alias("id"), F.col("id").alias("event"), "__line", "__outcome")
-    # no more than the last events of a row can leave a trace
-    last = top_k(near, ["chat_key", "id"], [F.col("event").desc()], keep).groupBy("chat_key", "id").agg(
+    if keep is not None:  # no more than the last events of a row can leave a trace then
+        near = top_k(near, ["chat_key", "id"], [F.col("event").desc()], keep)
+    last = near.groupBy("chat_key", "id").agg(
         F.array_sort(F.collect_list(F.struct("event", "__line", "__outcome"))).alias("__told"))
     has = lambda text, part: F.contains(X.fold_key(text), X.fold_key(part))
     lines = F.filter(F.array_distinct(F.col("__told.__line")), lambda v: (v != "") & ~F.exists("beats", lambda b: has(b, v)))
     outcomes = F.filter(F.array_distinct(F.col("__told.__outcome")), lambda v: (v != "") & ~has(blank("closing"), v))
     beats = F.concat("beats", lines)
     changed = l1.join(last, ["chat_key", "id"]).withColumns({
-        "beats": F.slice(beats, F.greatest(F.lit(1), F.size(beats) - (keep - 1)), keep),
+        "beats": beats if keep is None else F.slice(beats, F.greatest(F.lit(1), F.size(beats) - (keep - 1)), keep),
         "closing": F.trim(F.concat_ws(" ", blank("closing"), F.array_join(outcomes, " "))),
     })
     shape = ["chat_key", "id", "title", "story_time", "location", "participants", "opening", "beats", "emotional_arc", "closing", "importance"]

@@ -191,10 +191,11 @@ def stored_search(df: DataFrame, needle: str, exclude=("chat_key",)) -> DataFram
     return df.filter(body.contains(needle.lower()))
 
 
-def dedupe_participants(*lists, most: int = 30) -> Column:
-    """Ordered distinct union of name lists, at most ``most``."""
+def dedupe_participants(*lists, most: int | None = None) -> Column:
+    """Ordered distinct union of name lists, the first ``most`` if wanted."""
     cleaned = [F.transform(F.coalesce(as_col(v), F.array()), X.normalize_text) for v in lists]
-    return F.slice(F.array_distinct(X.nonempty(F.concat(*cleaned))), 1, most)
+    union = F.array_distinct(X.nonempty(F.concat(*cleaned)))
+    return union if most is None else F.slice(union, 1, most)
 
 
 def distinct_rows(df: DataFrame, keys: list[str], row: str, order: Column) -> DataFrame:

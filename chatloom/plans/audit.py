@@ -114,7 +114,7 @@ def _(spark, sf):
     f = s.filter(F.col("k") % 3 == 0).select("chat_key", "range_from", "range_to", "id", F.col("a").alias("subject"), _cat("knows item ", _n("event_id")).alias("value"),
                                              F.lit("knowledge").alias("category"), (1 + F.col("event_id") % 5).alias("importance"))
     l = B.l1(spark, sf).select("chat_key", "range_from", "range_to", "id", F.array(F.lit("start")).alias("beats"), F.lit("quiet").alias("text"))
-    r = A.l1_epistemic_beats(l, f)
+    r = A.l1_epistemic_beats(l, f, most=2, keep=10)
     return r.select("id", F.size("beats").alias("n_beats"), F.array_join(F.slice("beats", 2, 10), "|").alias("extra"))
 
 

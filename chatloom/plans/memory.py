@@ -794,7 +794,7 @@ def _(spark, sf):
     full = e.select("chat_key", "id", F.lit("t").alias("title"), tag("turn ", F.col("event_id")).alias("summary"), F.when(k % 2 == 0, tag("cost ", F.col("event_id"))).alias("consequences"),
                     F.lit("").alias("story_time"), F.lit("").alias("location"), F.array(tag("p", k % 6)).alias("participants"), F.lit(5).alias("importance"))
     nearest = M.nearest_l1_for_event(e.select("chat_key", "id", *typed(6, 11, 2)), l.select("chat_key", "id", *typed(5, 7, 3)))
-    return M.event_chronology(full, nearest, rows).select("action", "id", F.array_join("beats", "|").alias("beats"), "closing")
+    return M.event_chronology(full, nearest, rows, keep=8).select("action", "id", F.array_join("beats", "|").alias("beats"), "closing")
 
 
 @query("hierarchy_exclusion", sql("""
