@@ -401,7 +401,7 @@ def is_vocative(segment, form) -> Column:
     return F.regexp_like(plain, lead) | F.regexp_like(plain, tail)
 
 
-# word lists of our own; pass another pattern to change the rule pack
+# closed word lists; pass another pattern to change the rule pack
 FIRST_PERSON = r"(?i)(?<![\p{L}\p{N}])(?:i|me|my|mine|myself|we|us|our|ours|ourselves)(?![\p{L}\p{N}])"
 SECOND_PERSON = r"(?i)(?<![\p{L}\p{N}])(?:you|your|yours|yourself|yourselves)(?![\p{L}\p{N}])"
 HEDGES = (
