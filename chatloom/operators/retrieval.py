@@ -560,9 +560,22 @@ def fuse(candidates: DataFrame, boost: Column | None = None, keys: tuple[str, ..
     return j.withColumn("score", total * fixed.RRF_SCALE + F.col("local_score") * 0.01)
 
 
+def paired_identities(focus: DataFrame, sides: DataFrame) -> DataFrame:
+    """``(query_id, chat_key, doc)`` of records both of whose names the query calls.
+
+    ``focus(query_id, chat_key, term)``, ``sides(chat_key, doc, sides)``: the two ends of
+    a relationship, or speaker and addressee. A side is called by any term of its name.
+    """
+    ends = sides.select("chat_key", "doc", F.size("sides").alias("n"), F.posexplode("sides").alias("side", "name"))
+    terms = ends.select("chat_key", "doc", "n", "side", F.explode(X.term_set(X.normalize_text("name"))).alias("term"))
+    met = focus.select("query_id", "chat_key", "term").distinct().join(terms, ["chat_key", "term"])
+    met = met.select("query_id", "chat_key", "doc", "n", "side").distinct().groupBy("query_id", "chat_key", "doc", "n").agg(F.count(F.lit(1)).alias("m"))
+    return met.filter("n >= 2 and m = n").select("query_id", "chat_key", "doc")
+
+
 def candidates(
     queries: DataFrame, index: Index, records: DataFrame, semantic: DataFrame | None = None, as_of=None,
-    focus: DataFrame | None = None, passages: Index | None = None,
+    focus: DataFrame | None = None, passages: Index | None = None, sides: DataFrame | None = None,
 ) -> DataFrame:
     """Everything ``fuse`` needs for every matched or semantically ranked record.
 
@@ -570,7 +583,8 @@ def candidates(
     ``records(chat_key, doc, category[, importance, updated_at])``;
     ``semantic(query_id, chat_key, doc, semantic_rank)``; ``focus`` are identity terms
     (F14) and ``passages`` the passage index of the level-1 records, which then qualify
-    by a passage alone.
+    by a passage alone. ``sides(chat_key, doc, sides)`` are the names of relationships and
+    address forms, which qualify where a query calls both.
     """
     ids = ["query_id", "chat_key", "doc"]
     states = records.filter(F.col("category") == "states")
@@ -591,6 +605,10 @@ def candidates(
         direct_ok, expanded_ok = F.when(l1, flag("__direct")).otherwise(direct_ok), F.when(l1, flag("__expanded")).otherwise(expanded_ok)
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     central = (F.col("category") == "entities") & flag("identity_hit")
+    if sides is not None:
+        named = direct_terms(queries).select("query_id", "chat_key", "term") if focus is None else focus
+        j = j.join(paired_identities(named, sides).withColumn("paired", F.lit(True)), ids, "left")
+        central = central | flag("paired")
     importance = X.clamp_importance("importance") if "importance" in records.columns else F.lit(fixed.DEFAULT_IMPORTANCE)
     fresh = X.recency("updated_at", as_of) if as_of is not None and "updated_at" in records.columns else F.lit(0.0)
     return j.select(

@@ -101,3 +101,16 @@ def test_levels_hide_what_they_are_made_of(small):
     assert ("boundaries", 40, "match") in free and not any(i == 41 for _, i, _ in free)
     latest = run(forced={"l1": 1})
     assert ("l1", 11, "latest") in latest and not any(s == "l1" and i == 11 and w == "match" for s, i, w in latest)
+
+
+def test_relationships_by_both_names(spark, small):
+    _, _, queries, index = small
+    focus = spark.createDataFrame([(1, "c", "mara"), (1, "c", "stone"), (1, "c", "tobin"), (2, "c", "mara")], "query_id long, chat_key string, term string")
+    sides = spark.createDataFrame(
+        [("c", 7, ["Mara Stone", "Tobin"]), ("c", 8, ["Mara", "Ilse"]), ("c", 9, ["Mara"]), ("d", 7, ["Mara", "Tobin"]), ("c", 6, None)],
+        "chat_key string, doc long, sides array<string>")
+    assert {(r.query_id, r.chat_key, r.doc) for r in Q.paired_identities(focus, sides).collect()} == {(1, "c", 7)}
+    rows = Q.candidates(queries.withColumn("direct_text", F.lit("Mara and captain lantern")), index,
+                        spark.createDataFrame([("c", 50, "relationships"), ("c", 20, "facts")], "chat_key string, doc long, category string"),
+                        sides=spark.createDataFrame([("c", 50, ["Mara", "the captain"])], "chat_key string, doc long, sides array<string>"))
+    assert {r.doc: r.identity_central for r in rows.collect()} == {50: True, 20: False}
