@@ -64,13 +64,67 @@ class L1Groups(StatefulProcessor):
         pass
 
 
+class _Groups:
+    """Versions and positions by group number, over a map state with ``BLOCK`` groups in a value.
+
+    Blocks are read when they are asked for, and written when ``HELD`` others came after
+    them or at ``flush``: a call to the state store serves a block, not a group.
+    """
+
+    BLOCK = 256
+    HELD = 32
+    SCHEMA = "no array<long>, version array<long>, stands array<boolean>, idx array<long>, is_user array<boolean>"
+
+    def __init__(self, state, size: int):
+        self.state, self.size = state, size
+        self.held: dict[int, dict[int, list]] = {}  # block -> group number -> [version, rows or None]
+        self.changed: set[int] = set()
+
+    def _block(self, b: int) -> dict[int, list]:
+        block = self.held.pop(b, None)
+        if block is None:
+            if len(self.held) >= self.HELD:
+                self._write(next(iter(self.held)))
+            block = {}
+            if self.state.containsKey((b,)):
+                numbers, versions, stands, idx, users = self.state.getValue((b,))
+                rows = iter(zip((int(i) for i in idx), (bool(u) for u in users), strict=True))
+                block = {int(k): [int(v), [next(rows) for _ in range(self.size)] if s else None] for k, v, s in zip(numbers, versions, stands, strict=True)}
+        self.held[b] = block
+        return block
+
+    def _write(self, b: int) -> None:
+        block = self.held.pop(b)
+        if b in self.changed:
+            self.changed.discard(b)
+            rows = [r for _, group in block.values() for r in group or ()]
+            self.state.updateValue((b,), (list(block), [v for v, _ in block.values()], [g is not None for _, g in block.values()],
+                                          [i for i, _ in rows], [u for _, u in rows]))
+
+    def rows(self, k: int) -> list[tuple[int, bool]]:
+        return self._block(k // self.BLOCK)[k][1]
+
+    def version(self, k: int) -> int:
+        known = self._block(k // self.BLOCK).get(k)
+        return known[0] if known else -1
+
+    def put(self, k: int, version: int, rows: list[tuple[int, bool]] | None) -> None:
+        self._block(k // self.BLOCK)[k] = [version, rows]
+        self.changed.add(k // self.BLOCK)
+
+    def flush(self) -> None:
+        for b in list(self.held):
+            self._write(b)
+
+
 class RevisedGroups(StatefulProcessor):
     """Level-1 groups that are withdrawn and sent again when a message inside them changes.
 
-    State: each closed group with its positions and version, the open positions, and
+    State: each closed group with its positions and version, many groups in one value, the open positions, and
     counts. An edit inside a closed group retracts it and inserts its next version. A
     message that goes away, or comes in late, shifts all groups behind it: they are read
-    and written one after the other, with fewer than one group of positions in hand, and
+    and written one after the other, with fewer than one group of positions in hand and a
+    bounded number of blocks, and
     only those that come out different are retracted and inserted. Groups that the rest
     of the chat no longer makes stable go back to the open positions.
 
@@ -82,15 +136,13 @@ class RevisedGroups(StatefulProcessor):
         self.size, self.buffer = size, buffer
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.closed = handle.getMapState("closed", "group_no long", "idx array<long>, is_user array<boolean>")
         #: versions stay when a group is withdrawn, so a number never comes twice with one version
-        self.versions = handle.getMapState("versions", "group_no long", "version long")
+        self.blocks = handle.getMapState("groups", "block long", _Groups.SCHEMA)
         self.open = handle.getListState("open", "idx long, is_user boolean")
         self.done = handle.getValueState("done", "groups long, rows long")
 
     def _group(self, k: int) -> list[tuple[int, bool]]:
-        idx, users = self.closed.getValue((k,))
-        return [(int(i), bool(u)) for i, u in zip(idx, users, strict=True)]
+        return self.known.rows(k)
 
     def _holder(self, idx: int, groups: int) -> int:
         """The last group that starts at or before ``idx``, the first one if none does."""
@@ -104,15 +156,19 @@ class RevisedGroups(StatefulProcessor):
         return low
 
     def _tell(self, op: str, k: int, rows: list[tuple[int, bool]]) -> None:
-        version = int(self.versions.getValue((k,))[0]) if self.versions.containsKey((k,)) else -1
+        version = self.known.version(k)
         if op == "insert":
             version += 1
-            self.versions.updateValue((k,), (version,))
-            self.closed.updateValue((k,), ([i for i, _ in rows], [u for _, u in rows]))
+            self.known.put(k, version, rows)
         self.out.append((op, k, version, rows[0][0], rows[-1][0]))
 
+    def _close(self, k: int) -> None:
+        """The group stands no longer, its version stays."""
+        self.known.put(k, self.known.version(k), None)
+
     def handleInputRows(self, key, rows, timerValues):
         self.out: list[tuple] = []
+        self.known = _Groups(self.blocks, self.size)
         groups, sent = (int(v) for v in self.done.get()) if self.done.exists() else (0, 0)
         part = pd.concat(list(rows)).sort_values(["idx", "seq"], kind="stable").drop_duplicates("idx", keep="last")
         live = ~part["is_system"].fillna(False).astype(bool) & (part["text"].fillna("").str.strip() != "") & (part["op"] != "delete")
@@ -127,10 +183,11 @@ class RevisedGroups(StatefulProcessor):
                     waiting[i] = user
                 continue
             k = self._holder(i, groups)
-            known = i in dict(self._group(k))
+            old = dict(self._group(k))
+            known = i in old
             if known and ok:
                 edited.add(k)
-            if known != ok or (known and dict(self._group(k))[i] != user):
+            if known != ok or (known and old[i] != user):
                 moved.setdefault(k, {})[i] = user if ok else None
         if moved:
             groups = self._shift(min(moved), groups, moved, edited, waiting)
@@ -138,9 +195,10 @@ class RevisedGroups(StatefulProcessor):
             for k in sorted(edited):
                 self._tell("retract", k, self._group(k))
                 self._tell("insert", k, self._group(k))
-        groups = self._settle(groups, waiting)
+        groups, left = self._settle(groups, waiting)
+        self.known.flush()
         self.done.update((groups, sent + len(self.out)))
-        self.open.put(sorted(waiting.items()))
+        self.open.put(left)
         yield _frame([(key[0], sent + n, *row) for n, row in enumerate(self.out)], [c.split()[0] for c in REVISION_SCHEMA.split(", ")])
 
     def _shift(self, first: int, groups: int, moved: dict, edited: set[int], waiting: dict[int, bool]) -> int:
@@ -154,13 +212,13 @@ class RevisedGroups(StatefulProcessor):
             old = self._group(k)
             now = dict(old) | moved.get(k, {})
             hand += sorted((i, u) for i, u in now.items() if u is not None)
-            self.closed.removeKey((k,))
+            self._close(k)
             new = []
             while len(hand) >= self.size and at + len(new) <= k:
                 new.append(hand[: self.size])
                 hand = hand[self.size :]
             if new and at == k and new[0] == old and k not in edited:
-                self.closed.updateValue((k,), ([i for i, _ in old], [u for _, u in old]))
+                self.known.put(k, self.known.version(k), old)
             else:
                 self._tell("retract", k, old)
                 for n, group in enumerate(new):
@@ -169,25 +227,23 @@ class RevisedGroups(StatefulProcessor):
         waiting |= dict(hand)
         return at
 
-    def _settle(self, groups: int, waiting: dict[int, bool]) -> int:
-        """Close what is stable, open what no longer is."""
+    def _settle(self, groups: int, waiting: dict[int, bool]) -> tuple[int, list[tuple[int, bool]]]:
+        """Close what is stable, open what no longer is. Returns how many groups stand and the open rows."""
+        rows, at = sorted(waiting.items()), 0
         while True:
-            rows = sorted(waiting.items())
-            held = 0 if not rows or rows[-1][1] else 1
-            stable = len(rows) - self.buffer - held
+            held = 0 if at == len(rows) or rows[-1][1] else 1
+            stable = len(rows) - at - self.buffer - held
             if stable < 0 and groups:
                 groups -= 1
                 last = self._group(groups)
                 self._tell("retract", groups, last)
-                self.closed.removeKey((groups,))
-                waiting |= dict(last)
+                self._close(groups)
+                rows, at = sorted(last + rows[at:]), 0
             elif stable >= self.size:
-                self._tell("insert", groups, rows[: self.size])
-                groups += 1
-                for i, _ in rows[: self.size]:
-                    del waiting[i]
+                self._tell("insert", groups, rows[at : at + self.size])
+                groups, at = groups + 1, at + self.size
             else:
-                return groups
+                return groups, rows[at:]
 
     def close(self) -> None:
         pass
