@@ -198,7 +198,8 @@ class RevisedGroups(StatefulProcessor):
         groups, left = self._settle(groups, waiting)
         self.known.flush()
         self.done.update((groups, sent + len(self.out)))
-        self.open.put(left)
+        # the store takes no empty list
+        self.open.put(left) if left else self.open.clear()
         yield _frame([(key[0], sent + n, *row) for n, row in enumerate(self.out)], [c.split()[0] for c in REVISION_SCHEMA.split(", ")])
 
     def _shift(self, first: int, groups: int, moved: dict, edited: set[int], waiting: dict[int, bool]) -> int:
@@ -258,32 +259,54 @@ class StateTimeline(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.live = handle.getMapState("live", "subject string, attribute string", "value string, scope string, range_to long, seq long")
+        #: identities with a live scene row, all of the newest range
+        self.scenes = handle.getListState("scenes", "subject string, attribute string")
         self.newest = handle.getValueState("newest", "range_to long, n long")
 
     def handleInputRows(self, key, rows, timerValues):
         batch = pd.concat(list(rows)).sort_values(["range_to", "seq"])
+        batch = batch[batch["range_to"].notna()]
         out, chat = [], key[0]
         newest, n = self.newest.get() if self.newest.exists() else (-1, 0)
-        for range_to, part in batch.groupby("range_to", sort=True):
+        scenes = dict.fromkeys(tuple(k) for k in self.scenes.get()) if self.scenes.exists() else {}
+        now, stored = {}, {}  # rows of the identities this batch meets: each is read and written once
+
+        def row(k):
+            if k not in now:
+                now[k] = stored[k] = tuple(self.live.getValue(k)) if self.live.containsKey(k) else None
+            return now[k]
+
+        columns = [batch[c].tolist() for c in ("subject", "attribute", "value", "scope", "operation", "range_to", "seq")]
+        for subject, attribute, value, scope, operation, range_to, seq in zip(*columns, strict=True):
             if range_to > newest:
-                ended = [(k, v) for k, v in self.live.iterator() if v[1] == "scene"]
-                for k, v in ended:
-                    self.live.removeKey(k)
+                for k in scenes:
+                    v = row(k)
+                    now[k] = None
                     out.append((chat, k[0], k[1], v[0], v[1], "end"))
+                scenes.clear()
                 newest = int(range_to)
-            for r in part.itertuples():
-                k = (r.subject.strip().lower(), r.attribute.strip().lower())
-                known = self.live.containsKey(k)
-                if known and self.live.getValue(k)[2] > r.range_to:
-                    continue  # a late row of an older range changes nothing
-                if r.operation == "clear":
-                    if known:
-                        v = self.live.getValue(k)
-                        self.live.removeKey(k)
-                        out.append((chat, k[0], k[1], v[0], v[1], "end"))
-                elif str(r.value or "").strip() and (r.scope == "ongoing" or r.range_to >= newest):
-                    self.live.updateValue(k, (r.value, r.scope, int(r.range_to), int(r.seq)))
-                    out.append((chat, k[0], k[1], r.value, r.scope, "set"))
+            k = (subject.strip().lower(), attribute.strip().lower())
+            v = row(k)
+            if v is not None and v[2] > range_to:
+                continue  # a late row of an older range changes nothing
+            if operation == "clear":
+                if v is not None:
+                    now[k] = None
+                    scenes.pop(k, None)
+                    out.append((chat, k[0], k[1], v[0], v[1], "end"))
+            elif str(value or "").strip() and (scope == "ongoing" or range_to >= newest):
+                now[k] = (value, scope, int(range_to), int(seq))
+                scenes.pop(k, None)
+                if scope == "scene":
+                    scenes[k] = None
+                out.append((chat, k[0], k[1], value, scope, "set"))
+        for k, v in now.items():
+            if v is None and stored[k] is not None:
+                self.live.removeKey(k)
+            elif v != stored[k]:
+                self.live.updateValue(k, v)
+        # the store takes no empty list
+        self.scenes.put(list(scenes)) if scenes else self.scenes.clear()
         self.newest.update((newest, n + len(out)))
         numbered = [(*row, n + i) for i, row in enumerate(out)]
         yield _frame(numbered, ["chat_key", "subject", "attribute", "value", "scope", "op", "n"])
