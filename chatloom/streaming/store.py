@@ -174,28 +174,45 @@ def sync_index(batch: DataFrame, path: str, chats: DataFrame | None = None) -> d
 
     ``batch(chat_key, key, hash, text)`` is all that is desired of the chats in
     ``chats(chat_key)``, those of the batch by default; stored rows of them that
-    are stale or no longer desired go. Replaying it finds nothing left to do.
+    are stale or no longer desired go. Replaying it finds nothing left to do. The
+    batch is read several times: write a costly one before. Texts are not shuffled,
+    rows compare by digests, and only buckets with a difference are written again.
     """
     spark = batch.sparkSession
-    placed = write_through(batch.withColumn("chat_bucket", chat_bucket(buckets=64)), "desired")
+    bucket = F.col("chat_bucket")
+    placed = batch.withColumn("chat_bucket", chat_bucket(buckets=64))
+
+    def put(rows: DataFrame) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chat_bucket").parquet(path)
+
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        stored = spark.read.schema(placed.schema).parquet(path)
-    else:
-        stored = spark.createDataFrame([], placed.schema)
-    mine = (chats if chats is not None else placed).select("chat_key").distinct()
-    touched = mine.select(chat_bucket(buckets=64).alias("chat_bucket")).distinct()
-    old = stored.join(touched, "chat_bucket", "left_semi")
-    desired = ["chat_key", "key", "hash"]
-    gone = old.join(mine, "chat_key", "left_semi").join(placed.select(*desired), desired, "left_anti")
-    new = placed.join(old.select(*desired), desired, "left_anti")
-    done = {"added": new.count(), "deleted": gone.count()}
-    if done["added"] or done["deleted"]:
-        kept = old.join(mine, "chat_key", "left_anti").unionByName(placed)
-        staged = write_through(kept, "index")
-        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chat_bucket").parquet(path)
-        # a write leaves alone the folders it has no rows for; there are 64 at most
-        for row in touched.join(staged.select("chat_bucket"), "chat_bucket", "left_anti").collect():
-            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/chat_bucket={row.chat_bucket}")
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        added = placed.count()
+        if added:
+            put(placed)
+        return {"added": added, "deleted": 0}
+    asked = chats if chats is not None else placed
+    mine = asked.select("chat_key").distinct()
+    # there are 64 buckets at most
+    touched = [r.chat_bucket for r in asked.select(chat_bucket(buckets=64).alias("chat_bucket")).distinct().collect()]
+    old = spark.read.schema(placed.schema).parquet(path).filter(bucket.isin(touched))
+    # json names its fields, so rows with nulls or odd characters stay apart
+    digest = F.unhex(F.md5(F.to_json(F.struct("chat_key", "key", "hash"))))
+    side = lambda df, new: df.select("chat_key", digest.alias("row"), F.lit(new).alias("new"), F.lit(1 - new).alias("old"))
+    rows = side(placed, 1).unionByName(side(old, 0)).groupBy("chat_key", "row").agg(F.sum("new").alias("new"), F.sum("old").alias("old"))
+    differ = rows.filter("new = 0 OR old = 0").groupBy("chat_key").agg(F.sum("new").alias("added"), F.sum("old").alias("deleted"))
+    differ = differ.join(mine, "chat_key", "left_semi").groupBy(chat_bucket(buckets=64).alias("chat_bucket"))
+    found = differ.agg(F.sum("added").alias("added"), F.sum("deleted").alias("deleted")).collect()
+    if found:
+        changed = [r.chat_bucket for r in found]
+        stored, content = old.filter(bucket.isin(changed)), placed.filter(bucket.isin(changed))
+        others = stored.select("chat_key").distinct().join(mine, "chat_key", "left_anti")
+        if not others.isEmpty():
+            content = stored.join(others, "chat_key", "left_semi").select(*placed.columns).unionByName(content)
+        filled = {r.chat_bucket for r in content.select("chat_bucket").distinct().collect()}
+        put(content)
+        # a write leaves alone the folders it has no rows for
+        for left in set(changed) - filled:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/chat_bucket={left}")
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    return done
+    return {"added": sum(r.added for r in found), "deleted": sum(r.deleted for r in found)}
