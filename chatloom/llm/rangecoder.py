@@ -8,7 +8,7 @@ weights of the orders are counts kept for each pair of confidences: they price t
 choice of the order that is right, and arithmetic coding spends those bits. An id that no order
 knows is written plainly.
 
-A block of ids is one lane of numpy arrays. All lanes of a group take the same
+A block of ids is one lane of numpy arrays, kept step by step. All lanes of a group take the same
 step at once, so the coder runs over thousands of blocks side by side while each
 of them stays independent.
 """
@@ -37,43 +37,56 @@ _ONE32 = _U(1 << 32)
 
 
 class _Model:
-    """Predictions and weights of all lanes."""
+    """Predictions and weights of all lanes; an entry is an id and, in its two low bits, the confidence."""
 
     def __init__(self, lanes: int, wide: bool):
-        kind = np.uint32 if wide else np.uint16
-        self.ids = [np.zeros(lanes * _TABLE, kind) for _ in range(2)]
-        self.trust = [np.zeros(lanes * _TABLE, np.uint8) for _ in range(2)]
-        self.count = np.ones(lanes * _TOP * _TOP * 4, np.int64)
+        self.table = [np.zeros(lanes * _TABLE, np.uint64 if wide else np.uint32) for _ in range(2)]
+        self.count = np.ones((lanes * _TOP * _TOP, 4), np.uint64)
+        self.flat = self.count.reshape(-1)
         self.lane = np.arange(lanes, dtype=np.int64)
         self.row = self.lane * _TABLE
 
     def look(self, n: int, one: np.ndarray, two: np.ndarray) -> None:
         """Predictions of the first ``n`` lanes after the ids ``two``, ``one``."""
-        mixed = (one * 40503 + (two * 30011 >> 3)) >> 2
-        self.at = (self.row[:n] + (mixed & (_TABLE - 1)), self.row[:n] + ((one * 40503 >> 5) & (_TABLE - 1)))
-        self.guess = [self.ids[k][self.at[k]] for k in (0, 1)]
-        self.conf = [self.trust[k][self.at[k]] for k in (0, 1)]
-        self.base = ((self.lane[:n] * _TOP + self.conf[0]) * _TOP + self.conf[1]) * 4
-        c = self.count[self.base], self.count[self.base + 1], self.count[self.base + 2]
-        self.edge = (c[0], c[0] + c[1], c[0] + c[1] + c[2])
-        self.total = self.edge[2] + self.count[self.base + 3]
-
-    def learn(self, order: np.ndarray, ids: np.ndarray) -> None:
+        first = one * 40503
+        mixed = (first + (two * 30011 >> 3)) >> 2
+        self.at = (self.row[:n] + (mixed & (_TABLE - 1)), self.row[:n] + ((first >> 5) & (_TABLE - 1)))
+        self.entry = [self.table[k].take(self.at[k]) for k in (0, 1)]
+        self.guess = [e >> 2 for e in self.entry]
+        self.conf = [e & 3 for e in self.entry]
+        self.base = self.lane[:n] * (_TOP * _TOP) + (self.conf[0] * _TOP + self.conf[1]).astype(np.int64)
+        self.size = self.count.take(self.base, axis=0)
+        # where each order starts, and the end of the last
+        self.edge = np.empty((n, 4), np.uint64)
+        self.edge[:, 0] = 0
+        for k in (1, 2, 3):
+            np.add(self.edge[:, k - 1], self.size[:, k - 1], out=self.edge[:, k])
+        self.total = self.edge[:, 3] + self.size[:, 3]
+
+    def hits(self, ids: np.ndarray) -> list[np.ndarray]:
+        return [(self.guess[k] == ids) & (self.conf[k] > 0) for k in (0, 1)]
+
+    def learn(self, order: np.ndarray, ids: np.ndarray, hits: list[np.ndarray]) -> None:
+        new = (ids << 2 | 1).astype(self.table[0].dtype)
         for k in (0, 1):
-            conf, guess = self.conf[k], self.guess[k]
-            hit = (guess == ids) & (conf > 0)
-            self.trust[k][self.at[k]] = np.where(hit, np.minimum(conf + 1, _TOP - 1), np.maximum(conf, 2) - 1)
-            self.ids[k][self.at[k]] = np.where(conf > 1, np.where(hit, ids, guess), ids)
-        self.count[self.base + order] += _STEP
+            conf, entry = self.conf[k], self.entry[k]
+            # a hit adds confidence, a miss takes some or, at the last, the place
+            self.table[k][self.at[k]] = np.where(hits[k], entry + (conf < _TOP - 1), np.where(conf > 1, entry - 1, new))
+        self.flat[self.base * 4 + order] += _U(_STEP)
         full = np.flatnonzero(self.total > _MOST)
-        for j in range(4) if len(full) else ():
-            at = self.base[full] + j
-            self.count[at] = (self.count[at] >> 1) + 1
+        if len(full):
+            at = self.base[full]
+            self.count[at] = (self.count[at] >> _U(1)) + _U(1)
+
+
+def _divide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a // b``, exact for a below 2**48: the error of a quotient is below 1 / b there."""
+    return (a.astype(np.float64) / b.astype(np.float64)).astype(np.uint64)
 
 
 def _history(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted ids of each lane and the slots [low, high) of the id in each slot."""
-    rows = np.sort(ids, axis=1)
+    rows = np.sort(np.ascontiguousarray(ids), axis=1)
     n = rows.shape[1]
     slot = np.arange(n, dtype=np.int32)
     new = np.ones(rows.shape, bool)
@@ -142,9 +155,9 @@ class _Reader(_Coder):
         self.code[lanes] = ((self.code[lanes] & _LOW32) << _U(16)) | self.words[lanes, self.at[lanes]]
         self.at[lanes] += 1
 
-    def slot(self, n: int, step: np.ndarray, total: np.ndarray | int, lanes: np.ndarray | None = None) -> np.ndarray:
-        inside = self.code[:n] - self.low[:n] if lanes is None else self.code[lanes] - self.low[lanes]
-        return np.minimum(inside // step, _U(total - 1) if isinstance(total, int) else total - _U(1)).astype(np.int64)
+    def slot(self, step: np.ndarray, total: int, lanes: np.ndarray) -> np.ndarray:
+        inside = self.code[lanes] - self.low[lanes]
+        return np.minimum(_divide(inside, step), _U(total - 1)).astype(np.int64)
 
 
 def _run(lengths: np.ndarray, wide: bool, coder: _Coder, ids: np.ndarray, reading: bool) -> None:
@@ -166,48 +179,49 @@ def _run(lengths: np.ndarray, wide: bool, coder: _Coder, ids: np.ndarray, readin
                 base = (np.arange(n, dtype=np.int64) << 32)[:, None]
                 flat = (rows + base).ravel()
                 place = np.minimum(np.searchsorted(flat, (ahead + base).ravel()), len(flat) - 1)
-                known = (flat[place] == (ahead + base).ravel()).reshape(ahead.shape)
-                e_low, e_high = low.ravel()[place].reshape(ahead.shape), high.ravel()[place].reshape(ahead.shape)
+                known = flat[place] == (ahead + base).ravel()
+                e_low, e_high = low.ravel()[place], high.ravel()[place]
+                # a step takes the same place of all lanes
+                known, e_low, e_high = (np.ascontiguousarray(c.reshape(ahead.shape).T) for c in (known, e_low, e_high))
         model.look(n, one[:n], two[:n])
-        total = model.total.astype(np.uint64)
-        step = coder.range[:n] // total
-        edge = model.edge
+        step = _divide(coder.range[:n], model.total)
         if reading:
-            v = coder.slot(n, step, total)
-            order = (v >= edge[0]).astype(np.int64) + (v >= edge[1]) + (v >= edge[2])
+            v = _divide(coder.code[:n] - coder.low[:n], step)
+            order = (v >= model.edge[:, 1]).astype(np.int64) + (v >= model.edge[:, 2]) + (v >= model.edge[:, 3])
         else:
             sym = ids[:n, t]
-            order = np.where(
-                (model.guess[0] == sym) & (model.conf[0] > 0), 0,
-                np.where((model.guess[1] == sym) & (model.conf[1] > 0), 1, np.where(known[:n, t - size], 2, 3) if size else 3),
-            )
-        start = np.where(order == 0, 0, np.where(order == 1, edge[0], np.where(order == 2, edge[1], edge[2])))
-        coder.narrow(n, step, start.astype(np.uint64), model.count[model.base + order].astype(np.uint64))
+            hits = model.hits(sym)
+            order = np.where(known[t - size, :n], 2, 3) if size else np.full(n, 3)
+            order[hits[1]] = 1
+            order[hits[0]] = 0
+        place = (model.lane[:n] << 2) + order
+        coder.narrow(n, step, model.edge.reshape(-1).take(place), model.size.reshape(-1).take(place))
         if reading:
             sym = np.where(order == 0, model.guess[0], model.guess[1]).astype(np.int64)
         at = np.flatnonzero(order == 2)
         if len(at):
             step = coder.range[at] >> shift
             if reading:
-                v = coder.slot(n, step, size, at)
+                v = coder.slot(step, size, at)
                 sym[at] = rows[at, v]
                 a, b = low[at, v], high[at, v]
             else:
-                a, b = e_low[at, t - size], e_high[at, t - size]
+                a, b = e_low[t - size, at], e_high[t - size, at]
             coder.narrow(n, step, a.astype(np.uint64), (b - a).astype(np.uint64), at)
         at = np.flatnonzero(order == 3)
         if len(at):
             plain = np.zeros(len(at), np.int64)
             for half in (16, 0) if wide else (0,):
                 step = coder.range[at] >> _U(16)
-                v = coder.slot(n, step, 1 << 16, at) if reading else (sym[at] >> half) & 0xFFFF
+                v = coder.slot(step, 1 << 16, at) if reading else (sym[at] >> half) & 0xFFFF
                 plain |= v << half
                 coder.narrow(n, step, v.astype(np.uint64), np.ones(len(at), np.uint64), at)
             if reading:
                 sym[at] = plain
         if reading:
             ids[:n, t] = sym
-        model.learn(order, sym)
+            hits = model.hits(sym)
+        model.learn(order, sym, hits)
         two[:n] = one[:n]
         one[:n] = sym
 
@@ -219,7 +233,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         group = blocks[a : a + LANES]
         order = sorted(range(len(group)), key=lambda i: -len(group[i]))
         lengths = np.array([len(group[i]) for i in order], np.int64)
-        ids = np.zeros((len(group), int(lengths[0])), np.int64)
+        ids = np.zeros((int(lengths[0]), len(group)), np.int64).T
         for k, i in enumerate(order):
             ids[k, : lengths[k]] = group[i]
         wide = bool(ids.max(initial=0) > 0xFFFF)
@@ -252,7 +266,7 @@ def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
             words = np.zeros((len(group), max(most, *map(len, coded), 3)), np.uint16)
             for k, w in enumerate(coded):
                 words[k, : len(w)] = w
-            ids = np.zeros((len(group), int(lengths[0])), np.int64)
+            ids = np.zeros((int(lengths[0]), len(group)), np.int64).T
             _run(lengths, bool(wide), _Reader(len(group), words), ids, reading=True)
             for k, i in enumerate(group):
                 out[i] = ids[k, : lengths[k]].astype("<u4")

@@ -58,3 +58,21 @@ def test_null_and_equal_ids(spark, tmp_path):
     tokenfile.write_token_files(docs, f"{tmp_path}/c", PATH)
     rows = sorted((r.start, r.doc_id, r.n_tokens) for r in tokenfile.file_digests(spark, f"{tmp_path}/c").collect())
     assert rows == [(0, None, 2), (2, 4, 3), (5, 4, 3), (8, 9, 1)]
+
+
+def test_quotients_of_intervals_are_exact_and_payloads_stay():
+    import zlib
+
+    import numpy as np
+
+    from chatloom.llm import rangecoder as R
+
+    rng = np.random.default_rng(4)
+    b = rng.integers(1, 1 << 14, 100_000).astype(np.uint64)
+    q = rng.integers(1, 1 << 34, 100_000).astype(np.uint64)
+    for a in (q * b - np.uint64(1), q * b, np.full(len(b), (1 << 48) - 1, np.uint64)):
+        assert (R._divide(a, b) == a // b).all()
+    blocks = [np.arange(5000) * 7 % m for m in (3, 97, 4001, 70_000)] + [np.array([2])]
+    coded = R.encode_blocks([x[:4096].astype("<u4") for x in blocks])
+    assert zlib.crc32(b"".join(coded)) == 2809810574
+    assert all((x[:4096] == y).all() for x, y in zip(blocks, R.decode_blocks(coded)))
